@@ -8,6 +8,13 @@ import importlib
 _QUERIES = {
     "op1_byte_bpe": "bpe",
     "op2_simhash": "simhash",
+    "op3_toxicity": "toxicity",
+    "op4_language_id": "langid",
+    "op5_gif_media": "media",
+    "op6_exact_dedup": "exact",
+    "op8_content_store": "store",
+    "op9_packing": "packing",
+    "op10_secret_scan": "secretscan",
 }
 
 

@@ -11,6 +11,7 @@ import os
 import re
 from struct import pack
 
+import numpy as np
 import public_tokenizers
 import regex
 
@@ -65,17 +66,56 @@ class PieceEncoder:
         return (self._all(self.first, [head], "") if head else b"") + self._all(self.later, parts, " ")
 
 
-_encoders: dict[str, PieceEncoder] = {}
+class HubEncoder:
+    """ids of a text as little-endian unsigned 16-bit bytes, by the ``tokenizers`` library.
 
+    The pieces of a text that are not in the memo are joined, encoded in one call and told apart again by the
+    byte lengths of their tokens.
+    """
 
-def hub_encoder(path: str | None = None) -> PieceEncoder:
-    """One encoder per worker process and vocabulary file of the ``tokenizers`` library."""
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _encoders:
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _encoders[path] = PieceEncoder(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)] if words else [])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.memo: dict[str, bytes] = {}
+        self.limit = limit
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _LOOSE.search(text):
+            head, *parts = _CUT.split(text)
+            parts = [p[1:] for p in parts]
+        else:
+            head, *parts = text.split(" ")
+        memo = self.memo
+        if len(memo) > self.limit:
+            memo.clear()
+        need = list({p for p in parts if p not in memo})
+        ids = self.ids(" ".join([head, *need]))
+        raw = ids.tobytes()
+        if need:
+            lengths = [len(head) if head.isascii() else len(head.encode()), *(1 + (len(p) if p.isascii() else len(p.encode())) for p in need)]
+            at = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), "left") + 1) * 2
+            at = at.tolist() if head else [0, *at[1:].tolist()]
+            for p, a, b in zip(need, at, at[1:]):
+                memo[p] = raw[a:b]
+            raw = raw[: at[0]]
+        return raw + b"".join([memo[p] for p in parts])
+
+
+_encoders: dict[str, HubEncoder] = {}
+
+
+def hub_encoder(path: str | None = None) -> HubEncoder:
+    """One encoder per worker process and vocabulary file."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    if path not in _encoders:
+        _encoders[path] = HubEncoder(path)
     return _encoders[path]
