@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_language_id": "langid",
     "op5_gif_media": "media",
     "op6_exact_dedup": "exact",
+    "op7_preference_format": "chat",
     "op8_content_store": "store",
     "op9_packing": "packing",
     "op10_secret_scan": "secretscan",
