@@ -98,20 +98,24 @@ def _ball(segment: Column, width: int) -> Column:
 
 def links_within_two(fps: DataFrame, bucket: int = 32) -> DataFrame:
     """u, v: links of distinct fingerprints ``fps`` (node, fp: long) whose closure is that of all links at 2 or fewer bits."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)  # the second table's keys lie above the first's
     high = F.shiftrightunsigned("fp", 32)
-    index = fps.select(F.explode(F.array(F.struct(F.lit(1).alias("t"), high.alias("key")), F.struct(F.lit(2).alias("t"), low.alias("key")))).alias("e"), "node", "fp").select("e.t", "e.key", "node", "fp")
-    points = F.transform(_ball(high, 32), lambda k: F.struct(F.lit(1).alias("t"), k.alias("key")))
-    probes = fps.select(F.explode(F.concat(points, F.array(F.struct(F.lit(2).alias("t"), low.alias("key"))))).alias("e"), "node", "fp").select("e.t", "e.key", F.col("node").alias("u"), F.col("fp").alias("fu"))
-    sizes = index.groupBy("t", "key").agg(F.count("*").alias("n"))
-    cool = index.join(sizes.where(F.col("n") <= bucket).select("t", "key"), ["t", "key"])
-    met = probes.join(cool, ["t", "key"]).where("u <> node").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fu"))) <= 2).select("u", F.col("node").alias("v"))
-    crowded = probes.join(sizes.where(F.col("n") > bucket).select("t", "key"), ["t", "key"], "left_semi").select("u", "fu").distinct()
+    index = fps.select(F.explode(F.array(high, low)).alias("key"), "fp")
+    sizes = index.groupBy("key").agg(F.count("*").alias("n"))
+    # a crowded entry has one row without a fingerprint in place of its own rows
+    few = index.join(sizes.where(F.col("n") <= bucket).select("key"), "key").select("key", F.col("fp").alias("other"))
+    entries = few.unionByName(sizes.where(F.col("n") > bucket).select("key", F.lit(None).cast("long").alias("other")))
+    probes = fps.select(F.explode(F.concat(_ball(high, 32), F.array(low))).alias("key"), "fp")
+    met = probes.join(entries, "key").where(F.col("other").isNull() | (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)).where("other is null or fp > other")
+    met = materialise(met.select("fp", "other").distinct(), "met")
+    crowded = met.where("other is null").select("fp")
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in [0, *(1 << k for k in range(64))]])
-    around = crowded.select("u", F.explode(F.transform(masks, lambda m: F.col("fu").bitwiseXOR(m))).alias("point"))
-    centre = around.groupBy("point").agg(F.min("u").alias("v"))
-    shared = around.join(centre, "point").where("u <> v").select("u", "v")
-    return met.unionByName(shared)
+    around = crowded.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+    centre = around.groupBy("point").agg(F.min("fp").alias("other"))
+    shared = around.join(centre, "point").where("fp <> other").select("fp", "other")
+    links = met.where("other is not null").unionByName(shared).distinct()
+    named = links.join(fps, "fp").select(F.col("node").alias("u"), F.col("other").alias("fp"))
+    return named.join(fps, "fp").select("u", F.col("node").alias("v"))
 
 
 def near_groups(docs: DataFrame, size: int = 3, bucket: int = 32) -> DataFrame:
