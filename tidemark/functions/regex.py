@@ -20,6 +20,10 @@ class BadPattern(ValueError):
     """The pattern is not valid in the search language's dialect."""
 
 
+class _FlagText(str):
+    """Output that sets flags."""
+
+
 class _Flags:
     def __init__(self, multiline: bool = False, ungreedy: bool = False):
         self.multiline, self.ungreedy = multiline, ungreedy
@@ -55,6 +59,7 @@ class _Translator:
                     flags = flags_inside
                 else:
                     flags = flags_inside
+                    continue  # setting flags is no atom: a quantifier after it is for what stands before
                 atom = False
             elif c == ")":
                 if not stack:
@@ -101,11 +106,11 @@ class _Translator:
         named = re.match(r"P?<([^>]*)>", self.p[self.at :])
         if named:
             name = named[1]
-            if not re.fullmatch(r"\w+", name) or name in self.names:
+            if not re.fullmatch(r"\w+", name):
                 raise BadPattern("bad group name")
             self.at += named.end()
             self.groups += 1
-            self.names[name] = self.groups
+            self.names.setdefault(name, self.groups)
             self.out.append("(")
             return True, flags.copy()
         m = re.match(r"([imsU]*)(-[imsU]+)?([:)])", self.p[self.at :])
@@ -126,7 +131,7 @@ class _Translator:
             self.out.append(f"(?{text}:")
             return True, new
         if text:
-            self.out.append(f"(?{text})")
+            self.out.append(_FlagText(f"(?{text})"))
         return False, new
 
     def counted(self) -> bool:
@@ -146,7 +151,10 @@ class _Translator:
             self.take()
         if self.peek() and (self.peek() in "*+?" or self.peek() == "{" and re.match(r"\{\d+(,\d*)?\}", self.p[self.at :])):
             raise BadPattern("repeated repetition")
-        self.out.append(text + ("?" if lazy != flags.ungreedy else ""))
+        at = len(self.out)
+        while at and isinstance(self.out[at - 1], _FlagText):
+            at -= 1
+        self.out.insert(at, text + ("?" if lazy != flags.ungreedy else ""))
 
     def code_point(self, c: str) -> str | None:
         """Escapes of one code point, in or out of a class, as Java text."""

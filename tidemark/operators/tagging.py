@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +66,12 @@ class Rule:
 
 
 def _member(key: str) -> str:
-    return "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """A path step; Spark's paths have no escapes, so a key with both kinds of quotes cannot be asked for."""
+    if "'" not in key:
+        return f"['{key}']"
+    if '"' not in key:
+        return f'["{key}"]'
+    raise BadRule(f"a field name with both kinds of quotes: {key}")
 
 
 def _at(path: Iterable[str]) -> Column:
@@ -149,9 +154,10 @@ def matches_by_batch(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     if not rules:
         return matches(rows, rules)
     typed = [r for r in rules if reads_fields(r)]
-    parts = {r.name: [(k, v) for k, v in r.match if k not in ("sourcetype", "level", "message", "message_contains")] for r in typed}
+    # the type is part of the condition: 1, 1.0 and true are equal in Python only
+    parts = {r.name: [(k, type(v).__name__, v) for k, v in r.match if k not in ("sourcetype", "level", "message", "message_contains")] for r in typed}
     wanted = sorted({kv for kvs in parts.values() for kv in kvs}, key=repr)
-    flags = F.array(*[_field(k, v) for k, v in wanted]) if wanted else F.array().cast("array<boolean>")
+    flags = F.array(*[_field(k, v) for k, _, v in wanted]) if wanted else F.array().cast("array<boolean>")
     plain = [
         (
             r.name,
@@ -163,11 +169,11 @@ def matches_by_batch(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         for r in rules
     ]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_kind: dict[str, list] = {}
         for b in batches:
             out = []
-            for source, seq, kind, level, message, flag in b.itertuples(index=False):
+            for source, seq, kind, level, message, flag in zip(*(c.to_pylist() for c in b.columns)):
                 if kind not in by_kind:
                     by_kind[kind] = [p for p in plain if p[2].get("sourcetype", kind) == kind]
                 seen = {"level": level, "message": message}
@@ -176,10 +182,11 @@ def matches_by_batch(rows: DataFrame, rules: list[Rule]) -> DataFrame:
                         continue
                     if all(flag[i] for i in at) and all(v is not None and seen[k] == v for k, v in equal.items() if k != "sourcetype"):
                         out.append((source, seq, name, tag))
-            yield pd.DataFrame(out, columns=[*KEY, "rule_name", "tag_value"])
+            cols = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], [*KEY, "rule_name", "tag_value"])
 
     prepared = _with_fields(rows, rules).select(*KEY, "sourcetype", "level", "message", flags.alias("flags"))
-    return prepared.mapInPandas(run, "event_id_source string, event_id_seq long, rule_name string, tag_value string")
+    return prepared.mapInArrow(run, "event_id_source string, event_id_seq long, rule_name string, tag_value string")
 
 
 #: Above this many rules the batch form is faster than one compiled column for each.

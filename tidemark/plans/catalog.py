@@ -139,7 +139,7 @@ _DISPLAY = f"""SELECT x.event_id_source, x.event_id_seq, {_TS.format('timestamp_
   coalesce((SELECT string_agg(tag_value, ',' ORDER BY tag_value) FROM tg WHERE tg.event_id_source = x.event_id_source AND tg.event_id_seq = x.event_id_seq), '') AS tags, '' AS notes FROM """
 _add("timeline_window", timeline_window, f"{_SQL} {_DISPLAY} (SELECT * FROM x WHERE contains(message, 'user') ORDER BY timestamp_utc, event_id_source, event_id_seq LIMIT 200 OFFSET 400) x")
 _add("at_keys", lambda s, d: _flat(timeline(s, d).at_keys(entries(s, d).where("event_id_seq in (5, 6, 7)"), Zone.parse("+02:00"))), f"{_SQL} {_DISPLAY} (SELECT * FROM x WHERE event_id_seq IN (5, 6, 7)) x")
-_add("full_entry", lambda s, d: timeline(s, d).full_entry("1", 5).select("event_id_seq", "raw", "fields"), f"{_SQL} SELECT event_id_seq, raw, fields FROM x WHERE event_id_seq = 5 AND event_id_source = '1'")
+_add("full_entry", lambda s, d: timeline(s, d).full_entry("2", 5).select("event_id_seq", "raw", "fields"), f"{_SQL} SELECT event_id_seq, raw, fields FROM x WHERE event_id_seq = 5 AND event_id_source = '2'")
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:

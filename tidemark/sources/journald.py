@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.text import PARSED, _uri
+from tidemark.sources.text import PARSED, metadata_path
 
 #: Fixed values of the file format.
 SIGNATURE = b"LPKSHHRH"
@@ -113,6 +113,6 @@ def read_journals(spark: SparkSession, files: list[tuple[str, str]]) -> DataFram
                     rows = [(source, 0, None, None, None, "", None, str(e))]
                 yield pd.DataFrame(rows, columns=["event_id_source", "event_id_seq", "timestamp_utc", "level", "message", "raw", "fields", "error"]).astype({"timestamp_utc": "datetime64[us]"})
 
-    names = spark.createDataFrame([(i, _uri(p)) for i, p in files], "event_id_source string, _path string")
+    names = spark.createDataFrame([(i, metadata_path(spark, p)) for i, p in files], "event_id_source string, _path string")
     content = spark.read.format("binaryFile").load([p for _, p in files]).select(F.col("_metadata.file_path").alias("_path"), "content")
     return content.join(F.broadcast(names), "_path").select("event_id_source", "content").mapInPandas(run, PARSED)

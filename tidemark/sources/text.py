@@ -8,6 +8,7 @@ record are gathered by record, parsed in Arrow batches, and files with any bad r
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,18 +70,18 @@ def preview(lines: list[str], fmt: TextFormat, most: int = 20) -> list[tuple[str
 
 def lines_of(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     """event_id_source, block, place, value: all lines of ``files`` (source id, path), a final carriage return removed."""
-    names = spark.createDataFrame([(i, _uri(p)) for i, p in files], "event_id_source string, _path string")
+    names = spark.createDataFrame([(i, metadata_path(spark, p)) for i, p in files], "event_id_source string, _path string")
     lines = spark.read.option("lineSep", "\n").text([p for _, p in files])
     cols = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("value"), F.is_valid_utf8("value").alias("valid"))
     # a row for each file: bounded by the driver's own list
     return cols.join(F.broadcast(names), "_path").drop("_path")
 
 
-def _uri(path: str) -> str:
+def metadata_path(spark: SparkSession, path: str) -> str:
     """The path as Spark's file metadata gives it."""
-    from urllib.parse import quote
-
-    return path if "://" in path or path.startswith("file:") else "file://" + quote(path, safe="/()[]!$&'*+,;=:@~.-_")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p)
+    return re.sub(r"^file:/+", "file:/", whole.toUri().toString())
 
 
 def records_of(lines: DataFrame, fmt: TextFormat) -> DataFrame:
