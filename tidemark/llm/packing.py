@@ -102,13 +102,17 @@ def cut_leftovers(table: pa.Table, group: int, window: int) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, False)])
 
 
-def pack(docs: DataFrame, window: int = 1024, open_windows: int = 32, group: int = 32, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, open_windows: int = 32, group: int = 8, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = hub_encoder(tokenizer), Packer(TaskContext.get().partitionId(), window, open_windows)
         for b in batches:
-            rows = [(*p, None) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in packer.add(i, encoder.encode(t) + b"\0\0")]
+            rows, doc_ids = [], b.column(0).to_pylist()
+            for k, ids, n in encoder.streams(b.column(1)):
+                raw, ends = ids.tobytes(), (2 * np.cumsum(n)).tolist()
+                for doc_id, begin, end in zip(doc_ids[k:], [0, *ends], ends):
+                    rows += [(*p, None) for p in packer.add(doc_id, raw[begin:end])]
             yield _batch(rows, True)
         yield _batch(list(packer.left()), True)
 

@@ -33,26 +33,33 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def cut_points(ids: np.ndarray, mean: int, least: int, most: int) -> list[int]:
-    """Ends of the chunks: after an id whose rolling hash of the last 16 ids is below 2**64 / mean, or at ``most`` ids."""
+def rolling_hits(ids: np.ndarray, mean: int) -> np.ndarray:
+    """Ends of chunks asked for by content: after each id where the hash of the last 16 ids is below 2**64 / mean."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    step = 1
-    while step < 16:
-        factor = np.uint64(pow(_MULTIPLIER, step, 1 << 64))
-        h[step:] = h[step:] + h[:-step] * factor if len(h) > step else h[step:]
-        step *= 2
+    for step in (1, 2, 4, 8):
+        h[step:] = h[step:] + h[:-step] * np.uint64(pow(_MULTIPLIER, step, 1 << 64)) if len(h) > step else h[step:]
+    return np.flatnonzero(h < np.uint64(_MASK // mean)) + 1
+
+
+def limited(hits: list[int], length: int, least: int, most: int) -> list[int]:
+    """Ends of the chunks of ``length`` ids: the ``hits`` that leave ``least`` ids, and wherever ``most`` ids have gone by."""
     ends, begin = [], 0
-    for end in [*(np.flatnonzero(h < np.uint64(_MASK // mean)) + 1).tolist(), len(ids)]:
+    for end in [*hits, length]:
         while end - begin > most:
             begin += most
             ends.append(begin)
-        if end - begin >= least or end == len(ids) > begin:
+        if end - begin >= least or end == length > begin:
             begin = end
             ends.append(end)
     return ends
 
 
+def cut_points(ids: np.ndarray, mean: int, least: int, most: int) -> list[int]:
+    """Ends of a document's chunks. With ``least`` of 16 or more no cut depends on ids before the document."""
+    return limited(rolling_hits(ids, mean).tolist(), len(ids), least, most)
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; a node without a partner moves up, no leaves give 32 zero bytes."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [bytes(32)]
@@ -93,24 +100,32 @@ class CrcJoin:
 
 
 def build(docs: DataFrame, mean: int = 512, least: int = 64, most: int = 2048, tokenizer: str | None = None) -> str:
-    """Write the store of ``docs`` and return its path."""
+    """Write the store of ``docs`` and return its path; ``least`` is 16 at least."""
+    if least < 16:
+        raise ValueError("chunks of fewer than 16 ids would depend on what stands before a document")
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = hub_encoder(tokenizer)
         for b in batches:
             digests, starts, lengths, data, roots, sizes = [], [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                raw = encoder.encode(t) + b"\0\0"
-                ends = cut_points(np.frombuffer(raw, "<u2"), mean, least, most)
-                begins = [0, *ends[:-1]]
-                own = [hashlib.sha256(raw[2 * a : 2 * z]).digest() for a, z in zip(begins, ends)]
-                digests.append(own)
-                starts.append(begins)
-                lengths.append([z - a for a, z in zip(begins, ends)])
-                data.append(raw)
-                roots.append(merkle_root(own))
-                sizes.append(len(raw) // 2)
+            for _, ids, n in encoder.streams(b.column(1)):
+                stops = np.cumsum(n)
+                hits = rolling_hits(ids, mean)
+                split = np.searchsorted(hits, np.concatenate([[0], stops]), "right").tolist()
+                stream, hits, begin = ids.tobytes(), hits.tolist(), 0
+                for stop, x, y in zip(stops.tolist(), split, split[1:]):
+                    raw = stream[2 * begin : 2 * stop]
+                    ends = limited([h - begin for h in hits[x:y]], stop - begin, least, most)
+                    begins = [0, *ends[:-1]]
+                    own = [hashlib.sha256(raw[2 * a : 2 * z]).digest() for a, z in zip(begins, ends)]
+                    digests.append(own)
+                    starts.append(begins)
+                    lengths.append([z - a for a, z in zip(begins, ends)])
+                    data.append(raw)
+                    roots.append(merkle_root(own))
+                    sizes.append(stop - begin)
+                    begin = stop
             cols = [b.column(0), pa.array(digests, pa.list_(pa.binary())), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digests", "begins", "lengths", "n_tokens", "root", "data"])
 
@@ -147,11 +162,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = CrcJoin()
         for b in batches:
-            out, fine = [], []
-            for row, root in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                row.sort(key=lambda c: c["pos"])
-                out.append(crc.join((c["crc"] or 0, 4 * c["n"]) for c in row))
-                fine.append(all(c["good"] for c in row) and merkle_root([c["digest"] for c in row]) == root)
+            lists = b.column(3)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            parts = lists.flatten()
+            order = np.lexsort((parts.field("pos").to_numpy(), np.repeat(np.arange(len(lists)), np.diff(at))))
+            digests = parts.field("digest").take(pa.array(order)).to_pylist()
+            crcs, sizes = (parts.field(f).fill_null(0).to_numpy()[order].tolist() for f in ("crc", "n"))
+            good = parts.field("good").to_numpy(zero_copy_only=False)[order]
+            out, fine, edges = [], [], at.tolist()
+            for a, z, root in zip(edges, edges[1:], b.column(4).to_pylist()):
+                out.append(crc.join(zip(crcs[a:z], [4 * n for n in sizes[a:z]])))
+                fine.append(bool(good[a:z].all()) and merkle_root(digests[a:z]) == root)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64()), pa.array(fine), b.column(4)], ["doc_id", "start", "n_tokens", "ids_crc32", "verified", "root"])
 
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "data").mapInArrow(check, "digest binary, crc long, good boolean")

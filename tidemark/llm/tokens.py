@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A space before white space or at the end of the text, where a plain split at spaces would be wrong.
 _LOOSE = re.compile(r" (?=\s|\Z)")
+#: The same for RE2.
+_LOOSE_RE2 = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 _CUT = re.compile(r"(?= (?=\S))")
 
 
@@ -67,47 +72,83 @@ class PieceEncoder:
 
 
 class HubEncoder:
-    """ids of a text as little-endian unsigned 16-bit bytes, by the ``tokenizers`` library.
+    """ids of texts as little-endian unsigned 16-bit integers, by the ``tokenizers`` library.
 
-    The pieces of a text that are not in the memo are joined, encoded in one call and told apart again by the
-    byte lengths of their tokens.
+    The pieces of a slice of texts are cut and numbered by Arrow.  Each distinct piece is encoded once: the distinct
+    pieces are joined in groups, encoded in one call and told apart again by the byte lengths of their tokens.  The ids
+    of all pieces are then gathered at once.  No Python object is made for a piece.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, slice_bytes: int = 16_000_000, group: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.memo: dict[str, bytes] = {}
-        self.limit = limit
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        self.slice_bytes, self.group = slice_bytes, group
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of `` piece`` for each distinct piece, one after the other, and where each ends."""
+        edges = [*range(0, len(distinct), self.group), len(distinct)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), distinct), " ")
+        ids = np.concatenate([np.empty(0, "<u2"), *self._whole([" " + t for t in joined.to_pylist()])])
+        lengths = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), "left") + 1
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts``, one after the other, and the number of ids of each."""
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy().astype(np.int64)
+        head = first[:-1]
+        coded = cut.values.dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        flat, ends = self._pieces(coded.dictionary)
+        heads = self._whole(cut.values.take(pa.array(head)).to_pylist())
+        number[head] = len(ends) + np.arange(len(heads))
+        flat = np.concatenate([flat, *heads])
+        size = np.diff(np.concatenate([[0], ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(h) for h in heads])]))
+        place = np.cumsum(size) - size
+        out = []
+        for k in range(0, len(number), 1 << 20):
+            n = number[k : k + (1 << 20)]
+            own = size[n]
+            stop = np.cumsum(own)
+            out.append(flat[np.arange(stop[-1]) + np.repeat(place[n] - (stop - own), own)])
+        total = np.concatenate([[0], np.cumsum(size[number])])
+        return np.concatenate(out), total[first[1:]] - total[head]
+
+    def encode_many(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of ``texts`` (no nulls): the index of the first text, all ids and the number of ids of each text."""
+        loose = pc.match_substring_regex(texts, _LOOSE_RE2).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // self.slice_bytes
+        # a slice ends before and after each text that cannot be cut at all spaces
+        part = part + np.cumsum(loose) + np.concatenate([[0], np.cumsum(loose)[:-1]]) if len(texts) else part
+        for a, z in _runs(part):
+            if loose[a]:
+                for k in range(a, z):
+                    ids = self._whole([texts[k].as_py()])[0]
+                    yield k, ids, np.array([len(ids)])
+            else:
+                yield (a, *self._slice(texts[a:z].take(pa.array(range(z - a)))))
+
+    def streams(self, texts: pa.Array, end: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As :meth:`encode_many`, with the id ``end`` after each text; counts include it."""
+        for k, ids, n in self.encode_many(texts):
+            yield k, np.insert(ids, np.cumsum(n), end).astype("<u2"), n + 1
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _LOOSE.search(text):
-            head, *parts = _CUT.split(text)
-            parts = [p[1:] for p in parts]
-        else:
-            head, *parts = text.split(" ")
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        need = list({p for p in parts if p not in memo})
-        ids = self.ids(" ".join([head, *need]))
-        raw = ids.tobytes()
-        if need:
-            lengths = [len(head) if head.isascii() else len(head.encode()), *(1 + (len(p) if p.isascii() else len(p.encode())) for p in need)]
-            at = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), "left") + 1) * 2
-            at = at.tolist() if head else [0, *at[1:].tolist()]
-            for p, a, b in zip(need, at, at[1:]):
-                memo[p] = raw[a:b]
-            raw = raw[: at[0]]
-        return raw + b"".join([memo[p] for p in parts])
+        return b"".join(ids.tobytes() for _, ids, _ in self.encode_many(pa.array([text], pa.string())))
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    yield from ((a, z) for a, z in zip(edges, edges[1:]) if a < z)
 
 
 _encoders: dict[str, HubEncoder] = {}
