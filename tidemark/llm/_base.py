@@ -34,6 +34,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Have Arrow batches of the session hold ``most_bytes`` at most, so that a Python worker's memory does not follow the rows of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64MB").strip().lower()
+    digits = now.rstrip("bkmg")
+    size = int(digits) << {"k": 10, "m": 20, "g": 30}.get(now[len(digits) : len(digits) + 1], 0)
+    if size > most_bytes:
+        spark.conf.set(key, str(most_bytes))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import in_fold
+from tidemark.llm._base import in_fold, small_batches
 
 _WORD = re.compile(r"\w+")
 _PREFIXES = range(4, 9)
@@ -38,7 +38,7 @@ def terms_of(word: str) -> list[str]:
 class Terms:
     """Counts of vocabulary terms in a text, with a bounded memo of words."""
 
-    def __init__(self, vocabulary: dict[str, int], limit: int = 500_000):
+    def __init__(self, vocabulary: dict[str, int], limit: int = 150_000):
         self.vocabulary, self.limit, self.memo = vocabulary, limit, {}
 
     def count(self, text: str | None) -> dict[int, int]:
@@ -54,11 +54,11 @@ class Terms:
         return out
 
 
-def choose_terms(counts: list[dict[str, int]], labels: np.ndarray, weights: np.ndarray, most: int) -> list[str]:
+def choose_terms(texts: Iterable[str], labels: np.ndarray, most: int) -> list[str]:
     """The ``most`` terms of highest log-likelihood ratio (presence against label) with 3 or more texts."""
     have = [Counter(), Counter()]
-    for c, y in zip(counts, labels):
-        have[y].update(c.keys())
+    for text, y in zip(texts, labels):
+        have[y].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     names = [t for t in have[0].keys() | have[1].keys() if have[0][t] + have[1][t] >= 3]
     if not names:
@@ -164,6 +164,7 @@ class Model:
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """Of each term over all rows of ``docs``, and the number of rows; a partition sends one row per term."""
     known = {t: i for i, t in enumerate(vocabulary)}
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df, n = Terms(known), Counter(), 0
@@ -193,9 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int
         return None
     each = [totals[v] / (y == v).sum() for v in (0, 1)]
     weights = np.array([each[v] for v in y])
-    words = [Counter(t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)) for _, _, text in rows]
-    vocabulary = choose_terms(words, y, weights, terms)
-    del words
+    vocabulary = choose_terms((text for _, _, text in rows), y, terms)
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 1
     counter = Terms({t: i for i, t in enumerate(vocabulary)})
@@ -204,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int
 
 def scorer(spark, model: Model | None, evidence: int = 3):
     """A pandas UDF from text to (score, evidence): the nearest examples with their label and cosine. The model is bounded by its parameters and broadcast."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     counters: list[Terms] = []
 
