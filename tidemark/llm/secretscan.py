@@ -151,3 +151,32 @@ def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return report(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _oracle() -> str:
+    """The same by DuckDB: pieces between matches give the offsets."""
+    text = "coalesce(text, '')"
+    each = []
+    for k, (_, pattern, group, least) in enumerate(KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        each.append(f"SELECT doc_id, source, {k} AS kind, {least} AS least, regexp_extract_all({text}, {p}, 0) AS m, regexp_extract_all({text}, {p}, {group}) AS v, string_split_regex({text}, {p}) AS g FROM documents")
+    name = "([" + ", ".join(f"'{n}'" for n in NAMES) + "])[kind + 1]"
+    listed = f"string_agg({name} || ':' || a || ':' || z, ',' ORDER BY a, kind, z)"
+    return f"""
+WITH k AS ({" UNION ALL ".join(each)}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+p AS (SELECT doc_id, source, kind, least, v[i] AS value, length(m[i]) AS n, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
+s AS (SELECT doc_id, source, kind, CAST(stop - n AS BIGINT) AS a, CAST(stop AS BIGINT) AS z, value FROM p WHERE length(value) >= least),
+o AS (SELECT value, count(DISTINCT coalesce('s' || source, '')) AS owners FROM s GROUP BY value),
+j AS (SELECT s.*, CASE WHEN owners >= 3 THEN 3 WHEN length(value) >= 8 AND len(list_distinct(string_split(value, ''))) >= 5 THEN 4 ELSE 5 END AS verdict FROM s JOIN o USING (value)),
+base AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  count(*) FILTER (verdict = 4) AS n_live, count(*) FILTER (verdict = 3) AS n_example, {listed} AS b FROM j GROUP BY doc_id),
+every AS (SELECT doc_id, a, kind, z FROM j UNION ALL (SELECT DISTINCT doc_id, z - length(value), verdict, z FROM j)),
+x AS (SELECT doc_id, {listed} AS spans FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN base USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()
