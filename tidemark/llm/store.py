@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +70,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Bits of each byte.
+_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(bool)
+
+
 class CrcJoin:
     """crc32 of joined byte strings from the crc32 of each and the lengths (the linear map of a length is kept)."""
 
@@ -77,18 +82,11 @@ class CrcJoin:
 
     def _table(self, length: int) -> list[list[int]]:
         if length not in self.tables:
-            zeros, base = bytes(length), zlib.crc32(bytes(length))
-            # crc32 is affine: what a starting bit becomes after ``length`` zero bytes
-            columns = [zlib.crc32(zeros, 1 << k) ^ base for k in range(32)]
-            table = []
-            for byte in range(4):
-                row = [0] * 256
-                for k in range(8):
-                    bit = columns[8 * byte + k]
-                    for v in range(1 << k):
-                        row[v | 1 << k] = row[v] ^ bit
-                table.append(row)
-            self.tables[length] = table
+            # crc32 is affine: what each starting bit becomes after ``length`` zero bytes
+            zeros = bytes(length)
+            base = zlib.crc32(zeros)
+            columns = np.array([zlib.crc32(zeros, 1 << k) ^ base for k in range(32)], np.int64).reshape(4, 1, 8)
+            self.tables[length] = np.bitwise_xor.reduce(np.where(_BITS, columns, 0), axis=2).tolist()
         return self.tables[length]
 
     def join(self, parts: Iterator[tuple[int, int]]) -> int:
@@ -99,6 +97,9 @@ class CrcJoin:
         return total
 
 
+_crc = CrcJoin()  # its tables are shared by the tasks of a worker
+
+
 def build(docs: DataFrame, mean: int = 512, least: int = 64, most: int = 2048, tokenizer: str | None = None) -> str:
     """Write the store of ``docs`` and return its path; ``least`` is 16 at least."""
     if least < 16:
@@ -154,13 +155,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = b.column(2).to_pylist()
-            good = [hashlib.sha256(x).digest() == d and len(x) == 2 * n for x, d, n in zip(data, b.column(0).to_pylist(), b.column(1).to_pylist())]
-            crcs = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in data]
+            column = b.column(2)
+            at = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))]).tolist()
+            raw = b"".join(column.to_pylist())
+            wide, raw = memoryview(np.frombuffer(raw[: len(raw) & ~1], "<u2").astype("<u4").tobytes()), memoryview(raw)
+            digests, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
+            good = [hashlib.sha256(raw[x:y]).digest() == d and y - x == 2 * n for x, y, d, n in zip(at, at[1:], digests, sizes)]
+            crcs = [zlib.crc32(wide[2 * x : 2 * y]) for x, y in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(good)], ["digest", "crc", "good"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc = CrcJoin()
         for b in batches:
             lists = b.column(3)
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -171,7 +175,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             good = parts.field("good").to_numpy(zero_copy_only=False)[order]
             out, fine, edges = [], [], at.tolist()
             for a, z, root in zip(edges, edges[1:], b.column(4).to_pylist()):
-                out.append(crc.join(zip(crcs[a:z], [4 * n for n in sizes[a:z]])))
+                out.append(_crc.join(zip(crcs[a:z], [4 * n for n in sizes[a:z]])))
                 fine.append(bool(good[a:z].all()) and merkle_root(digests[a:z]) == root)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64()), pa.array(fine), b.column(4)], ["doc_id", "start", "n_tokens", "ids_crc32", "verified", "root"])
 

@@ -20,8 +20,8 @@ import regex
 
 #: A space before white space or at the end of the text, where a plain split at spaces would be wrong.
 _LOOSE = re.compile(r" (?=\s|\Z)")
-#: The same for RE2.
-_LOOSE_RE2 = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
+#: The same for RE2; a NUL is the mark of further cuts.
+_LOOSE_RE2 = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)|\x00"
 _CUT = re.compile(r"(?= (?=\S))")
 
 
@@ -92,12 +92,52 @@ class HubEncoder:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of `` piece`` for each distinct piece, one after the other, and where each ends."""
-        edges = [*range(0, len(distinct), self.group), len(distinct)]
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), distinct), " ")
-        ids = np.concatenate([np.empty(0, "<u2"), *self._whole([" " + t for t in joined.to_pylist()])])
-        lengths = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), "left") + 1
+        """Ids of each distinct piece with a space before it, one after the other, and where each ends.
+
+        A letter and the punctuation after it, and a line break and what stands before it, are always different
+        pre-tokens.  Pieces are cut there, too, and their parts encoded once each.
+        """
+        marked = pc.replace_substring_regex(distinct, r"(\p{L})([^\p{L}\p{N}\s])", "\\1\0\\2")
+        marked = pc.replace_substring_regex(marked, r"([^\s\x00])\x00?(\n)", "\\1\0\\2")
+        cut = pc.split_pattern(marked, "\0")
+        first = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.values.dictionary_encode()
+        parts, part = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        leads = np.zeros(len(part), bool)
+        leads[first[:-1]] = True
+        # each part in two forms: after a space (at the beginning of a piece), and as it is
+        used = np.zeros((2, len(parts)), bool)
+        used[0, part[leads]] = used[1, part[~leads]] = True
+        begins_line = np.array(pc.match_substring_regex(parts, r"^\n[^\s]").to_numpy(zero_copy_only=False), bool)
+        groups = [
+            self._joined(parts, np.flatnonzero(used[0]), " "),
+            self._joined(parts, np.flatnonzero(used[1] & begins_line), ""),
+            self._single(parts, np.flatnonzero(used[1] & ~begins_line)),
+        ]
+        where = np.full((2, len(parts)), -1, np.int64)
+        flat, ends, known = [], [0], 0
+        for form, (which, ids, stops) in zip((0, 1, 1), groups):
+            where[form, which] = known + np.arange(len(which))
+            flat.append(ids)
+            ends.extend((ends[-1] + stops).tolist() if len(stops) else [])
+            known += len(which)
+        flat, ends = np.concatenate(flat), np.array(ends, np.int64)
+        place, size = ends[:-1], np.diff(ends)
+        own = where[np.where(leads, 0, 1), part]
+        return _gathered(flat, place, size, own), np.cumsum(np.add.reduceat(size[own], first[:-1])) if len(distinct) else np.empty(0, np.int64)
+
+    def _joined(self, parts: pa.Array, which: np.ndarray, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``which``, the ids of those parts with ``lead`` before each, and where each ends; they are encoded side by side."""
+        chosen = parts.take(pa.array(which))
+        edges = [*range(0, len(chosen), self.group), len(chosen)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), chosen), lead)
+        ids = np.concatenate([np.empty(0, "<u2"), *self._whole([lead + t for t in joined.to_pylist()])])
+        lengths = pc.binary_length(chosen).to_numpy(zero_copy_only=False).astype(np.int64) + len(lead)
+        return which, ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), "left") + 1
+
+    def _single(self, parts: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = self._whole(parts.take(pa.array(which)).to_pylist())
+        return which, np.concatenate([np.empty(0, "<u2"), *each]), np.cumsum([len(x) for x in each]).astype(np.int64)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts``, one after the other, and the number of ids of each."""
@@ -112,14 +152,8 @@ class HubEncoder:
         flat = np.concatenate([flat, *heads])
         size = np.diff(np.concatenate([[0], ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(h) for h in heads])]))
         place = np.cumsum(size) - size
-        out = []
-        for k in range(0, len(number), 1 << 20):
-            n = number[k : k + (1 << 20)]
-            own = size[n]
-            stop = np.cumsum(own)
-            out.append(flat[np.arange(stop[-1]) + np.repeat(place[n] - (stop - own), own)])
         total = np.concatenate([[0], np.cumsum(size[number])])
-        return np.concatenate(out), total[first[1:]] - total[head]
+        return _gathered(flat, place, size, number), total[first[1:]] - total[head]
 
     def encode_many(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of ``texts`` (no nulls): the index of the first text, all ids and the number of ids of each text."""
@@ -145,6 +179,17 @@ class HubEncoder:
         return b"".join(ids.tobytes() for _, ids, _ in self.encode_many(pa.array([text], pa.string())))
 
 
+def _gathered(flat: np.ndarray, place: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` named by ``number``, one after the other, in steps of bounded memory."""
+    out = [np.empty(0, flat.dtype)]
+    for k in range(0, len(number), 1 << 20):
+        n = number[k : k + (1 << 20)]
+        own = size[n]
+        stop = np.cumsum(own)
+        out.append(flat[np.arange(stop[-1]) + np.repeat(place[n] - (stop - own), own)])
+    return np.concatenate(out)
+
+
 def _runs(part: np.ndarray) -> Iterator[tuple[int, int]]:
     """Begin and end of the runs of equal values."""
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
