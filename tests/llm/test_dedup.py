@@ -79,6 +79,27 @@ def test_near_duplicates_recall(spark):
     assert np.mean([found[2 * k + 1] == 2 * k for k in range(60)]) >= 0.9
 
 
+def _closure(rows, similarity=0.8):
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return links, _brute_components(links, sets)
+
+
+def test_near_duplicates_among_texts_of_a_template(spark):
+    """All texts share a passage; the copies stand far apart in doc_id, with other texts of the template between them."""
+    passage, rows = words(1, 205), []
+    for k in range(300):
+        rows.append((k, f"{passage} {words(1000 + k, 65)}"))
+        if k % 3 == 0:
+            copy = rows[-1][1].split()
+            copy[210:270:12] = ["changed"] * 5
+            rows.append((9000 - k, " ".join(copy)))
+    links, want = _closure(rows)
+    assert {(k, 9000 - k) for k in range(0, 300, 3)} == set(links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(docs).collect()} == want
+
+
 def test_near_duplicates_of_messy_rows(messy, none):
     found = {r.doc_id: r.keep_id for r in simhash.near_duplicates(messy).collect()}
     assert found[8] == 7 and found[300] == 200 and found[9] == 9 and None not in found

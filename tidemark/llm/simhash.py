@@ -12,11 +12,12 @@ the square; for fingerprints that meet such an entry the ball of radius 1 over a
 fingerprints are within 2 bits exactly when those balls share a point, and each point links its members to one of
 them.  That is exact and linear.
 
-Similar texts (:func:`near_duplicates`): fingerprints of 336 bits over five-word shingles, twelve segments of 28 bits.
-Both sides enter each segment table with their ball of radius 1, so segments within 2 bits meet; within an entry each
-row is compared with the one before it, so that a crowd gives a chain and not all its pairs, and a match is verified on
-all 336 bits.  The share of
-differing bits of two texts whose shingle sets have Jaccard similarity s is arccos(2s/(1+s))/pi.
+Similar texts (:func:`near_duplicates`): exact by prefix filtering.  All texts order their distinct five-word shingles by
+one global order, rare ones first; of two texts with similarity s or more, the first ``n - ceil(s n) + 1`` shingles of
+both share one.  Rows meet by those shingles.  A first pass compares each row with the smallest of its entry, so that
+copies become one component at a cost linear in their number; the second compares all pairs of an entry that are still
+in different components.  Pairs in one component need no comparison, so the closure is that of all pairs.  Before the
+exact test, pairs are dropped by bounds that never lose one: the sizes, and the differing bits of parity bitmaps.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from tidemark.llm.graph import components
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 14
-#: Bits of the second kind of fingerprint, its segments and their width.
-WIDE_WORDS, SEGMENTS, WIDTH = 6, 12, 28
+#: 64-bit words of a parity bitmap.
+PARITY_WORDS = 8
+#: Texts that are at least sampled for the frequencies of shingles, the share of larger inputs, and the frequencies kept.
+SAMPLE, SHARE, KEPT = 20_000, 1 / 8, 500_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -132,34 +135,123 @@ def near_groups(docs: DataFrame, size: int = 3, bucket: int = 32) -> DataFrame:
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, most_bits: int = 58) -> DataFrame:
-    """doc_id, keep_id: groups of documents whose 336-bit fingerprints are linked, named by their smallest doc_id.
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order."""
+    return np.unique(shingle_hashes(text, size))
 
-    ``most_bits`` of 336 differing bits: 58 are the mean for a similarity of 0.8 (51) and one deviation (7).
-    Equal fingerprints are one node.  Rows with a null id are left alone, and empty texts form one group.
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap with each hash's bit flipped: two sets differ in as many elements as their bitmaps in bits, or more."""
+    bits = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the most frequent shingles of a sample; they order the prefixes and decide no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, size).view(np.int64))], ["h"])
+
+    share = max(SHARE, SAMPLE / max(1, docs.count()))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    some = docs.where(place < F.lit(int(min(1.0, share) * (1 << 30)))).select(text_or_empty().alias("text"))
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(KEPT).toArrow()
+    hashes, n = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _signatures(docs: DataFrame, size: int, tenths: int) -> DataFrame:
+    """doc_id, key (of the shingle set), n, the bitmap's words and the prefix of every text."""
+    known, count = _frequencies(docs, size)
+    names = [f"f{k}" for k in range(PARITY_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes, maps, prefixes = [], [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, size)
+                often = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[at] == s, count[at], 0)
+                first = np.argsort(often, kind="stable")[: len(s) + (-tenths * len(s)) // 10 + 1] if len(s) else []
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                maps.append(parity(s))
+                prefixes.append(s[first].view(np.int64))
+            columns = np.array(maps, np.int64).reshape(-1, PARITY_WORDS)
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(PARITY_WORDS)), prefix], ["doc_id", "key", "n", *names, "prefix"])
+
+    src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return src.mapInArrow(run, "doc_id long, key binary, n long, " + "".join(f"{n} long, " for n in names) + "prefix array<long>")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, tenths: int) -> DataFrame:
+    """The pairs (node, other) whose shingle sets have a similarity of ``tenths`` / 10 or more, as links u, v."""
+    names = [f"f{k}" for k in range(PARITY_WORDS)]
+    left = nodes.select("node", F.col("n").alias("m"), *[F.col(n).alias(f"a{k}") for k, n in enumerate(names)])
+    right = nodes.select(F.col("node").alias("other"), "n", *names)
+    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(n))) for k, n in enumerate(names)), F.lit(0))
+    # |a ^ b| / |a | b| <= 1 - s, that is (1 + s) |a ^ b| <= (1 - s) (|a| + |b|)
+    near = (10 + tenths) * differing <= (10 - tenths) * (F.col("m") + F.col("n"))
+    left_over = materialise(pairs.join(left, "node").join(right, "other").where(near).select("node", "other"), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["node", "key", "data"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                good.append(10 * both >= tenths * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    needed = left_over.select("node").unionByName(left_over.select(F.col("other").alias("node"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(needed, "node", "left_semi")
+    data = texts.mapInArrow(sets, "node long, key binary, data binary").join(nodes.select("node", "key"), ["node", "key"], "left_semi").dropDuplicates(["node"])
+    data = materialise(data.select("node", "data"), "sets")
+    both = left_over.join(data, "node").join(data.select(F.col("node").alias("other"), F.col("data").alias("with")), "other")
+    return both.select(F.col("node").alias("u"), F.col("other").alias("v"), "data", "with").mapInArrow(verify, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFrame:
+    """doc_id, keep_id: groups of documents linked by a similarity of ``tenths`` / 10 or more, named by their smallest doc_id.
+
+    The similarity is the Jaccard similarity of the sets of ``size``-word shingles.  Equal sets are one node.  Rows with
+    a null id are left alone, and empty texts form one group.
     """
-    names = [f"f{k}" for k in range(WIDE_WORDS)]
-    each = materialise(fingerprints(docs.where("doc_id is not null"), size, WIDE_WORDS), "wide")
-    nodes = materialise(each.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-
-    def segment(k: int) -> Column:
-        word, at = divmod(k * WIDTH, 64)
-        low = F.shiftrightunsigned(names[word], at)
-        if at + WIDTH > 64:
-            low = low.bitwiseOR(F.shiftleft(names[word + 1], 64 - at))
-        return low.bitwiseAND(F.lit((1 << WIDTH) - 1))
-
-    tagged = F.flatten(F.array(*[_ball(segment(k) + F.lit(k << 32), WIDTH) for k in range(SEGMENTS)]))
-    rows = nodes.select(F.explode(tagged).alias("key"), "node")
-    order = Window.partitionBy("key").orderBy("node")
-    pairs = rows.select("node", F.lag("node").over(order).alias("other")).where("other is not null and node <> other").distinct()
-    left = nodes.select("node", *[F.col(n).alias(f"a{k}") for k, n in enumerate(names)])
-    right = nodes.select(F.col("node").alias("other"), *names)
-    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(n)) if (k + 1) * 64 <= SEGMENTS * WIDTH else F.col(f"a{k}").bitwiseXOR(F.col(n)).bitwiseAND(F.lit((1 << (SEGMENTS * WIDTH - 64 * k)) - 1))) for k, n in enumerate(names)), F.lit(0))
-    links = pairs.join(left, "node").join(right, "other").where(differing <= most_bits).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    docs = docs.where("doc_id is not null")
+    names = [f"f{k}" for k in range(PARITY_WORDS)]
+    each = materialise(_signatures(docs, size, tenths), "signatures")
+    nodes = each.groupBy("key").agg(F.min(F.struct("doc_id", "n", *names, "prefix")).alias("x"))
+    nodes = materialise(nodes.select(F.col("x.doc_id").alias("node"), "key", "x.n", *[f"x.{n}" for n in names], "x.prefix"), "nodes")
+    entry = Window.partitionBy("key")
+    rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    rows = rows.select("*", F.min("node").over(entry).alias("least"), F.max("node").over(entry).alias("most")).where("least <> most")
+    rows = materialise(rows.select("key", "node", "n", "least"), "entries")
+    # first the smallest row of each entry, then all pairs that this has not brought together
+    stars = rows.where("node <> least").select("node", F.col("least").alias("other")).distinct()
+    links = materialise(_similar(stars, nodes, docs, size, tenths), "links")
+    named = rows.join(components(links), "node", "left").select("key", "node", "n", "least", F.coalesce("component", "node").alias("component"))
+    parts = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    named = materialise(named.join(parts, "key", "left_semi"), "apart")
+    a, b = named.alias("a"), named.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") > F.col("b.node")) & (F.col("b.node") != F.col("a.least"))
+    sizes = 10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n")
+    rest = a.join(b, apart & sizes).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
+    links = links.unionByName(_similar(rest, nodes, docs, size, tenths))
     found = components(links)
-    named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("keep_id"))
-    return each.join(named, names).select("doc_id", "keep_id")
+    named = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("keep_id"))
+    return each.join(named, "key").select("doc_id", "keep_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
