@@ -100,6 +100,21 @@ def test_near_duplicates_among_texts_of_a_template(spark):
     assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(docs).collect()} == want
 
 
+def test_near_duplicates_on_both_sides_of_the_limit(spark):
+    """Similarities from 0.70 to 0.86: exactly those of 0.8 or more are linked."""
+    rows = []
+    for k in range(90):
+        base = words(2000 + k, 270).split()
+        copy = list(base)
+        at = range(5, 270, 26)[: 4 + k % 6]
+        for x in at:
+            copy[x] = f"changed{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    links, want = _closure(rows)
+    assert 25 < len(links) < 60 and len(_closure(rows, 0.69)[0]) == 90
+    assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_near_duplicates_of_messy_rows(messy, none):
     found = {r.doc_id: r.keep_id for r in simhash.near_duplicates(messy).collect()}
     assert found[8] == 7 and found[300] == 200 and found[9] == 9 and None not in found
