@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -135,3 +136,15 @@ def test_packing_places_each_id_once(spark, messy, messy_rows, none, hub, window
         assert at <= window
     assert packing.pack(none).count() == 0
     assert packing.pack(messy).agg({"length": "sum"}).first()[0] == sum(len(_ids(hub, t)) for _, t, *_ in messy_rows)
+
+
+def test_packed_sequences_are_kept(spark, messy, messy_rows, hub):
+    """The ids of the pieces give back every text and the windows themselves."""
+    docs = messy.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = packing.pack(docs, window=64, open_windows=3, group=2).collect()
+    assert all(len(r.ids) == 2 * r.length and r.ids_crc32 == packing.crc(bytes(r.ids)) for r in rows)
+    for i in {r.doc_id for r in rows}:
+        text = next(t for j, t, *_ in messy_rows if j == i)
+        stream = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(stream, "<u2").tolist() == _ids(hub, text).tolist()
+    assert corpus_pipeline.packing_stage(spark, docs, "").columns[-1] == "ids"

@@ -6,6 +6,8 @@ fullest is emitted.  The windows open at a partition's end are leftovers: they c
 partitions (at most ``group`` * ``open_windows`` windows, whatever the input) are laid end to end and cut into full
 windows; one partly filled window remains for each such group.
 
+Every piece carries its ids, so the pieces of a sequence in order of offset are the sequence.
+
 Null text counts as empty: one piece with the end id.  Repeated rows and null ids are packed like any other.
 """
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._base import materialise, text_or_empty
 from tidemark.llm.tokens import hub_encoder
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+_FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 #: Ids of merged windows start here; those of a partition's windows are partition * 2**33 + n.
 _MERGED = 1 << 62
 
@@ -47,7 +49,8 @@ class Packer:
     def add(self, doc_id, ids: bytes) -> Iterator[tuple]:
         size, total, at = self.window, len(ids) // 2, 0
         while total - at >= size:
-            yield (doc_id, at, size, crc(ids[2 * at : 2 * (at + size)]), total, self._number(), 0)
+            part = ids[2 * at : 2 * (at + size)]
+            yield (doc_id, at, size, crc(part), total, self._number(), 0, part)
             at += size
         need = total - at
         if not need:
@@ -71,7 +74,7 @@ class Packer:
     def _close(self, w: list) -> Iterator[tuple]:
         offset = 0
         for doc_id, at, ids, total in w[2]:
-            yield (doc_id, at, len(ids) // 2, crc(ids), total, w[1], offset)
+            yield (doc_id, at, len(ids) // 2, crc(ids), total, w[1], offset, ids)
             offset += len(ids) // 2
 
     def left(self) -> Iterator[tuple]:
@@ -82,48 +85,49 @@ class Packer:
                 offset += len(ids) // 2
 
 
-def _batch(rows: list[tuple], with_data: bool) -> pa.RecordBatch:
-    names, kinds = ([*_FIELDS, "data"], [pa.int64()] * 7 + [pa.binary()]) if with_data else (_FIELDS, [pa.int64()] * 7)
-    cols = list(zip(*rows)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+    cols = list(zip(*rows)) if rows else [[] for _ in _FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], _FIELDS)
 
 
 def cut_leftovers(table: pa.Table, group: int, window: int) -> pa.Table:
     """Lay the pieces of leftover windows end to end, in order of window and offset, and cut them into windows."""
     rows, seq, used = [], _MERGED + (group << 31), 0
     for r in table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist():
-        ids, at = r["data"], 0
+        ids, at = r["ids"], 0
         while at < r["length"]:
             n = min(r["length"] - at, window - used)
-            rows.append((r["doc_id"], r["start"] + at, n, crc(ids[2 * at : 2 * (at + n)]), r["doc_tokens"], seq, used))
+            part = ids[2 * at : 2 * (at + n)]
+            rows.append((r["doc_id"], r["start"] + at, n, crc(part), r["doc_tokens"], seq, used, part))
             at, used = at + n, used + n
             if used == window:
                 seq, used = seq + 1, 0
-    return pa.Table.from_batches([_batch(rows, False)])
+    return pa.Table.from_batches([_batch(rows)])
 
 
 def pack(docs: DataFrame, window: int = 1024, open_windows: int = 32, group: int = 8, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 16-bit little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = hub_encoder(tokenizer), Packer(TaskContext.get().partitionId(), window, open_windows)
         for b in batches:
-            rows, doc_ids = [], b.column(0).to_pylist()
+            doc_ids = b.column(0).to_pylist()
             for k, ids, n in encoder.streams(b.column(1)):
-                raw, ends = ids.tobytes(), (2 * np.cumsum(n)).tolist()
+                rows, raw, ends = [], ids.tobytes(), (2 * np.cumsum(n)).tolist()
                 for doc_id, begin, end in zip(doc_ids[k:], [0, *ends], ends):
-                    rows += [(*p, None) for p in packer.add(doc_id, raw[begin:end])]
-            yield _batch(rows, True)
-        yield _batch(list(packer.left()), True)
+                    rows += packer.add(doc_id, raw[begin:end])
+                yield _batch(rows)
+        yield _batch(list(packer.left()))
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         return cut_leftovers(table, key[0].as_py(), window)
 
     src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    placed = materialise(src.mapInArrow(run, PIECE + ", data binary"), "pieces")
-    left = placed.where("data is not null").groupBy(F.floor(F.shiftright("sequence_id", 33) / group).alias("g")).applyInArrow(merge, PIECE)
-    return placed.where("data is null").drop("data").unionByName(left)
+    placed = materialise(src.mapInArrow(run, PIECE), "pieces")
+    left = placed.where("ids_crc32 is null").groupBy(F.floor(F.shiftright("sequence_id", 33) / group).alias("g")).applyInArrow(merge, PIECE)
+    return placed.where("ids_crc32 is not null").unionByName(left)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
