@@ -132,3 +132,17 @@ def test_language_held_out_and_odd_rows(spark, messy, none):
     assert langid.identify(none, model).count() == 0
     empty = langid.train(none)
     assert {r.lang_pred for r in langid.identify(messy, empty).collect()} == {"und"}
+
+
+def test_languages_of_many_scripts(spark):
+    """More letters than fit a small alphabet; each script keeps its own letters, the rarer ones of short texts too."""
+    scripts = {"latin": (0x61, 26), "greek": (0x3B1, 25), "cyrillic": (0x430, 32), "hebrew": (0x5D0, 27), "thai": (0xE01, 46), "hindi": (0x915, 37), "chinese": (0x4E00, 300), "korean": (0xAC00, 300), "japanese": (0x3041, 80)}
+    r, rows = random.Random(8), []
+    for i in range(360):
+        lang = list(scripts)[i % len(scripts)]
+        at, n = scripts[lang]
+        long = 60 if lang in ("latin", "greek", "cyrillic") else 15
+        rows.append((i, " ".join("".join(chr(at + r.randrange(n)) for _ in range(4)) for _ in range(long)), lang))
+    model = langid.train(spark.createDataFrame(rows[:270], "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame(rows[270:], "doc_id long, text string, lang string"), model).collect()
+    assert sum(x.lang_pred == rows[x.doc_id][2] for x in got) >= 0.95 * len(got)

@@ -2,7 +2,8 @@
 
 The kernel of two texts is the blended spectrum presence kernel: the number of distinct character n-grams of 1 to 3
 characters they share, over the square root of the product of their numbers of distinct n-grams.  Characters are the
-letters of a learned alphabet in lower case; other letters are one symbol, and runs of anything else one gap.  Landmark
+letters of a learned alphabet in lower case, all letters of the training texts; other letters are one symbol, and runs
+of anything else one gap.  Landmark
 texts give the Nyström features, one-versus-rest kernel ridge regression their weights, and batches of texts are scored
 by two matrix products.
 
@@ -23,33 +24,38 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._base import in_fold
 
-_BASE = 64
-_OTHER, _SIZE = _BASE - 1, _BASE + _BASE**2 + _BASE**3
+#: Up to this number of symbols a flag for every n-gram is faster than sorting.
+_DENSE = 64
 
 
 class Spectrum:
     """Codes of the n-grams of a text over a learned alphabet."""
 
     def __init__(self, alphabet: str):
-        self.codes = np.zeros(0x110000, np.uint8)
+        self.base = max(_DENSE, len(alphabet) + 2)
+        self.codes = np.zeros(0x110000, np.int32)
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        self.codes[letters] = _OTHER
-        for k, c in enumerate(alphabet[: _BASE - 2]):
+        self.codes[letters] = self.base - 1
+        for k, c in enumerate(alphabet):
             self.codes[ord(c)] = k + 1
-        self.seen = np.zeros(_SIZE, np.uint8)
+        self.seen = np.zeros(_DENSE + _DENSE**2 + _DENSE**3, np.uint8) if self.base == _DENSE else None
 
     def grams(self, text: str) -> np.ndarray | None:
         """Distinct n-gram codes in ascending order, or None for a text without letters."""
-        c = self.codes[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)].astype(np.int32)
+        c = self.codes[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
         if not c.any():
             return None
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-        c = np.concatenate([[0], c[keep], [0]]).astype(np.int32)
-        two = c[:-1] * _BASE + c[1:]
+        base, kind = self.base, np.int64 if self.seen is None else np.int32
+        c = np.concatenate([[0], c[keep], [0]]).astype(kind)
+        two = c[:-1] * base + c[1:]
+        three = two[:-1] * base + c[2:]
+        if self.seen is None:
+            return np.unique(np.concatenate([c, two + base, three + base + base**2]))
         self.seen[c] = 1
-        self.seen[two + _BASE] = 1
-        self.seen[two[:-1] * _BASE + c[2:] + _BASE + _BASE**2] = 1
+        self.seen[two + base] = 1
+        self.seen[three + base + base**2] = 1
         found = np.flatnonzero(self.seen)
         self.seen[found] = 0
         return found
@@ -60,7 +66,7 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = 96, ridge: float = 1e-3):
         self.languages = sorted(set(langs))
-        self.alphabet = "".join(sorted(c for c, _ in Counter(c for t in texts for c in t.lower() if c.isalpha()).most_common(_BASE - 2)))
+        self.alphabet = "".join(sorted({c for t in texts for c in set(t.lower()) if c.isalpha()}))
         spectrum = Spectrum(self.alphabet)
         known = [(g, lang) for t, lang in zip(texts, langs) if (g := spectrum.grams(t)) is not None]
         if not known:
