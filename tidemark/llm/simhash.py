@@ -146,6 +146,18 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def long_parity(hashes: np.ndarray) -> bytes:
+    """A parity bitmap of a power of two bits, at least one for each hash, so that it tells long sets apart, too."""
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_differs(a: bytes, b: bytes) -> int:
+    """Differing bits of two such bitmaps, the longer one folded to the length of the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and counts of the most frequent shingles of a sample; they order the prefixes and decide no pair."""
 
@@ -170,7 +182,7 @@ def _signatures(docs: DataFrame, size: int, tenths: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, maps, prefixes = [], [], [], []
+            keys, sizes, maps, wide, prefixes = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, size)
                 often = np.zeros(len(s), np.int64)
@@ -181,14 +193,15 @@ def _signatures(docs: DataFrame, size: int, tenths: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 maps.append(parity(s))
+                wide.append(long_parity(s))
                 prefixes.append(s[first].view(np.int64))
             columns = np.array(maps, np.int64).reshape(-1, PARITY_WORDS)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(PARITY_WORDS)), prefix], ["doc_id", "key", "n", *names, "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(PARITY_WORDS)), pa.array(wide, pa.binary()), prefix], ["doc_id", "key", "n", *names, "wide", "prefix"])
 
     src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return src.mapInArrow(run, "doc_id long, key binary, n long, " + "".join(f"{n} long, " for n in names) + "prefix array<long>")
+    return src.mapInArrow(run, "doc_id long, key binary, n long, " + "".join(f"{n} long, " for n in names) + "wide binary, prefix array<long>")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, tenths: int) -> DataFrame:
@@ -199,7 +212,16 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, ten
     differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(n))) for k, n in enumerate(names)), F.lit(0))
     # |a ^ b| / |a | b| <= 1 - s, that is (1 + s) |a ^ b| <= (1 - s) (|a| + |b|)
     near = (10 + tenths) * differing <= (10 - tenths) * (F.col("m") + F.col("n"))
-    left_over = materialise(pairs.join(left, "node").join(right, "other").where(near).select("node", "other"), "candidates")
+    left_over = materialise(pairs.join(left, "node").join(right, "other").where(near).select("node", "other", "m", "n"), "narrow")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = [(10 - tenths) * (m + n) for m, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            good = [(10 + tenths) * parity_differs(x, y) <= k for x, y, k in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most)]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    wide = left_over.join(nodes.select("node", F.col("wide").alias("x")), "node").join(nodes.select(F.col("node").alias("other"), F.col("wide").alias("y")), "other")
+    left_over = materialise(wide.select("node", "other", "m", "n", "x", "y").mapInArrow(prune, "node long, other long"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,8 +254,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFram
     docs = docs.where("doc_id is not null")
     names = [f"f{k}" for k in range(PARITY_WORDS)]
     each = materialise(_signatures(docs, size, tenths), "signatures")
-    nodes = each.groupBy("key").agg(F.min(F.struct("doc_id", "n", *names, "prefix")).alias("x"))
-    nodes = materialise(nodes.select(F.col("x.doc_id").alias("node"), "key", "x.n", *[f"x.{n}" for n in names], "x.prefix"), "nodes")
+    nodes = each.groupBy("key").agg(F.min(F.struct("doc_id", "n", *names, "wide", "prefix")).alias("x"))
+    nodes = materialise(nodes.select(F.col("x.doc_id").alias("node"), "key", "x.n", *[f"x.{n}" for n in names], "x.wide", "x.prefix"), "nodes")
     entry = Window.partitionBy("key")
     rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
     rows = rows.select("*", F.min("node").over(entry).alias("least"), F.max("node").over(entry).alias("most")).where("least <> most")
