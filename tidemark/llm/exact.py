@@ -13,13 +13,13 @@ shuffled; all other digests are grouped and joined by an ordinary shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import materialise, text_or_empty
+from tidemark.llm._base import materialise, sized, text_hash, text_or_empty, unpacked, without_rows
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -52,9 +52,9 @@ def frequent_candidates(each: DataFrame, counters: int = 1024) -> DataFrame:
     return sums.where("digest is not null").where(F.col("n") > F.lit(rows / (counters + 1))).select("digest")
 
 
-def resolve(docs: DataFrame, counters: int = 1024) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
-    each = materialise(docs.select("doc_id", digest_column().alias("digest")), "digests")
+def resolve(docs: DataFrame, counters: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the columns ``carry``: one row per row of ``docs``."""
+    each = materialise(docs.select("doc_id", digest_column().alias("digest"), *carry), "digests")
     found = frequent_candidates(each, counters)
     decide = (F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     winners = each.join(F.broadcast(found), "digest", "left_semi").groupBy("digest").agg(*decide)
@@ -63,7 +63,28 @@ def resolve(docs: DataFrame, counters: int = 1024) -> DataFrame:
     rest = each.join(winners, "digest", "left_anti")
     cold = rest.join(rest.groupBy("digest").agg(*decide), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return hot.unionByName(cold).select("doc_id", "keep_id", "group_size", kept, F.col("digest").alias("text_sha256"))
+    return hot.unionByName(cold).select("doc_id", "keep_id", "group_size", kept, F.col("digest").alias("text_sha256"), *carry)
+
+
+def drop_copies(docs: DataFrame, counters: int = 1024) -> DataFrame:
+    """One row of each group of equal texts, that of the smallest doc_id; of rows that repeat id and text, that of the smallest hash over all columns.
+
+    Only ids and hashes are shuffled, and the rows (rare, it is hoped) that repeat id and text.
+    """
+    named = docs.withColumn("text_hash", text_hash()).select("doc_id", "text", "text_hash")
+    decided = materialise(resolve(named, counters, ["text_hash"]), "decided")
+    gone = materialise(decided.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "gone")
+    # one id with several kept rows: equal but for their white space
+    kept = decided.where("kept")
+    repeated = kept.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    several = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
+    several = materialise(several.select("doc_id", "text_hash").distinct(), "several")
+    left = without_rows(docs, gone)
+    rows = left.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), text_hash().alias("_hash"))
+    known = sized(several.select(F.col("doc_id").alias("_many_id"), F.col("text_hash").alias("_many_hash")))
+    many = rows.join(known, F.col("_id").eqNullSafe(F.col("_many_id")) & (F.col("_hash") == F.col("_many_hash")), "left_semi")
+    one = many.groupBy("_id", digest_column("row.text").alias("_sha")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return without_rows(left, several).unionByName(unpacked(one, docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
