@@ -12,12 +12,15 @@ the square; for fingerprints that meet such an entry the ball of radius 1 over a
 fingerprints are within 2 bits exactly when those balls share a point, and each point links its members to one of
 them.  That is exact and linear.
 
-Similar texts (:func:`near_duplicates`): exact by prefix filtering.  All texts order their distinct five-word shingles by
-one global order, rare ones first; of two texts with similarity s or more, the first ``n - ceil(s n) + 1`` shingles of
-both share one.  Rows meet by those shingles.  A first pass compares each row with the smallest of its entry, so that
-copies become one component at a cost linear in their number; the second compares all pairs of an entry that are still
-in different components.  Pairs in one component need no comparison, so the closure is that of all pairs.  Before the
-exact test, pairs are dropped by bounds that never lose one: the sizes, and the differing bits of parity bitmaps.
+Similar texts (:func:`near_duplicates`): the Jaccard similarity of the sets of five-word shingles is 0.8 or more.  At 0.8
+fifteen of a hundred fingerprint bits differ, so no Hamming ball of a size that can be enumerated holds all such pairs.
+Fingerprints therefore find the close pairs, and prefix filtering finds all others: texts order their distinct shingles
+by one global order, rare ones first; of two texts with similarity s or more, the first ``n - ceil(s n) + 1`` shingles of
+both share one.  Texts meet by those shingles.  First each text is compared with its fingerprint's neighbours and with one
+text of each of its entries, so that copies become one component at a cost linear in their number; then all pairs of an
+entry that are still in different components are compared.  Pairs in one component need no comparison, so the closure
+is that of all pairs.  Bounds that never lose a pair come before the exact test: the sizes, the places of the shared
+shingle in both orders, and the differing bits of parity bitmaps.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._base import materialise, text_or_empty
+from tidemark.llm._base import Scratch, materialise, sized, text_hash, text_or_empty
 from tidemark.llm.graph import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -67,31 +70,15 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Further hash words of the same shingles by the finaliser of splitmix64."""
-    if not word:
-        return hashes
-    z = hashes + np.uint64((word * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, f0 .. f{words-1}: 64-bit fingerprint words (as signed longs) of every whole text."""
-    names = [f"f{k}" for k in range(words)]
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp: the 64-bit fingerprint (as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[] for _ in names]
-            for t in b.column(1).to_pylist():
-                h = shingle_hashes(t, size)
-                for k, col in enumerate(out):
-                    col.append(majority(_mixed(h, k)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in out)], [id_col, *names])
+            out = [majority(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], [id_col, "fp"])
 
-    src = docs.select(F.col(id_col).cast("long"), text_or_empty(text_col).alias("text"))
-    return src.mapInArrow(run, ", ".join([f"{id_col} long", *(f"{n} long" for n in names)]))
+    return docs.select(F.col(id_col).cast("long"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"{id_col} long, fp long")
 
 
 def _ball(segment: Column, width: int) -> Column:
@@ -100,8 +87,8 @@ def _ball(segment: Column, width: int) -> Column:
     return F.transform(masks, lambda m: segment.bitwiseXOR(m))
 
 
-def links_within_two(fps: DataFrame, bucket: int = 32) -> DataFrame:
-    """u, v: links of distinct fingerprints ``fps`` (node, fp: long) whose closure is that of all links at 2 or fewer bits."""
+def links_within_two(fps: DataFrame, scratch: Scratch, bucket: int = 32) -> DataFrame:
+    """u, v: pairs of the distinct fingerprints ``fps`` (fp: long) whose closure is that of all pairs at 2 or fewer bits."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)  # the second table's keys lie above the first's
     high = F.shiftrightunsigned("fp", 32)
     index = fps.select(F.explode(F.array(high, low)).alias("key"), "fp")
@@ -110,28 +97,31 @@ def links_within_two(fps: DataFrame, bucket: int = 32) -> DataFrame:
     few = index.join(sizes.where(F.col("n") <= bucket).select("key"), "key").select("key", F.col("fp").alias("other"))
     entries = few.unionByName(sizes.where(F.col("n") > bucket).select("key", F.lit(None).cast("long").alias("other")))
     probes = fps.select(F.explode(F.concat(_ball(high, 32), F.array(low))).alias("key"), "fp")
-    met = probes.join(entries, "key").where(F.col("other").isNull() | (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)).where("other is null or fp > other")
-    met = materialise(met.select("fp", "other").distinct(), "met")
+    # the tables grow with the corpus: never broadcast
+    met = probes.join(entries.hint("merge"), "key").where(F.col("other").isNull() | (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)).where("other is null or fp > other")
+    met = scratch.keep(met.select("fp", "other").distinct(), "met")
     crowded = met.where("other is null").select("fp")
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in [0, *(1 << k for k in range(64))]])
     around = crowded.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
     centre = around.groupBy("point").agg(F.min("fp").alias("other"))
     shared = around.join(centre, "point").where("fp <> other").select("fp", "other")
-    links = met.where("other is not null").unionByName(shared).distinct()
-    named = links.join(fps, "fp").select(F.col("node").alias("u"), F.col("other").alias("fp"))
-    return named.join(fps, "fp").select("u", F.col("node").alias("v"))
+    return met.where("other is not null").unionByName(shared).distinct().select(F.col("fp").alias("u"), F.col("other").alias("v"))
 
 
 def near_groups(docs: DataFrame, size: int = 3, bucket: int = 32) -> DataFrame:
     """doc_id, fingerprint, component_id, n_same: exact components at 2 or fewer differing bits, one row per row of ``docs``.
 
-    Equal fingerprints are one node named by their smallest doc_id, so copies cost no links.  A row with a null id
-    has its fingerprint's component, or null if no row of the component has an id.
+    Equal fingerprints are one node, so copies cost no links.  A component is named by its smallest doc_id; rows with a
+    null id link like any other, and a component of such rows alone has a null name.
     """
-    each = materialise(fingerprints(docs, size).withColumnRenamed("f0", "fp"), "fingerprints")
-    nodes = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same")), "nodes")
-    found = components(links_within_two(nodes.where("node is not null").select("node", "fp"), bucket))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n_same")
+    scratch = Scratch(docs.sparkSession)
+    each = materialise(fingerprints(docs, size), "fingerprints")
+    nodes = scratch.keep(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same")), "nodes")
+    found = components(links_within_two(nodes.select("fp"), scratch, bucket), scratch).withColumnRenamed("node", "fp")
+    placed = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialise(placed.join(names, "component").select("fp", "component_id", "n_same"), "named")
+    scratch.clear()
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
@@ -163,8 +153,8 @@ def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, size).view(np.int64))], ["h"])
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size).view(np.int64))], ["h"])
 
     share = max(SHARE, SAMPLE / max(1, docs.count()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
@@ -175,16 +165,21 @@ def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n[order]
 
 
+_WORDS = [f"f{k}" for k in range(PARITY_WORDS)]
+
+
 def _signatures(docs: DataFrame, size: int, tenths: int) -> DataFrame:
-    """doc_id, key (of the shingle set), n, the bitmap's words and the prefix of every text."""
+    """doc_id, text_hash, key (of the shingle set), n, fp, the bitmaps and the prefix of every text."""
     known, count = _frequencies(docs, size)
-    names = [f"f{k}" for k in range(PARITY_WORDS)]
+    schema = "doc_id long, text_hash long, key binary, n int, fp long, " + "".join(f"{n} long, " for n in _WORDS) + "wide binary, prefix array<long>"
+    names = ["doc_id", "text_hash", "key", "n", "fp", *_WORDS, "wide", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, maps, wide, prefixes = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, size)
+            keys, sizes, fps, maps, wide, prefixes = [], [], [], [], [], []
+            for t in b.column(2):
+                hashes = shingle_hashes(t.as_py(), size)
+                s = np.unique(hashes)
                 often = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -192,43 +187,49 @@ def _signatures(docs: DataFrame, size: int, tenths: int) -> DataFrame:
                 first = np.argsort(often, kind="stable")[: len(s) + (-tenths * len(s)) // 10 + 1] if len(s) else []
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
+                fps.append(majority(hashes))
                 maps.append(parity(s))
                 wide.append(long_parity(s))
                 prefixes.append(s[first].view(np.int64))
             columns = np.array(maps, np.int64).reshape(-1, PARITY_WORDS)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(PARITY_WORDS)), pa.array(wide, pa.binary()), prefix], ["doc_id", "key", "n", *names, "wide", "prefix"])
+            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), fps, *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(PARITY_WORDS)), pa.array(wide, pa.binary()), prefix], names)
+
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), text_or_empty().alias("text")).mapInArrow(run, schema)
+
 
-    src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return src.mapInArrow(run, "doc_id long, key binary, n long, " + "".join(f"{n} long, " for n in names) + "wide binary, prefix array<long>")
+def _enough(differing: Column, tenths: int) -> Column:
+    """Whether sets of ``m`` and ``n`` elements that differ in as many elements can have the similarity: (1 + s) d <= (1 - s) (m + n)."""
+    return (10 + tenths) * differing <= (10 - tenths) * (F.col("m") + F.col("n"))
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, tenths: int) -> DataFrame:
-    """The pairs (node, other) whose shingle sets have a similarity of ``tenths`` / 10 or more, as links u, v."""
-    names = [f"f{k}" for k in range(PARITY_WORDS)]
-    left = nodes.select("node", F.col("n").alias("m"), *[F.col(n).alias(f"a{k}") for k, n in enumerate(names)])
-    right = nodes.select(F.col("node").alias("other"), "n", *names)
-    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(n))) for k, n in enumerate(names)), F.lit(0))
-    # |a ^ b| / |a | b| <= 1 - s, that is (1 + s) |a ^ b| <= (1 - s) (|a| + |b|)
-    near = (10 + tenths) * differing <= (10 - tenths) * (F.col("m") + F.col("n"))
-    left_over = materialise(pairs.join(left, "node").join(right, "other").where(near).select("node", "other", "m", "n"), "narrow")
+def _narrowed(pairs: DataFrame, nodes: DataFrame, tenths: int, scratch: Scratch) -> DataFrame:
+    """node, other, d: the pairs (node, other) that their bitmaps do not rule out, with the differing bits."""
+    left = nodes.select("node", F.col("n").alias("m"), *[F.col(n).alias(f"a{k}") for k, n in enumerate(_WORDS)])
+    right = nodes.select(F.col("node").alias("other"), "n", *_WORDS)
+    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(n))) for k, n in enumerate(_WORDS)), F.lit(0))
+    narrow = scratch.keep(pairs.join(left, "node").join(right, "other").where(_enough(differing, tenths)).select("node", "other", "m", "n"), "narrow")
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            most = [(10 - tenths) * (m + n) for m, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            good = [(10 + tenths) * parity_differs(x, y) <= k for x, y, k in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most)]
-            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            d = [parity_differs(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(d, pa.int32())], ["node", "other", "m", "n", "d"])
+
+    wide = narrow.join(nodes.select("node", F.col("wide").alias("x")), "node").join(nodes.select(F.col("node").alias("other"), F.col("wide").alias("y")), "other")
+    found = wide.select("node", "other", "m", "n", "x", "y").mapInArrow(run, "node long, other long, m int, n int, d int")
+    return found.where(_enough(F.col("d"), tenths)).select("node", "other", "d")
 
-    wide = left_over.join(nodes.select("node", F.col("wide").alias("x")), "node").join(nodes.select(F.col("node").alias("other"), F.col("wide").alias("y")), "other")
-    left_over = materialise(wide.select("node", "other", "m", "n", "x", "y").mapInArrow(prune, "node long, other long"), "candidates")
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, tenths: int, scratch: Scratch) -> DataFrame:
+    """u, v: the ``pairs`` (node, other; a written table) whose shingle sets have a similarity of ``tenths`` / 10 or more, compared shingle by shingle."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["node", "key", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], ["node", "data"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3)):
@@ -237,43 +238,77 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, ten
                 good.append(10 * both >= tenths * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    needed = left_over.select("node").unionByName(left_over.select(F.col("other").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(needed, "node", "left_semi")
-    data = texts.mapInArrow(sets, "node long, key binary, data binary").join(nodes.select("node", "key"), ["node", "key"], "left_semi").dropDuplicates(["node"])
-    data = materialise(data.select("node", "data"), "sets")
-    both = left_over.join(data, "node").join(data.select(F.col("node").alias("other"), F.col("data").alias("with")), "other")
-    return both.select(F.col("node").alias("u"), F.col("other").alias("v"), "data", "with").mapInArrow(verify, "u long, v long")
+    needed = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
+    needed = scratch.keep(needed.join(nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "node"), "needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), text_or_empty().alias("text"))
+    found = texts.join(sized(needed), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "text")
+    # rows that repeat id and text give a node several equal sets
+    data = scratch.keep(found.mapInArrow(sets, "node long, data binary").dropDuplicates(["node"]), "sets")
+    both = pairs.select("node", "other").join(data, "node").join(data.select(F.col("node").alias("other"), F.col("data").alias("with")), "other")
+    return both.select(F.col("node").alias("u"), F.col("other").alias("v"), "data", "with").mapInArrow(compare, "u long, v long")
+
+
+def _reach(tenths: int) -> Column:
+    """The most shingles a partner of a row (n, at) can have whose first shared shingle this is: all that follow are shared at best."""
+    return F.floor((F.col("n") - F.col("at")) * (10 + tenths) / tenths) - F.col("n")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFrame:
-    """doc_id, keep_id: groups of documents linked by a similarity of ``tenths`` / 10 or more, named by their smallest doc_id.
+    """doc_id, text_hash, keep_id, kept: groups of documents linked by a similarity of ``tenths`` / 10 or more, a row per row of ``docs``.
 
-    The similarity is the Jaccard similarity of the sets of ``size``-word shingles.  Equal sets are one node.  Rows with
-    a null id are left alone, and empty texts form one group.
+    The similarity is the Jaccard similarity of the sets of ``size``-word shingles.  Equal sets are one node; null and
+    empty texts form one group.  ``keep_id`` is the smallest doc_id of the group.  The row that is kept has that id and,
+    where several texts have it, the smallest :func:`tidemark.llm._base.text_hash`; rows that repeat id and text are one
+    document and are kept or not together.  Null ids are larger than any other; a group of them alone has a null keep_id.
     """
-    docs = docs.where("doc_id is not null")
-    names = [f"f{k}" for k in range(PARITY_WORDS)]
-    each = materialise(_signatures(docs, size, tenths), "signatures")
-    nodes = each.groupBy("key").agg(F.min(F.struct("doc_id", "n", *names, "wide", "prefix")).alias("x"))
-    nodes = materialise(nodes.select(F.col("x.doc_id").alias("node"), "key", "x.n", *[f"x.{n}" for n in names], "x.wide", "x.prefix"), "nodes")
+    scratch = Scratch(docs.sparkSession)
+    each = scratch.keep(_signatures(docs, size, tenths), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for equal keys
+    nodes = each.groupBy("key").agg(F.min(row).alias("row"), *[one(c) for c in ("n", "fp", *_WORDS, "wide", "prefix")])
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "key", "row.doc_id", "row.text_hash", "n", "fp", *_WORDS, "wide", "prefix"), "nodes")
+
+    # texts with fingerprints at 2 or fewer differing bits
+    of_fp = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    same = nodes.select("node", "fp").join(of_fp, "fp").where("node <> first").select("node", F.col("first").alias("other"))
+    links = links_within_two(of_fp.select("fp"), scratch)
+    close = links.join(of_fp.select(F.col("fp").alias("u"), F.col("first").alias("node")), "u").join(of_fp.select(F.col("fp").alias("v"), F.col("first").alias("other")), "v")
+    close = same.unionByName(close.select("node", "other"))
+
+    # entries: the texts that share a shingle of their prefixes, each with its place in the text's order
     entry = Window.partitionBy("key")
-    rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    rows = rows.select("*", F.min("node").over(entry).alias("least"), F.max("node").over(entry).alias("most")).where("least <> most")
-    rows = materialise(rows.select("key", "node", "n", "least"), "entries")
-    # first the smallest row of each entry, then all pairs that this has not brought together
-    stars = rows.where("node <> least").select("node", F.col("least").alias("other")).distinct()
-    links = materialise(_similar(stars, nodes, docs, size, tenths), "links")
-    named = rows.join(components(links), "node", "left").select("key", "node", "n", "least", F.coalesce("component", "node").alias("component"))
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    rows = rows.select("*", F.min("node").over(entry).alias("least"), F.max("node").over(entry).alias("most"), F.min("n").over(entry).alias("small"), F.min(F.struct("at", "node", "n")).over(entry).alias("hub"))
+    rows = scratch.keep(rows.where("least <> most").where(_reach(tenths) >= F.col("small")).select("key", "node", "n", "at", "hub"), "entries")
+
+    def possible(n: str, at: str, m: str, other_at: str) -> Column:
+        """The sizes allow the similarity, and so does the number of shingles from the shared one on."""
+        n, at, m, other_at = map(F.col, (n, at, m, other_at))
+        return (10 * F.least(n, m) >= tenths * F.greatest(n, m)) & ((10 + tenths) * F.least(n - at, m - other_at) >= tenths * (n + m))
+
+    hubs = rows.where(F.col("node") != F.col("hub.node")).where(possible("n", "at", "hub.n", "hub.at")).select("node", F.col("hub.node").alias("other"))
+    found = scratch.keep(_narrowed(close.unionByName(hubs).distinct(), nodes, tenths, scratch), "near")
+    # the likeliest link of each text; what it leaves apart is compared below
+    best = scratch.keep(found.groupBy("node").agg(F.min_by("other", F.struct("d", "other")).alias("other")), "best")
+    links = scratch.keep(_verified(best, nodes, docs, size, tenths, scratch), "links")
+    first = components(links, scratch)
+    named = rows.select("key", "node", "n", "at").join(first, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
     parts = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    named = materialise(named.join(parts, "key", "left_semi"), "apart")
+    named = scratch.keep(named.join(parts, "key", "left_semi"), "apart")
     a, b = named.alias("a"), named.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") > F.col("b.node")) & (F.col("b.node") != F.col("a.least"))
-    sizes = 10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n")
-    rest = a.join(b, apart & sizes).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
-    links = links.unionByName(_similar(rest, nodes, docs, size, tenths))
-    found = components(links)
-    named = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("keep_id"))
-    return each.join(named, "key").select("doc_id", "keep_id")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") > F.col("b.node"))
+    rest = a.join(b, apart & possible("a.n", "a.at", "b.n", "b.at")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
+    rest = scratch.keep(_narrowed(rest, nodes, tenths, scratch), "rest")
+    links = links.unionByName(_verified(rest, nodes, docs, size, tenths, scratch))
+    found = components(links, scratch)
+    placed = nodes.join(found, "node", "left").select("key", "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+    head = placed.groupBy("component").agg(F.min(row).alias("head"))
+    named = placed.join(head, "component").select("key", "head")
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    out = each.select("doc_id", "text_hash", "key").join(named, "key").select("doc_id", "text_hash", F.col("head.doc_id").alias("keep_id"), kept.alias("kept"))
+    out = materialise(out, "groups")
+    scratch.clear()
+    return out
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
