@@ -18,8 +18,11 @@ and text get equal results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm._base import materialise, text_or_empty
 
@@ -29,46 +32,38 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
+#: Characters of a block of a text.
+_BLOCK = 4096
 NAMES = [*(k[0] for k in KINDS), "example", "live", "weak"]
-SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+PART = "array<struct<kind:int,gap:int,size:int,hash:string,value:int,random:boolean,good:boolean>>"
 
 
-def _kind_spans(text: Column, kind: int) -> Column:
-    """Spans of one kind: a match starts after the gaps and matches before it, which ``split`` and ``regexp_extract_all`` give."""
+def _kind_parts(text: Column, kind: int) -> Column:
+    """All matches of one kind with the lengths of the text before each: a match starts after the gaps and matches before it, which ``split`` and ``regexp_extract_all`` give."""
     _, pattern, group, least = KINDS[kind]
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     value = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans by start, then kind as listed."""
-    return F.array_sort(F.concat(*[_kind_spans(text, k) for k in range(len(KINDS))]))
-
-
-def _hashed(spans: Column) -> Column:
-    """Spans without the values themselves: a hash, the length and whether the value looks random."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["kind"].alias("kind"),
-            s["end"].alias("end"),
-            F.sha2(s["value"], 256).alias("hash"),
-            F.length(s["value"]).alias("size"),
-            ((F.length(s["value"]) >= 8) & (F.size(F.array_distinct(F.split(s["value"], ""))) >= 5)).alias("random"),
-        ),
-    )
+
+    def part(x: Column) -> Column:
+        v = x["value"]
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.length(x["gap"]).alias("gap"),
+            F.length(x["whole"]).alias("size"),
+            F.sha2(v, 256).alias("hash"),
+            F.length(v).alias("value"),
+            ((F.length(v) >= 8) & (F.size(F.array_distinct(F.split(v, ""))) >= 5)).alias("random"),
+            (F.length(v) >= least).alias("good"),
+        )
+
+    return F.when(text.rlike(pattern), F.transform(parts, part)).otherwise(F.array().cast(PART))
+
+
+def matches(text: Column) -> Column:
+    """The matches of every kind, in order within a kind; no values, only their hashes, lengths and whether they look random."""
+    return F.concat(*[_kind_parts(text, k) for k in range(len(KINDS))])
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -78,25 +73,37 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = 3) -> DataFrame:
-    """doc_id, text_sha256, spans: array of (start, kind, end, hash, size, verdict, n_repos, n_owners) for each row of ``docs``."""
-    text = text_or_empty()
-    owner = F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
-    each = materialise(docs.select("doc_id", F.col(repo_col).cast("string").alias("repo"), owner.alias("owner"), F.sha2(text, 256).alias("text_sha256"), _hashed(base_spans(text)).alias("base")), "spans")
-    some = each.where(F.size("base") > 0)
-    flat = some.select("doc_id", "text_sha256", "repo", "owner", F.explode(F.array_distinct(F.transform("base", lambda s: s["hash"]))).alias("hash"))
-    counts = ownership(flat.select("hash", "repo", "owner"))
-    known = flat.select("doc_id", "text_sha256", "hash").distinct().join(counts, "hash")
-    known = known.groupBy("doc_id", "text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("n_repos", "n_owners")))).alias("known"))
-    known = known.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "known")
-    joined = each.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha")) & (F.size("base") > 0), "left")
+def _same(a: str, b: str) -> Column:
+    """Equality of (id, text) between columns ``a`` and ``b`` prefixed so."""
+    return F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")) & (F.col(f"{a}sha") == F.col(f"{b}sha"))
 
-    def judged(s: Column) -> Column:
-        n = F.element_at("known", s["hash"])
-        verdict = F.when(n["n_owners"] >= min_owners, 3).when(s["random"], 4).otherwise(5)
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["hash"].alias("hash"), s["size"].alias("size"), verdict.alias("verdict"), n["n_repos"].alias("n_repos"), n["n_owners"].alias("n_owners"))
 
-    return joined.select("doc_id", "text_sha256", F.transform("base", judged).alias("spans"))
+def located(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", min_owners: int = 3) -> DataFrame:
+    """id, sha, start, kind, end, hash, size, verdict, n_repos, n_owners: a row for each base span of each distinct (doc_id, text) of ``docs``.
+
+    Offsets are running sums over a text's matches, so the work is in proportion to their number.
+    """
+    text = text_or_empty()
+    owner = F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
+    some = docs.select(F.col("doc_id").alias("id"), F.col(repo_col).cast("string").alias("repo"), owner.alias("owner"), F.sha2(text, 256).alias("sha"), matches(text).alias("parts"))
+    some = materialise(some.where(F.size("parts") > 0), "matches")
+    counts = ownership(some.select("repo", "owner", F.explode("parts").alias("p")).where("p.good").select("p.hash", "repo", "owner"))
+    each = some.select("id", "sha", "parts").dropDuplicates(["id", "sha"]).select("id", "sha", F.posexplode("parts").alias("at", "p")).select("id", "sha", "at", "p.*")
+    until = Window.partitionBy("id", "sha", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(until).cast("int"))
+    placed = placed.where("good").select("id", "sha", (F.col("end") - F.col("size")).alias("start"), "kind", "end", "hash", F.col("value").alias("size"), "random")
+    verdict = F.when(F.col("n_owners") >= min_owners, 3).when(F.col("random"), 4).otherwise(5)
+    return materialise(placed.join(counts, "hash").withColumn("verdict", verdict).drop("random"), "located")
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text_sha256, spans: array of (start, kind, end, hash, size, verdict, n_repos, n_owners) by start and kind, for each row of ``docs``."""
+    fields = ("start", "kind", "end", "hash", "size", "verdict", "n_repos", "n_owners")
+    lists = located(docs, **options).groupBy("id", "sha").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("found"))
+    rows = docs.select(F.col("doc_id").alias("d_id"), F.sha2(text_or_empty(), 256).alias("d_sha"))
+    joined = rows.join(lists, _same("d_", ""), "left")
+    none = F.array().cast(lists.schema["found"].dataType)
+    return joined.select(F.col("d_id").alias("doc_id"), F.col("d_sha").alias("text_sha256"), F.coalesce("found", none).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -113,13 +120,15 @@ def report(found: DataFrame) -> DataFrame:
     def added(s: Column) -> Column:
         return F.struct((s["end"] - s["size"]).alias("start"), s["verdict"].alias("kind"), s["end"].alias("end"))
 
-    base = F.transform("spans", plain)
+    base, new = F.transform("spans", plain), F.array_sort(F.transform("spans", added))
+    found = found.withColumn("new", new)
+    found = found.withColumn("once", F.filter("new", lambda x, i: (i == 0) | (x != F.get("new", i - 1))))
     count = lambda field, k: F.size(F.filter("spans", lambda s: s[field] == k)).cast("long")
     return found.select(
         "doc_id",
         *[count("kind", k).alias(f"n_{name[0]}") for k, name in enumerate(KINDS)],
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(F.array_sort(F.concat(base, F.array_distinct(F.transform("spans", added))))).alias("spans"),
+        _listed(F.array_sort(F.concat(base, "once"))).alias("spans"),
         count("verdict", 4).alias("n_live"),
         count("verdict", 3).alias("n_example"),
     )
@@ -128,25 +137,42 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
     """``docs`` with every base span whose value is not a widely copied example replaced by ``mask``; all rows and columns stay.
 
-    Overlapping spans are masked as one.  ``n_chars``, where there is such a column, is that of the new text.
+    Overlapping spans are masked as one.  ``n_chars``, where there is such a column, is that of the new text.  Rows
+    without a match are not shuffled.
     """
-    found = scan(docs, **options).select(F.col("doc_id").alias("id"), "text_sha256", F.filter("spans", lambda s: s["verdict"] != 3).alias("spans"))
-    found = found.where(F.size("spans") > 0).dropDuplicates(["id", "text_sha256"])
-    rows = docs.select(F.struct("*").alias("row"), F.sha2(text_or_empty(), 256).alias("sha"))
-    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256")), "left")
+    hidden = located(docs, **options).where("verdict <> 3")
+    # spans that overlap are one island: it begins where no earlier span reaches
+    before = Window.partitionBy("id", "sha").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    begins = hidden.withColumn("far", F.max("end").over(before)).withColumn("new", F.col("far").isNull() | (F.col("start") >= F.col("far")))
+    numbered = begins.withColumn("island", F.sum(F.col("new").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy("id", "sha", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    lists = islands.groupBy("id", "sha").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("islands"))
+
+    matched = reduce(lambda a, b: a | b, [text_or_empty().rlike(pattern) for _, pattern, _, _ in KINDS])
+    rows = docs.where(matched).select(F.struct("*").alias("row"), F.col("doc_id").alias("d_id"), F.sha2(text_or_empty(), 256).alias("d_sha"))
     text = F.col("row.text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # a place in a long text is reached by counting characters from its beginning, one in a block of it at once
+    joined = rows.join(lists, _same("d_", ""), "left").withColumn("blocks", F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)))
+
+    def piece(begin: Column, end: Column) -> Column:
+        def of(b: Column) -> Column:
+            low = F.greatest(begin, b * _BLOCK)
+            return F.substring(F.get("blocks", b), low - b * _BLOCK + 1, F.least(end, (b + 1) * _BLOCK) - low)
+
+        parts = F.transform(F.sequence(F.floor(begin / _BLOCK).cast("int"), F.floor((end - 1) / _BLOCK).cast("int")), of)
+        return F.when(end > begin, F.array_join(parts, "")).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def gap(x: Column, i: Column) -> Column:
+        return piece(F.when(i == 0, 0).otherwise(F.get("islands", i - 1)["end"]), x["start"])
 
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    new = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    tail = piece(F.element_at("islands", -1)["end"], F.length(text))
+    clean = F.array_join(F.concat(F.transform("islands", gap), F.array(tail)), mask)
+    new = F.when(F.col("islands").isNull(), text).otherwise(clean)
     cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("spans").isNull(), cols["n_chars"]).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[(new if c == "text" else v).alias(c) for c, v in cols.items()])
+        cols["n_chars"] = F.when(F.col("islands").isNull(), cols["n_chars"]).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    masked = joined.select(*[(new if c == "text" else v).alias(c) for c, v in cols.items()])
+    return docs.where(~matched).unionByName(masked)
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
