@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are lower-case words and the beginnings (4 to 8 characters) of longer words.  The vocabulary is the ``terms`` of
-highest log-likelihood ratio between the labels of a bounded sample of labelled rows (``per_class`` of each label, drawn
-by a hash of the id); document frequencies are those of the whole corpus.  A text is its vector of (1 + ln tf) * idf over
-the vocabulary; its neighbours are the ``k`` sample texts of highest cosine, found exactly: postings are held in blocks
-of examples with the largest weight of each term in each block, and blocks are read in the order of their bounds until
-no bound exceeds the k-th cosine.  Neighbours vote by 1 / (1 - cosine + 0.1); the share of toxic votes is calibrated by
-isotonic regression on the sample's own leave-one-out votes, weighted to the label frequencies of all labelled rows.
-
-Null and empty texts and texts without a term of the vocabulary have no neighbours; their vote is calibrated like any
+Examples are a bounded sample of labelled rows (about ``per_class`` of each label, drawn by a hash of the id; of several
+texts of one id the smallest counts).  Terms are lower-case words; the vocabulary is that of all examples, none is left
+out, and document frequencies are those of the whole corpus.  A text is its vector of (1 + ln tf) * idf over the
+vocabulary, where the idf of a word whose presence does not depend on the label (log-likelihood ratio up to 10.83 among
+the examples) counts a fifth: with plain idf the topic's words hide the few that matter (see the README's figures).  A
+text's neighbours are the ``k`` examples of highest cosine, found exactly: postings are held in blocks of examples with
+the largest weight of each term in each block, and blocks whose bound is below the k-th cosine are not read.  Neighbours
+vote by 1 / (1 - cosine + 0.1); the share of toxic votes is calibrated by isotonic regression on the examples' own
+leave-one-out votes, weighted to the label frequencies of all labelled rows.
+
+Null and empty texts and texts without a word of the vocabulary have no neighbours; their vote is calibrated like any
 other.  Without labelled rows of both kinds every score is 0.  Labels of several rows for one id count as toxic if any is.
 """
 
@@ -16,101 +18,99 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import in_fold, small_batches
+from tidemark.llm._base import in_fold, text_or_empty, unpacked
 
 _WORD = re.compile(r"\w+")
-_PREFIXES = range(4, 9)
 _NONE = -0.01  # the vote of a text without neighbours: below any share of votes
+#: The 0.1 % point of the log-likelihood ratio, and the weight of words below it.
+_SIGNIFICANT, _FAINT = 10.83, 0.2
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in _PREFIXES if len(word) > n)]
+def word_counts(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
-class Terms:
-    """Counts of vocabulary terms in a text, with a bounded memo of words."""
-
-    def __init__(self, vocabulary: dict[str, int], limit: int = 150_000):
-        self.vocabulary, self.limit, self.memo = vocabulary, limit, {}
-
-    def count(self, text: str | None) -> dict[int, int]:
-        memo, get, out = self.memo, self.vocabulary.get, {}
-        if len(memo) > self.limit:
-            memo.clear()
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            ids = memo.get(w)
-            if ids is None:
-                ids = memo[w] = tuple(i for t in terms_of(w) if (i := get(t)) is not None)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
-
-
-def choose_terms(texts: Iterable[str], labels: np.ndarray, most: int) -> list[str]:
-    """The ``most`` terms of highest log-likelihood ratio (presence against label) with 3 or more texts."""
-    have = [Counter(), Counter()]
-    for text, y in zip(texts, labels):
-        have[y].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
+def likelihood_ratios(counts: list[dict[int, int]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """Of each term the log-likelihood ratio between its presence in a text and the text's label."""
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    names = [t for t in have[0].keys() | have[1].keys() if have[0][t] + have[1][t] >= 3]
-    if not names:
-        return []
-    k = np.array([[have[0][t], have[1][t]] for t in names], float)
+    k = np.zeros((terms, 2))
+    for c, y in zip(counts, labels):
+        k[list(c), y] += 1
     share = k.sum(1, keepdims=True) / n.sum()
 
     def part(a: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0).sum(1)
 
-    g = part(k, share * n) + part(n - k, (1 - share) * n)
-    order = sorted(range(len(names)), key=lambda i: (-g[i], names[i]))[:most]
-    return [names[i] for i in order if g[i] > 10.83]
+    return part(k, share * n) + part(n - k, (1 - share) * n)
+
+
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all stretches, one after the other."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks: for each block and term its postings, and for each term and block the largest weight."""
+    """An inverted index of unit vectors.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
+    Examples stand in blocks.  A term has an entry for each block with an example that has it: the largest weight there,
+    rounded up, and its postings in that block.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16):
         self.size, self.block = len(vectors), block
+        self.blocks = -(-len(vectors) // block)
         # examples with the same strongest term share blocks, which keeps the bounds tight
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i)), np.int64)
-        blocks = -(-len(vectors) // block)
-        self.bound = np.zeros((terms, blocks), np.float32)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            lists: dict[int, list] = {}
-            for slot, i in enumerate(self.order[b * block : (b + 1) * block]):
-                for t, w in zip(*vectors[i]):
-                    lists.setdefault(int(t), []).append((slot, w))
-            self.postings.append({t: (np.array([s for s, _ in p]), np.array([w for _, w in p])) for t, p in lists.items()})
-            for t, (_, w) in self.postings[-1].items():
-                self.bound[t, b] = np.nextafter(np.float32(w.max()), np.float32(2))
+        none = np.empty(0, np.int64)
+        term = np.concatenate([none, *(vectors[i][0] for i in self.order)])
+        self.slot = np.repeat(np.arange(len(vectors)), [len(vectors[i][0]) for i in self.order]) if vectors else none
+        self.weight = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])
+        by = np.lexsort((self.slot, term))
+        term, self.slot, self.weight = term[by], self.slot[by], self.weight[by]
+        entry = term * max(1, self.blocks) + self.slot // block
+        first = np.flatnonzero(np.diff(entry, prepend=-1))
+        self.entry_at, self.entry_size = first, np.diff(first, append=len(entry))
+        self.entry_block = self.slot[first] // block if len(first) else none
+        self.bound = np.nextafter(np.maximum.reduceat(self.weight, first).astype(np.float32), np.float32(2)).astype(np.float64) if len(first) else np.empty(0)
+        self.term_at = np.searchsorted(term[first], np.arange(terms + 1))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k highest positive cosines; ties go to the smaller example number."""
-        bounds = weights @ self.bound[ids].astype(np.float64)
-        best_c, best_i, least = np.empty(0), np.empty(0, np.int64), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_c) == k and bounds[b] < least - 1e-9:
+        count = self.term_at[ids + 1] - self.term_at[ids]
+        entries, w = _stretches(self.term_at[ids], count), np.repeat(weights, count)
+        block = self.entry_block[entries]
+        bounds = np.bincount(block, w * self.bound[entries], self.blocks)
+        ranked = np.argsort(-bounds, kind="stable")
+        scores, done, least = np.zeros(self.size), np.zeros(self.blocks, bool), 0.0
+        step = max(1, self.blocks // 8)
+        at = 0
+        while at < self.blocks:
+            part = ranked[at : at + step]
+            part = part[(bounds[part] > 0) & (bounds[part] >= least - 1e-9)]
+            if not len(part):
                 break
-            scores, own = np.zeros(self.block), self.postings[b]
-            for t, w in zip(ids.tolist(), weights):
-                if (p := own.get(t)) is not None:
-                    scores[p[0]] += w * p[1]
-            slots = np.flatnonzero(scores)
-            best_c = np.concatenate([best_c, scores[slots]])
-            best_i = np.concatenate([best_i, self.order[b * self.block + slots]])
-            top = np.lexsort((best_i, -best_c))[:k]
-            best_c, best_i = best_c[top], best_i[top]
-            least = best_c[-1] if len(best_c) else 0.0
-        return best_i, best_c
+            read = np.zeros(self.blocks, bool)
+            read[part] = True
+            some = read[block]
+            own = entries[some]
+            size = self.entry_size[own]
+            posting = _stretches(self.entry_at[own], size)
+            scores += np.bincount(self.slot[posting], np.repeat(w[some], size) * self.weight[posting], self.size)
+            done |= read
+            least = np.partition(scores, self.size - k)[self.size - k] if self.size >= k else 0.0
+            at, step = at + step, self.blocks
+        slots = np.flatnonzero(scores)
+        found = self.order[slots]
+        top = np.lexsort((found, -scores[slots]))[:k]
+        return found[top], scores[slots][top]
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
@@ -138,8 +138,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Vocabulary, idf, index of examples, their labels and ids, and the calibration."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, counts: list[dict[int, int]], labels: np.ndarray, ids: list[int], weights: np.ndarray, k: int):
-        self.vocabulary, self.idf, self.labels, self.ids, self.k = {t: i for i, t in enumerate(vocabulary)}, idf, labels, ids, k
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list[dict[int, int]], labels: np.ndarray, ids: list[int], weights: np.ndarray, k: int):
+        self.vocabulary, self.labels, self.ids, self.k = vocabulary, labels, ids, k
+        self.idf = idf * np.where(likelihood_ratios(counts, labels, len(vocabulary)) > _SIGNIFICANT, 1, _FAINT)
         vectors = [self.vector(c) for c in counts]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         votes = []
@@ -149,6 +150,10 @@ class Model:
             votes.append(vote(labels[near[other][:k]], cos[other][:k]))
         self.knots = isotonic(np.array(votes), labels.astype(float), weights)
 
+    def count(self, text: str) -> dict[int, int]:
+        get = self.vocabulary.get
+        return {i: n for w, n in word_counts(text).items() if (i := get(w)) is not None}
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(sorted(counts), np.int64)
         w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * self.idf[ids] if len(ids) else np.empty(0)
@@ -161,69 +166,80 @@ class Model:
         return float(np.clip(np.interp(vote(self.labels[near], cos), *self.knots), 0, 1)), near, cos
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
-    """Of each term over all rows of ``docs``, and the number of rows; a partition sends one row per term."""
-    known = {t: i for i, t in enumerate(vocabulary)}
-    small_batches(docs.sparkSession)
+def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, dict[int, int]]:
+    """doc_id, toxic, words and their counts of the sample, and the number of labelled ids of each label.
+
+    The words are counted by the executors; what the driver gets is bounded by the number of examples and their distinct words.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return [], totals
+    share = F.when(F.col("toxic") == 1, min(1.0, per_class / totals[1])).otherwise(min(1.0, per_class / totals[0]))
+    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df, n = Terms(known), Counter(), 0
+        for b in batches:
+            counts = [word_counts(t.as_py()) for t in b.column(2)]
+            words, n = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words, n], ["doc_id", "toxic", "words", "n"])
+
+    return sorted(tuple(r) for r in texts.mapInArrow(run, "doc_id long, toxic int, words array<string>, n array<long>").collect()), totals
+
+
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """Of each term over all rows of ``docs``, and the number of rows; a partition sends one row per term that it has."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, df, n = sent.value.get, np.zeros(len(sent.value), np.int64), 0
         for b in batches:
             n += b.num_rows
-            for t in b.column(0).to_pylist():
-                df.update(counter.count(t).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int64()), pa.array([n, *df.values()], pa.int64())], ["term", "n"])
+            for t in b.column(0):
+                df[[i for w in set(_WORD.findall(t.as_py().lower())) if (i := get(w)) is not None]] += 1
+        have = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1)), pa.array(np.append(df[have], n))], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    return np.array([found.get(i, 0) for i in range(len(vocabulary))], float), found.get(-1, 0)
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    term, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int = 1024, k: int = 16) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, k: int = 16) -> Model | None:
     """A model from the rows of ``labels`` (doc_id, toxic) and the texts of ``docs``; None without rows of both labels."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(totals) < 2:
-        return None
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / totals[1])).otherwise(min(1.0, per_class / totals[0]))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in rows)
+    rows, totals = examples(docs, labels, per_class)
     y = np.array([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None
     each = [totals[v] / (y == v).sum() for v in (0, 1)]
-    weights = np.array([each[v] for v in y])
-    vocabulary = choose_terms((text for _, _, text in rows), y, terms)
+    vocabulary = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[2]}))}
     df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    counter = Terms({t: i for i, t in enumerate(vocabulary)})
-    return Model(vocabulary, idf, [counter.count(t) for _, _, t in rows], y, [r[0] for r in rows], weights, k)
+    counts = [{vocabulary[w]: c for w, c in zip(r[2], r[3])} for r in rows]
+    return Model(vocabulary, np.log((n + 1) / (df + 1)) + 1, counts, y, [r[0] for r in rows], np.array([each[v] for v in y]), k)
+
+
+_SCORED = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))])
 
 
 def scorer(spark, model: Model | None, evidence: int = 3):
-    """A pandas UDF from text to (score, evidence): the nearest examples with their label and cosine. The model is bounded by its parameters and broadcast."""
-    small_batches(spark)
+    """A UDF from text to (score, evidence): the nearest examples with their label and cosine. The model is bounded by its parameters and broadcast."""
     sent = spark.sparkContext.broadcast(model)
-    counters: list[Terms] = []
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        if m is not None and not counters:
-            counters.append(Terms(m.vocabulary))
+    def one(m: Model | None, text: str | None) -> dict:
+        if m is None:
+            return {"score": 0.0, "evidence": []}
+        s, near, cos = m.score(m.count(text or ""))
+        return {"score": s, "evidence": [{"doc_id": int(m.ids[i]), "toxic": int(m.labels[i]), "cosine": float(c)} for i, c in zip(near[:evidence], cos)]}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            scores, why = [], []
-            for t in texts:
-                if m is None:
-                    scores.append(0.0)
-                    why.append([])
-                    continue
-                s, near, cos = m.score(counters[0].count(t))
-                scores.append(s)
-                why.append([{"doc_id": int(m.ids[i]), "toxic": int(m.labels[i]), "cosine": float(c)} for i, c in zip(near[:evidence], cos)])
-            yield pd.DataFrame({"score": scores, "evidence": why})
+            yield pa.array([one(sent.value, t.as_py()) for t in texts], _SCORED)
 
-    return F.pandas_udf(run, "score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return F.arrow_udf(run, "score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -235,8 +251,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 def reject(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` with a score below ``threshold``; their columns stay."""
     udf = scorer(docs.sparkSession, model, 0)
-    rows = docs.select(F.struct("*").alias("row"), udf("text").alias("s")).where(F.col("s.score") < threshold)
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return unpacked(docs.select(F.struct("*").alias("row"), udf("text").alias("s")).where(F.col("s.score") < threshold), docs.columns)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
