@@ -1,6 +1,7 @@
 """Byte-level BPE, content store and packing against the libraries themselves."""
 
 import hashlib
+import random
 import zlib
 
 import corpus_pipeline
@@ -61,7 +62,7 @@ def test_slices_of_texts_equal_single_texts(hub, texts):
 
 
 def test_memo_that_is_always_full_changes_nothing(exact):
-    small = tokens.PieceEncoder(bpe.codec().encode_words, limit=2)
+    small = tokens.PieceEncoder(bpe.codec().encode_words, memo_bytes=600)
     for text in ("a b c a b c d e", "a b\n c  d", "", "e d c b a", " lead", "tail "):
         assert np.frombuffer(small.encode(text), "<u2").tolist() == exact.encode_ordinary(text)
 
@@ -148,3 +149,25 @@ def test_packed_sequences_are_kept(spark, messy, messy_rows, hub):
         stream = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
         assert np.frombuffer(stream, "<u2").tolist() == _ids(hub, text).tolist()
     assert corpus_pipeline.packing_stage(spark, docs, "").columns[-1] == "ids"
+
+
+def test_every_character_is_classed_as_by_tiktoken():
+    """All code points, letters and digits newer than either library's tables included, between letters, digits and spaces."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours, differing = bpe.codec(), set(tokens.differing_characters())
+    # beyond U+3347F almost nothing is assigned: every 32nd, and all that the libraries class differently
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33480 or c % 32 == 0 or c in differing)]
+    for k in range(0, len(points), 4096):
+        text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}\n" for c in points[k : k + 4096])
+        assert ours.encode(text).tolist() == theirs.encode_ordinary(text), hex(points[k])
+
+
+def test_memos_are_bounded():
+    coder = tokens.PieceEncoder(bpe.codec().encode_words, memo_bytes=20_000)
+    r = random.Random(3)
+    for _ in range(60):
+        text = " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(100)) + " " + "漢字" * 500
+        assert np.frombuffer(coder.encode(text), "<u2").tolist() == bpe.codec().encode(text).tolist()
+        for memo in (coder.words, coder.first, coder.later):
+            assert memo.size <= 20_000 and all(len(k) <= memo.LONGEST for k in memo) and len(memo) * memo.OVERHEAD <= 20_000

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 from struct import pack
 
 import numpy as np
@@ -25,42 +26,91 @@ _LOOSE_RE2 = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)|\x00"
 _CUT = re.compile(r"(?= (?=\S))")
 
 
+@cache
+def differing_characters() -> dict[int, str]:
+    """Code points that the ``regex`` library and tiktoken class differently, each with a character that both class as tiktoken does.
+
+    The two libraries follow different Unicode versions.  tiktoken drops what its pattern does not match, so a
+    vocabulary of single bytes and a pattern of one class show which characters it has in that class.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single, out = {bytes([b]): b for b in range(256)}, {}
+    theirs, ours = {}, {}
+    for name, stands in (("\\p{L}", "a"), ("\\p{N}", "1"), ("\\s", "\t")):
+        found = bytes(tiktoken.Encoding(name, pat_str=f"{name}+", mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+        theirs |= dict.fromkeys(found, stands)
+        ours |= dict.fromkeys("".join(regex.findall(f"{name}+", every)), stands)
+    for c in theirs.keys() | ours.keys():
+        if theirs.get(c) != ours.get(c):
+            out[ord(c)] = theirs.get(c, "!")
+    return out
+
+
+class Splitter:
+    """Pre-tokens of a text by the GPT-2 pattern, with the character classes that tiktoken has."""
+
+    def __init__(self):
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.stands = differing_characters()
+        self.differs = frozenset(map(chr, self.stands))
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or self.differs.isdisjoint(text):
+            return self.pattern.findall(text)
+        # one character stands for one, so the places of the matches are those of the text
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stands))]
+
+
+class _Memo(dict):
+    """Bytes by string, of a bounded number of bytes: emptied when full, and without strings of over ``LONGEST`` characters."""
+
+    LONGEST, OVERHEAD = 64, 160
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        short = {k: v for k, v in found.items() if len(k) <= self.LONGEST}
+        more = sum(4 * len(k) + len(v) + self.OVERHEAD for k, v in short.items())
+        if self.size + more > self.most:
+            self.clear()
+            self.size = 0
+        if more <= self.most:
+            self.update(short)
+            self.size += more
+
+
 class PieceEncoder:
     """ids of a text as little-endian unsigned 16-bit bytes (the vocabulary has fewer than 65,536 ids).
 
     ``encode_words(list of pre-tokens) -> list of id lists`` is the library underneath.  Special-token strings
-    in a text are ordinary text.
+    in a text are ordinary text.  Three memos of ``memo_bytes`` at most save work and never change a result.
     """
 
-    def __init__(self, encode_words, limit: int = 600_000):
-        self.encode_words, self.limit = encode_words, limit
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+    def __init__(self, encode_words, memo_bytes: int = 80 << 20):
+        self.encode_words, self.split = encode_words, Splitter()
+        self.words, self.first, self.later = (_Memo(memo_bytes) for _ in range(3))
 
-    def _learn(self, memo: dict, keys: set, lead: str) -> None:
-        cut = {k: self.split(lead + k) for k in keys}
+    def _encode(self, pieces: set[str], lead: str) -> dict[str, bytes]:
+        cut = {p: self.split(lead + p) for p in pieces}
         words = self.words
         new = list({w for ws in cut.values() for w in ws if w not in words})
-        if len(words) + len(new) > self.limit:
-            words.clear()
-            new = list({w for ws in cut.values() for w in ws})
-        for w, ids in zip(new, self.encode_words(new)):
-            words[w] = pack("<%dH" % len(ids), *ids)
-        for k, ws in cut.items():
-            memo[k] = b"".join([words[w] for w in ws])
-
-    def _all(self, memo: dict, parts: list, lead: str) -> bytes:
+        found = {w: pack("<%dH" % len(ids), *ids) for w, ids in zip(new, self.encode_words(new))}
+        out = {p: b"".join([found[w] if w in found else words[w] for w in ws]) for p, ws in cut.items()}
+        words.learn(found)
+        return out
+
+    def _all(self, memo: _Memo, parts: list[str], lead: str) -> bytes:
         try:
             return b"".join([memo[p] for p in parts])
         except KeyError:
-            need = {p for p in parts if p not in memo}
-            if len(memo) + len(need) > self.limit:
-                memo.clear()
-                need = set(parts)
-            self._learn(memo, need, lead)
-            return b"".join([memo[p] for p in parts])
+            found = self._encode({p for p in parts if p not in memo}, lead)
+            out = b"".join([found[p] if p in found else memo[p] for p in parts])
+            memo.learn(found)
+            return out
 
     def encode(self, text: str) -> bytes:
         if not text:
