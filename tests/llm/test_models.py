@@ -76,7 +76,7 @@ def test_toxicity_held_out(labelled):
 
 
 def test_document_frequencies_cover_all_rows(labelled):
-    df, n = toxicity.document_frequencies(labelled[0], ["vile", "no such"])
+    df, n = toxicity.document_frequencies(labelled[0], {"vile": 0, "no such": 1})
     assert n == 400 and df[1] == 0 and df[0] == labelled[0].where("text rlike '\\\\bvile\\\\b'").count()
 
 
@@ -107,11 +107,10 @@ def _grams(text, alphabet):
 def test_kernel_equals_shared_ngrams():
     r = random.Random(4)
     texts = [_text(g, r, 30) for g in SYLLABLES for _ in range(5)]
-    model = langid.Model(texts, [g for g in SYLLABLES for _ in range(5)], landmarks=6)
-    spectrum = langid.Spectrum(model.alphabet)
-    chosen = [texts[5 * g + k] for g in (1, 0, 2) for k in (0, 1)]
-    order = sorted(SYLLABLES)
-    chosen = [texts[5 * list(SYLLABLES).index(g) + k] for g in order for k in (0, 1)]
+    alphabet = "".join(sorted({c for t in texts for c in t if c.isalpha()}))
+    spectrum = langid.Spectrum(alphabet)
+    chosen = [texts[k] for k in (5, 6, 0, 1, 10, 11)]
+    model = langid.Model(sorted(SYLLABLES), alphabet, [spectrum.grams(t) for t in chosen])
     got = model.kernel([spectrum.grams(t) for t in texts])
     for i, t in enumerate(texts):
         for j, landmark in enumerate(chosen):
@@ -146,3 +145,51 @@ def test_languages_of_many_scripts(spark):
     model = langid.train(spark.createDataFrame(rows[:270], "doc_id long, text string, lang string"))
     got = langid.identify(spark.createDataFrame(rows[270:], "doc_id long, text string, lang string"), model).collect()
     assert sum(x.lang_pred == rows[x.doc_id][2] for x in got) >= 0.95 * len(got)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than landmarks were asked for, one of them mostly copies of one text; sums do not depend on the partitions."""
+    r = random.Random(11)
+    rows = [(i, " ".join("".join(chr(0x4E00 + 40 * (i % 30) + r.randrange(40)) for _ in range(3)) for _ in range(20)), f"l{i % 30}") for i in range(300)]
+    rows += [(1000 + i, rows[0][1], "l0") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.repartition(5), per_language=8, landmarks=10)
+    assert model.languages == sorted({x[2] for x in rows}) and len(model.weights) <= 31
+    got = langid.identify(docs, model).collect()
+    assert sum(x.lang_pred == (rows[x.doc_id][2] if x.doc_id < 300 else "l0") for x in got) >= 0.95 * len(got)
+    again = langid.train(docs.repartition(2), per_language=8, landmarks=10)
+    assert np.allclose(model.weights, again.weights, atol=1e-6)
+
+
+def test_all_words_are_in_the_cosine(labelled):
+    """The neighbours of a text are those of the full vectors of all words, weighted as the module says."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, k=7)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    names = sorted({w for i in model.ids for w in texts[i].lower().split()})
+    df = {w: sum(w in t.lower().split() for t in texts.values()) for w in names}
+    y = dict(zip(model.ids, model.labels))
+
+    def ratio(w):
+        out = 0
+        for has in (True, False):
+            for v in (0, 1):
+                group = [i for i in model.ids if y[i] == v]
+                n = sum((w in texts[i].split()) == has for i in group)
+                want = len(group) * sum((w in texts[i].split()) == has for i in model.ids) / len(model.ids)
+                out += n * np.log(n / want) if n else 0
+        return out
+
+    idf = {w: (np.log(401 / (df[w] + 1)) + 1) * (1 if ratio(w) > 10.83 else 0.2) for w in names}
+
+    def vector(t):
+        words = t.lower().split()
+        v = np.array([(1 + np.log(words.count(w))) * idf[w] if w in words else 0 for w in names])
+        return v / np.sqrt((v * v).sum())
+
+    assert list(model.vocabulary) == names
+    full = np.array([vector(texts[i]) for i in model.ids])
+    for i in model.ids[:12]:
+        _, near, cos = model.score(model.count(texts[i]))
+        want = full @ vector(texts[i])
+        assert np.allclose(cos, np.sort(want)[::-1][:7]) and np.allclose(want[near], cos)

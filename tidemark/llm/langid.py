@@ -3,29 +3,33 @@
 The kernel of two texts is the blended spectrum presence kernel: the number of distinct character n-grams of 1 to 3
 characters they share, over the square root of the product of their numbers of distinct n-grams.  Characters are the
 letters of a learned alphabet in lower case, all letters of the training texts; other letters are one symbol, and runs
-of anything else one gap.  Landmark
-texts give the Nyström features, one-versus-rest kernel ridge regression their weights, and batches of texts are scored
-by two matrix products.
-
-Training rows: for each language (the ``most_languages`` with most rows) about ``per_language`` distinct texts, drawn by
-a hash of the text; their number is bounded, everything is scored.  ``und`` (score 0) is for null texts, texts without
-letters, and for all texts when there is nothing to learn from.  Ties go to the first language in sorted order.
+of anything else one gap.  Landmark texts give the Nyström features, one-versus-rest kernel ridge regression their
+weights, and batches of texts are scored by matrix products.
+
+Every language of the training rows is learned.  Training rows: for each language up to ``per_language`` distinct texts
+with letters, drawn by a hash of the text (fewer, but one at least, where the languages would give more than
+``most_texts`` in all); everything is scored.  Their n-grams and the sums of the regression are computed by the
+executors; the driver holds the landmarks (about ``landmarks`` texts, one of each language at least) and square matrices
+of that size.  ``und`` (score 0) is for null texts, texts without letters, and for all texts when there is nothing to
+learn from.  Ties go to the first language in sorted order.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm._base import in_fold
+from tidemark.llm._base import Scratch, in_fold
 
 #: Up to this number of symbols a flag for every n-gram is faster than sorting.
 _DENSE = 64
+#: Numbers in a block of the product of texts and vocabulary.
+_PRODUCT = 8_000_000
 
 
 class Spectrum:
@@ -64,90 +68,142 @@ class Spectrum:
 class Model:
     """Landmarks' n-grams, Nyström map and ridge weights; plain arrays, so it can be sent to the executors."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = 96, ridge: float = 1e-3):
-        self.languages = sorted(set(langs))
-        self.alphabet = "".join(sorted({c for t in texts for c in set(t.lower()) if c.isalpha()}))
-        spectrum = Spectrum(self.alphabet)
-        known = [(g, lang) for t, lang in zip(texts, langs) if (g := spectrum.grams(t)) is not None]
-        if not known:
-            self.languages = []
+    def __init__(self, languages: list[str], alphabet: str, landmarks: list[np.ndarray]):
+        self.languages, self.alphabet = languages, alphabet
+        self.weights = None
+        if not landmarks:
             return
-        order = {lang: [g for g, x in known if x == lang] for lang in self.languages}
-        chosen = [g for lang in self.languages for g in order[lang][: max(1, landmarks // len(self.languages))]]
-        self.vocabulary = np.unique(np.concatenate(chosen))
-        self.matrix = np.zeros((len(self.vocabulary), len(chosen)), np.float32)
-        for k, g in enumerate(chosen):
+        self.vocabulary = np.unique(np.concatenate(landmarks))
+        self.matrix = np.zeros((len(self.vocabulary), len(landmarks)), np.float32)
+        for k, g in enumerate(landmarks):
             self.matrix[np.searchsorted(self.vocabulary, g), k] = 1 / np.sqrt(len(g))
-        among = self.kernel(chosen).astype(np.float64)
+        among = self.kernel(landmarks).astype(np.float64)
         values, vectors = np.linalg.eigh((among + among.T) / 2)
         good = values > 1e-6 * values[-1]
-        root = vectors[:, good] / np.sqrt(values[good])
-        z = self.kernel([g for g, _ in known]) @ root
-        z = np.concatenate([z, np.ones((len(z), 1))], 1)
-        y = np.array([[1.0 if x == lang else -1.0 for lang in self.languages] for _, x in known])
-        count = Counter(x for _, x in known)
-        weight = np.array([1 / count[x] for _, x in known])[:, None]
-        self.weights = (np.linalg.solve((z * weight).T @ z + ridge * np.eye(z.shape[1]), (z * weight).T @ y)).astype(np.float32)
-        self.root = root.astype(np.float32)
+        self.root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
 
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
         """Kernel of texts (rows) with the landmarks (columns)."""
-        here = np.zeros((len(grams), len(self.vocabulary)), np.float32)
-        for k, g in enumerate(grams):
-            at = np.minimum(np.searchsorted(self.vocabulary, g), len(self.vocabulary) - 1)
-            here[k, at[self.vocabulary[at] == g]] = 1 / np.sqrt(len(g))
-        return here @ self.matrix
+        out, step = [], max(1, _PRODUCT // len(self.vocabulary))
+        for a in range(0, len(grams), step):
+            part = grams[a : a + step]
+            here = np.zeros((len(part), len(self.vocabulary)), np.float32)
+            for k, g in enumerate(part):
+                at = np.minimum(np.searchsorted(self.vocabulary, g), len(self.vocabulary) - 1)
+                here[k, at[self.vocabulary[at] == g]] = 1 / np.sqrt(len(g))
+            out.append(here @ self.matrix)
+        return np.concatenate(out)
+
+    def features(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Nyström features of texts (rows) and a constant."""
+        z = (self.kernel(grams) @ self.root).astype(np.float64)
+        return np.concatenate([z, np.ones((len(z), 1))], 1)
+
+    def fit(self, products: np.ndarray, sums: np.ndarray, ridge: float = 1e-3) -> Model:
+        """Ridge weights from the weighted sum of z z' and, for each language (columns), of its own texts' z."""
+        targets = 2 * sums - sums.sum(1, keepdims=True)
+        self.weights = np.linalg.solve(products + ridge * np.eye(len(products)), targets)
+        return self
 
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
         """One-versus-rest margins (rows: texts)."""
-        return self.kernel(grams) @ self.root @ self.weights[:-1] + self.weights[-1]
+        return self.features(grams) @ self.weights
 
 
-def training_sample(docs: DataFrame, per_language: int, most_languages: int) -> tuple[list[str], list[str]]:
-    """Distinct texts and languages; for each language the ``per_language`` with the smallest hashes of about twice as many."""
+def training_sample(docs: DataFrame, per_language: int, most_texts: int) -> DataFrame:
+    """lang, place, text: distinct texts, up to about twice ``per_language`` of each language, drawn by ``place``, a hash of the text."""
     known = docs.select("text", "lang").where("text is not null and lang is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
-        return [], []
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * per_language / r["count"])) for r in counts], "lang string, share double")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
+    each = max(1, min(per_language, most_texts // max(1, len(counts))))
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * each / max(1, n))) for lang, n in counts], "lang string, share double")
     place = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = known.withColumn("place", place).join(F.broadcast(share), "lang").where("place < share").dropDuplicates(["lang", "text"])
-    rows = sorted(some.select("lang", "place", "text").collect())
-    taken, texts, langs = Counter(), [], []
-    for r in rows:
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return texts, langs
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    return some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "place", "text")
+
+
+def _letters(sample: DataFrame) -> str:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for b in batches:
+            for t in b.column(0):
+                found.update(t.as_py().lower())
+        yield pa.RecordBatch.from_arrays([pa.array([ord(c) for c in found if c.isalpha()], pa.int32())], ["c"])
+
+    return "".join(sorted(chr(r["c"]) for r in sample.select("text").mapInArrow(run, "c int").distinct().collect()))
 
 
-def train(docs: DataFrame, per_language: int = 256, most_languages: int = 200) -> Model:
+def train(docs: DataFrame, per_language: int = 256, most_texts: int = 51_200, landmarks: int = 96) -> Model:
     """A model from the text and non-null lang of ``docs``."""
-    return Model(*training_sample(docs, per_language, most_languages))
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.keep(training_sample(docs, per_language, most_texts), "sample")
+    alphabet = _letters(sample)
+
+    def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spectrum = Spectrum(alphabet)
+        for b in batches:
+            for lang, place, text in zip(*b.columns):
+                g = spectrum.grams(text.as_py())
+                if g is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([place.as_py()]), pa.array([g.astype(np.int64)], pa.list_(pa.int64()))], ["lang", "place", "grams"])
+
+    known = scratch.keep(sample.select("lang", "place", "text").mapInArrow(spectra, "lang string, place double, grams array<long>"), "spectra")
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(count)
+    if not languages:
+        scratch.clear()
+        return Model([], alphabet, [])
+    first = Window.partitionBy("lang").orderBy("place", F.hash("grams"))
+    chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(1, landmarks // len(languages))).orderBy("lang", "k")
+    model = Model(languages, alphabet, [np.array(r["grams"]) for r in chosen.select("grams").collect()])
+    number = {lang: k for k, lang in enumerate(languages)}
+    size = model.root.shape[1] + 1
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, own = np.zeros((size, size)), {}
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                langs = part.column(0).to_pylist()
+                z = model.features([g.values.to_numpy() for g in part.column(1)])
+                w = np.array([1 / count[x] for x in langs])[:, None]
+                products += (z * w).T @ z
+                for lang, row in zip(langs, z * w):
+                    own[lang] = own.get(lang, 0) + row
+        at = [np.arange(size * size), *(size * (size + number[x]) + np.arange(size) for x in own)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate([products.ravel(), *own.values()]))], ["at", "v"])
+
+    total = known.select("lang", "grams").mapInArrow(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(size * (size + len(languages)))
+    flat[total.column(0).to_numpy()] = total.column(1).to_numpy()
+    scratch.clear()
+    return model.fit(flat[: size * size].reshape(size, size), flat[size * size :].reshape(len(languages), size).T)
+
+
+_PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def predictor(model: Model, batch: int = 256):
-    """A pandas UDF from text to (lang_pred, score); the score is the softmax of the margins."""
+    """A UDF from text to (lang_pred, score); the score is the softmax of the margins to 9 digits."""
     spectra: list[Spectrum] = []
 
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not spectra and model.languages:
             spectra.append(Spectrum(model.alphabet))
         for texts in batches:
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             for k in range(0, len(texts) if model.languages else 0, batch):
-                found = [(i, g) for i, t in enumerate(texts.iloc[k : k + batch], k) if t and (g := spectra[0].grams(t)) is not None]
+                found = [(i, g) for i, t in enumerate(texts[k : k + batch].to_pylist(), k) if t and (g := spectra[0].grams(t)) is not None]
                 if not found:
                     continue
-                m = model.scores([g for _, g in found]).astype(np.float64) * 4
+                m = np.round(model.scores([g for _, g in found]) * 4, 9)
                 e = np.exp(m - m.max(1, keepdims=True))
                 best = m.argmax(1)
                 for (i, _), b, p in zip(found, best, e[np.arange(len(found)), best] / e.sum(1)):
-                    lang[i], score[i] = model.languages[b], float(p)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+                    lang[i], score[i] = model.languages[b], round(float(p), 9)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], fields=list(_PREDICTED))
 
-    return F.pandas_udf(predict, "lang_pred string, score double")
+    return F.arrow_udf(run, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, model: Model, text: Column | None = None) -> DataFrame:
