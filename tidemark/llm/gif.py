@@ -8,7 +8,8 @@ so lengths and bytes follow by pointer jumping instead of a table of strings.
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -145,14 +146,21 @@ def _palette(b: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
 
 
 def decode(b: bytes) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames; a canvas has four channels, alpha is 0 where nothing has been drawn."""
+    """Width, height and all frames, each with a copy of its canvas."""
+    found = [replace(f, canvas=f.canvas.copy()) for f in frames(b)]
+    width, height = struct.unpack_from("<HH", b, 6)
+    return width, height, found
+
+
+def frames(b: bytes) -> Iterator[Frame]:
+    """The frames one by one; the canvas (four channels, alpha 0 where nothing has been drawn) holds until the next one is asked for."""
     if b[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", b, 6)
     at, common = 13, None
     if flags & 128:
         common, at = _palette(b, at, flags)
-    canvas, frames = np.zeros((height, width, 4), np.uint8), []
+    canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, transparent = 0, 0, None
     while at < len(b):
         kind = b[at]
@@ -194,13 +202,12 @@ def decode(b: bytes) -> tuple[int, int, list[Frame]]:
         else:
             shown = seen != transparent
             region[shown] = colours[seen[shown]]
-        frames.append(Frame(left, top, samples, delay, disposal, transparent, canvas.copy()))
+        yield Frame(left, top, samples, delay, disposal, transparent, canvas)
         if disposal == 2:
             region[:] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, transparent = 0, 0, None
-    return width, height, frames
 
 
 GREY = bytes(v for k in range(256) for v in (k, k, k))

@@ -20,6 +20,18 @@ from tidemark.llm import gif
 from tidemark.llm._base import materialise, text_or_empty
 
 WIDTH, ROWS, DELAY = 576, 64, 4
+#: Bytes of canvases in a batch, and what a broken medium raises.
+_BATCH, _BAD = 16 << 20, (ValueError, IndexError, gif.struct.error)
+
+
+def _error(m: bytes) -> str | None:
+    """Why a medium cannot be decoded."""
+    try:
+        for _ in gif.frames(m):
+            pass
+    except _BAD as e:
+        return str(e)
+    return None
 
 
 def to_gif(raw: bytes) -> bytes:
@@ -53,20 +65,26 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     names = [id_col, "frame", "start_cs", "delay_cs", "left", "top", "width", "height", "disposal", "transparent", "histogram", "rgba"]
     kinds = [pa.int64()] * 10 + [pa.list_(pa.int64()), pa.binary()]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    found = gif.decode(m or b"")[2]
-                except (ValueError, IndexError, gif.struct.error):
+            for i, m in zip(*b.columns):
+                # a medium that fails has no frames at all: look before the first is sent
+                m = m.as_py() or b""
+                if _error(m) is not None:
                     continue
-                rows, start = [], 0
-                for k, f in enumerate(found):
+                rows, size, start = [], 0, 0
+                for k, f in enumerate(gif.frames(m)):
                     h, w = f.samples.shape
-                    rows.append((i, k, start, f.delay, f.left, f.top, w, h, f.disposal, f.transparent, histogram(f.canvas).tolist(), f.canvas.tobytes()))
-                    start += f.delay
+                    rows.append((i.as_py(), k, start, f.delay, f.left, f.top, w, h, f.disposal, f.transparent, histogram(f.canvas).tolist(), f.canvas.tobytes()))
+                    start, size = start + f.delay, size + f.canvas.nbytes
+                    if size > _BATCH:
+                        yield batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+                    yield batch(rows)
 
     schema = f"{id_col} long, " + ", ".join(f"{n} long" for n in names[1:10]) + ", histogram array<long>, rgba binary"
     return media.select(F.col(id_col).cast("long"), media_col).mapInArrow(run, schema)
@@ -81,19 +99,22 @@ def features(media: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
 
     def one(m: bytes) -> tuple:
+        """Frame by frame: one canvas is held, whatever the length."""
         stored = len(m), hashlib.sha256(m).hexdigest()
+        size, sha, tail, count, time, h = 0, hashlib.sha256(), b"", 0, 0, np.zeros(65, np.int64)
         try:
-            found = gif.decode(m)[2]
-        except (ValueError, IndexError, gif.struct.error) as e:
+            for f in gif.frames(m):
+                part = f.samples.tobytes()
+                sha.update(part)
+                size, tail, count, time, h = size + len(part), (tail + part[-32:])[-32:], count + 1, time + f.delay, h + histogram(f.canvas)
+        except _BAD as e:
             return (None, None, None, *stored, None, None, str(e))
-        payload = b"".join(f.samples.tobytes() for f in found)
-        h = sum((histogram(f.canvas) for f in found), np.zeros(65, np.int64))
-        feature = f"frames={len(found)};cs={sum(f.delay for f in found)};" + ",".join(f"{k}:{n}" for k, n in enumerate(h.tolist()) if n)
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature, h.tolist(), None)
+        feature = f"frames={count};cs={time};" + ",".join(f"{k}:{n}" for k, n in enumerate(h.tolist()) if n)
+        return (size, sha.hexdigest(), zlib.crc32(tail), *stored, feature, h.tolist(), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, n, *one(m or b"")) for i, n, m in zip(*(c.to_pylist() for c in b.columns))]
+            rows = [(i.as_py(), n.as_py(), *one(m.as_py() or b"")) for i, n, m in zip(*b.columns)]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 10, kinds)], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, histogram array<long>, error string"
