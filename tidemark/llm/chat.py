@@ -11,21 +11,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 END = "<|end|>"
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (role, text) in order."""
-    each = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("t"))
-    return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-
-
 def _opening(turn: Column) -> Column:
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"))
 
 
+def conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, turns: array of (role, text, at) in order; ``at`` is the length of the turns before, as rendered."""
+    each = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length(F.concat(F.lit("<|"), "role", F.lit("|>\n"))) + F.length("text") + len(END) + 1
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "at"))).alias("t"))
+    return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["at"].alias("at"))).alias("turns"))
+
+
 def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda x: F.concat(_opening(x), x["text"], F.lit(END + "\n"))), "")
 
@@ -33,14 +37,11 @@ def render(turns: Column) -> Column:
 def learned_spans(turns: Column, role: str = "assistant") -> Column:
     """``start:end`` of the learned parts of the rendered turns, comma-joined."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(_opening(x))
-        end = start + F.length(x["text"]) + len(END)
-        span = F.concat_ws(":", start.cast("string"), end.cast("string"))
-        return F.struct((end + 1).alias("at"), F.when(x["role"] == role, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def span(x: Column) -> Column:
+        start = x["at"] - F.get(turns, F.lit(0))["at"] + F.length(_opening(x))
+        return F.concat_ws(":", start.cast("string"), (start + F.length(x["text"]) + len(END)).cast("string"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(turns, zero, step, lambda acc: F.array_join(acc["out"], ","))
+    return F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == role), span), ",")
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -48,7 +49,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
 
     def step(acc: Column, x: Column) -> Column:
-        on = acc["on"] & x["a"].eqNullSafe(x["b"])
+        on = acc["on"] & x["a"]["role"].eqNullSafe(x["b"]["role"]) & x["a"]["text"].eqNullSafe(x["b"]["text"])
         return F.struct((acc["n"] + on.cast("int")).alias("n"), on.alias("on"))
 
     return F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), zero, step, lambda acc: acc["n"])
@@ -61,15 +62,16 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     joined = joined.join(each.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b")), "rejected_id")
     n = joined.withColumn("n", common_prefix(F.col("a"), F.col("b")))
     rest = lambda c: F.slice(c, F.col("n") + 1, F.size(c))
+    n = n.withColumn("c", rest(F.col("a"))).withColumn("r", rest(F.col("b")))
     return n.select(
         "chosen_id",
         "rejected_id",
         F.col("n").cast("long").alias("n_prompt_turns"),
         render(F.slice("a", F.lit(1), F.col("n"))).alias("prompt"),
-        render(rest(F.col("a"))).alias("chosen"),
-        render(rest(F.col("b"))).alias("rejected"),
-        learned_spans(rest(F.col("a"))).alias("chosen_mask"),
-        learned_spans(rest(F.col("b"))).alias("rejected_mask"),
+        render(F.col("c")).alias("chosen"),
+        render(F.col("r")).alias("rejected"),
+        learned_spans(F.col("c")).alias("chosen_mask"),
+        learned_spans(F.col("r")).alias("rejected_mask"),
     )
 
 
