@@ -4,7 +4,7 @@ A rolling hash over the last 16 ids cuts a document's id stream (its ids and the
 depend on content alone, so shared passages become shared chunks.  The store is a folder:
 
 * ``chunks/``: digest (SHA-256 of ``data``), n, data (16-bit little-endian ids); each distinct chunk once;
-* ``recipes/``: doc_id, part, digests, lengths, n_tokens, root, in ascending order of doc_id (nulls first);
+* ``recipes/``: doc_id, part, row (a number), digests, lengths, n_tokens, root, in ascending order of doc_id (nulls first);
 * ``parts/``: part, first (ids of all earlier parts), n_tokens, docs: one row for each recipe part.
 
 A document's manifest is the Merkle root of its chunk digests.  Reading back
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._base import materialise, new_path, text_or_empty
+from tidemark.llm._base import materialise, new_path, text_or_empty, write
 from tidemark.llm.tokens import hub_encoder
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -136,10 +136,10 @@ def build(docs: DataFrame, mean: int = 512, least: int = 64, most: int = 2048, t
 
     cut = staged.select("data", F.explode(F.arrays_zip("digests", "begins", "lengths")).alias("c"))
     cut = cut.select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.expr("substring(data, 2 * c.begins + 1, 2 * c.lengths)").alias("data"))
-    cut.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    write(cut.dropDuplicates(["digest"]), f"{path}/chunks")
 
-    recipes = staged.drop("data", "begins").orderBy("doc_id", "root").withColumn("part", F.spark_partition_id())
-    recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes = staged.drop("data", "begins").orderBy("doc_id", "root").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    write(recipes, f"{path}/recipes")
     written = spark.read.parquet(f"{path}/recipes")
     parts = written.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("docs"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
@@ -192,11 +192,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """doc_id, ids (binary, 16-bit little-endian): the id streams of the documents whose doc_id is in ``wanted``."""
-    recipes = spark.read.parquet(f"{path}/recipes").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    each = recipes.select("doc_id", F.posexplode("digests").alias("pos", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
-    parts = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"))
-    return parts.select("doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("ids"))
+    """doc_id, ids (binary, 16-bit little-endian): the id stream of every document whose doc_id is in ``wanted``.
+
+    An id of several rows gives one stream for each; null ids are found by a null.
+    """
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    recipes = spark.read.parquet(f"{path}/recipes").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    each = recipes.select("row", "doc_id", F.posexplode("digests").alias("pos", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
+    parts = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"))
+    # Latin-1 has a character for each byte, so that text functions join the bytes in one pass
+    joined = F.array_join(F.transform("p", lambda x: F.decode(x["data"], "ISO-8859-1")), "")
+    return parts.select("doc_id", F.encode(joined, "ISO-8859-1").alias("ids"))
 
 
 def op8_content_store(spark, sf_dir: str) -> DataFrame:
