@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 
 from tidemark.functions.regex import BadPattern, group_numbers, to_java
 from tidemark.operators import querytext as q
-from tidemark.operators.compiler import compile_query
 from tidemark.operators.grammar import FIELDS, Kind, parse, parse_time, tokenize
 from tidemark.operators.timeline import Timeline
 
@@ -165,7 +164,43 @@ def test_bad_pattern_is_an_error_where_asked(line):
     with pytest.raises(BadPattern):
         line.search("message~(", strict=True)
     with pytest.raises(BadPattern):
-        compile_query("level~a++", strict=True)
+        line.search("level~a++", strict=True)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tag_terms_are_semi_and_anti_joins(line):
+    assert "LeftSemi" in _plan(line.search("tag=logon level=Info")) and "Aggregate" not in _plan(line.search("tag=logon"))
+    assert "LeftAnti" in _plan(line.search("NOT tag=*"))
+    both = line.search("tag=wifi OR NOT tag=* level=Info")
+    assert "LeftSemi" not in _plan(both) and "LeftOuter" in _plan(both)
+
+
+def test_stored_columns_are_searched_as_they_are(spark, tmp_path, line):
+    from tidemark.functions.extract import PATHS, virtual
+
+    wide = line.with_sources(line.entries).select("*", *[virtual(n).alias(n) for n in PATHS]).drop("path")
+    wide.write.parquet(f"{tmp_path}/stored")
+    t = Timeline(spark.read.parquet(f"{tmp_path}/stored"), line.sources, line.tags, line.analyst_tags, line.notes)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = _plan(t.search("host=h1 -process=x sourcetype=evtx"))
+    assert "EqualTo(host,h1)" in plan and "EqualTo(sourcetype,evtx)" in plan and "Join" not in plan and "get_json_object" not in plan
+    for text in ("", "host!=h1", "NOT host=x", "process~s OR event_id=4624", "sourcetype=aul", "source=a", "tag=* OR category=c"):
+        assert sorted(_keys(t.search(text))) == sorted(_keys(line.search(text))), text
+    assert [r.asDict() for r in t.window("", 0, 50).collect()] == [r.asDict() for r in line.window("", 0, 50).collect()]
+
+
+def test_pages(line):
+    """Pages after a row are those by offset, and read the tags of their own rows only."""
+    rows = line.window("", 0, 100).select("event_id_source", "event_id_seq").collect()
+    at = {(r.event_id_source, r.event_id_seq): r.timestamp_utc for r in line.entries.collect()}
+    for k in (0, 2, len(rows) - 1):
+        last = (at[tuple(rows[k])], *rows[k])
+        assert line.page_after("", last, 3).select("event_id_source", "event_id_seq").collect() == rows[k + 1 : k + 4]
+    plan = _plan(line.window("level=Info", 1, 2))
+    assert plan.index("LeftSemi") < plan.rindex("collect_list")
 
 
 def test_filters_reach_the_scan(spark, tmp_path, line):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.extract import PATHS, virtual
 from tidemark.functions.labels import level_label, level_name
+from tidemark.functions.regex import BadPattern
 from tidemark.functions.timezones import Zone, display_text, ntz_text
 from tidemark.model import KEY
-from tidemark.operators.compiler import compile_terms, needs_sources, needs_tags
-from tidemark.operators.grammar import parse
+from tidemark.operators.compiler import check_patterns, compile_term, conjuncts, fold, needs_sources, tag_condition
+from tidemark.operators.grammar import Term, parse
 
 ORDER = ["timestamp_utc", "event_id_source", "event_id_seq"]
 #: Pages larger than this are joined without a broadcast of their keys.
@@ -25,26 +29,58 @@ def tags_by_event(tags: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 class Timeline:
-    """A timeline over ``entries``, ``sources`` and ``tags``; analyst tags and notes are optional."""
+    """A timeline over ``entries``, ``sources`` and ``tags``; analyst tags and notes are optional.
+
+    Entries that are stored with their sourcetype and virtual columns are searched by those columns, others by
+    expressions over ``fields`` and the sourcetype of their source.
+    """
 
     def __init__(self, entries: DataFrame, sources: DataFrame, tags: DataFrame, analyst_tags: DataFrame | None = None, notes: DataFrame | None = None):
         self.entries, self.sources, self.tags = entries, sources, tags
         self.analyst_tags, self.notes = analyst_tags, notes
+        self.stored = {"sourcetype", *PATHS} <= set(entries.columns)
 
     def with_sources(self, entries: DataFrame, how: str = "left") -> DataFrame:
-        """``entries`` with path and sourcetype; a missing source leaves them null."""
+        """``entries`` with path and sourcetype; a missing source leaves them null, but a stored sourcetype stays."""
         known = self.sources.select(F.col("source_file_id").alias("event_id_source"), "path", "sourcetype")
-        return entries.join(known, "event_id_source", how)
+        return entries.join(known.drop("sourcetype") if "sourcetype" in entries.columns else known, "event_id_source", how)
 
     def search(self, text: str, strict: bool = False) -> DataFrame:
-        """The entries that match; sources and tags are joined only if a term reads them."""
+        """The entries that match. A pattern that is no regular expression makes the whole query match nothing, or is raised if ``strict``.
+
+        Sources are joined only if a term reads them.  A tag term that must hold by itself is a semi or anti join with
+        the tags it asks for; one under an OR adds a flag.
+        """
         terms = parse(text)
-        rows = self.entries
-        if needs_sources(terms):
+        rows, columns = self.entries, self.entries.columns
+        try:
+            check_patterns(terms)
+        except BadPattern:
+            if strict:
+                raise
+            return rows.where(F.lit(False))
+        if needs_sources(terms, self.stored):
             rows = self.with_sources(rows)
-        if needs_tags(terms):
-            rows = rows.join(tags_by_event(self.tags), KEY, "left")
-        return rows.where(compile_terms(terms, strict)).select(*self.entries.columns)
+        either, each = conjuncts(terms)
+        for t in each:
+            if t.field != "tag":
+                rows = rows.where(compile_term(t, self.stored))
+        for t in each:
+            if t.field == "tag":
+                rows = rows.join(self._tagged(t), KEY, "left_anti" if t.negated else "left_semi")
+        if either:
+            conditions = []
+            for k, t in enumerate(either):
+                flag = None
+                if t.field == "tag":
+                    rows = rows.join(self._tagged(t).distinct().withColumn(f"_tag{k}", F.lit(True)), KEY, "left")
+                    flag = F.coalesce(F.col(f"_tag{k}"), F.lit(False))
+                conditions.append(compile_term(t, self.stored, flag))
+            rows = rows.where(fold(either, conditions))
+        return rows.select(*columns)
+
+    def _tagged(self, term: Term) -> DataFrame:
+        return self.tags.where(tag_condition(term)).select(*KEY)
 
     def count(self, text: str = "") -> int:
         return self.search(text).count()
@@ -52,10 +88,18 @@ class Timeline:
     def count_message_contains(self, pattern: str) -> int:
         return self.entries.where(F.col("message").contains(pattern)).count()
 
-    def display(self, rows: DataFrame, zone: Zone = _UTC) -> DataFrame:
-        """The 14 display columns of ``rows`` (entries), nulls as empty strings, unordered."""
+    def tag_preview(self, field: str | None, value: str) -> int:
+        """How many entries a new rule would tag: by a field's value, or (no field) by a part of the message."""
+        if field is None:
+            return self.count_message_contains(value)
+        quoted = f'"{field}={value}"'
+        return self.search(quoted).count()
+
+    def _display(self, rows: DataFrame, zone: Zone, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Display columns and ``_at`` of ``rows``; ``only`` restricts a table with the key columns to those rows."""
         wide = self.with_sources(rows)
         text = lambda c: F.coalesce(c, F.lit(""))
+        field = F.col if self.stored else virtual
         cols = [
             *KEY,
             ntz_text(F.col("timestamp_utc")).alias("timestamp_utc"),
@@ -63,44 +107,67 @@ class Timeline:
             text(F.col("level")).alias("level"),
             text(F.col("path")).alias("source"),
             text(F.col("sourcetype")).alias("sourcetype"),
-            *[text(virtual(name)).alias(name) for name in ("host", "process", "event_code", "subsystem", "category")],
+            *[text(field(name)).alias(name) for name in ("host", "process", "event_code", "subsystem", "category")],
             text(F.col("message")).alias("message"),
             F.col("timestamp_utc").alias("_at"),
         ]
-        shown = self._merged_tags(wide.select(*cols))
-        return shown.orderBy("_at", *KEY).drop("_at")
+        return self._merged_tags(wide.select(*cols), only)
+
+    def display(self, rows: DataFrame, zone: Zone = _UTC) -> DataFrame:
+        """The 14 display columns of ``rows`` (entries), nulls as empty strings, unordered."""
+        return self._display(rows, zone, lambda table: table).drop("_at")
 
-    def _merged_tags(self, rows: DataFrame) -> DataFrame:
+    def ordered(self, rows: DataFrame, zone: Zone = _UTC) -> DataFrame:
+        """As :meth:`display`, in timeline order."""
+        return self._display(rows, zone, lambda table: table).orderBy("_at", *KEY).drop("_at")
+
+    def _merged_tags(self, rows: DataFrame, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Import tags sorted; with analyst tags sorted and distinct; notes in order of their ids."""
         none = F.array().cast("array<string>")
-        rows = rows.join(tags_by_event(self.tags, distinct=False), KEY, "left")
+        rows = rows.join(tags_by_event(only(self.tags.select(*KEY, "tag_value")), distinct=False), KEY, "left")
         tags = F.coalesce("tags", none)
         if self.analyst_tags is not None:
-            own = self.analyst_tags.groupBy(*KEY).agg(F.collect_list("tag_value").alias("_own"))
+            own = only(self.analyst_tags.select(*KEY, "tag_value")).groupBy(*KEY).agg(F.collect_list("tag_value").alias("_own"))
             rows = rows.join(own, KEY, "left")
             tags = F.when(F.col("_own").isNull(), tags).otherwise(F.array_sort(F.array_distinct(F.concat(tags, "_own"))))
         rows = rows.withColumn("tags", tags).drop("_own")
         if self.notes is None:
             return rows.withColumn("notes", none)
-        ordered = self.notes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("id", "note"))).alias("_notes"))
+        ordered = only(self.notes.select(*KEY, "id", "note")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("id", "note"))).alias("_notes"))
         return rows.join(ordered, KEY, "left").withColumn("notes", F.coalesce(F.transform("_notes", lambda n: n["note"]), none)).drop("_notes")
 
+    def _page(self, keys: DataFrame, small: bool, zone: Zone) -> DataFrame:
+        """Whole rows of ``keys`` in timeline order; entries, tags and notes are all restricted to them first."""
+        keys = F.broadcast(keys) if small else keys
+        only = lambda table: table.join(keys, KEY, "left_semi")
+        return self._display(only(self.entries), zone, only).orderBy("_at", *KEY).drop("_at")
+
     def window(self, text: str, offset: int, limit: int, zone: Zone = _UTC, strict: bool = False) -> DataFrame:
-        """A page in timeline order. Keys are found on narrow columns first; only the page's rows are read whole."""
+        """A page in timeline order. Keys are found on narrow columns first; only the page's rows are read whole.
+
+        A deep offset sorts all rows before it; :meth:`page_after` does not.
+        """
         keys = self.search(text, strict).select(*ORDER).orderBy(*ORDER).offset(offset).limit(limit).select(*KEY)
-        if limit <= BROADCAST_ROWS:
-            keys = F.broadcast(keys)
-        return self.display(self.entries.join(keys, KEY, "left_semi"), zone)
+        return self._page(keys, limit <= BROADCAST_ROWS, zone)
+
+    def page_after(self, text: str, last: tuple[datetime, str, int], limit: int, zone: Zone = _UTC, strict: bool = False) -> DataFrame:
+        """The ``limit`` rows that follow the row ``last`` (timestamp_utc, event_id_source, event_id_seq) in timeline order."""
+        at = F.expr(f"TIMESTAMP_NTZ '{last[0].isoformat(sep=' ', timespec='microseconds')}'")
+        source, seq = F.col("event_id_source"), F.col("event_id_seq")
+        later = (F.col("timestamp_utc") > at) | (F.col("timestamp_utc") == at) & ((source > last[1]) | (source == last[1]) & (seq > last[2]))
+        keys = self.search(text, strict).where(F.col("timestamp_utc") >= at).where(later).select(*ORDER).orderBy(*ORDER).limit(limit).select(*KEY)
+        return self._page(keys, limit <= BROADCAST_ROWS, zone)
 
     def full_entry(self, source: str, seq: int, zone: Zone = _UTC) -> DataFrame:
         """One entry with its raw text and fields; no row if there is none."""
-        one = self.entries.where((F.col("event_id_source") == source) & (F.col("event_id_seq") == seq))
+        only = lambda table: table.where((F.col("event_id_source") == source) & (F.col("event_id_seq") == seq))
+        one = only(self.entries)
         extra = one.select(*KEY, "raw", F.coalesce("fields", F.lit("null")).alias("fields"))
-        return self.display(one, zone).join(extra, KEY)
+        return self._display(one, zone, only).drop("_at").join(extra, KEY)
 
     def at_keys(self, keys: DataFrame, zone: Zone = _UTC) -> DataFrame:
-        """Display rows of the given (event_id_source, event_id_seq)."""
-        return self.display(self.entries.join(keys.select(*KEY).distinct(), KEY, "left_semi"), zone)
+        """Display rows of the given (event_id_source, event_id_seq), in timeline order."""
+        return self._page(keys.select(*KEY).distinct(), False, zone)
 
     def tag_counts(self) -> DataFrame:
         """Rows of import tags by value."""
@@ -127,6 +194,9 @@ class Timeline:
         joined = F.concat("level", F.lit(" ("), F.array_join("names", "/"), F.lit(")"))
         return each.select("level", F.when(F.size("names") == 0, F.col("level")).otherwise(joined).alias("label")).orderBy("level")
 
+    def distinct_analyst_tags(self) -> DataFrame:
+        return self.analyst_tags.select("tag_value").distinct().orderBy("tag_value")
+
     def distinct_tags(self) -> DataFrame:
         return self.tags.select("tag_value").distinct().orderBy("tag_value")
 
@@ -169,7 +239,7 @@ def message_quality(entries: DataFrame) -> DataFrame:
 
 
 def resolution_by_day(entries: DataFrame) -> DataFrame:
-    day = F.date_trunc("day", "timestamp_utc").cast("timestamp_ntz")
+    day = F.col("timestamp_utc").cast("date").cast("timestamp_ntz")  # no session zone comes between
     rows = entries.groupBy(day.alias("day")).agg(F.count("*").alias("total"), F.sum(F.when(_unresolved(), 1).otherwise(0)).alias("unresolved"))
     return rows.orderBy("day")
 

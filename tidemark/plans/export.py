@@ -18,7 +18,7 @@ COLUMNS = ["timestamp", "level", "source", "sourcetype", "host", "process", "eve
 
 def export_rows(timeline: Timeline, text: str, zone: Zone = Zone(minutes=0)) -> DataFrame:
     """All matching rows in timeline order as strings; a bad pattern is an error, unlike in a search."""
-    rows = timeline.display(timeline.search(text, strict=True), zone)
+    rows = timeline.ordered(timeline.search(text, strict=True), zone)
     joined = rows.withColumn("tags", F.array_join("tags", ";")).withColumn("notes", F.array_join("notes", " | "))
     return joined.withColumnRenamed("timestamp_display", "timestamp").select(*COLUMNS)
 

@@ -95,7 +95,8 @@ class Session:
         return counts
 
     def timeline(self) -> Timeline:
-        return Timeline(self.entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes())
+        """The whole session, searched by its stored columns."""
+        return Timeline(self.stored_entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes())
 
     # analyst state
 

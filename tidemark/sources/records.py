@@ -26,6 +26,11 @@ def _scalar(path: str) -> Column:
     return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID"), F.get_json_object("value", path))
 
 
+def instant(micros: Column) -> Column:
+    """UTC of microseconds since 1970 as TIMESTAMP_NTZ, without the session's zone, whose clock changes would move it."""
+    return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+
+
 def fill_template(template: str, values: dict) -> str:
     """``{Name}`` becomes the string of that name; anything unresolved stays as it is."""
     return _PLACE.sub(lambda m: v if isinstance(v := values.get(m[1]), str) else m[0], template)
@@ -66,7 +71,7 @@ def read_evtx_records(spark: SparkSession, files: list[tuple[str, str]], templat
     """Records ``{"event_record_id": n, "timestamp": RFC 3339, "Event": {...}}``; without a timestamp that of the System block holds."""
     rows = _numbered(lines_of(spark, files).withColumn("_v", F.try_parse_json("value")))
     stamp = F.coalesce(F.get_json_object("value", "$.timestamp"), F.get_json_object("value", "$.Event.System.TimeCreated_attributes.SystemTime"))
-    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(stamp).cast("timestamp_ntz"))
+    at = instant(F.unix_micros(F.try_to_timestamp(stamp)))
     record = F.coalesce(F.get_json_object("value", "$.event_record_id"), F.lit("null"))
     event = F.coalesce(F.to_json(F.try_variant_get("_v", "$.Event", "variant")), F.lit("null"))
     fields = F.concat(F.lit('{"event_record_id":'), record, F.lit(',"Event":'), event, F.lit("}"))
@@ -78,5 +83,5 @@ def read_aul_records(spark: SparkSession, files: list[tuple[str, str]]) -> DataF
     """Unified-log records with ``time`` in nanoseconds; numbered by time, then evidence file, then order in the file."""
     nanos = F.try_variant_get("_v", "$.time", "double")
     rows = _numbered(lines_of(spark, files).withColumn("_v", F.try_parse_json("value")), nanos, F.get_json_object("value", "$.evidence"))
-    at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(F.floor(F.round(nanos) / 1000).cast("long")).cast("timestamp_ntz"))
+    at = instant(F.floor(F.round(nanos) / 1000).cast("long"))
     return _parsed(rows, at, F.get_json_object("value", "$.log_type"), F.get_json_object("value", "$.message"), F.when(F.col("_v").isNotNull(), F.col("value")))
