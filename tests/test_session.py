@@ -13,7 +13,7 @@ from tidemark.operators.tagging import Rule
 from tidemark.operators.timeline import Timeline, message_quality, resolution_by_day, sample_rows
 from tidemark.plans.export import COLUMNS, export_file, export_folder, export_rows
 from tidemark.plans.load import LoadError, load
-from tidemark.plans.session import Session, list_sessions, new_session_id, size_text
+from tidemark.plans.session import Session, delete_if_empty, epoch_text, list_sessions, new_session_id, session_counts, size_text, sweep
 from tidemark.sources.formats import TextFormat
 from tidemark.streaming.ingest import live_counts, watch
 
@@ -146,10 +146,20 @@ def test_labels(spark):
     assert color_slot("") == 0xCBF29CE484222325 % 8 and color_slot("a") == 0xAF63DC4C8601EC8C % 8
 
 
-def test_sessions_on_disk(tmp_path):
+def test_sessions_on_disk(spark, tmp_path, logs):
     for n in ("session-20260101-000000", "session-20270101-000000", "other"):
         (tmp_path / n).mkdir()
-    assert list_sessions(tmp_path) == ["session-20270101-000000", "session-20260101-000000"] and list_sessions(tmp_path / "none") == []
+    assert list_sessions(spark, tmp_path) == ["session-20270101-000000", "session-20260101-000000"] and list_sessions(spark, tmp_path / "none") == []
+    full = Session(spark, str(tmp_path / "session-20260101-000000"))
+    assert full.is_empty() and full.byte_size() == 0
+    load(full, "text", str(logs / "a.log"), FMT)
+    assert not full.is_empty() and full.byte_size() > 0
+    assert [tuple(r) for r in session_counts(spark, tmp_path).collect()] == [("session-20270101-000000", 0), ("session-20260101-000000", 1)]
+    assert sweep(spark, tmp_path, keep="session-20270101-000000") == [] and sweep(spark, tmp_path) == ["session-20270101-000000"]
+    assert list_sessions(spark, tmp_path) == ["session-20260101-000000"] and not delete_if_empty(full)
+    full.delete()
+    assert list_sessions(spark, tmp_path) == [] and session_counts(spark, tmp_path).count() == 0 and (tmp_path / "other").is_dir()
+    assert epoch_text(0) == "1970-01-01 00:00:00" and epoch_text(None) == ""
     assert new_session_id(datetime(2026, 1, 2, 3, 4, 5)) == "session-20260102-030405"
     assert [size_text(n) for n in (999, 1500, 2_500_000)] == ["999 B", "1.5 KB", "2.5 MB"]
 
@@ -168,3 +178,38 @@ def test_stream(spark, session, tmp_path):
     q = live_counts(stream).writeStream.outputMode("complete").format("memory").queryName("live_counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("live_counts").collect()) == 3
+
+
+def test_batch_that_is_run_again_doubles_nothing(session, tmp_path, monkeypatch):
+    """The first run stops after its entries, or after its tags, are stored."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text("".join(json.dumps({"timestamp_utc": "2026-01-01T00:00:00", "level": "I", "message": "it broke", "raw": "r", "fields": "{}", "seq": n}) + "\n" for n in range(3)))
+    real = Session.replace_files
+    for stop in ("log_entries", "import_tags"):
+
+        def fails(self, staged, table, name, stop=stop):
+            real(self, staged, table, name)
+            if table.startswith(stop):
+                raise OSError("stopped")
+
+        monkeypatch.setattr(Session, "replace_files", fails)
+        with pytest.raises(Exception, match="stopped"):
+            watch(session, str(folder), "app", RULES, f"{tmp_path}/cp", "live").awaitTermination()
+    monkeypatch.setattr(Session, "replace_files", real)
+    watch(session, str(folder), "app", RULES, f"{tmp_path}/cp", "live").awaitTermination()
+    assert session.entries().count() == 3 and session.import_tags().count() == 6
+
+
+def test_tag_preview(session, logs):
+    load(session, "text", str(logs), FMT, RULES)
+    t = session.timeline()
+    assert t.tag_preview(None, "broke") == 2 and t.tag_preview("level", "INFO") == 2 and t.tag_preview("host", "x y") == 0
+    session.add_tag("s", 1, "z")
+    session.add_tag("s", 1, "a")
+    assert [r.tag_value for r in session.timeline().distinct_analyst_tags().collect()] == ["a", "z"]
+
+
+def test_format_is_saved(tmp_path):
+    p = FMT.save(tmp_path / "formats")
+    assert p.name == "iso.toml" and TextFormat.from_toml(p.read_text()) == FMT

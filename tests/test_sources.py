@@ -223,14 +223,14 @@ def test_aul_records_are_ordered(spark, tmp_path):
     assert found[0].timestamp_utc == datetime(2017, 7, 14, 2, 40) and found[0].level == "Default"
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     for name in ("b/x.EVTX", "b/c/y.evtx", "z.journal", "t.log"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("123")
-    assert [f[len(str(tmp_path)) :] for f in source_files("evtx", str(tmp_path))] == ["/b/c/y.evtx", "/b/x.EVTX"]
-    assert len(source_files("text", str(tmp_path))) == 4 and source_files("aul", str(tmp_path)) == [str(tmp_path)]
-    assert [kind_of(str(tmp_path / n)) for n in ("b", "b/x.EVTX", "z.journal", "t.log")] == ["aul", "evtx", "journald", "text"]
-    assert byte_size(str(tmp_path / "t.log")) == 3 and byte_size(str(tmp_path)) == 0
+    assert [f[len(str(tmp_path)) :] for f in source_files(spark, "evtx", str(tmp_path))] == ["/b/c/y.evtx", "/b/x.EVTX"]
+    assert len(source_files(spark, "text", str(tmp_path))) == 4 and source_files(spark, "aul", str(tmp_path)) == [str(tmp_path)]
+    assert [kind_of(spark, str(tmp_path / n)) for n in ("b", "b/x.EVTX", "z.journal", "t.log")] == ["aul", "evtx", "journald", "text"]
+    assert byte_size(spark, str(tmp_path / "t.log")) == 3 and byte_size(spark, str(tmp_path)) == 0
 
 
 def test_aul_layouts(tmp_path):
@@ -243,3 +243,20 @@ def test_aul_layouts(tmp_path):
     assert aul_layout(raw) == aul_layout(tmp_path / "x") and aul_layout(raw).strings.name == "uuidtext"
     (raw / "0A").mkdir()
     assert aul_layout(raw).strings is None and aul_layout(tmp_path).diagnostics == tmp_path
+
+
+def test_instants_in_a_clock_change(spark, tmp_path):
+    """Both hours that a zone shows twice stay apart, whatever the session's zone is."""
+    stamps = ["2026-10-25T00:30:00Z", "2026-10-25T01:30:00Z", "2026-10-25T02:30:00+01:00", "2026-03-29T01:30:00Z"]
+    (tmp_path / "e").write_text("".join(json.dumps({"event_record_id": k, "timestamp": t, "Event": {"System": {}}}) + "\n" for k, t in enumerate(stamps)))
+    nanos = [1792888200_000000000, 1792891800_000000000]
+    (tmp_path / "a").write_text("".join(json.dumps({"time": t, "log_type": "Info", "message": "m"}) + "\n" for t in nanos))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        evtx = [r.timestamp_utc for r in read_evtx_records(spark, [("s", str(tmp_path / "e"))], {}).orderBy("event_id_seq").collect()]
+        aul = [r.timestamp_utc for r in read_aul_records(spark, [("s", str(tmp_path / "a"))]).orderBy("event_id_seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert evtx == [datetime(2026, 10, 25, 0, 30), datetime(2026, 10, 25, 1, 30), datetime(2026, 10, 25, 1, 30), datetime(2026, 3, 29, 1, 30)]
+    assert aul == [datetime(2026, 10, 25, 0, 30), datetime(2026, 10, 25, 1, 30)]

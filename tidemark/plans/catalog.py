@@ -6,16 +6,28 @@ them, null levels and null messages.  All tables are read whole.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timezones import Zone
+from tidemark import packs
+from tidemark.functions.labels import source_label
+from tidemark.functions.timezones import Zone, display_text
+from tidemark.operators import querytext as q
 from tidemark.operators import timeline as T
 from tidemark.operators.tagging import Rule, apply_rules, evaluate, matches_by_batch, retag_summary, taggable
 from tidemark.operators.timeline import Timeline
-from tidemark.plans.export import export_rows
+from tidemark.plans.export import export_folder, export_rows
+from tidemark.plans.load import LoadSummary, load
+from tidemark.plans.session import Session
+from tidemark.sources.discovery import source_files
+from tidemark.sources.records import RENDERED, read_aul_records, read_evtx_records
+from tidemark.streaming.ingest import watch
 
 _COLUMNS = [
     "CAST(user_id % 4 AS STRING) AS event_id_source",
@@ -158,7 +170,6 @@ _add("tag_counts", lambda s, d: timeline(s, d).tag_counts(), f"{_SQL} SELECT tag
 _add("level_counts", lambda s, d: timeline(s, d).level_counts(), f"{_SQL} SELECT level, count(*) AS n FROM le WHERE level IS NOT NULL GROUP BY 1")
 _add("source_counts", lambda s, d: timeline(s, d).source_counts(), f"{_SQL} SELECT event_id_source, count(*) AS n FROM le GROUP BY 1")
 _add("distinct_levels", lambda s, d: timeline(s, d).distinct_levels(), f"{_SQL} SELECT DISTINCT level, sourcetype FROM x WHERE level IS NOT NULL")
-_add("level_labels", lambda s, d: timeline(s, d).level_labels(), f"{_SQL} SELECT DISTINCT level, level AS label FROM x WHERE level IS NOT NULL")
 _add("distinct_tags", lambda s, d: timeline(s, d).distinct_tags(), f"{_SQL} SELECT DISTINCT tag_value FROM tg")
 
 
@@ -205,6 +216,332 @@ _add("resolution_by_day", lambda s, d: T.resolution_by_day(_documents_as_entries
 _add("level_top20", lambda s, d: T.level_breakdown(_documents_as_entries(s, d)), f"{_DOCS} SELECT level, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, level LIMIT 20")
 
 
+# Loads, state, labels and texts: sessions are written from ``events`` to the folder that driver and executors share.
+
+_EVENT_TIME = "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"
+
+
+def _shared(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/catalog/{uuid.uuid4().hex}"
+
+
+def _lines(spark: SparkSession, sf_dir: str, line: str, where: str = "true") -> str:
+    """A folder with the lines of ``events`` in the order of event_id, one file for each of two users' groups."""
+    path = f"{_shared(spark)}/logs"
+    rows = _read(spark, sf_dir, "events").where(where).selectExpr("user_id % 2 AS part", "event_id", f"{line} AS value")
+    rows.repartition(2, "part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def _loaded(spark: SparkSession, kind: str, path: str, **options) -> tuple[Session, LoadSummary]:
+    session = Session(spark, f"{_shared(spark)}/session")
+    return session, load(session, kind, path, suffix=".txt", **options)
+
+
+def _parts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """The files of :func:`_lines` with their group as id."""
+    return [(p, f) for p in ("0", "1") for f in source_files(spark, "text", f"{path}/part={p}", ".txt")]
+
+
+def _named(df: DataFrame, session: Session) -> DataFrame:
+    """With the part of the log's folder in place of the random id of the source."""
+    part = F.regexp_extract("path", r"part=(\d)", 1)
+    return df.join(session.sources().select(F.col("source_file_id").alias("event_id_source"), part.alias("part")), "event_id_source").drop("event_id_source")
+
+
+_SEQ = "row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1 AS event_id_seq, CAST(user_id % 2 AS VARCHAR) AS part"
+_GENERIC = f"concat({_EVENT_TIME}, ' ', event_type, ' by user ', user_id)"
+
+
+def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text log with local times of a fixed offset."""
+    session, _ = _loaded(spark, "text", _lines(spark, sf_dir, _GENERIC), fmt=packs.text_formats()["generic_timestamp"], zone="+02:00")
+    return _named(session.entries(), session)
+
+
+_add(
+    "load_text",
+    load_text,
+    f"""SELECT {_SEQ}, date_trunc('milliseconds', ts) - INTERVAL 2 HOUR AS timestamp_utc, CAST(NULL AS VARCHAR) AS level, concat(event_type, ' by user ', user_id) AS message,
+    concat({_TS.format('ts')}, ' ', event_type, ' by user ', user_id) AS raw,
+    '{{"timestamp":"' || {_TS.format('ts')} || '","message":"' || event_type || ' by user ' || user_id || '"}}' AS fields FROM events""",
+)
+
+
+def load_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of three lines."""
+    session, _ = _loaded(spark, "text", _lines(spark, sf_dir, f"concat({_GENERIC}, '\\n  at step ', event_id, '\\n  end')"), fmt=packs.text_formats()["generic_timestamp"], zone="UTC")
+    return _named(session.entries().select("event_id_source", "event_id_seq", "timestamp_utc", "message"), session)
+
+
+_add(
+    "load_multiline",
+    load_multiline,
+    f"SELECT {_SEQ}, date_trunc('milliseconds', ts) AS timestamp_utc, concat(event_type, ' by user ', user_id, chr(10), '  at step ', event_id, chr(10), '  end') AS message FROM events",
+)
+
+_SYSLOG = "concat(date_format(ts, 'MMM'), ' ', lpad(CAST(day(ts) AS STRING), 2, ' '), ' ', date_format(ts, 'HH:mm:ss'), ' node', user_id % 5, ' sshd[', event_id, ']: ', event_type)"
+
+
+def load_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times without a year, and optional parts."""
+    fmt = packs.text_formats()["syslog_rfc3164"].with_assumptions(year=2024)
+    session, _ = _loaded(spark, "text", _lines(spark, sf_dir, _SYSLOG, "year(ts) = 2024"), fmt=fmt, zone="UTC")
+    fields = [F.get_json_object("fields", f"$.{n}").alias(n) for n in ("host", "process", "message")]
+    return _named(session.entries().select("event_id_source", "event_id_seq", "timestamp_utc", *fields), session)
+
+
+_add(
+    "load_syslog",
+    load_syslog,
+    f"SELECT {_SEQ}, date_trunc('second', ts) AS timestamp_utc, concat('node', user_id % 5) AS host, 'sshd' AS process, event_type AS message FROM events WHERE year(ts) = 2024",
+)
+
+_EVTX = """concat('{"event_record_id":', event_id, ',"timestamp":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), 'Z","Event":{"System":{"Computer":"WS', event_id % 7, '","EventID":', 4624 + event_id % 3, ',"Level":', event_id % 6, '},"RenderingInfo":{"Message":', CASE WHEN event_id % 4 = 0 THEN '{}' ELSE concat('"', event_type, '"') END, '}}}')"""
+
+
+def load_evtx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows event records as JSON lines, searched by their stored columns."""
+    session, _ = _loaded(spark, "evtx", _lines(spark, sf_dir, _EVTX))
+    found = session.timeline().search("host=WS3 event_id=4625")
+    return _named(found.select("event_id_source", "event_id_seq", "timestamp_utc", "level", "message"), session)
+
+
+_add(
+    "load_evtx",
+    load_evtx,
+    f"""SELECT * EXCLUDE (h, e) FROM (SELECT {_SEQ}, date_trunc('milliseconds', ts) AS timestamp_utc, CAST(event_id % 6 AS VARCHAR) AS level, CASE WHEN event_id % 4 <> 0 THEN event_type END AS message,
+    event_id % 7 AS h, 4624 + event_id % 3 AS e FROM events) WHERE h = 3 AND e = 4625""",
+)
+
+
+def load_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages made from a template: named strings are put in, other names stay."""
+    line = """concat('{"timestamp":"2024-01-01T00:00:00Z","Event":{"System":{"EventID":', 1 + event_id % 2, ',"Provider_attributes":{"Name":"P"}},"EventData":{"User":"u', user_id, '","Count":', event_id, '}}}')"""
+    path = _lines(spark, sf_dir, line)
+    rows = read_evtx_records(spark, _parts(spark, path), {("P", 1): "by {User}, {Count} times, {None}"})
+    return rows.select(F.col("event_id_source").alias("part"), "event_id_seq", "message")
+
+
+_add("load_templates", load_templates, f"SELECT {_SEQ}, CASE WHEN event_id % 2 = 0 THEN '{RENDERED}by u' || user_id || ', {{Count}} times, {{None}}' END AS message FROM events")
+
+_AUL = """concat('{"time":', unix_micros(CAST(ts AS TIMESTAMP)) * 1000, ',"evidence":"', event_id % 3, '","log_type":"', CASE WHEN event_id % 5 = 0 THEN 'Error' ELSE 'Info' END, '","process":"/bin/p', event_id % 6, '","message":"', event_type, '"}')"""
+
+
+def load_aul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified-log records are numbered by time, then evidence file, then their place."""
+    path = _lines(spark, sf_dir, _AUL)
+    rows = read_aul_records(spark, _parts(spark, path))
+    return rows.select(F.col("event_id_source").alias("part"), "event_id_seq", "level", "message", F.get_json_object("fields", "$.process").alias("process"))
+
+
+_add(
+    "load_aul",
+    load_aul,
+    """SELECT CAST(user_id % 2 AS VARCHAR) AS part, row_number() OVER (PARTITION BY user_id % 2 ORDER BY CAST(epoch_us(ts) * 1000 AS DOUBLE), event_id % 3, event_id) - 1 AS event_id_seq,
+    CASE WHEN event_id % 5 = 0 THEN 'Error' ELSE 'Info' END AS level, event_type AS message, concat('/bin/p', event_id % 6) AS process FROM events""",
+)
+
+
+def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with one bad line is skipped whole; counts by file and rule, and the activity log."""
+    line = f"CASE WHEN user_id % 2 = 1 AND event_id % 50 = 7 THEN 'no time' ELSE {_GENERIC} END"
+    fmt = replace(packs.text_formats()["generic_timestamp"], multiline_start=None)
+    rules = [Rule("buys", "money", (("message_contains", "purchase"),)), Rule("all", "any", (("sourcetype", "text_generic"),))]
+    session, summary = _loaded(spark, "text", _lines(spark, sf_dir, line), fmt=fmt, zone="UTC", rules=rules)
+    (loaded,) = summary.inserted.values()
+    log = session.activity().select("operation", "status", "entries_inserted", "tags_applied", F.size("skipped").alias("skipped"), F.size("per_file").alias("files"))
+    return log.withColumn("loaded", F.lit(loaded)).withColumn("buys", F.lit(summary.tags_by_rule.get("buys", 0)).cast("long"))
+
+
+_add(
+    "load_summary",
+    load_summary,
+    """SELECT 'load' AS operation, 'ok' AS status, count(*) AS entries_inserted, count(*) + count(*) FILTER (contains(event_type, 'purchase')) AS tags_applied, CAST(1 AS INT) AS skipped, CAST(1 AS INT) AS files,
+    CAST(count(*) AS INT) AS loaded, count(*) FILTER (contains(event_type, 'purchase')) AS buys FROM events WHERE user_id % 2 = 0""",
+)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> Session:
+    """A session with the catalogue's entries."""
+    session, rows = Session(spark, f"{_shared(spark)}/session"), entries(spark, sf_dir)
+    for source, path, kind, zone, config in _SOURCES:
+        session.append_entries(rows.where(F.col("event_id_source") == source), kind)
+        session.append("sources", [(source, path, kind, zone, config)])
+    return session
+
+
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retagging, tags and notes of an analyst, changes and deletions, all read back by a page."""
+    session = _written(spark, sf_dir)
+    session.retag(RULES[:2])
+    session.retag(RULES)
+    first = [r["event_id_seq"] for r in session.entries().where("event_id_source = '0'").orderBy("event_id_seq").select("event_id_seq").limit(3).collect()]
+    for seq, tag in zip(first, ("seen", "logon", "seen")):
+        session.add_tag("0", seq, tag)
+    notes = [session.add_note("0", seq, f"note {k}") for k, seq in enumerate(first)]
+    session.update_note(notes[0], "changed")
+    session.delete_note(notes[1])
+    return _flat(session.timeline().at_keys(session.analyst_tags())).select("event_id_seq", "host", "tags", "notes")
+
+
+_add(
+    "session_state",
+    session_state,
+    f"""{_SQL}, f AS (SELECT event_id_seq, host, row_number() OVER (ORDER BY event_id_seq) AS k FROM x WHERE event_id_source = '0' ORDER BY event_id_seq LIMIT 3),
+    a AS (SELECT event_id_seq, tag_value FROM tg WHERE event_id_source = '0' UNION SELECT event_id_seq, CASE k WHEN 2 THEN 'logon' ELSE 'seen' END FROM f)
+    SELECT event_id_seq, host, string_agg(tag_value, ',' ORDER BY tag_value) AS tags, max(CASE k WHEN 1 THEN 'changed' WHEN 3 THEN 'note 2' ELSE '' END) AS notes FROM f JOIN a USING (event_id_seq) GROUP BY 1, 2""",
+)
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of stored columns with a tag under an OR."""
+    session = _written(spark, sf_dir)
+    session.retag(RULES)
+    return session.timeline().search("host=WS1 OR tag=c1 -level=view").select("event_id_source", "event_id_seq")
+
+
+_add("stored_search", stored_search, f"{_SQL} SELECT {_KEYS} FROM x WHERE (host = 'WS1' OR {_tagged('''tag_value = 'c1' ''')}) AND NOT (level = 'view') AND event_id_source <> '3'")
+
+
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that follows the page before it."""
+    t = timeline(spark, sf_dir)
+    last = t.search("message=user").orderBy(*T.ORDER).offset(399).first()
+    return t.page_after("message=user", tuple(last[c] for c in T.ORDER), 50).select("event_id_source", "event_id_seq")
+
+
+_add("page_after", page_after, f"{_SQL} SELECT {_KEYS} FROM x WHERE contains(message, 'user') ORDER BY timestamp_utc, event_id_source, event_id_seq LIMIT 50 OFFSET 400")
+
+
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_shared(spark)}/rows.csv"
+    export_folder(timeline(spark, sf_dir), "level=error", path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).select("timestamp", "level", "message").fillna("")
+
+
+_EXPORTED = f"SELECT {_TS.format('timestamp_utc')} || ' +00:00' AS timestamp, level, coalesce(message, '') AS message FROM x WHERE level = 'error'"
+_add("export_csv", export_csv, f"{_SQL} {_EXPORTED}")
+
+
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_shared(spark)}/rows.JSON"
+    export_folder(timeline(spark, sf_dir), "level=error", path)
+    return spark.read.schema("timestamp string, level string, message string").json(path)
+
+
+_add("export_json", export_json, f"{_SQL} {_EXPORTED}")
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = timeline(spark, sf_dir)
+    counts = {"all": t.count(), "text": t.count("purchase"), "message": t.count_message_contains("purchase"), "by_field": t.tag_preview("host", "WS3"), "by_message": t.tag_preview(None, "user 1")}
+    return spark.createDataFrame(list(counts.items()), "name string, n long")
+
+
+_add(
+    "counts",
+    _counts,
+    f"""{_SQL} SELECT 'all' AS name, count(*) AS n FROM x UNION ALL SELECT 'text', count(*) FROM x WHERE contains(message, 'purchase') OR contains(raw, 'purchase') UNION ALL SELECT 'message', count(*) FROM x WHERE contains(message, 'purchase')
+    UNION ALL SELECT 'by_field', count(*) FROM x WHERE host = 'WS3' UNION ALL SELECT 'by_message', count(*) FROM x WHERE contains(message, 'user 1')""",
+)
+
+
+def _numeric(spark: SparkSession, sf_dir: str) -> Timeline:
+    """Numeric levels, of which both journald and evtx have some."""
+    rows = entries(spark, sf_dir).withColumn("level", (F.col("event_id_seq") % 9).cast("string"))
+    return Timeline(rows, sources(spark), timeline(spark, sf_dir).tags)
+
+
+_NAMES = """n AS (SELECT * FROM (VALUES ('journald', '0', 'emerg'), ('journald', '1', 'alert'), ('journald', '2', 'crit'), ('journald', '3', 'err'), ('journald', '4', 'warning'), ('journald', '5', 'notice'), ('journald', '6', 'info'),
+  ('journald', '7', 'debug'), ('evtx', '0', 'LogAlways'), ('evtx', '1', 'Critical'), ('evtx', '2', 'Error'), ('evtx', '3', 'Warning'), ('evtx', '4', 'Informational'), ('evtx', '5', 'Verbose')) v(sourcetype, level, name)),
+  l AS (SELECT event_id_source, event_id_seq, path, sourcetype, CAST(event_id_seq % 9 AS VARCHAR) AS level FROM x)"""
+_add(
+    "level_labels",
+    lambda s, d: _numeric(s, d).level_labels(),
+    f"""{_SQL}, {_NAMES} SELECT level, CASE WHEN count(name) = 0 THEN level ELSE level || ' (' || string_agg(DISTINCT name, '/' ORDER BY name) || ')' END AS label FROM l LEFT JOIN n USING (sourcetype, level) GROUP BY level""",
+)
+
+
+def _row_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _numeric(spark, sf_dir)
+    rows = t.labelled_levels(t.entries)
+    return rows.groupBy("level_label", source_label(F.col("path"), F.col("sourcetype")).alias("source")).agg(F.count("*").alias("n"))
+
+
+_add(
+    "row_labels",
+    _row_labels,
+    f"""{_SQL}, {_NAMES} SELECT CASE WHEN name IS NULL THEN level ELSE level || ' (' || name || ')' END AS level_label, CASE sourcetype WHEN 'evtx' THEN 'a.evtx' WHEN 'journald' THEN 'b.journal' WHEN 'aul' THEN '/e/c' END AS source, count(*) AS n
+    FROM l LEFT JOIN n USING (sourcetype, level) GROUP BY 1, 2""",
+)
+
+
+def _query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query text means after edits by filter controls."""
+    text = q.toggle_value("error", "level", "click")
+    text = q.toggle_untagged(q.toggle_value(q.toggle_value(text, "level", "view"), "tag", "logon"))
+    text = q.set_column_filter(q.toggle_source(text, "2"), "host", "WS 3")
+    text = q.set_column_filter(text, "host", None)
+    text = q.set_time_range(text, datetime(2024, 1, 5), None)
+    return timeline(spark, sf_dir).search(text).select("event_id_source", "event_id_seq")
+
+
+_add(
+    "query_text_edits",
+    _query_texts,
+    f"""{_SQL} SELECT {_KEYS} FROM x WHERE ({_tagged("tag_value = 'logon'")} OR NOT {_tagged()}) AND (contains(message, 'error') OR contains(raw, 'error')) AND level IN ('click', 'view')
+    AND NOT (event_id_source = '2') AND timestamp_utc >= TIMESTAMP '2024-01-05'""",
+)
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline(spark, sf_dir).search(q.context_window(datetime(2024, 1, 10, 12), 60)).select("event_id_source", "event_id_seq")
+
+
+_add("context_window", _context, f"{_SQL} SELECT {_KEYS} FROM x WHERE timestamp_utc BETWEEN TIMESTAMP '2024-01-10 11:00:00' AND TIMESTAMP '2024-01-10 13:00:00'")
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("timestamp_utc")
+    zones = [display_text(at, Zone.parse(z)).alias(n) for n, z in (("berlin", "Europe/Berlin"), ("kolkata", "+0530"), ("new_york", "America/New_York"))]
+    return entries(spark, sf_dir).select("event_id_seq", *zones)
+
+
+def _zone_sql(name: str, zone: str) -> str:
+    """Local time and the difference to UTC."""
+    local = f"timezone('{zone}', timezone('UTC', timestamp_utc))"
+    minutes = f"datediff('minute', date_trunc('minute', timestamp_utc), date_trunc('minute', {local}))"
+    return f"{_TS.format(local)} || ' ' || CASE WHEN {minutes} < 0 THEN '-' ELSE '+' END || lpad(CAST(abs({minutes}) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs({minutes}) % 60 AS VARCHAR), 2, '0') AS {name}"
+
+
+_add("display_zones", _zones, f"{_SQL} SELECT event_id_seq, {_zone_sql('berlin', 'Europe/Berlin')}, {_zone_sql('kolkata', 'Asia/Kolkata')}, {_zone_sql('new_york', 'America/New_York')} FROM x")
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in evtx rules on records of their event ids."""
+    ids = "CASE event_id % 4 WHEN 0 THEN 4624 WHEN 1 THEN 4625 WHEN 2 THEN 1102 ELSE 99999 END"
+    rows = entries(spark, sf_dir).where("event_id_source = '0'").withColumn("fields", F.expr(f"""concat('{{"Event":{{"System":{{"EventID":', {ids.replace('event_id', 'event_id_seq')}, '}}}}}}')"""))
+    return retag_summary(apply_rules(taggable(rows, sources(spark)), packs.rules("evtx"))).where("n > 0").agg(F.sum("n").alias("applied"), F.count("*").alias("rules"))
+
+
+_add("builtin_rules", _packs, f"{_SQL} SELECT CAST(count(*) AS BIGINT) AS applied, count(DISTINCT event_id_seq % 4) AS rules FROM le WHERE event_id_source = '0' AND event_id_seq % 4 <> 3")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a file stream, tagged batch by batch."""
+    base = _shared(spark)
+    rows = _read(spark, sf_dir, "events").selectExpr("CAST(ts AS STRING) AS timestamp_utc", "event_type AS level", "concat(event_type, ' by user ', user_id) AS message", "event_id AS seq")
+    rows.write.json(f"{base}/in")
+    session = Session(spark, f"{base}/session")
+    watch(session, f"{base}/in", "app", [Rule("buys", "money", (("message_contains", "purchase"),))], f"{base}/checkpoint", "live").awaitTermination()
+    return session.timeline().search("tag=money").select("event_id_seq", "timestamp_utc", "message")
+
+
+_add("stream_ingest", _stream, "SELECT event_id AS event_id_seq, ts AS timestamp_utc, concat(event_type, ' by user ', user_id) AS message FROM events WHERE contains(event_type, 'purchase')")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

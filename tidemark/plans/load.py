@@ -54,7 +54,7 @@ def load(session: Session, kind: str, path: str, fmt: TextFormat | None = None,
     try:
         if kind == "text" and fmt is None:
             raise LoadError("a text source needs a format")
-        found = source_files(kind, path, suffix)
+        found = source_files(session.spark, kind, path, suffix)
         if not found:
             raise LoadError(f"no {kind} files in {path}")
         files = list(zip(ids or [str(uuid.uuid4()) for _ in found], found))

@@ -10,6 +10,7 @@ import json
 import time
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,8 @@ class Session:
         self.spark, self.path = spark, str(path).rstrip("/")
 
     def _exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        files, p = self._fs(f"{self.path}/{name}")
+        return files.exists(p)
 
     def table(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         schema = schema or _SCHEMAS[name]
@@ -62,11 +63,30 @@ class Session:
     def entries(self) -> DataFrame:
         return self.stored_entries().select(*model.LOG_ENTRIES.names)
 
+    def stored_form(self, rows: DataFrame, sourcetype: str) -> DataFrame:
+        """Entries of one sourcetype as they are stored: with it and their virtual columns."""
+        typed = rows.withColumn("sourcetype", F.lit(sourcetype))
+        return typed.select(*model.LOG_ENTRIES.names, "sourcetype", *[virtual(n).alias(n) for n in PATHS])
+
     def append_entries(self, rows: DataFrame, sourcetype: str) -> None:
         """Append entries of one sourcetype, a folder for each source, so that ``source_id`` prunes."""
-        typed = rows.withColumn("sourcetype", F.lit(sourcetype))
-        wide = typed.select(*model.LOG_ENTRIES.names, "sourcetype", *[virtual(n).alias(n) for n in PATHS])
-        wide.write.mode("append").partitionBy("event_id_source").parquet(f"{self.path}/log_entries")
+        self.stored_form(rows, sourcetype).write.mode("append").partitionBy("event_id_source").parquet(f"{self.path}/log_entries")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def replace_files(self, staged: str, table: str, name: str) -> None:
+        """Move the part files of ``staged`` into a folder of the session as ``name-part-...``, in place of those of that name."""
+        files, target = self._fs(f"{self.path}/{table}")
+        files.mkdirs(target)
+        for f in files.listStatus(target):
+            if f.getPath().getName().startswith(f"{name}-part-"):
+                files.delete(f.getPath(), False)
+        parts = [f.getPath() for f in files.listStatus(self._fs(staged)[1]) if f.getPath().getName().startswith("part-")]
+        for p in parts:
+            if not files.rename(p, self._fs(f"{self.path}/{table}/{name}-{p.getName()}")[1]):
+                raise OSError(f"{p} could not be moved")
 
     def sources(self) -> DataFrame:
         return self.table("sources")
@@ -76,12 +96,15 @@ class Session:
         return self.table(f"import_tags/{version}", model.IMPORT_TAGS) if version else self.spark.createDataFrame([], model.IMPORT_TAGS)
 
     def append_tags(self, tags: DataFrame) -> None:
-        version = self.state().get("import_tags") or self._new_tags()
+        version = self.tags_version()
         tags.select(*model.IMPORT_TAGS.names).write.mode("append").parquet(f"{self.path}/import_tags/{version}")
 
-    def _new_tags(self) -> str:
-        version = uuid.uuid4().hex
-        self.set_state("import_tags", version)
+    def tags_version(self) -> str:
+        """The folder of the import tags that hold; a new one if there is none."""
+        version = self.state().get("import_tags")
+        if version is None:
+            version = uuid.uuid4().hex
+            self.set_state("import_tags", version)
         return version
 
     def retag(self, rules: list[Rule]) -> dict[str, int]:
@@ -166,6 +189,18 @@ class Session:
     def loaded_sources(self) -> list[str]:
         return json.loads(self.state().get("loaded_sources") or "[]")
 
+    def byte_size(self) -> int:
+        files, p = self._fs(self.path)
+        return files.getContentSummary(p).getLength() if files.exists(p) else 0
+
+    def is_empty(self) -> bool:
+        """Whether nothing was ever loaded or noted."""
+        return self.stored_entries().isEmpty() and self.analyst_tags().isEmpty() and self.notes().isEmpty()
+
+    def delete(self) -> None:
+        files, p = self._fs(self.path)
+        files.delete(p, True)
+
     # activity
 
     def record(self, operation: str, started: int, *, status: str, path: str | None = None, sourcetype: str | None = None, error: str | None = None, inserted: int | None = None, tags_applied: int | None = None, skipped=(), per_file=(), tags_by_rule=()) -> None:
@@ -177,10 +212,45 @@ class Session:
         return self.table("activity_log").orderBy(F.desc("id"))
 
 
-def list_sessions(folder: str | Path) -> list[str]:
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(str(folder))
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(p) if f.isDirectory()] if files.exists(p) else []
+
+
+def list_sessions(spark: SparkSession, folder: str | Path) -> list[str]:
     """Session folders, newest id first."""
-    root = Path(folder)
-    return sorted((p.name for p in root.iterdir() if p.is_dir() and p.name.startswith("session-")), reverse=True) if root.is_dir() else []
+    return sorted((n for n in _folders(spark, folder) if n.startswith("session-")), reverse=True)
+
+
+def session_counts(spark: SparkSession, folder: str | Path) -> DataFrame:
+    """session, entries, newest first: one job over the entries of all sessions, of which only file footers are read."""
+    names = list_sessions(spark, folder)
+    ids = spark.createDataFrame([(n,) for n in names], "session string")
+    paths = [p for n in names if Session(spark, p := f"{folder}/{n}")._exists("log_entries")]
+    if not paths:
+        return ids.withColumn("entries", F.lit(0).cast("long"))
+    # every session's partitions lie below a folder of its own
+    each = [spark.read.schema(STORED).parquet(f"{p}/log_entries").select(F.lit(p.rsplit("/", 1)[1]).alias("session")) for p in paths]
+    counts = reduce(DataFrame.unionAll, each).groupBy("session").agg(F.count("*").alias("entries"))
+    return ids.join(counts, "session", "left").select("session", F.coalesce("entries", F.lit(0)).alias("entries")).orderBy(F.desc("session"))
+
+
+def delete_if_empty(session: Session) -> bool:
+    if not session.is_empty():
+        return False
+    session.delete()
+    return True
+
+
+def sweep(spark: SparkSession, folder: str | Path, keep: str | None = None) -> list[str]:
+    """Delete the empty sessions of a folder but for ``keep``; their ids."""
+    return [n for n in list_sessions(spark, folder) if n != keep and delete_if_empty(Session(spark, f"{folder}/{n}"))]
+
+
+def epoch_text(seconds: int | None) -> str:
+    """UTC of an activity's time, to seconds."""
+    return "" if seconds is None else datetime.fromtimestamp(seconds, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
 def size_text(n: int) -> str:

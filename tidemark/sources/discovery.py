@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 #: Fixed: kinds of sources and the suffix that a folder is searched for; text has none.
 SUFFIXES = {"evtx": ".evtx", "journald": ".journal", "text": None}
 #: Fixed folder names of unified-log diagnostics; two of them mark one.
 DIAGNOSTICS = ("persist", "special", "signpost", "highvolume", "timesync")
 
 
-def kind_of(path: str) -> str:
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    files, p = _files(spark, path)
+    return files.exists(p) and files.getFileStatus(p).isDirectory()
+
+
+def _below(spark: SparkSession, path: str) -> Iterator:
+    """The status of every file below a folder, at all depths."""
+    files, p = _files(spark, path)
+    found = files.listFiles(p, True)
+    while found.hasNext():
+        yield found.next()
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
     """The default kind of a path; the analyst may choose another."""
-    if os.path.isdir(path):
+    if _is_folder(spark, path):
         return "aul"
     return next((k for k, s in SUFFIXES.items() if s and path.lower().endswith(s)), "text")
 
 
-def source_files(kind: str, path: str, suffix: str | None = None) -> list[str]:
-    """A single file or a unified-log folder is itself; any other folder is searched at all depths, sorted."""
-    if kind == "aul" or not os.path.isdir(path):
+def source_files(spark: SparkSession, kind: str, path: str, suffix: str | None = None) -> list[str]:
+    """A single file or a unified-log folder is itself; any other folder, in any store that Spark reads, is searched at all depths, sorted."""
+    if kind == "aul" or not _is_folder(spark, path):
         return [path]
-    wanted = suffix or SUFFIXES.get(kind)
-    found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names]
-    return sorted(f for f in found if wanted is None or f.lower().endswith(wanted))
+    wanted, scheme = suffix or SUFFIXES.get(kind), "://" in path or path.startswith("file:")
+    found = (f.getPath() for f in _below(spark, path))
+    names = (str(p.toString()) if scheme else str(p.toUri().getPath()) for p in found)
+    return sorted(f for f in names if wanted is None or f.lower().endswith(wanted))
 
 
-def byte_size(path: str) -> int:
+def byte_size(spark: SparkSession, path: str) -> int:
     """Of a file, or of the trace files below a folder."""
-    if os.path.isdir(path):
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.lower().endswith(".tracev3"))
-    return os.path.getsize(path)
+    if _is_folder(spark, path):
+        return sum(f.getLen() for f in _below(spark, path) if f.getPath().getName().lower().endswith(".tracev3"))
+    files, p = _files(spark, path)
+    return files.getFileStatus(p).getLen()
 
 
 def _child(folder: Path, name: str) -> Path | None:

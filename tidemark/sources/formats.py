@@ -9,7 +9,7 @@ from pathlib import Path
 import regex
 
 from tidemark.functions.timezones import BadTime, TimeFormat, Zone
-from tidemark.operators.rulefiles import quoted
+from tidemark.operators.rulefiles import quoted, slug
 
 
 class BadFormat(ValueError):
@@ -51,6 +51,14 @@ class TextFormat:
             lines.append(f"assume_year = {self.assume_year}")
         return "\n".join([*lines, "", "[parser.field_mapping]", *(f"{k} = {quoted(v)}" for k, v in self.mapping.items()), ""])
 
+    def save(self, folder: str | Path) -> Path:
+        """Write the format, if it can work, to a file named after it; an existing file is replaced."""
+        self.validate()
+        path = Path(folder) / f"{slug(self.name)}.toml"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(self.to_toml())
+        return path
+
     def with_assumptions(self, offset: str | None = None, year: int | None = None) -> TextFormat:
         """Fill what the format does not say itself."""
         return replace(self, assume_offset=self.assume_offset or offset, assume_year=self.assume_year if self.assume_year is not None else year)

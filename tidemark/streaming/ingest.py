@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.model import IMPORT_TAGS
 from tidemark.operators.tagging import Rule, tag_entries
 from tidemark.plans.session import Session, utc_now
 
@@ -16,23 +17,24 @@ RECORD = "timestamp_utc timestamp_ntz, level string, message string, raw string,
 def watch(session: Session, folder: str, sourcetype: str, rules: list[Rule], checkpoint: str, source_id: str, trigger: dict | None = None) -> StreamingQuery:
     """Append the records of new files of ``folder`` to ``session`` under one source, and tag each batch.
 
-    A batch that is run again after a failure is told by its number in the path it writes to, so nothing is doubled.
+    A batch's files carry its number in their names, in the timeline and among the tags.  A batch that is run again after
+    a failure first removes what it left, so nothing is doubled, wherever it stopped (unless the session is tagged anew
+    in between: those tags cover what the failed run had stored).
     """
     spark = session.spark
     if session.sources().where(F.col("source_file_id") == source_id).isEmpty():
         session.append("sources", [(source_id, folder, sourcetype, None, None)])
 
     def write(batch: DataFrame, number: int) -> None:
+        staged, name = f"{session.path}/stream/{source_id}", f"{source_id}-{number}"
         rows = batch.select(F.lit(source_id).alias("event_id_source"), F.col("seq").alias("event_id_seq"), "timestamp_utc", "level", "message", F.coalesce("raw", F.lit("")).alias("raw"), "fields")
-        rows.write.mode("overwrite").parquet(f"{session.path}/stream/{source_id}/{number}")
-        written = spark.read.parquet(f"{session.path}/stream/{source_id}/{number}")
-        done = {int(k.rsplit("/", 1)[1]) for k in session.state() if k.startswith(f"stream/{source_id}/")}
-        if number in done:
-            return
-        session.append_entries(written, sourcetype)
+        session.stored_form(rows, sourcetype).drop("event_id_source").write.mode("overwrite").parquet(f"{staged}/entries")
+        session.replace_files(f"{staged}/entries", f"log_entries/event_id_source={source_id}", name)
         if rules:
-            session.append_tags(tag_entries(written, session.sources(), rules, utc_now()))
-        session.set_state(f"stream/{source_id}/{number}", "done")
+            written = session.stored_entries().where((F.col("event_id_source") == source_id) & F.input_file_name().contains(f"/{name}-part-"))
+            tags = tag_entries(written.select(*rows.columns), session.sources(), rules, utc_now())
+            tags.select(*IMPORT_TAGS.names).write.mode("overwrite").parquet(f"{staged}/tags")
+            session.replace_files(f"{staged}/tags", f"import_tags/{session.tags_version()}", name)
 
     stream = spark.readStream.schema(RECORD).json(folder)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
