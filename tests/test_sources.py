@@ -13,7 +13,8 @@ from tidemark.sources.discovery import aul_layout, byte_size, kind_of, source_fi
 from tidemark.sources.formats import BadFormat, TextFormat, saved_formats
 from tidemark.sources.journald import BadJournal, Journal, read_journals
 from tidemark.sources.records import RENDERED, fill_template, read_aul_records, read_evtx_records
-from tidemark.sources.text import preview, read_text
+from tidemark.sources.columns import java_pattern
+from tidemark.sources.text import lines_of, parse_records, parsed_by_columns, preview, read_text, records_of
 
 
 @pytest.mark.parametrize("text, want", [("UTC", "+00:00"), ("z", "+00:00"), ("+02:00", "+02:00"), ("-0530", "-05:30"), (" Europe/Berlin ", "Europe/Berlin")])
@@ -260,3 +261,42 @@ def test_instants_in_a_clock_change(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", before)
     assert evtx == [datetime(2026, 10, 25, 0, 30), datetime(2026, 10, 25, 1, 30), datetime(2026, 10, 25, 1, 30), datetime(2026, 3, 29, 1, 30)]
     assert aul == [datetime(2026, 10, 25, 0, 30), datetime(2026, 10, 25, 1, 30)]
+
+
+def test_builtin_formats_need_no_python(spark, tmp_path):
+    """Columns and the parser of records give equal rows; the plans have no Python and no window over a file."""
+    logs = {
+        "generic_timestamp": ["2024-03-01 10:00:00.25 first", "  more\tof it", "2024-03-01 10:00:01 with \u00a0 \"quotes\" \\ and é", "2024-03-31 02:30:00 skipped", "2024-10-27 02:30:00 twice", "2024-02-30 10:00:00 no such day"],
+        "logcat_brief": ["03-01 10:00:00.123  12  34 E Tag: text: more", "03-01 10:00:00.1 1 2 I T:", "no match"],
+        "pacman_log": ["[2024-03-01T10:00:00+0530] [ALPM] installed x", "[2024-03-01T10:00:00Z] [ALPM] y", "[2024-03-01T10:00:00+9900] [ALPM] z", "[yesterday] [ALPM] z"],
+        "syslog_rfc3164": ["Mar  1 10:00:60 node sshd[12]: leap", "Feb 29 10:00:00 n k: no pid", "Mar 31 23:59:59 n x y: z", "Mrz  1 10:00:00 n k: m"],
+    }
+    for name, lines in logs.items():
+        p = tmp_path / name
+        p.write_text("\n".join(lines) + "\n")
+        fmt = packs.text_formats()[name].with_assumptions("Europe/Berlin", 2024)
+        records = records_of(lines_of(spark, [("s", str(p))]), fmt)
+        fast, slow = parsed_by_columns(records, fmt), parse_records(records, fmt)
+        key = lambda r: (r.event_id_seq, r.timestamp_utc, r.level, r.message, r.raw, r.fields and json.loads(r.fields), r.error is not None)
+        assert list(map(key, fast.orderBy("event_id_seq").collect())) == list(map(key, slow.orderBy("event_id_seq").collect())), name
+        plan = fast._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+        assert not any("Window" in x and "row_number" in x for x in plan.splitlines())
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """A file of many blocks, with records that cross their borders."""
+    n = 3000
+    (tmp_path / "x.log").write_text("".join(f"2024-03-01 10:00:00 record {k}\n" + "  more\n" * (k % 4) for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_text(spark, [("s", str(tmp_path / "x.log"))], packs.text_formats()["generic_timestamp"].with_assumptions("UTC")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.event_id_seq, r.message) for r in rows) == [(k, f"record {k}" + "\n  more" * (k % 4)) for k in range(n)]
+
+
+@pytest.mark.parametrize("pattern", ["(a|b)", "(?P<timestamp>x)?", "(?:(?P<timestamp>x))*", "(?=x)y", "[a&&b]", "[[:digit:]]", r"\bx", "(?i)x", "a++", r"(?P<a>x)\1"])
+def test_patterns_that_need_the_parser(pattern):
+    assert java_pattern(pattern) is None

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.sources.text import lines_of
+from tidemark.sources.text import lines_of, numbered
 
 #: Put before a message that comes from a template and not from the log itself.
 RENDERED = "[rendered] "
@@ -56,12 +56,6 @@ def rendered_message(templates: dict[tuple[str, int], str]) -> Column:
     return F.pandas_udf(run, "string")(F.get_json_object("value", "$.Event.System.Provider_attributes.Name"), event, F.get_json_object("value", "$.Event.EventData"))
 
 
-def _numbered(lines: DataFrame, *order: Column) -> DataFrame:
-    """Dense numbers of each source's records, from 0."""
-    w = Window.partitionBy("event_id_source").orderBy(*order, "block", "place")
-    return lines.withColumn("event_id_seq", (F.row_number().over(w) - 1).cast("long"))
-
-
 def _parsed(rows: DataFrame, at: Column, level: Column, message: Column, fields: Column) -> DataFrame:
     error = F.when(F.col("_v").isNull(), "not a JSON record").when(at.isNull(), "record without a valid time")
     return rows.select("event_id_source", "event_id_seq", at.alias("timestamp_utc"), level.alias("level"), message.alias("message"), F.coalesce(fields, "value").alias("raw"), fields.alias("fields"), error.alias("error"))
@@ -69,7 +63,7 @@ def _parsed(rows: DataFrame, at: Column, level: Column, message: Column, fields:
 
 def read_evtx_records(spark: SparkSession, files: list[tuple[str, str]], templates: dict[tuple[str, int], str]) -> DataFrame:
     """Records ``{"event_record_id": n, "timestamp": RFC 3339, "Event": {...}}``; without a timestamp that of the System block holds."""
-    rows = _numbered(lines_of(spark, files).withColumn("_v", F.try_parse_json("value")))
+    rows = numbered(lines_of(spark, files)).withColumn("event_id_seq", (F.col("line") - 1).cast("long")).withColumn("_v", F.try_parse_json("value"))
     stamp = F.coalesce(F.get_json_object("value", "$.timestamp"), F.get_json_object("value", "$.Event.System.TimeCreated_attributes.SystemTime"))
     at = instant(F.unix_micros(F.try_to_timestamp(stamp)))
     record = F.coalesce(F.get_json_object("value", "$.event_record_id"), F.lit("null"))
@@ -82,6 +76,8 @@ def read_evtx_records(spark: SparkSession, files: list[tuple[str, str]], templat
 def read_aul_records(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     """Unified-log records with ``time`` in nanoseconds; numbered by time, then evidence file, then order in the file."""
     nanos = F.try_variant_get("_v", "$.time", "double")
-    rows = _numbered(lines_of(spark, files).withColumn("_v", F.try_parse_json("value")), nanos, F.get_json_object("value", "$.evidence"))
+    # a source is one bundle, whose records are put in the order of their times; the sort spills
+    order = Window.partitionBy("event_id_source").orderBy(nanos, F.get_json_object("value", "$.evidence"), "block", "place")
+    rows = lines_of(spark, files).withColumn("_v", F.try_parse_json("value")).withColumn("event_id_seq", (F.row_number().over(order) - 1).cast("long"))
     at = instant(F.floor(F.round(nanos) / 1000).cast("long"))
     return _parsed(rows, at, F.get_json_object("value", "$.log_type"), F.get_json_object("value", "$.message"), F.when(F.col("_v").isNotNull(), F.col("value")))

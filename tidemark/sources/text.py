@@ -1,8 +1,10 @@
 """Configured text logs as normalised rows, for any number of files of any size.
 
 Lines are read by Spark's splittable text reader.  A line's place is its file, the start of its block and its order in
-the task, so records are numbered by a window over each file that spills to disk; no file is held in memory.  Lines of a
-record are gathered by record, parsed in Arrow batches, and files with any bad record are dropped whole and reported.
+the task.  Blocks are counted first; a line's number is that of the lines in earlier blocks of its file and its own
+place in its block, so no task sees more of a file than a block, and lines of one-line records are not shuffled.  Lines
+of a record are gathered by record.  Records are parsed by column expressions where the format allows it
+(:mod:`tidemark.sources.columns`), else in Arrow batches; files with any bad record are dropped whole and reported.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.timezones import BadTime, TimeFormat, Zone
+from tidemark.sources.columns import java_pattern, time_column
 from tidemark.sources.formats import TextFormat
 
 PARSED = "event_id_source string, event_id_seq long, timestamp_utc timestamp_ntz, level string, message string, raw string, fields string, error string"
@@ -84,25 +87,69 @@ def metadata_path(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:/", whole.toUri().toString())
 
 
-def records_of(lines: DataFrame, fmt: TextFormat) -> DataFrame:
-    """event_id_source, event_id_seq, line, raw, valid: a record begins at each line that matches the start pattern, and at a file's first line."""
-    order = Window.partitionBy("event_id_source").orderBy("block", "place")
-    numbered = lines.withColumn("line", F.row_number().over(order))
-    if fmt.multiline_start is None:
-        return numbered.select("event_id_source", (F.col("line") - 1).cast("long").alias("event_id_seq"), "line", F.col("value").alias("raw"), "valid")
+def _before(blocks: DataFrame, names: list[str]) -> DataFrame:
+    """``blocks`` (a row for each block of a file) with the sums of columns ``names`` over the file's earlier blocks."""
+    earlier = Window.partitionBy("event_id_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumns({n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names})
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with their number in their file, from 1; a task reads its blocks in order, so a block's lines have consecutive places."""
+    blocks = lines.groupBy("event_id_source", "block").agg(F.count("*").alias("_lines"), F.min("place").alias("_first"))
+    placed = lines.join(_before(blocks, ["_lines"]), ["event_id_source", "block"])
+    return placed.withColumn("line", F.col("_lines") + F.col("place") - F.col("_first") + 1).drop("_lines", "_first")
+
 
-    pattern = fmt.multiline_start
+def _starts(pattern: str) -> Column:
+    """Whether a line begins a record."""
+    java = java_pattern(pattern)
+    if java is not None:
+        return F.col("value").rlike(java[0])
 
-    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         found = regex.compile(pattern).search
         for b in batches:
             yield b.map(lambda v: found(v) is not None)
 
-    flagged = lines.withColumn("start", F.pandas_udf(starts, "boolean")("value")).withColumn("line", F.row_number().over(order))
-    begins = F.when(F.col("start") | (F.col("line") == 1), 1).otherwise(0)
-    grouped = flagged.withColumn("event_id_seq", F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    each = grouped.groupBy("event_id_source", "event_id_seq").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("l"), F.min("valid").alias("valid"))
-    return each.select("event_id_source", "event_id_seq", F.col("l")[0]["line"].alias("line"), F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("raw"), "valid")
+    return F.pandas_udf(run, "boolean")("value")
+
+
+def records_of(lines: DataFrame, fmt: TextFormat) -> DataFrame:
+    """event_id_source, event_id_seq, line, raw, valid: a record begins at each line that matches the start pattern, and at a file's first line."""
+    each = numbered(lines)
+    if fmt.multiline_start is None:
+        return each.select("event_id_source", (F.col("line") - 1).cast("long").alias("event_id_seq"), "line", F.col("value").alias("raw"), "valid")
+    begins = each.withColumn("begins", (_starts(fmt.multiline_start) | (F.col("line") == 1)).cast("long"))
+    blocks = begins.groupBy("event_id_source", "block").agg(F.sum("begins").alias("_records"))
+    until = Window.partitionBy("event_id_source", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = begins.withColumn("_own", F.sum("begins").over(until)).join(_before(blocks, ["_records"]), ["event_id_source", "block"])
+    # lines before a block's first record belong to the last one of an earlier block
+    grouped = placed.withColumn("event_id_seq", F.col("_records") + F.col("_own") - 1)
+    whole = grouped.groupBy("event_id_source", "event_id_seq").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("l"), F.min("valid").alias("valid"))
+    return whole.select("event_id_source", "event_id_seq", F.col("l")[0]["line"].alias("line"), F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("raw"), "valid")
+
+
+def parsed_by_columns(records: DataFrame, fmt: TextFormat) -> DataFrame | None:
+    """:data:`PARSED` rows by column expressions, or None for a format that needs more."""
+    java = java_pattern(fmt.pattern)
+    if java is None:
+        return None
+    pattern, names = java
+    groups = {n: F.regexp_extract("raw", pattern, k) for n, k in names.items()}
+    at = time_column(F.col("_stamp"), TimeFormat(fmt.timestamp_format), Zone.parse(fmt.assume_offset) if fmt.assume_offset is not None else None, fmt.assume_year)
+    if at is None:
+        return None
+    rows = records.withColumn("_stamp", groups["timestamp"]).withColumn("_at", at)
+    line = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "))
+    error = (
+        F.when(~F.col("valid"), F.concat(line, F.lit("not UTF-8")))
+        .when(~F.col("raw").rlike(pattern), F.concat(line, F.lit("does not match the pattern: "), F.substring("raw", 1, 200)))
+        .when(F.col("_at").isNull(), F.concat(line, F.lit("no single time: "), "_stamp"))
+    )
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    mapped = [good(groups[g]) if (g := fmt.mapping.get(n)) else F.lit(None).cast("string") for n in ("level", "message")]
+    fields = F.to_json(F.struct(*[c.alias(n) for n, c in groups.items()]))
+    return rows.withColumn("error", error).select("event_id_source", "event_id_seq", good(F.col("_at")).alias("timestamp_utc"), mapped[0].alias("level"), mapped[1].alias("message"), "raw", good(fields).alias("fields"), "error")
 
 
 def parse_records(records: DataFrame, fmt: TextFormat) -> DataFrame:
@@ -127,4 +174,6 @@ def parse_records(records: DataFrame, fmt: TextFormat) -> DataFrame:
 def read_text(spark: SparkSession, files: list[tuple[str, str]], fmt: TextFormat) -> DataFrame:
     """:data:`PARSED` rows of ``files`` (source id, path)."""
     fmt.validate()
-    return parse_records(records_of(lines_of(spark, files), fmt), fmt)
+    records = records_of(lines_of(spark, files), fmt)
+    by_columns = parsed_by_columns(records, fmt)
+    return parse_records(records, fmt) if by_columns is None else by_columns
