@@ -61,20 +61,28 @@ class BlockMaxIndex:
     """An inverted index of unit vectors.
 
     Examples stand in blocks.  A term has an entry for each block with an example that has it: the largest weight there,
-    rounded up, and its postings in that block.
+    rounded up, and its postings in that block.  Terms of at least one example in ``common`` have their postings as a
+    row of all examples, as every block would be read for them.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16):
-        self.size, self.block = len(vectors), block
-        self.blocks = -(-len(vectors) // block)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16, common: int = 8):
+        self.block, self.blocks = block, -(-len(vectors) // block)
+        self.size = self.block * self.blocks
         # examples with the same strongest term share blocks, which keeps the bounds tight
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i)), np.int64)
         none = np.empty(0, np.int64)
         term = np.concatenate([none, *(vectors[i][0] for i in self.order)])
-        self.slot = np.repeat(np.arange(len(vectors)), [len(vectors[i][0]) for i in self.order]) if vectors else none
-        self.weight = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])
-        by = np.lexsort((self.slot, term))
-        term, self.slot, self.weight = term[by], self.slot[by], self.weight[by]
+        slot = np.repeat(np.arange(len(vectors)), [len(vectors[i][0]) for i in self.order]) if vectors else none
+        weight = np.concatenate([np.empty(0), *(vectors[i][1] for i in self.order)])
+        often = np.flatnonzero(np.bincount(term, minlength=terms) * common >= max(1, len(vectors)))
+        self.row = np.full(terms, -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.size))
+        whole = self.row[term] >= 0
+        self.rows[self.row[term[whole]], slot[whole]] = weight[whole]
+        term, slot, weight = term[~whole], slot[~whole], weight[~whole]
+        by = np.lexsort((slot, term))
+        term, self.slot, self.weight = term[by], slot[by], weight[by]
         entry = term * max(1, self.blocks) + self.slot // block
         first = np.flatnonzero(np.diff(entry, prepend=-1))
         self.entry_at, self.entry_size = first, np.diff(first, append=len(entry))
@@ -84,14 +92,15 @@ class BlockMaxIndex:
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k highest positive cosines; ties go to the smaller example number."""
+        row = self.row[ids]
+        scores = weights[row >= 0] @ self.rows[row[row >= 0]]
+        ids, weights = ids[row < 0], weights[row < 0]
         count = self.term_at[ids + 1] - self.term_at[ids]
         entries, w = _stretches(self.term_at[ids], count), np.repeat(weights, count)
         block = self.entry_block[entries]
-        bounds = np.bincount(block, w * self.bound[entries], self.blocks)
+        bounds = scores.reshape(self.blocks, self.block).max(1) + np.bincount(block, w * self.bound[entries], self.blocks)
         ranked = np.argsort(-bounds, kind="stable")
-        scores, done, least = np.zeros(self.size), np.zeros(self.blocks, bool), 0.0
-        step = max(1, self.blocks // 8)
-        at = 0
+        done, least, at, step = np.zeros(self.blocks, bool), 0.0, 0, max(1, self.blocks // 8)
         while at < self.blocks:
             part = ranked[at : at + step]
             part = part[(bounds[part] > 0) & (bounds[part] >= least - 1e-9)]
@@ -105,9 +114,10 @@ class BlockMaxIndex:
             posting = _stretches(self.entry_at[own], size)
             scores += np.bincount(self.slot[posting], np.repeat(w[some], size) * self.weight[posting], self.size)
             done |= read
-            least = np.partition(scores, self.size - k)[self.size - k] if self.size >= k else 0.0
+            found = scores.reshape(self.blocks, self.block)[done].ravel()
+            least = max(0.0, np.partition(found, -k)[-k]) if len(found) >= k else 0.0
             at, step = at + step, self.blocks
-        slots = np.flatnonzero(scores)
+        slots = np.flatnonzero((scores > 0) & np.repeat(done, self.block))
         found = self.order[slots]
         top = np.lexsort((found, -scores[slots]))[:k]
         return found[top], scores[slots][top]
