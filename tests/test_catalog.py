@@ -1,5 +1,9 @@
 """Every registered timeline query against its SQL, on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -34,8 +38,14 @@ def test_query_equals_sql(spark, con, name):
     assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
 
 
-def test_registry_without_the_optional_folder(monkeypatch):
-    import __spark_entry__ as entry
-
-    monkeypatch.setattr(entry, "_LLM", False)
-    assert set(entry.queries()) == set(catalog.queries()) == set(entry.oracle_sql())
+@pytest.mark.parametrize("left_over", [False, True])
+def test_registry_without_the_optional_folders(tmp_path, left_over):
+    """A copy of the repository without them, or with the empty folder that compiled files leave."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if left_over:
+        (tmp_path / "tidemark" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), e.queries().keys() == e.oracle_sql().keys())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(catalog.queries())), "True"], said.stderr
