@@ -2,11 +2,13 @@
 
 import csv
 import json
+import tempfile
 from datetime import datetime
 
 import pytest
 
 from tidemark import packs
+from tidemark.__main__ import cleanup, main
 from tidemark.functions.labels import color_slot, level_label, source_label
 from tidemark.functions.timezones import Zone
 from tidemark.operators.tagging import Rule
@@ -14,6 +16,7 @@ from tidemark.operators.timeline import Timeline, message_quality, resolution_by
 from tidemark.plans.export import COLUMNS, export_file, export_folder, export_rows
 from tidemark.plans.load import LoadError, load
 from tidemark.plans.session import Session, delete_if_empty, epoch_text, list_sessions, new_session_id, session_counts, size_text, sweep
+from tidemark.settings import Settings
 from tidemark.sources.formats import TextFormat
 from tidemark.streaming.ingest import live_counts, watch
 
@@ -213,3 +216,32 @@ def test_tag_preview(session, logs):
 def test_format_is_saved(tmp_path):
     p = FMT.save(tmp_path / "formats")
     assert p.name == "iso.toml" and TextFormat.from_toml(p.read_text()) == FMT
+
+
+def test_progress_and_cancel(session, logs):
+    """After the first group the load is cancelled; what it stored stays."""
+    seen = []
+    got = load(session, "text", str(logs), FMT, RULES, group=2, progress=seen.append, cancelled=lambda: bool(seen))
+    assert [(p.files, p.total_files) for p in seen] == [(2, 4)] and 0 < seen[0].bytes < seen[0].total_bytes
+    assert len(got.inserted) == 2 and session.entries().count() == 3 and session.activity().first().status == "cancelled"
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "x" / "tidemark.toml"
+    assert Settings.read(path) == Settings()
+    Settings(rules_dir='r "1"', display_timezone="Europe/Berlin").write(path)
+    assert Settings.read(path) == Settings(rules_dir='r "1"', display_timezone="Europe/Berlin")
+    for bad in ({"display_timezone": "Nowhere"}, {"load_group": 0}):
+        with pytest.raises(ValueError):
+            Settings(**bad).validate()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "g.log").write_text("2026-07-28 12:00:00 x\n")
+    Settings(sessions_dir=str(tmp_path / "s"), default_source_timezone="UTC").write(tmp_path / "t.toml")
+    main(["--settings", str(tmp_path / "t.toml"), "--add-source", "generic_timestamp", str(tmp_path / "g.log"), "--cleanup-dir", "/usr/none"], spark)
+    (name,) = list_sessions(spark, tmp_path / "s")
+    assert Session(spark, f"{tmp_path}/s/{name}").entries().count() == 1
+    main(["--settings", str(tmp_path / "t.toml"), "--ephemeral-session", "--add-source", "generic_timestamp", str(tmp_path / "g.log"), "--search", "x"], spark)
+    assert "1 entries, 0 files skipped" in capsys.readouterr().out and len(list_sessions(spark, tmp_path / "s")) == 1
+    assert not cleanup("/usr/lib") and not cleanup(tempfile.gettempdir())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import model, packs
 from tidemark.operators.tagging import Rule, tag_entries
 from tidemark.plans.session import Session, utc_now
-from tidemark.sources.discovery import source_files
+from tidemark.sources.discovery import byte_size, source_files
 from tidemark.sources.formats import BadFormat, TextFormat
 from tidemark.sources.journald import read_journals
 from tidemark.sources.records import read_aul_records, read_evtx_records
@@ -31,6 +32,13 @@ class LoadSummary:
     tags_by_rule: dict[str, int] = field(default_factory=dict)
     source_ids: dict[str, str] = field(default_factory=dict)
 
+    def add(self, other: LoadSummary) -> None:
+        self.inserted |= other.inserted
+        self.skipped |= other.skipped
+        self.source_ids |= other.source_ids
+        for rule, n in other.tags_by_rule.items():
+            self.tags_by_rule[rule] = self.tags_by_rule.get(rule, 0) + n
+
 
 def read(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None) -> DataFrame:
     if kind == "text":
@@ -44,13 +52,29 @@ def read(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFor
     raise LoadError(f"unknown kind of source {kind!r}")
 
 
-def load(session: Session, kind: str, path: str, fmt: TextFormat | None = None, rules: list[Rule] = (), suffix: str | None = None, zone: str | None = None, ids: list[str] | None = None) -> LoadSummary:
+@dataclass(frozen=True)
+class Progress:
+    """How far a load has come."""
+
+    files: int
+    total_files: int
+    bytes: int
+    total_bytes: int
+
+
+def load(
+    session: Session, kind: str, path: str, fmt: TextFormat | None = None, rules: list[Rule] = (), suffix: str | None = None, zone: str | None = None, ids: list[str] | None = None,
+    group: int | None = None, progress: Callable[[Progress], None] | None = None, cancelled: Callable[[], bool] | None = None,
+) -> LoadSummary:
     """Load a file or folder: entries, then their tags, then the source rows that make them visible as sources.
 
     ``zone`` is assumed for a text format that names none.  ``ids`` fixes the source ids (tests).  A file with a bad
-    record, and one without records, is skipped with a reason; the others are loaded.
+    record, and one without records, is skipped with a reason; the others are loaded.  With ``group`` the files are
+    loaded that many at a time: ``progress`` is told after each group, and where ``cancelled`` says so no further group
+    is begun; what is loaded stays.
     """
     started, sourcetype = int(time.time()), fmt.sourcetype if kind == "text" and fmt else kind
+    summary, status = LoadSummary(), "ok"
     try:
         if kind == "text" and fmt is None:
             raise LoadError("a text source needs a format")
@@ -58,12 +82,21 @@ def load(session: Session, kind: str, path: str, fmt: TextFormat | None = None,
         if not found:
             raise LoadError(f"no {kind} files in {path}")
         files = list(zip(ids or [str(uuid.uuid4()) for _ in found], found))
-        summary = _load(session, kind, files, fmt.with_assumptions(zone) if fmt else None, list(rules), sourcetype)
+        assumed = fmt.with_assumptions(zone) if fmt else None
+        sizes = [byte_size(session.spark, p) for _, p in files] if progress else []
+        step = group or len(files)
+        for at in range(0, len(files), step):
+            if cancelled is not None and cancelled():
+                status = "cancelled"
+                break
+            summary.add(_load(session, kind, files[at : at + step], assumed, list(rules), sourcetype))
+            if progress is not None:
+                progress(Progress(min(at + step, len(files)), len(files), sum(sizes[: at + step]), sum(sizes)))
     except Exception as e:
         session.record("load", started, status="failed", path=path, sourcetype=sourcetype, error=str(e).splitlines()[0] if str(e) else type(e).__name__)
         raise
     session.record(
-        "load", started, status="ok", path=path, sourcetype=sourcetype, inserted=sum(summary.inserted.values()), tags_applied=sum(summary.tags_by_rule.values()),
+        "load", started, status=status, path=path, sourcetype=sourcetype, inserted=sum(summary.inserted.values()), tags_applied=sum(summary.tags_by_rule.values()),
         skipped=list(summary.skipped.items()), per_file=list(summary.inserted.items()), tags_by_rule=list(summary.tags_by_rule.items()),
     )
     return summary
