@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 from conftest import words
@@ -155,3 +156,37 @@ def test_candidates_are_bounded(spark):
     df = spark.createDataFrame([(f"d{k % 50}",) for k in range(2000)] + [("hot",)] * 1500, "digest string").repartition(5)
     found = {r.digest for r in exact.frequent_candidates(df, 4).collect()}
     assert "hot" in found and len(found) <= 5
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """Texts that share an id are documents of their own; the smallest id stays, and of one id the smallest text hash."""
+    a, b, c = words(1, 200), words(2, 200), words(3, 200)
+    rows = [(1, a), (3, a + " more"), (3, c), (5, b), (None, b + " more"), (None, words(4, 200)), (7, None), (8, ""), (9, words(5, 200)), (9, words(5, 200) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.keep_id) for r in found) == Counter([(1, 1), (3, 1), (3, 3), (5, 5), (None, 5), (None, None), (7, 7), (8, 7), (9, 9), (9, 9)])
+    assert sorted(str(r.doc_id) for r in found if r.kept) == sorted(["1", "3", "5", "None", "7", "9"])
+    left = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in left} >= {(1, a), (3, c), (5, b), (7, None)} and len(left) == 6
+
+
+def test_exact_copies_of_one_id(spark):
+    """Rows that repeat id and text leave one, chosen by a hash of all columns; white space counts as one space."""
+    rows = [(1, "a  b", "x"), (1, "a b", "y"), (1, "a b", "z"), (2, "a b", "w"), (3, "c", "v"), (3, "d", "u"), (None, "a b", "t"), (None, "e", "s"), (None, "e", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(map(str, exact.drop_copies(docs).collect()))
+    assert len(first) == 4 and first == sorted(map(str, exact.drop_copies(docs.repartition(3)).collect()))
+    assert Counter(r.doc_id for r in exact.drop_copies(docs).collect()) == Counter([1, 3, 3, None])
+
+
+def test_near_duplicates_of_a_family_without_its_base(spark):
+    """Copies of a base that is not there: links go between the copies, and a similar passage of others links nothing."""
+    r, rows, base = np.random.default_rng(12), [], words(77, 260).split()
+    for k in range(60):
+        copy = list(base)
+        for at in r.choice(260, 3, replace=False):
+            copy[at] = f"edit{k}"
+        rows.append((k, " ".join(copy)))
+    rows += [(100 + k, " ".join(base[:120]) + " " + words(900 + k, 200)) for k in range(30)]
+    _, want = _closure(rows)
+    assert {x.doc_id: x.keep_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want

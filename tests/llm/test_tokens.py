@@ -171,3 +171,20 @@ def test_memos_are_bounded():
         assert np.frombuffer(coder.encode(text), "<u2").tolist() == bpe.codec().encode(text).tolist()
         for memo in (coder.words, coder.first, coder.later):
             assert memo.size <= 20_000 and all(len(k) <= memo.LONGEST for k in memo) and len(memo) * memo.OVERHEAD <= 20_000
+
+
+def test_store_with_repeated_and_null_ids(spark):
+    rows = [(1, "first text"), (1, "another text of the same id"), (None, "no id"), (2, "x " * 3000)]
+    path = store.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    back = store.reconstruct(spark, path, spark.createDataFrame([(1,), (None,), (2,)], "doc_id long")).collect()
+    hub = tokens.hub_encoder()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in back) == sorted((str(i), hub.encode(t) + b"\0\0") for i, t in rows)
+
+
+def test_padding_is_little(spark):
+    """Texts of many lengths in several partitions: windows are full but for a few."""
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randint(1, 900)))) for k in range(1500)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("sequence_id").sum("length").collect()
+    used = sum(x[1] for x in packed)
+    assert 1024 * len(packed) <= 1.03 * used
