@@ -28,9 +28,9 @@ RULES = [Rule.from_dict({"rule": {"name": n, "tag": {"value": t}, "match": m}})
 def logs(tmp_path):
     d = tmp_path / "logs"
     d.mkdir()
-    (d / "a.log").write_text("2026-07-28T12:00:00+0200 ERROR it broke\n")
-    (d / "b.log").write_text("2026-07-28T12:00:01+0200 INFO fine, \"quoted\"\n2026-07-28T12:00:02+0200 INFO broke again\n")
-    (d / "c.log").write_text("2026-07-28T12:00:00+0200 ERROR good line\nnever matches\n")
+    (d / "a.log").write_text("2025-06-17T12:00:00+0200 ERROR pump 4 broke\n")
+    (d / "b.log").write_text("2025-06-17T12:00:01+0200 INFO fine, \"quoted\"\n2025-06-17T12:00:02+0200 INFO broke again\n")
+    (d / "c.log").write_text("2025-06-17T12:00:00+0200 ERROR good line\nnever matches\n")
     (d / "empty.log").write_text("")
     return d
 
@@ -48,12 +48,12 @@ def test_load_folder(session, logs):
     assert got.tags_by_rule == {"broke": 2, "app": 3}
     t = session.timeline()
     assert t.entries.count() == 3 and t.sources.count() == 2 and t.count("tag=bad level=INFO") == 1
-    assert [r.message for r in t.window("", 0, 2).collect()] == ["it broke", 'fine, "quoted"']
+    assert [r.message for r in t.window("", 0, 2).collect()] == ["pump 4 broke", 'fine, "quoted"']
     act = session.activity().first()
     assert (act.operation, act.status, act.entries_inserted, act.tags_applied) == ("load", "ok", 3, 5) and len(act.skipped) == 2
     # the same file again is another source
     again = load(session, "text", str(logs / "a.log"), FMT, RULES)
-    assert list(again.inserted.values()) == [1] and session.timeline().count("it broke") == 1 + 1
+    assert list(again.inserted.values()) == [1] and session.timeline().count("pump 4 broke") == 1 + 1
     assert len(session.loaded_sources()) == 3
     pruned = session.stored_entries().where("event_id_source = 'b'")
     assert pruned.count() == 2 and "PartitionFilters: [isnotnull(event_id_source" in pruned._jdf.queryExecution().executedPlan().toString()
@@ -78,9 +78,9 @@ def test_loads_that_cannot_begin(session, logs, tmp_path):
 
 def test_zone_of_the_session(session, tmp_path):
     p = tmp_path / "g.log"
-    p.write_text("2026-07-28 12:00:00 x\n")
+    p.write_text("2025-06-17 12:00:00 x\n")
     load(session, "text", str(p), packs.text_formats()["generic_timestamp"], zone="Europe/Berlin")
-    assert session.entries().first().timestamp_utc == datetime(2026, 7, 28, 10)
+    assert session.entries().first().timestamp_utc == datetime(2025, 6, 17, 10)
 
 
 def test_stored_virtual_columns_equal_the_definition(session, tmp_path):
@@ -115,18 +115,18 @@ def test_merged_tags_and_export(spark, session, logs, tmp_path):
     session.add_note("a", 0, "n2")
     t = session.timeline()
     rows = export_rows(t, "broke", Zone.parse("+02:00")).collect()
-    assert [(r.timestamp, r.tags, r.notes) for r in rows] == [("2026-07-28 12:00:00.000 +02:00", "app;bad;zeta", "n1 | n2"), ("2026-07-28 12:00:02.000 +02:00", "app;bad", "")]
+    assert [(r.timestamp, r.tags, r.notes) for r in rows] == [("2025-06-17 12:00:00.000 +02:00", "app;bad;zeta", "n1 | n2"), ("2025-06-17 12:00:02.000 +02:00", "app;bad", "")]
     assert export_file(t, "", tmp_path / "x.csv") == 3
     with open(tmp_path / "x.csv", newline="") as f:
         got = list(csv.reader(f))
     assert got[0] == COLUMNS and got[2][-1] == 'fine, "quoted"'
     assert export_file(t, "level=ERROR", tmp_path / "x.JSON") == 1
     (one,) = json.loads((tmp_path / "x.JSON").read_text())
-    assert list(one) == COLUMNS and one["message"] == "it broke"
+    assert list(one) == COLUMNS and one["message"] == "pump 4 broke"
     assert export_file(t, "level=none", tmp_path / "none.json") == 0 and json.loads((tmp_path / "none.json").read_text()) == []
     export_folder(t, "", f"{tmp_path}/folder")
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/folder")
-    assert back.columns == COLUMNS and {r.message for r in back.collect()} == {"it broke", 'fine, "quoted"', "broke again"}
+    assert back.columns == COLUMNS and {r.message for r in back.collect()} == {"pump 4 broke", 'fine, "quoted"', "broke again"}
     with pytest.raises(ValueError):
         export_file(t, "message~(", tmp_path / "y.csv")
     assert {r.tag_value for r in t.tag_vocabulary().collect()} == {"app", "bad", "zeta"}
@@ -171,7 +171,7 @@ def test_stream(spark, session, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     record = lambda n, m: json.dumps({"timestamp_utc": f"2026-01-01T00:0{n}:00", "level": "I", "message": m, "raw": m, "fields": "{}", "seq": n}) + "\n"
-    (folder / "1.json").write_text(record(0, "it broke") + record(1, "fine"))
+    (folder / "1.json").write_text(record(0, "pump 4 broke") + record(1, "fine"))
     watch(session, str(folder), "app", RULES, f"{tmp_path}/cp", "live").awaitTermination()
     (folder / "2.json").write_text(record(2, "broke again"))
     watch(session, str(folder), "app", RULES, f"{tmp_path}/cp", "live").awaitTermination()
@@ -187,7 +187,7 @@ def test_batch_that_is_run_again_doubles_nothing(session, tmp_path, monkeypatch)
     """The first run stops after its entries, or after its tags, are stored."""
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "1.json").write_text("".join(json.dumps({"timestamp_utc": "2026-01-01T00:00:00", "level": "I", "message": "it broke", "raw": "r", "fields": "{}", "seq": n}) + "\n" for n in range(3)))
+    (folder / "1.json").write_text("".join(json.dumps({"timestamp_utc": "2026-01-01T00:00:00", "level": "I", "message": "pump 4 broke", "raw": "r", "fields": "{}", "seq": n}) + "\n" for n in range(3)))
     real = Session.replace_files
     for stop in ("log_entries", "import_tags"):
 
@@ -237,7 +237,7 @@ def test_settings(tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "g.log").write_text("2026-07-28 12:00:00 x\n")
+    (tmp_path / "g.log").write_text("2025-06-17 12:00:00 x\n")
     Settings(sessions_dir=str(tmp_path / "s"), default_source_timezone="UTC").write(tmp_path / "t.toml")
     main(["--settings", str(tmp_path / "t.toml"), "--add-source", "generic_timestamp", str(tmp_path / "g.log"), "--cleanup-dir", "/usr/none"], spark)
     (name,) = list_sessions(spark, tmp_path / "s")

@@ -43,13 +43,13 @@ def test_local_times_must_be_single():
 @pytest.mark.parametrize(
     "fmt, text, zone, year, want",
     [
-        ("%Y-%m-%dT%H:%M:%S%z", "2026-07-28T12:00:00+0200", None, None, datetime(2026, 7, 28, 10)),
-        ("%Y-%m-%dT%H:%M:%S%z", "2026-07-28T12:00:00+0200", "-05:00", None, datetime(2026, 7, 28, 10)),
-        ("%Y-%m-%d %H:%M:%S%.f", "2026-07-28 12:00:00.1234567", "UTC", None, datetime(2026, 7, 28, 12, 0, 0, 123456)),
-        ("%Y-%m-%d %H:%M:%S%.f", "2026-07-28 12:00:00", "UTC", 1999, datetime(2026, 7, 28, 12)),
+        ("%Y-%m-%dT%H:%M:%S%z", "2025-06-17T12:00:00+0200", None, None, datetime(2025, 6, 17, 10)),
+        ("%Y-%m-%dT%H:%M:%S%z", "2025-06-17T12:00:00+0200", "-05:00", None, datetime(2025, 6, 17, 10)),
+        ("%Y-%m-%d %H:%M:%S%.f", "2025-06-17 12:00:00.1234567", "UTC", None, datetime(2025, 6, 17, 12, 0, 0, 123456)),
+        ("%Y-%m-%d %H:%M:%S%.f", "2025-06-17 12:00:00", "UTC", 1999, datetime(2025, 6, 17, 12)),
         ("%b %e %H:%M:%S", "Jul  8 12:00:00", "UTC", 2026, datetime(2026, 7, 8, 12)),
-        ("%m-%d %H:%M:%S%.f", "07-28 12:00:00.5", "UTC", 2026, datetime(2026, 7, 28, 12, 0, 0, 500000)),
-        ("%d/%b/%Y %I:%M:%S %p", "28/Jul/2026 12:05:00 AM", "UTC", None, datetime(2026, 7, 28, 0, 5)),
+        ("%m-%d %H:%M:%S%.f", "06-17 12:00:00.5", "UTC", 2025, datetime(2025, 6, 17, 12, 0, 0, 500000)),
+        ("%d/%b/%Y %I:%M:%S %p", "17/Jun/2025 12:05:00 AM", "UTC", None, datetime(2025, 6, 17, 0, 5)),
         ("%Y-%j %H:%M", "2026-032 01:02", "UTC", None, datetime(2026, 2, 1, 1, 2)),
         ("%s", "86400", None, 2026, datetime(1970, 1, 2)),
     ],
@@ -58,7 +58,7 @@ def test_time_formats(fmt, text, zone, year, want):
     assert TimeFormat(fmt).parse(text, Zone.parse(zone) if zone else None, year) == want
 
 
-@pytest.mark.parametrize("fmt, text, zone, year", [("%H:%M", "12:00", "UTC", 2026), ("%b %e %H:%M:%S", "Jul 8 12:00:00", "UTC", None), ("%Y-%m-%d %H:%M:%S", "2026-07-28 12:00:00", None, None), ("%Y-%m-%d %H:%M:%S", "x", "UTC", None), ("%Y-%m-%d %H:%M:%S", "2026-02-30 12:00:00", "UTC", None)])
+@pytest.mark.parametrize("fmt, text, zone, year", [("%H:%M", "12:00", "UTC", 2026), ("%b %e %H:%M:%S", "Jul 8 12:00:00", "UTC", None), ("%Y-%m-%d %H:%M:%S", "2025-06-17 12:00:00", None, None), ("%Y-%m-%d %H:%M:%S", "x", "UTC", None), ("%Y-%m-%d %H:%M:%S", "2026-02-30 12:00:00", "UTC", None)])
 def test_times_without_meaning(fmt, text, zone, year):
     with pytest.raises(BadTime):
         TimeFormat(fmt).parse(text, Zone.parse(zone) if zone else None, year)
@@ -80,29 +80,29 @@ def _read(spark, files, fmt):
 
 def test_single_line_log(spark, tmp_path):
     p = tmp_path / "a b.log"
-    p.write_bytes("2026-07-28T12:00:00+0200 ERROR it broke é\r\n2026-07-28T12:00:01+0200 INFO fine [x1]\n".encode())
+    p.write_bytes("2025-06-17T12:00:00+0200 ERROR it broke é\r\n2025-06-17T12:00:01+0200 INFO fine [x1]\n".encode())
     a, b = _read(spark, [p], ISO)
-    assert (a.event_id_seq, a.timestamp_utc, a.level, a.message, a.error) == (0, datetime(2026, 7, 28, 10), "ERROR", "it broke é", None)
-    assert json.loads(a.fields) == {"timestamp": "2026-07-28T12:00:00+0200", "level": "ERROR", "message": "it broke é", "extra": None}
+    assert (a.event_id_seq, a.timestamp_utc, a.level, a.message, a.error) == (0, datetime(2025, 6, 17, 10), "ERROR", "it broke é", None)
+    assert json.loads(a.fields) == {"timestamp": "2025-06-17T12:00:00+0200", "level": "ERROR", "message": "it broke é", "extra": None}
     assert json.loads(b.fields)["extra"] == "x1" and a.raw.endswith("é") and b.event_id_seq == 1
 
 
 def test_multiline_log(spark, tmp_path):
     p = tmp_path / "m.log"
-    p.write_text("2026-07-28 12:00:00.5 first\n  more\n\nlast\n2026-07-28 12:00:01 second\n")
+    p.write_text("2025-06-17 12:00:00.5 first\n  more\n\nlast\n2025-06-17 12:00:01 second\n")
     fmt = packs.text_formats()["generic_timestamp"]
     a, b = _read(spark, [p], fmt.with_assumptions("+02:00"))
-    assert a.raw == "2026-07-28 12:00:00.5 first\n  more\n\nlast" and a.message == "first\n  more\n\nlast" and a.timestamp_utc == datetime(2026, 7, 28, 10, 0, 0, 500000)
+    assert a.raw == "2025-06-17 12:00:00.5 first\n  more\n\nlast" and a.message == "first\n  more\n\nlast" and a.timestamp_utc == datetime(2025, 6, 17, 10, 0, 0, 500000)
     assert (b.event_id_seq, b.message) == (1, "second")
     assert all(r.error for r in _read(spark, [p], fmt))  # no zone
-    p.write_text("no start\n2026-07-28 12:00:00 x\n")
+    p.write_text("no start\n2025-06-17 12:00:00 x\n")
     a, b = _read(spark, [p], fmt.with_assumptions("UTC"))
     assert "line 1" in a.error and b.error is None
 
 
 def test_many_blocks_keep_their_order(spark, tmp_path):
     p = tmp_path / "big.log"
-    p.write_text("".join(f"2026-07-28 12:00:00 n{k}\n\tdetail {k}\n" for k in range(5000)))
+    p.write_text("".join(f"2025-06-17 12:00:00 n{k}\n\tdetail {k}\n" for k in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         rows = _read(spark, [p], packs.text_formats()["generic_timestamp"].with_assumptions("UTC"))
@@ -113,7 +113,7 @@ def test_many_blocks_keep_their_order(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "key, line, level, message",
-    [("syslog_rfc3164", "Jul  8 12:00:00 box sshd[12]: hello there", None, "hello there"), ("logcat_brief", "07-28 12:00:00.123  100  200 E tag: oh no", "E", "oh no"), ("pacman_log", "[2026-07-28T12:00:00+0200] [ALPM] upgraded x", None, "upgraded x")],
+    [("syslog_rfc3164", "Jul  8 12:00:00 box sshd[12]: hello there", None, "hello there"), ("logcat_brief", "06-17 12:00:00.123  100  200 E tag: oh no", "E", "oh no"), ("pacman_log", "[2025-06-17T12:00:00+0200] [ALPM] upgraded x", None, "upgraded x")],
 )
 def test_built_in_formats(spark, tmp_path, key, line, level, message):
     p = tmp_path / "x.log"
@@ -124,7 +124,7 @@ def test_built_in_formats(spark, tmp_path, key, line, level, message):
 
 def test_bytes_that_are_no_utf8_are_an_error(spark, tmp_path):
     p = tmp_path / "x.log"
-    p.write_bytes(b"2026-07-28T12:00:00+0200 ERROR \xff\xfe\n")
+    p.write_bytes(b"2025-06-17T12:00:00+0200 ERROR \xff\xfe\n")
     assert "UTF-8" in _read(spark, [p], ISO)[0].error
 
 
@@ -137,7 +137,7 @@ def test_formats(tmp_path):
     (tmp_path / "b.toml").write_text(ISO.to_toml())
     (tmp_path / "a.toml").write_text("[")
     assert [n for n, _ in saved_formats(tmp_path)] == ["iso"] and saved_formats(tmp_path / "none") == []
-    shown = preview(["2026-07-28T12:00:00+0200 ERROR a", "bad"], ISO)
+    shown = preview(["2025-06-17T12:00:00+0200 ERROR a", "bad"], ISO)
     assert shown[0][1:] == ("a", None) and shown[1][1] is None and "line 2" in shown[1][2]
 
 
