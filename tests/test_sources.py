@@ -9,11 +9,11 @@ import pytest
 
 from tidemark import packs
 from tidemark.functions.timezones import BadTime, TimeFormat, Zone
+from tidemark.sources.columns import java_pattern
 from tidemark.sources.discovery import aul_layout, byte_size, kind_of, source_files
 from tidemark.sources.formats import BadFormat, TextFormat, saved_formats
 from tidemark.sources.journald import BadJournal, Journal, read_journals
-from tidemark.sources.records import RENDERED, fill_template, read_aul_records, read_evtx_records
-from tidemark.sources.columns import java_pattern
+from tidemark.sources.records import RENDERED, filled, read_aul_records, read_evtx_records
 from tidemark.sources.text import lines_of, parse_records, parsed_by_columns, preview, read_text, records_of
 
 
@@ -212,7 +212,9 @@ def test_evtx_records(spark, tmp_path):
     assert a.message == RENDERED + "An account was logged off. Account: bob (domain {TargetDomainName}), logon type {LogonType}"
     assert b.message == "given" and b.timestamp_utc == datetime(2026, 1, 1, 10) and c.message is None and c.level is None
     assert json.loads(a.fields) == {"event_record_id": 1, "Event": rows[0]["Event"]} and d.error and e.error
-    assert fill_template("{A} {B} {a b}", {"A": "x", "B": 1}) == "x {B} {a b}"
+    one = spark.sql("""SELECT parse_json('{"Event":{"EventData":{"A":"x","B":1}}}') AS _v""")
+    assert one.select(filled("{A} {B} {a b} {C}").alias("m")).first().m == "x {B} {a b} {C}"
+    assert "Python" not in read_evtx_records(spark, [("s", str(p))], packs.templates())._jdf.queryExecution().executedPlan().toString()
 
 
 def test_aul_records_are_ordered(spark, tmp_path):

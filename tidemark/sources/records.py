@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,29 +30,26 @@ def instant(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
 
 
-def fill_template(template: str, values: dict) -> str:
-    """``{Name}`` becomes the string of that name; anything unresolved stays as it is."""
-    return _PLACE.sub(lambda m: v if isinstance(v := values.get(m[1]), str) else m[0], template)
+def filled(template: str) -> Column:
+    """``{Name}`` becomes the string of that name in the record's EventData; anything else, numbers too, stays as it is."""
+    parts = []
+    for k, part in enumerate(_PLACE.split(template)):
+        if k % 2 == 0:
+            parts.append(F.lit(part))
+            continue
+        value = F.try_variant_get("_v", f"$.Event.EventData.{part}", "variant")
+        parts.append(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise("{" + part + "}"))
+    return F.concat(*parts)
 
 
 def rendered_message(templates: dict[tuple[str, int], str]) -> Column:
-    """The template text of the record's provider and event id, or null. The table is package data of fixed size."""
-
-    def run(provider: pd.Series, event: pd.Series, data: pd.Series) -> pd.Series:
-        import json
-
-        out = []
-        for p, e, d in zip(provider, event, data):
-            t = templates.get((p, int(e))) if e is not None and e == e else None
-            if t is None:
-                out.append(None)
-                continue
-            values = json.loads(d) if isinstance(d, str) else None
-            out.append(RENDERED + fill_template(t, values if isinstance(values, dict) else {}))
-        return pd.Series(out, dtype=object)
-
+    """The filled template of the record's provider and event id, or null. The table is package data of fixed size."""
+    provider = F.get_json_object("value", "$.Event.System.Provider_attributes.Name")
     event = F.try_variant_get("_v", "$.Event.System.EventID", "bigint")
-    return F.pandas_udf(run, "string")(F.get_json_object("value", "$.Event.System.Provider_attributes.Name"), event, F.get_json_object("value", "$.Event.EventData"))
+    out = F.lit(None).cast("string")
+    for (name, number), template in templates.items():
+        out = F.when((provider == name) & (event == number), F.concat(F.lit(RENDERED), filled(template))).otherwise(out)
+    return out
 
 
 def _parsed(rows: DataFrame, at: Column, level: Column, message: Column, fields: Column) -> DataFrame:
