@@ -46,10 +46,11 @@ def rendered_message(templates: dict[tuple[str, int], str]) -> Column:
     """The filled template of the record's provider and event id, or null. The table is package data of fixed size."""
     provider = F.get_json_object("value", "$.Event.System.Provider_attributes.Name")
     event = F.try_variant_get("_v", "$.Event.System.EventID", "bigint")
-    out = F.lit(None).cast("string")
+    # one flat CASE: its conditions are compared one after the other
+    out = F
     for (name, number), template in templates.items():
-        out = F.when((provider == name) & (event == number), F.concat(F.lit(RENDERED), filled(template))).otherwise(out)
-    return out
+        out = out.when((provider == name) & (event == number), F.concat(F.lit(RENDERED), filled(template)))
+    return F.lit(None).cast("string") if out is F else out
 
 
 def _parsed(rows: DataFrame, at: Column, level: Column, message: Column, fields: Column) -> DataFrame:
