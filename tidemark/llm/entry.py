@@ -16,6 +16,8 @@ _QUERIES = {
     "op8_content_store": "store",
     "op9_packing": "packing",
     "op10_secret_scan": "secretscan",
+    "op12_sentencepiece": "pieces",
+    "op13_resample": "resample",
 }
 
 
