@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_content_store": "store",
     "op9_packing": "packing",
     "op10_secret_scan": "secretscan",
+    "op11_prefix_trie": "trie",
     "op12_sentencepiece": "pieces",
     "op13_resample": "resample",
 }
