@@ -190,3 +190,30 @@ def test_near_duplicates_of_a_family_without_its_base(spark):
     rows += [(100 + k, " ".join(base[:120]) + " " + words(900 + k, 200)) for k in range(30)]
     _, want = _closure(rows)
     assert {x.doc_id: x.keep_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
+
+
+def _texts_of_a_template(n, seed):
+    """Similarity of about 0.73 by a long common passage: nothing to link but one planted pair."""
+    passage = words(seed, 230)
+    rows = [(k, f"{passage} {words(seed + 1 + k, 36)}") for k in range(n)]
+    return [*rows, (n, rows[0][1] + " and more")]
+
+
+def test_templates_without_known_frequencies_stay_near_linear(spark, monkeypatch):
+    """A frequency list that knows none of the shared shingles: pairs grow with the texts, not with their square."""
+    monkeypatch.setattr(simhash, "KEPT", 0)
+    compared, narrowed = [], simhash._narrowed
+
+    def counted(pairs, *rest):
+        compared[-1] += pairs.count()
+        return narrowed(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_narrowed", counted)
+    for n in (150, 300):
+        rows = _texts_of_a_template(n, 31)
+        compared.append(0)
+        links, want = _closure(rows)
+        assert links == [(0, n)]
+        found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id: r.keep_id for r in found} == want
+    assert compared[1] <= 2.2 * compared[0], compared

@@ -17,9 +17,11 @@ fifteen of a hundred fingerprint bits differ, so no Hamming ball of a size that
 Fingerprints therefore find the close pairs, and prefix filtering finds all others: texts order their distinct shingles
 by one global order, rare ones first; of two texts with similarity s or more, the first ``n - ceil(s n) + 1`` shingles of
 both share one.  Texts meet by those shingles.  First each text is compared with its fingerprint's neighbours and with one
-text of each of its entries, so that copies become one component at a cost linear in their number; then all pairs of an
-entry that are still in different components are compared.  Pairs in one component need no comparison, so the closure
-is that of all pairs.  Bounds that never lose a pair come before the exact test: the sizes, the places of the shared
+text of each of its entries, so that copies become one component at a cost linear in their number; then all pairs of a
+small entry that are still in different components are compared.  The texts of larger entries get new prefixes among
+themselves, by the exact frequencies of all their shingles, so that what many of them have in common makes no two of them
+meet; any two texts of a large entry are both among these.  Pairs in one component need no comparison, so the closure is
+that of all pairs.  Bounds that never lose a pair come before the exact test: the sizes, the places of the shared
 shingle in both orders, and the differing bits of parity bitmaps.
 """
 
@@ -33,7 +35,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm._base import Scratch, materialise, sized, text_hash, text_or_empty
 from tidemark.llm.graph import components
@@ -45,6 +46,8 @@ _BLOCK = 1 << 14
 PARITY_WORDS = 8
 #: Texts that are at least sampled for the frequencies of shingles, the share of larger inputs, and the frequencies kept.
 SAMPLE, SHARE, KEPT = 20_000, 1 / 8, 500_000
+#: Texts of an entry that are compared with each other; those of larger entries meet by prefixes of exact frequencies.
+CROWD = 32
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -222,6 +225,13 @@ def _narrowed(pairs: DataFrame, nodes: DataFrame, tenths: int, scratch: Scratch)
     return found.where(_enough(F.col("d"), tenths)).select("node", "other", "d")
 
 
+def _texts_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, text: a text for each node of ``needed``; rows that repeat id and text give a node several equal ones."""
+    needed = scratch.keep(needed.join(nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "node"), "needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), text_or_empty().alias("text"))
+    return texts.join(sized(needed), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "text")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, tenths: int, scratch: Scratch) -> DataFrame:
     """u, v: the ``pairs`` (node, other; a written table) whose shingle sets have a similarity of ``tenths`` / 10 or more, compared shingle by shingle."""
 
@@ -239,15 +249,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, te
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     needed = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    needed = scratch.keep(needed.join(nodes.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "node"), "needed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), text_or_empty().alias("text"))
-    found = texts.join(sized(needed), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "text")
-    # rows that repeat id and text give a node several equal sets
-    data = scratch.keep(found.mapInArrow(sets, "node long, data binary").dropDuplicates(["node"]), "sets")
+    data = scratch.keep(_texts_of(needed, nodes, docs, scratch).mapInArrow(sets, "node long, data binary").dropDuplicates(["node"]), "sets")
     both = pairs.select("node", "other").join(data, "node").join(data.select(F.col("node").alias("other"), F.col("data").alias("with")), "other")
     return both.select(F.col("node").alias("u"), F.col("other").alias("v"), "data", "with").mapInArrow(compare, "u long, v long")
 
 
+def _rare_first(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, tenths: int, scratch: Scratch) -> DataFrame:
+    """key, node, n, at, component: prefixes of the texts ``crowd`` (node, n, component) among themselves, rarest shingles first.
+
+    The frequencies are exact: every shingle of these texts is counted.  What a family of texts has in common therefore
+    comes last in their orders, and texts below the similarity that share it meet no more.  Shingles of one text alone
+    keep their places and are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingle_set(t.as_py(), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], ["node", "key"])
+
+    each = scratch.keep(_texts_of(crowd.select("node"), nodes, docs, scratch).dropDuplicates(["node"]).mapInArrow(run, "node long, key long"), "crowded")
+    times = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    ordered = each.join(times, "key", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "key"))).alias("all"))
+    length = F.size("all") - F.ceil(F.size("all") * tenths / 10).cast("int") + 1
+    prefix = ordered.select("node", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "s")).where("s.times > 1")
+    return prefix.join(crowd, "node").select(F.col("s.key").alias("key"), "node", "n", "at", "component")
+
+
 def _reach(tenths: int) -> Column:
     """The most shingles a partner of a row (n, at) can have whose first shared shingle this is: all that follow are shared at best."""
     return F.floor((F.col("n") - F.col("at")) * (10 + tenths) / tenths) - F.col("n")
@@ -276,10 +304,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFram
     close = same.unionByName(close.select("node", "other"))
 
     # entries: the texts that share a shingle of their prefixes, each with its place in the text's order
-    entry = Window.partitionBy("key")
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    rows = rows.select("*", F.min("node").over(entry).alias("least"), F.max("node").over(entry).alias("most"), F.min("n").over(entry).alias("small"), F.min(F.struct("at", "node", "n")).over(entry).alias("hub"))
-    rows = scratch.keep(rows.where("least <> most").where(_reach(tenths) >= F.col("small")).select("key", "node", "n", "at", "hub"), "entries")
+    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
+    rows = scratch.keep(rows.join(shared, "key"), "shared")
+    heads = rows.groupBy("key").agg(F.min("n").alias("small"), F.min(F.struct("at", "node", "n")).alias("hub"))
+    rows = scratch.keep(rows.join(heads, "key").where(_reach(tenths) >= F.col("small")).select("key", "node", "n", "at", "hub"), "entries")
 
     def possible(n: str, at: str, m: str, other_at: str) -> Column:
         """The sizes allow the similarity, and so does the number of shingles from the shared one on."""
@@ -293,11 +322,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFram
     links = scratch.keep(_verified(best, nodes, docs, size, tenths, scratch), "links")
     first = components(links, scratch)
     named = rows.select("key", "node", "n", "at").join(first, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    parts = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    named = scratch.keep(named.join(parts, "key", "left_semi"), "apart")
-    a, b = named.alias("a"), named.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") > F.col("b.node"))
-    rest = a.join(b, apart & possible("a.n", "a.at", "b.n", "b.at")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
+
+    def between_components(entries: DataFrame) -> DataFrame:
+        """The entries with texts of different components, and how many texts each has."""
+        parts = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("texts")).where("low <> high")
+        return entries.join(parts.select("key", "texts"), "key")
+
+    def pairs(entries: DataFrame) -> DataFrame:
+        a, b = entries.alias("a"), entries.alias("b")
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") > F.col("b.node"))
+        return a.join(b, apart & possible("a.n", "a.at", "b.n", "b.at")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+
+    named = scratch.keep(between_components(named), "apart")
+    # two texts of a crowded entry are both in the crowd, whose own prefixes find all pairs within it
+    crowd = scratch.keep(named.where(F.col("texts") > CROWD).select("node", "n", "component").distinct(), "crowd")
+    ranked = scratch.keep(between_components(_rare_first(crowd, nodes, docs, size, tenths, scratch)), "ranked")
+    rest = pairs(named.where(F.col("texts") <= CROWD)).unionByName(pairs(ranked)).distinct()
     rest = scratch.keep(_narrowed(rest, nodes, tenths, scratch), "rest")
     links = links.unionByName(_verified(rest, nodes, docs, size, tenths, scratch))
     found = components(links, scratch)
