@@ -62,6 +62,16 @@ def test_full_memos_change_nothing(library):
         assert small.round_trip(text) == digests(library, text)
 
 
+def test_parts_are_cut_where_no_piece_goes_across():
+    c = pieces.codec()
+    assert c.split("the end.\nnow") == ["▁the", "▁end", ".", "\n", "now"]
+    for text in ("the 'end'.\nnow  日本 1", "a<b>c", "  x▁▁y ", "½🙂"):
+        parts = c.split(text)
+        assert "".join(parts) == "▁" + text.replace(" ", "▁")
+        assert all(a[-1] + b[0] not in c.vocabulary.together for a, b in zip(parts, parts[1:]))
+    assert pieces.part_pattern({"a▁", "bc"}).findall("abc a▁") == ["abc a▁"]
+
+
 def test_other_kinds_of_models_are_refused(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 

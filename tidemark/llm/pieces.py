@@ -11,8 +11,8 @@ The pieces that begin at a place, longest first, are the matches that end there
 reversed pieces over the reversed text.  Pieces that merging cannot build take no part.  A character that is in no piece
 is one symbol of its own and is written as the pieces of its bytes.
 
-Two characters that stand together in no piece are never merged across.  Texts are cut there into parts that are encoded
-once each and held in a memo bounded by bytes, which saves work and changes no result.
+Two characters that stand together in no piece are never merged across.  Texts are cut into parts at such places, and
+each distinct part is encoded once and held in a memo bounded by bytes, which saves work and changes no result.
 
 The text is normalised as the model says: the identity with escaped spaces and one space put before a text, which is
 what the operator requires of a model.  Null text counts as empty and has no ids.  Rows are kept one to one.
@@ -22,13 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import ahocorasick
-import pyarrow as pa
 import public_tokenizers
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm._base import table, text_or_empty
@@ -139,46 +138,69 @@ class Backtracker:
 
 
 class Memo(dict):
-    """Entries by string in a bounded number of bytes: emptied when full, and without strings of over ``LONGEST`` characters."""
+    """ids as text by part, in a bounded number of bytes: emptied when full, and without parts of over ``LONGEST`` characters."""
 
-    LONGEST, OVERHEAD = 64, 300
+    LONGEST, OVERHEAD = 64, 200
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.size = most, 0
 
-    def learn(self, key: str, entry: tuple[bytes, int, bytes]) -> None:
-        if len(key) > self.LONGEST:
-            return
-        more = 4 * len(key) + len(entry[0]) + len(entry[2]) + self.OVERHEAD
+    def learn(self, found: dict[str, bytes]) -> None:
+        short = {k: v for k, v in found.items() if len(k) <= self.LONGEST}
+        more = sum(4 * len(k) + len(v) + self.OVERHEAD for k, v in short.items())
         if self.size + more > self.most:
             self.clear()
             self.size = 0
-        self[key] = entry
-        self.size += more
+        if more <= self.most:
+            self.update(short)
+            self.size += more
+
+
+def part_pattern(together: set[str]) -> re.Pattern[str]:
+    """Parts of a text that no piece goes across: spaces and a run of characters that stand together in pieces, at most.
+
+    Characters that pieces join, directly or by way of others, are one class; a space joins what follows it only.
+    """
+    head: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while head.setdefault(c, c) != c:
+            head[c] = c = head[head[c]]
+        return c
+
+    for a, b in together:
+        if b == _SPACE != a:
+            return re.compile(".+", re.DOTALL)  # pieces go on after a space: texts are not cut at all
+        if a != _SPACE:
+            head[root(a)] = root(b)
+    classes: dict[str, list[str]] = {}
+    for c in sorted(head):
+        classes.setdefault(root(c), []).append(c)
+    runs = [f"[{''.join(map(re.escape, cs))}]+" for cs in sorted(classes.values(), key=len, reverse=True)]
+    return re.compile(f"{_SPACE}*(?:{'|'.join([*runs, f'[^{_SPACE}]'])})|{_SPACE}+", re.DOTALL)
 
 
 class PieceCodec:
-    """ids and decoded text of whole texts: words and the parts of words are encoded and decoded once and put together.
+    """ids and decoded text of whole texts: parts are encoded once each and put together.
 
-    An entry is the ids as decimal text, each after a comma, their number and the decoded text.
+    The memo holds a part's ids as decimal text, each after a comma, if the part decodes to itself.
     """
 
-    def __init__(self, path: str, memo_bytes: int = 160 << 20):
+    def __init__(self, path: str, memo_bytes: int = 200 << 20):
         import sentencepiece
 
         self.vocabulary = Vocabulary(path)
         self.backtracker = Backtracker(self.vocabulary)
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_word, self.by_part = Memo(memo_bytes), Memo(memo_bytes)
-        #: An id before a part keeps the library from dropping the part's own leading space.
-        self.lead = self.vocabulary.ids["a"]
-        # a word begins with the spaces that follow another character, if no piece goes across such a place
-        self.cuts = not any(p[1] == _SPACE and p[0] != _SPACE for p in self.vocabulary.together)
-        # so does a character that stands in no piece with another
-        joined = {c for pair in self.vocabulary.together for c in pair}
-        alone = "".join(regex.escape(c) for c in map(chr, range(128)) if c not in joined and c != _SPACE)
-        self.words = regex.compile(f"{_SPACE}+[^{_SPACE}{alone}]*|[{alone}]|[^{_SPACE}{alone}]+")
+        self.memo = Memo(memo_bytes)
+        self.pattern = part_pattern(self.vocabulary.together)
+        # an id before each keeps the library from dropping a leading space
+        lead, of_byte = self.vocabulary.ids["a"], set(self.vocabulary.of_byte.values())
+        decoded = self.processor.decode([[lead, i] for i in range(len(self.vocabulary.pieces))])
+        #: What the library makes of each id; ids of bytes have a text only together.
+        self.surface = {i: d[1:] for i, d in enumerate(decoded) if i not in of_byte}
+        self.lead = lead
 
     def ids_of(self, symbols: list[str]) -> list[int]:
         ids, of_byte, out = self.vocabulary.ids, self.vocabulary.of_byte, []
@@ -190,47 +212,50 @@ class PieceCodec:
                 out.append(known)
         return out
 
-    def parts(self, word: str) -> list[str]:
-        """``word`` cut wherever no piece holds the two characters at the place."""
-        together = self.vocabulary.together
-        edges = [k for k, (a, b) in enumerate(pairwise(word), 1) if a + b not in together]
-        return [word[a:b] for a, b in zip([0, *edges], [*edges, len(word)])] if edges else [word]
-
-    def _part(self, part: str) -> tuple[bytes, int, bytes]:
-        entry = self.by_part.get(part)
-        if entry is None:
-            ids = self.ids_of(self.backtracker.encode(part))
-            entry = ("," + ",".join(map(str, ids))).encode(), len(ids), self.processor.decode([self.lead, *ids])[1:].encode()
-            self.by_part.learn(part, entry)
-        return entry
-
-    def _word(self, word: str) -> tuple[bytes, int, bytes]:
-        each = [self._part(p) for p in self.parts(word)]
-        entry = each[0] if len(each) == 1 else (b"".join([e[0] for e in each]), sum([e[1] for e in each]), b"".join([e[2] for e in each]))
-        self.by_word.learn(word, entry)
-        return entry
+    def part_ids(self, part: str) -> list[int]:
+        return self.ids_of(self.backtracker.encode(part))
+
+    def decoded_part(self, ids: list[int]) -> str:
+        try:
+            return "".join([self.surface[i] for i in ids])
+        except KeyError:
+            return self.processor.decode([self.lead, *ids])[1:]
 
     def split(self, text: str) -> list[str]:
-        """The normalised text in words that no piece goes across."""
-        if not text:
-            return []
-        text = _SPACE + text.replace(" ", _SPACE)
-        return self.words.findall(text) if self.cuts else [text]
+        """The normalised text in parts that no piece goes across."""
+        return self.pattern.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for word in self.split(text) for part in self.parts(word) for i in self.ids_of(self.backtracker.encode(part))]
+        return [i for part in self.split(text) for i in self.part_ids(part)]
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
+    def encode_and_decode(self, text: str) -> tuple[bytes, str]:
+        """The ids as decimal text with commas between, and the text that they decode to."""
+        parts, memo = self.split(text), self.memo
+        try:
+            # all parts are known to decode to themselves
+            return b"".join([memo[p] for p in parts])[1:], text.replace(_SPACE, " ")
+        except KeyError:
+            pass
+        new, odd = {}, {}
+        for p in {p for p in parts if p not in memo}:
+            ids = self.part_ids(p)
+            new[p] = ("," + ",".join(map(str, ids))).encode()
+            back = self.decoded_part(ids)
+            if back != p.replace(_SPACE, " "):
+                odd[p] = back
+        out = b"".join([new[p] if p in new else memo[p] for p in parts])[1:]
+        # the space that was put before the text is no part of the decoded text
+        decoded = "".join([odd[p] if p in odd else p.replace(_SPACE, " ") for p in parts])[1:] if odd else text.replace(_SPACE, " ")
+        memo.learn({p: ids for p, ids in new.items() if p not in odd})
+        return out, decoded
+
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """The number of ids, the sha256 of the ids as decimal text and that of the decoded text."""
-        known = self.by_word
-        entries = [known.get(w) or self._word(w) for w in self.split(text)]
-        ids = b"".join([e[0] for e in entries])[1:]
-        # the space that was put before the text is no part of the decoded text
-        decoded = b"".join([e[2] for e in entries])[1:]
-        return sum([e[1] for e in entries]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        ids, decoded = self.encode_and_decode(text)
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 _loaded: dict[str, PieceCodec] = {}
