@@ -188,18 +188,19 @@ def test_batch_that_is_run_again_doubles_nothing(session, tmp_path, monkeypatch)
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "1.json").write_text("".join(json.dumps({"timestamp_utc": "2026-01-01T00:00:00", "level": "I", "message": "pump 4 broke", "raw": "r", "fields": "{}", "seq": n}) + "\n" for n in range(3)))
-    real = Session.replace_files
-    for stop in ("log_entries", "import_tags"):
+    for step in ("write_entries", "write_tags", "commit"):
+        real = getattr(Session, step)
 
-        def fails(self, staged, table, name, stop=stop):
-            real(self, staged, table, name)
-            if table.startswith(stop):
-                raise OSError("stopped")
+        def fails(self, *args, real=real, **more):
+            if real.__name__ != "commit":
+                real(self, *args, **more)
+            raise OSError("stopped")
 
-        monkeypatch.setattr(Session, "replace_files", fails)
+        monkeypatch.setattr(Session, step, fails)
         with pytest.raises(Exception, match="stopped"):
             watch(session, str(folder), "app", RULES, f"{tmp_path}/cp", "live").awaitTermination()
-    monkeypatch.setattr(Session, "replace_files", real)
+        monkeypatch.setattr(Session, step, real)
+        assert session.entries().count() == 0 and session.import_tags().count() == 0
     watch(session, str(folder), "app", RULES, f"{tmp_path}/cp", "live").awaitTermination()
     assert session.entries().count() == 3 and session.import_tags().count() == 6
 

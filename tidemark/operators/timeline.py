@@ -15,6 +15,7 @@ from tidemark.functions.timezones import Zone, display_text, ntz_text
 from tidemark.model import KEY
 from tidemark.operators.compiler import check_patterns, compile_term, conjuncts, fold, needs_sources, tag_condition
 from tidemark.operators.grammar import Term, parse
+from tidemark.operators.required import of_query
 
 ORDER = ["timestamp_utc", "event_id_source", "event_id_seq"]
 #: Pages larger than this are joined without a broadcast of their keys.
@@ -32,10 +33,12 @@ class Timeline:
     """A timeline over ``entries``, ``sources`` and ``tags``; analyst tags and notes are optional.
 
     Entries that are stored with their sourcetype and virtual columns are searched by those columns, others by
-    expressions over ``fields`` and the sourcetype of their source.
+    expressions over ``fields`` and the sourcetype of their source.  An ``index``
+    (:class:`tidemark.plans.ngrams.NgramIndex`) leaves out files and stretches of entries that the texts of a search rule out.
     """
 
-    def __init__(self, entries: DataFrame, sources: DataFrame, tags: DataFrame, analyst_tags: DataFrame | None = None, notes: DataFrame | None = None):
+    def __init__(self, entries: DataFrame, sources: DataFrame, tags: DataFrame, analyst_tags: DataFrame | None = None, notes: DataFrame | None = None, index=None):
+        self.index = index
         self.entries, self.sources, self.tags = entries, sources, tags
         self.analyst_tags, self.notes = analyst_tags, notes
         self.stored = {"sourcetype", *PATHS} <= set(entries.columns)
@@ -59,6 +62,9 @@ class Timeline:
             if strict:
                 raise
             return rows.where(F.lit(False))
+        pruned = self.index.prune(of_query(terms)) if self.index is not None and terms else None
+        if pruned is not None:
+            rows = pruned.entries
         if needs_sources(terms, self.stored):
             rows = self.with_sources(rows)
         either, each = conjuncts(terms)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark import model, packs
 from tidemark.operators.tagging import Rule, tag_entries
-from tidemark.plans.session import Session, utc_now
+from tidemark.plans import ngrams
+from tidemark.plans.session import STORED, Session, utc_now
 from tidemark.sources.discovery import byte_size, source_files
 from tidemark.sources.formats import BadFormat, TextFormat
 from tidemark.sources.journald import read_journals
@@ -64,14 +64,17 @@ class Progress:
 
 def load(
     session: Session, kind: str, path: str, fmt: TextFormat | None = None, rules: list[Rule] = (), suffix: str | None = None, zone: str | None = None, ids: list[str] | None = None,
-    group: int | None = None, progress: Callable[[Progress], None] | None = None, cancelled: Callable[[], bool] | None = None,
+    group: int | None = None, progress: Callable[[Progress], None] | None = None, cancelled: Callable[[], bool] | None = None, name: str | None = None, index: bool = True,
 ) -> LoadSummary:
-    """Load a file or folder: entries, then their tags, then the source rows that make them visible as sources.
+    """Load a file or folder: entries with their sources, tags and text index, which become visible together.
 
     ``zone`` is assumed for a text format that names none.  ``ids`` fixes the source ids (tests).  A file with a bad
     record, and one without records, is skipped with a reason; the others are loaded.  With ``group`` the files are
     loaded that many at a time: ``progress`` is told after each group, and where ``cancelled`` says so no further group
     is begun; what is loaded stays.
+
+    ``name`` names the load.  A load that failed or was stopped leaves nothing that a reader sees; done again under its
+    name it replaces what is left of it, and what it had committed (all, or some groups of files) is not done again.
     """
     started, sourcetype = int(time.time()), fmt.sourcetype if kind == "text" and fmt else kind
     summary, status = LoadSummary(), "ok"
@@ -82,6 +85,7 @@ def load(
         if not found:
             raise LoadError(f"no {kind} files in {path}")
         files = list(zip(ids or [str(uuid.uuid4()) for _ in found], found))
+        name = name or uuid.uuid4().hex
         assumed = fmt.with_assumptions(zone) if fmt else None
         sizes = [byte_size(session.spark, p) for _, p in files] if progress else []
         step = group or len(files)
@@ -89,7 +93,7 @@ def load(
             if cancelled is not None and cancelled():
                 status = "cancelled"
                 break
-            summary.add(_load(session, kind, files[at : at + step], assumed, list(rules), sourcetype))
+            summary.add(_load(session, kind, files[at : at + step], assumed, list(rules), sourcetype, f"{name}-{at // step}", index))
             if progress is not None:
                 progress(Progress(min(at + step, len(files)), len(files), sum(sizes[: at + step]), sum(sizes)))
     except Exception as e:
@@ -102,15 +106,18 @@ def load(
     return summary
 
 
-def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None, rules: list[Rule], sourcetype: str) -> LoadSummary:
+def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None, rules: list[Rule], sourcetype: str, name: str, index: bool) -> LoadSummary:
     spark = session.spark
-    staged_path = f"{session.path}/staging/{uuid.uuid4().hex}"
+    done = session.committed(name)
+    if done is not None:
+        return LoadSummary(done["inserted"], done["skipped"], done["tags_by_rule"], done["source_ids"])
+    staged_path = f"{session.path}/staging/{name}"
     try:
         if fmt is not None:
             fmt.validate()
     except BadFormat as e:
         raise LoadError(str(e)) from None
-    read(session, kind, files, fmt).write.parquet(staged_path)
+    read(session, kind, files, fmt).write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     # one row for each file of the driver's own list
     first = F.min(F.when(F.col("error").isNotNull(), F.struct("event_id_seq", "error")))
@@ -125,18 +132,21 @@ def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFo
             summary.inserted[p], summary.source_ids[p] = state[i]["n"], i
             good.append(i)
     if good:
+        session.begin(name)
+        tables = ["log_entries", "load_sources"]
         kept = spark.createDataFrame([(i,) for i in good], "event_id_source string")
-        rows = staged.join(F.broadcast(kept), "event_id_source", "left_semi").select(*model.LOG_ENTRIES.names)
-        session.append_entries(rows, sourcetype)
+        session.write_entries(staged.join(F.broadcast(kept), "event_id_source", "left_semi").select(*model.LOG_ENTRIES.names), sourcetype, name)
         source_rows = [(i, p, sourcetype, None, None) for p, i in summary.source_ids.items()]
-        new = spark.createDataFrame(source_rows, model.SOURCES)
+        session.write_sources(source_rows, name)
         if rules:
-            tags = tag_entries(rows, new, rules, utc_now())
-            session.append_tags(tags)
-            counted = session.import_tags().join(F.broadcast(kept), "event_id_source", "left_semi").groupBy("rule_name").count().collect()
+            session.write_tags(tag_entries(session.load_entries(name), spark.createDataFrame(source_rows, model.SOURCES), rules, utc_now()), name)
+            tables.append("load_tags")
+            counted = session.loaded("load_tags", model.IMPORT_TAGS, [{"load": name, "tables": tables}]).groupBy("rule_name").count().collect()
             summary.tags_by_rule = {r["rule_name"]: r["count"] for r in counted}
-        session.append("sources", source_rows)
-        session.set_state("loaded_sources", json.dumps([*session.loaded_sources(), *summary.inserted]))
+        if index:
+            ngrams.write(session, name, STORED)
+            tables += ["ngrams", "ngram_files"]
+        session.commit(name, tables, inserted=summary.inserted, skipped=summary.skipped, tags_by_rule=summary.tags_by_rule, source_ids=summary.source_ids)
     p = spark._jvm.org.apache.hadoop.fs.Path(staged_path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     return summary

@@ -1,7 +1,9 @@
 """A session: a folder of Parquet tables with the timeline and the analyst's state.
 
-All tables are only appended to (re-tagging writes a new version of the tags and then points to it), so readers never see
-half a change.  Small state tables are kept by one driver; the timeline tables may be of any size.
+A load (or a retagging) writes its tables below a folder of its own name and then one small file in ``commits``.  Readers
+see the folders of committed loads only, so a load is there with its entries, sources and tags, or not at all, wherever it
+stops.  A load that is done again under its name first removes what the attempt before it left; one that is committed is
+not done again.  Small state tables are kept by one driver; the timeline tables may be of any size.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from tidemark import model
 from tidemark.functions.extract import PATHS, virtual
 from tidemark.operators.tagging import Rule, retag_summary, tag_entries
 from tidemark.operators.timeline import Timeline
+from tidemark.plans.ngrams import NgramIndex
 
 _SCHEMAS = {"sources": model.SOURCES, "analyst_tags": model.ANALYST_TAGS, "event_notes": model.EVENT_NOTES, "session_state": model.SESSION_STATE, "activity_log": model.ACTIVITY_LOG}
 #: Entries are stored with their sourcetype and virtual columns, so that filters on them reach the Parquet scan.
+#: Tables that a load may write.
+LOADED = ["log_entries", "load_sources", "load_tags", "ngrams", "ngram_files"]
 STORED = T.StructType([*model.LOG_ENTRIES.fields, T.StructField("sourcetype", T.StringType()), *[T.StructField(n, T.StringType()) for n in PATHS]])
 
 
@@ -41,6 +46,7 @@ class Session:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, str(path).rstrip("/")
+        self._commits: dict[str, dict] = {}
 
     def _exists(self, name: str) -> bool:
         files, p = self._fs(f"{self.path}/{name}")
@@ -55,10 +61,70 @@ class Session:
     def append(self, name: str, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, _SCHEMAS[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
+    # loads
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def commits(self) -> list[dict]:
+        """What is committed, in order: number, load, tables and what else the load noted. Commits never change, so each is read once."""
+        files, folder = self._fs(f"{self.path}/commits")
+        names = sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []
+        for name in names:
+            if name.endswith(".json") and name not in self._commits:
+                self._commits[name] = json.loads(self.spark.read.text(f"{self.path}/commits/{name}", wholetext=True).first()[0])
+        return [self._commits[n] for n in names if n in self._commits]
+
+    def committed(self, load: str) -> dict | None:
+        return next((c for c in self.commits() if c["load"] == load), None)
+
+    def folder(self, table: str, load: str) -> str:
+        return f"{self.path}/{table}/load={load}"
+
+    def begin(self, load: str) -> None:
+        """Remove what an attempt of this load that was not committed has left."""
+        for table in LOADED:
+            files, p = self._fs(self.folder(table, load))
+            files.delete(p, True)
+
+    def commit(self, load: str, tables: list[str], **noted) -> None:
+        """Make a load visible, all its tables at once: its file appears whole under its name or not at all."""
+        number = max((c["number"] for c in self.commits()), default=0) + 1
+        text = json.dumps({"number": number, "load": load, "tables": tables, **noted})
+        name = f"{number:012d}-{load}.json"
+        files, target = self._fs(f"{self.path}/commits/{name}")
+        _, written = self._fs(f"{self.path}/commits/_{uuid.uuid4().hex}")
+        files.mkdirs(target.getParent())
+        out = files.create(written, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not files.rename(written, target):
+            raise OSError(f"{target} could not be written")
+
+    def vacuum(self) -> list[str]:
+        """Remove the tables of loads that never were committed; no load may be under way. Returns their names."""
+        known, gone = {c["load"] for c in self.commits()}, set()
+        for table in LOADED:
+            for name in _folders(self.spark, f"{self.path}/{table}"):
+                load = name.removeprefix("load=")
+                if load not in known:
+                    files, p = self._fs(f"{self.path}/{table}/{name}")
+                    files.delete(p, True)
+                    gone.add(load)
+        return sorted(gone)
+
+    def loaded(self, table: str, schema: T.StructType, commits: list[dict] | None = None) -> DataFrame:
+        """A table of the committed loads (or of ``commits``)."""
+        paths = [self.folder(table, c["load"]) for c in (self.commits() if commits is None else commits) if table in c["tables"]]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*paths).select(*schema.names)
+
     # timeline
 
     def stored_entries(self) -> DataFrame:
-        return self.table("log_entries", STORED)
+        return self.loaded("log_entries", STORED)
 
     def entries(self) -> DataFrame:
         return self.stored_entries().select(*model.LOG_ENTRIES.names)
@@ -68,58 +134,52 @@ class Session:
         typed = rows.withColumn("sourcetype", F.lit(sourcetype))
         return typed.select(*model.LOG_ENTRIES.names, "sourcetype", *[virtual(n).alias(n) for n in PATHS])
 
+    def write_entries(self, rows: DataFrame, sourcetype: str, load: str) -> None:
+        """The entries of a load, a folder for each source, so that ``source_id`` prunes, in the order of their numbers."""
+        stored = self.stored_form(rows, sourcetype).sortWithinPartitions(*model.KEY)
+        stored.write.partitionBy("event_id_source").parquet(self.folder("log_entries", load))
+
     def append_entries(self, rows: DataFrame, sourcetype: str) -> None:
-        """Append entries of one sourcetype, a folder for each source, so that ``source_id`` prunes."""
-        self.stored_form(rows, sourcetype).write.mode("append").partitionBy("event_id_source").parquet(f"{self.path}/log_entries")
+        """Entries as a load of their own, without sources or tags."""
+        load = uuid.uuid4().hex
+        self.write_entries(rows, sourcetype, load)
+        self.commit(load, ["log_entries"])
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def write_sources(self, rows: list[tuple], load: str) -> None:
+        self.spark.createDataFrame(rows, model.SOURCES).coalesce(1).write.parquet(self.folder("load_sources", load))
 
-    def replace_files(self, staged: str, table: str, name: str) -> None:
-        """Move the part files of ``staged`` into a folder of the session as ``name-part-...``, in place of those of that name."""
-        files, target = self._fs(f"{self.path}/{table}")
-        files.mkdirs(target)
-        for f in files.listStatus(target):
-            if f.getPath().getName().startswith(f"{name}-part-"):
-                files.delete(f.getPath(), False)
-        parts = [f.getPath() for f in files.listStatus(self._fs(staged)[1]) if f.getPath().getName().startswith("part-")]
-        for p in parts:
-            if not files.rename(p, self._fs(f"{self.path}/{table}/{name}-{p.getName()}")[1]):
-                raise OSError(f"{p} could not be moved")
+    def write_tags(self, tags: DataFrame, load: str) -> None:
+        tags.select(*model.IMPORT_TAGS.names).write.parquet(self.folder("load_tags", load))
+
+    def load_entries(self, load: str) -> DataFrame:
+        """Entries of a load that is under way."""
+        return self.loaded("log_entries", STORED, [{"load": load, "tables": ["log_entries"]}]).select(*model.LOG_ENTRIES.names)
 
     def sources(self) -> DataFrame:
-        return self.table("sources")
+        """Sources of the loads, and those that were added by hand."""
+        return self.table("sources").unionByName(self.loaded("load_sources", model.SOURCES))
 
     def import_tags(self) -> DataFrame:
-        version = self.state().get("import_tags")
-        return self.table(f"import_tags/{version}", model.IMPORT_TAGS) if version else self.spark.createDataFrame([], model.IMPORT_TAGS)
-
-    def append_tags(self, tags: DataFrame) -> None:
-        version = self.tags_version()
-        tags.select(*model.IMPORT_TAGS.names).write.mode("append").parquet(f"{self.path}/import_tags/{version}")
-
-    def tags_version(self) -> str:
-        """The folder of the import tags that hold; a new one if there is none."""
-        version = self.state().get("import_tags")
-        if version is None:
-            version = uuid.uuid4().hex
-            self.set_state("import_tags", version)
-        return version
+        """The tags of the last retagging and of the loads that it had not seen."""
+        commits = self.commits()
+        last = next((c for c in reversed(commits) if "covers" in c), None)
+        seen = set(last["covers"]) if last else set()
+        return self.loaded("load_tags", model.IMPORT_TAGS, [c for c in commits if c is last or "covers" not in c and c["load"] not in seen])
 
     def retag(self, rules: list[Rule]) -> dict[str, int]:
         """Recompute all import tags; the new table is complete before it replaces the old one. Returns tags by rule."""
-        started, version = int(time.time()), uuid.uuid4().hex
-        tags = tag_entries(self.entries(), self.sources(), rules, utc_now()).select(*model.IMPORT_TAGS.names)
-        tags.write.parquet(f"{self.path}/import_tags/{version}")
-        self.set_state("import_tags", version)
+        started, load, covers = int(time.time()), f"retag-{uuid.uuid4().hex}", self.commits()
+        rows = self.loaded("log_entries", STORED, covers).select(*model.LOG_ENTRIES.names)
+        self.write_tags(tag_entries(rows, self.sources(), rules, utc_now()), load)
+        self.commit(load, ["load_tags"], covers=[c["load"] for c in covers])
         counts = {r["rule_name"]: r["n"] for r in retag_summary(self.import_tags()).collect()}
         self.record("retag", started, status="ok", tags_applied=sum(counts.values()), tags_by_rule=list(counts.items()))
         return counts
 
     def timeline(self) -> Timeline:
         """The whole session, searched by its stored columns."""
-        return Timeline(self.stored_entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes())
+        indexed = any("ngrams" in c["tables"] for c in self.commits())
+        return Timeline(self.stored_entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes(), NgramIndex(self, STORED) if indexed else None)
 
     # analyst state
 
@@ -187,7 +247,8 @@ class Session:
         self.set_state("display_name", name)
 
     def loaded_sources(self) -> list[str]:
-        return json.loads(self.state().get("loaded_sources") or "[]")
+        """Paths of the loaded files, in the order of their loads."""
+        return [p for c in self.commits() for p in c.get("inserted", {})]
 
     def byte_size(self) -> int:
         files, p = self._fs(self.path)
@@ -227,11 +288,9 @@ def session_counts(spark: SparkSession, folder: str | Path) -> DataFrame:
     """session, entries, newest first: one job over the entries of all sessions, of which only file footers are read."""
     names = list_sessions(spark, folder)
     ids = spark.createDataFrame([(n,) for n in names], "session string")
-    paths = [p for n in names if Session(spark, p := f"{folder}/{n}")._exists("log_entries")]
-    if not paths:
+    each = [Session(spark, f"{folder}/{n}").stored_entries().select(F.lit(n).alias("session")) for n in names]
+    if not each:
         return ids.withColumn("entries", F.lit(0).cast("long"))
-    # every session's partitions lie below a folder of its own
-    each = [spark.read.schema(STORED).parquet(f"{p}/log_entries").select(F.lit(p.rsplit("/", 1)[1]).alias("session")) for p in paths]
     counts = reduce(DataFrame.unionAll, each).groupBy("session").agg(F.count("*").alias("entries"))
     return ids.join(counts, "session", "left").select("session", F.coalesce("entries", F.lit(0)).alias("entries")).orderBy(F.desc("session"))
 
