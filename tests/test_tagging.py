@@ -1,6 +1,8 @@
 """Rules: matching by type, packs, rule files, and the ways to apply them."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 
 from tidemark import packs
 from tidemark.operators import rulefiles
-from tidemark.operators.tagging import BadRule, Rule, evaluate, matches, matches_by_batch, owner_of_tag, retag_summary, tag_entries, taggable
+from tidemark.operators.tagging import BadRule, Rule, apply_rules, evaluate, matches, matches_in_one_pass, owner_of_tag, retag_summary, tag_entries, taggable
 
 DOCS = [
     ("evtx", "2", "msg one", {"Event": {"System": {"EventID": 4625, "Computer": "W", "Provider_attributes": {"Name": "P"}}}}),
@@ -114,24 +116,42 @@ RULES = [
 ]
 
 
-def test_rules_by_columns_and_by_batch(rows):
+def test_rules_by_columns_and_in_one_pass(rows):
     want = sorted((r.name, k) for r in RULES for k, d in enumerate(DOCS) if _brute(r, d))
-    for apply in (matches, matches_by_batch):
+    for apply in (matches, matches_in_one_pass):
         assert sorted((r.rule_name, r.event_id_seq) for r in apply(rows, RULES).collect()) == want, apply
-    assert matches(rows, []).count() == 0 == matches_by_batch(rows, []).count()
+    assert matches(rows, []).count() == 0 == matches_in_one_pass(rows, []).count()
 
 
-def test_packs_by_columns_and_by_batch(spark):
+def test_packs_by_columns_and_in_one_pass(spark):
     needles = [n for r in packs.all_rules() for n in r.needles()]
     docs = [("aul", None, f"x {n} y", {"category": "other"}) for n in needles[:60]]
     docs += [("evtx", None, None, {"Event": {"System": {"EventID": e}}}) for e in (4624, 4648, 4776, 1)]
     docs += [("journald", None, "Linux version 6", {"_TRANSPORT": "kernel"}), ("journald", None, "session closed for user x", {"_COMM": "sshd"})]
     data = [("s", k, d[1], d[2], json.dumps(d[3]), d[0]) for k, d in enumerate(docs)]
     df = spark.createDataFrame(data, "event_id_source string, event_id_seq long, level string, message string, fields string, sourcetype string")
-    found = sorted((r.rule_name, r.event_id_seq) for r in matches_by_batch(df, packs.all_rules()).collect())
+    found = sorted((r.rule_name, r.event_id_seq) for r in matches_in_one_pass(df, packs.all_rules()).collect())
     assert found == sorted((r.name, k) for r in packs.all_rules() for k, d in enumerate(docs) if _brute(r, d))
 
 
+def test_needles_that_overlap(spark):
+    """Needles within, beginning like and crossing each other, on random messages."""
+    r = random.Random(3)
+    needles = ["a", "ab", "abc", "bc", "b.c", "é", "éa", "日本", "(", "a\nb", "🙂", "🙂a", "\\Q"]
+    rules = [Rule(f"n{k}", "t", (("message_contains", n),)) for k, n in enumerate(needles)]
+    rules += [Rule(f"s{k}", "t", (("sourcetype", r.choice(["evtx", "x"])), ("message_contains", tuple(r.sample(needles, 3))), ("level", r.choice("AB")))) for k in range(20)]
+    data = [("s", k, r.choice(["A", "B", None]), r.choice([None, "".join(r.choice(needles + list("abc.(")) for _ in range(r.randint(0, 6)))]), None, r.choice(["evtx", "x", "other"])) for k in range(400)]
+    df = spark.createDataFrame(data, "event_id_source string, event_id_seq long, level string, message string, fields string, sourcetype string")
+    want = Counter((x.rule_name, x.event_id_seq) for x in matches(df, rules).collect())
+    assert want == Counter((x.rule_name, x.event_id_seq) for x in matches_in_one_pass(df, rules).collect()) and len({n for n, _ in want}) == 33
+
+
+def test_packs_need_no_python_and_no_code_of_their_own(spark):
+    df = spark.createDataFrame([("s", 1, "1", "m", "{}", "evtx")], "event_id_source string, event_id_seq long, level string, message string, fields string, sourcetype string")
+    plan = apply_rules(df, packs.all_rules())._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Exchange")) and plan.count("regexp_extract_all") < 20
+
+
 def test_packs_are_complete():
     assert [len(packs.rules(p)) for p in packs.RULE_PACKS] == [37, 35, 15]
     names = [r.name for r in packs.all_rules()]

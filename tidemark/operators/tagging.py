@@ -8,14 +8,14 @@ a float with any number, a boolean with a boolean.
 
 from __future__ import annotations
 
+import json
 import tomllib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import KEY
@@ -95,14 +95,16 @@ def _typed_equal(actual: Column, expected: object) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _field(key: str, expected: object) -> Column:
+def _value(key: str) -> Column:
     flat = _at([key])
-    if key not in _NORMALISED:
-        return _typed_equal(flat, expected)
     value = flat
-    for kind, paths in _NORMALISED[key].items():
+    for kind, paths in _NORMALISED.get(key, {}).items():
         value = F.when(F.col("sourcetype") == kind, F.coalesce(*map(_at, paths), flat)).otherwise(value)
-    return _typed_equal(value, expected)
+    return value
+
+
+def _field(key: str, expected: object) -> Column:
+    return _typed_equal(_value(key), expected)
 
 
 def condition(rule: Rule) -> Column:
@@ -145,56 +147,121 @@ def matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.select(*KEY, "hit.rule_name", "hit.tag_value")
 
 
-def matches_by_batch(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """As :func:`matches`, for packs of dozens of rules, whose columns are too much code to compile.
+#: A fact that no row has.
+_NEVER = "never"
+_PLAIN = ("sourcetype", "level", "message", "message_contains")
+#: Types of JSON values that facts tell apart, by the type of a rule's value.
+_TYPES = {bool: "b", int: "i", float: "f", str: "s"}
 
-    Conditions on ``fields`` stay columns (a few booleans); sourcetype, level, message and needles are looked at in
-    Arrow batches, needles only for the rules of the row's sourcetype.
+
+def needle_pattern(needles: list[str]) -> str:
+    """A pattern whose group is the longest of ``needles`` (none empty) that begins at a place; the next match begins at the next place.
+
+    The needles are written as a tree of their characters, so that a place is looked at once for all that begin alike.
     """
+    tree: dict = {}
+    for n in needles:
+        node = tree
+        for c in n:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}") + written(below) for c, below in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)}){'?' if '' in node else ''}"
+
+    return f"(?=({written(tree)}))"
+
+
+def _double_text(x: float) -> str:
+    """A double as Spark writes it; both zeros are one."""
+    return SparkSession.active()._jvm.java.lang.Double.toString(x + 0.0)
+
+
+def _typed(kind: str, key: str) -> str:
+    """The beginning of a fact about a field; the key's length keeps it apart from what follows."""
+    return f"{kind}{len(key)}:{key}="
+
+
+def _facts(rules: list[Rule]) -> Column:
+    """What a row is, as far as ``rules`` ask: an array of strings, one for each of level, message, typed field and needle."""
+    asked = {k for r in rules for k, _ in r.match}
+    parts = [F.concat(F.lit(f"{k}="), F.col(k)) for k in ("level", "message") if k in asked]
+    for key, kind in sorted({(k, _TYPES[type(v)]) for r in rules for k, v in r.match if k not in _PLAIN and type(v) in _TYPES}):
+        value = _value(key)
+        is_a = F.schema_of_variant(value)
+        if kind == "b":
+            right, text = is_a == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("string")
+        elif kind == "i":
+            right, text = is_a == "BIGINT", F.try_variant_get(value, "$", "bigint").cast("string")
+        elif kind == "f":
+            right, text = is_a.isin("BIGINT", "DOUBLE", "FLOAT") | is_a.startswith("DECIMAL"), (F.try_variant_get(value, "$", "double") + F.lit(0.0)).cast("string")
+        else:
+            right, text = is_a == "STRING", F.try_variant_get(value, "$", "string")
+        parts.append(F.when(right, F.concat(F.lit(_typed(kind, key)), text)))
+    needles = sorted({n for r in rules for n in r.needles()})
+    if "" in needles:
+        parts.append(F.when(F.col("message").isNotNull(), F.lit("needle=")))
+    none = F.array().cast("array<string>")
+    known = F.array_compact(F.array(*parts)) if parts else none
+    if any(needles):
+        found = F.array_distinct(F.regexp_extract_all("message", F.lit(needle_pattern([n for n in needles if n])), 1))
+        known = F.concat(known, F.coalesce(F.transform(found, lambda n: F.concat(F.lit("needle="), n)), none))
+    return known
+
+
+def _as_data(rule: Rule, needles: list[str]) -> dict:
+    """The facts that a rule needs, and those of which it needs one: its needles, and longer ones that begin with one of them."""
+    every, some = [], None
+    for key, v in rule.match:
+        if key == "message_contains":
+            own = rule.needles()
+            some = [f"needle={n}" for n in needles if any(n.startswith(o) for o in own)] or [_NEVER]
+        elif key in _PLAIN:
+            every += [f"{key}={v}"] if key != "sourcetype" else []
+        elif type(v) in _TYPES:
+            text = str(v).lower() if isinstance(v, bool) else _double_text(v) if isinstance(v, float) else str(v)
+            every.append(_typed(_TYPES[type(v)], key) + text)
+        else:
+            every.append(_NEVER)
+    return {"rule_name": rule.name, "tag_value": rule.tag, "every": every, "some": some}
+
+
+def matches_in_one_pass(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """As :func:`matches`, for packs of dozens of rules: what a row is is found once, and rules are data that it is held against.
+
+    Each sourcetype has one pattern for all its needles and one array of its rules, both literals; a row is looked at for
+    those of its own sourcetype.  Nothing of it is Python, and the code does not grow with the rules.
+    """
+    rules = [r for r in rules if all(isinstance(v, str) for k, v in r.match if k in ("sourcetype", "level", "message"))]
     if not rules:
         return matches(rows, rules)
-    typed = [r for r in rules if reads_fields(r)]
-    # the type is part of the condition: 1, 1.0 and true are equal in Python only
-    parts = {r.name: [(k, type(v).__name__, v) for k, v in r.match if k not in ("sourcetype", "level", "message", "message_contains")] for r in typed}
-    wanted = sorted({kv for kvs in parts.values() for kv in kvs}, key=repr)
-    flags = F.array(*[_field(k, v) for k, _, v in wanted]) if wanted else F.array().cast("array<boolean>")
-    plain = [
-        (
-            r.name,
-            r.tag,
-            {k: (v if isinstance(v, str) else None) for k, v in r.match if k in ("sourcetype", "level", "message")},
-            r.needles() if "message_contains" in dict(r.match) else None,
-            [wanted.index(kv) for kv in parts.get(r.name, [])],
-        )
-        for r in rules
-    ]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_kind: dict[str, list] = {}
-        for b in batches:
-            out = []
-            for source, seq, kind, level, message, flag in zip(*(c.to_pylist() for c in b.columns)):
-                if kind not in by_kind:
-                    by_kind[kind] = [p for p in plain if p[2].get("sourcetype", kind) == kind]
-                seen = {"level": level, "message": message}
-                for name, tag, equal, needles, at in by_kind[kind]:
-                    if needles is not None and (message is None or not any(n in message for n in needles)):
-                        continue
-                    if all(flag[i] for i in at) and all(v is not None and seen[k] == v for k, v in equal.items() if k != "sourcetype"):
-                        out.append((source, seq, name, tag))
-            cols = zip(*out) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], [*KEY, "rule_name", "tag_value"])
-
-    prepared = _with_fields(rows, rules).select(*KEY, "sourcetype", "level", "message", flags.alias("flags"))
-    return prepared.mapInArrow(run, "event_id_source string, event_id_seq long, rule_name string, tag_value string")
-
-
-#: Above this many rules the batch form is faster than one compiled column for each.
+    schema = "array<struct<rule_name:string,tag_value:string,every:array<string>,some:array<string>>>"
+    kinds = sorted({v for r in rules for k, v in r.match if k == "sourcetype"})
+
+    def of(kind: str | None) -> tuple[Column, Column]:
+        own = [r for r in rules if dict(r.match).get("sourcetype", kind) == kind]
+        needles = sorted({n for r in own for n in r.needles()})
+        return _facts(own), F.from_json(F.lit(json.dumps([_as_data(r, needles) for r in own])), schema)
+
+    facts, known = of(None)
+    for kind in kinds:
+        own, data = of(kind)
+        facts, known = (F.when(F.col("sourcetype") == kind, x).otherwise(y) for x, y in ((own, facts), (data, known)))
+    seen = _with_fields(rows, rules).select(*KEY, "sourcetype", facts.alias("_facts"))
+    holds = lambda r: F.forall(r["every"], lambda f: F.array_contains("_facts", f)) & (r["some"].isNull() | F.arrays_overlap(r["some"], "_facts"))
+    found = seen.select(*KEY, F.explode(F.filter(known, holds)).alias("hit"))
+    return found.select(*KEY, "hit.rule_name", "hit.tag_value")
+
+
+#: Above this many rules one pass is faster than one compiled column for each.
 COLUMN_RULES = 24
 
 
 def apply_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    return matches(rows, rules) if len(rules) <= COLUMN_RULES else matches_by_batch(rows, rules)
+    return matches(rows, rules) if len(rules) <= COLUMN_RULES else matches_in_one_pass(rows, rules)
 
 
 def tag_entries(entries: DataFrame, sources: DataFrame, rules: list[Rule], applied_at: datetime) -> DataFrame:

@@ -20,7 +20,7 @@ from tidemark.functions.labels import source_label
 from tidemark.functions.timezones import Zone, display_text
 from tidemark.operators import querytext as q
 from tidemark.operators import timeline as T
-from tidemark.operators.tagging import Rule, apply_rules, evaluate, matches_by_batch, retag_summary, taggable
+from tidemark.operators.tagging import Rule, apply_rules, evaluate, matches_in_one_pass, retag_summary, taggable
 from tidemark.operators.timeline import Timeline
 from tidemark.plans.export import export_folder, export_rows
 from tidemark.plans.load import LoadSummary, load
@@ -162,7 +162,7 @@ _add("export_rows", _export, f"{_SQL}, shown AS ({_DISPLAY} (SELECT * FROM x WHE
 _add("extract_fields", lambda s, d: (lambda t: t.display(t.entries).select("event_id_source", "event_id_seq", *T.VIRTUAL_NAMES))(timeline(s, d)), f"{_SQL} SELECT {_KEYS}, {_VIRTUAL} FROM x")
 _add("left_join_sources", lambda s, d: (lambda t: t.with_sources(t.entries).groupBy("sourcetype", "path").agg(F.count("*").alias("n")))(timeline(s, d)), f"{_SQL} SELECT sourcetype, path, count(*) AS n FROM x GROUP BY 1, 2")
 _add("retag", lambda s, d: timeline(s, d).tags, f"{_SQL} SELECT * FROM tg")
-_add("retag_batch", lambda s, d: matches_by_batch(taggable(entries(s, d), sources(s)), RULES), f"{_SQL} SELECT * FROM tg")
+_add("retag_batch", lambda s, d: matches_in_one_pass(taggable(entries(s, d), sources(s)), RULES), f"{_SQL} SELECT * FROM tg")
 _add("retag_rule_counts", lambda s, d: retag_summary(timeline(s, d).tags), f"{_SQL} SELECT rule_name, count(*) AS n FROM tg GROUP BY 1")
 _add("evaluate_rules", lambda s, d: evaluate(entries(s, d), sources(s), RULES), f"{_SQL} SELECT DISTINCT {_KEYS} FROM tg")
 _add("rule_counts_for_sources", lambda s, d: timeline(s, d).rule_counts(["0", "2"]), f"{_SQL} SELECT rule_name, count(*) AS n FROM tg WHERE event_id_source IN ('0', '2') GROUP BY 1")
