@@ -7,12 +7,29 @@ own and its index in its range, so that a task sees one range and the driver one
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ``monotonically_increasing_id`` holds the partition above these bits and the row's index below.
-_INDEX_BITS = 33
+#: ``monotonically_increasing_id`` holds the range above these bits and the row's index in it below.
+INDEX_BITS = 33
+
+
+def in_ranges(rows: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """``rows`` dealt into ranges of ``order``, sorted, with ``_at``: the range and the index in it. To be written once."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+
+
+def which_range() -> Column:
+    return F.shiftright("_at", INDEX_BITS)
+
+
+def rows_before(counts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(range, rows in earlier ranges) of (range, rows)."""
+    counts = sorted(counts)
+    return [(which, before) for (which, _), before in zip(counts, accumulate((n for _, n in counts), initial=0))]
 
 
 def with_places(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame], DataFrame], ranges: int | None = None, place: str = "place") -> DataFrame:
@@ -21,16 +38,9 @@ def with_places(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame]
     The order should tell rows apart: only rows that are equal in it have to meet in one range, and their places are as
     Spark leaves them.  ``ranges`` is the number of ranges, by default that of the shuffle partitions.
     """
-    spark = rows.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    kept = keep(numbered)
-    part = F.shiftright("_at", _INDEX_BITS)
-    counts = sorted((r.part, r.n) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    before, starts = 0, []
-    for which, n in counts:
-        starts.append((which, before))
-        before += n
-    known = spark.createDataFrame(starts, "_part long, _before long")
-    index = F.col("_at").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
-    return kept.withColumn("_part", part).join(F.broadcast(known), "_part").withColumn(place, F.col("_before") + index).drop("_at", "_part", "_before")
+    kept = keep(in_ranges(rows, order, ranges))
+    counts = kept.groupBy(which_range().alias("part")).agg(F.count("*").alias("n")).collect()
+    # a row for each range
+    known = rows.sparkSession.createDataFrame(rows_before([(r.part, r.n) for r in counts]), "_part long, _before long")
+    index = F.col("_at").bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
+    return kept.withColumn("_part", which_range()).join(F.broadcast(known), "_part").withColumn(place, F.col("_before") + index).drop("_at", "_part", "_before")

@@ -6,11 +6,11 @@ them, null levels and null messages.  All tables are read whole.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from tidemark.operators.tagging import Rule, apply_rules, evaluate, matches_in_o
 from tidemark.operators.timeline import Timeline
 from tidemark.plans.export import export_folder, export_rows
 from tidemark.plans.load import LoadSummary, load
+from tidemark.plans.scratch import Scratch, remove, shared_dir
 from tidemark.plans.session import Session
 from tidemark.sources.discovery import source_files
 from tidemark.sources.records import RENDERED, read_aul_records, read_evtx_records
@@ -222,8 +223,13 @@ _EVENT_TIME = "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/catalog/{uuid.uuid4().hex}"
+    """A folder for one query; its result reads it, so :func:`clear` removes it and not the query."""
+    return f"{shared_dir(spark)}/catalog/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what the registered queries of this application wrote; their results must be saved before."""
+    remove(spark, f"{shared_dir(spark)}/catalog/{spark.sparkContext.applicationId}")
 
 
 def _lines(spark: SparkSession, sf_dir: str, line: str, where: str = "true") -> str:
@@ -320,7 +326,7 @@ def load_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages made from a template: named strings are put in, other names stay."""
     line = """concat('{"timestamp":"2024-01-01T00:00:00Z","Event":{"System":{"EventID":', 1 + event_id % 2, ',"Provider_attributes":{"Name":"P"}},"EventData":{"User":"u', user_id, '","Count":', event_id, '}}}')"""
     path = _lines(spark, sf_dir, line)
-    rows = read_evtx_records(spark, _parts(spark, path), {("P", 1): "by {User}, {Count} times, {None}"})
+    rows = read_evtx_records(spark, _parts(spark, path), {("P", 1): "by {User}, {Count} times, {None}"}, Scratch(spark, f"{_shared(spark)}/kept").keep)
     return rows.select(F.col("event_id_source").alias("part"), "event_id_seq", "message")
 
 
@@ -332,7 +338,7 @@ _AUL = """concat('{"time":', unix_micros(CAST(ts AS TIMESTAMP)) * 1000, ',"evide
 def load_aul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified-log records are numbered by time, then evidence file, then their place."""
     path = _lines(spark, sf_dir, _AUL)
-    rows = read_aul_records(spark, _parts(spark, path))
+    rows = read_aul_records(spark, _parts(spark, path), Scratch(spark, f"{_shared(spark)}/kept").keep)
     return rows.select(F.col("event_id_source").alias("part"), "event_id_seq", "level", "message", F.get_json_object("fields", "$.process").alias("process"))
 
 
@@ -415,6 +421,39 @@ def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("page_after", page_after, f"{_SQL} SELECT {_KEYS} FROM x WHERE contains(message, 'user') ORDER BY timestamp_utc, event_id_source, event_id_seq LIMIT 50 OFFSET 400")
 
 
+def ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by place of a stored ranking, and the place of a time."""
+    session = _written(spark, sf_dir)
+    ranking = session.ranking("message=user")
+    place = ranking.place_at(datetime(2024, 1, 10, 12))
+    return ranking.window(500, 60).select("event_id_source", "event_id_seq").withColumns({"total": F.lit(ranking.total).cast("long"), "place": F.lit(place).cast("long")})
+
+
+_add(
+    "ranked_page",
+    ranked_page,
+    f"""{_SQL}, m AS (SELECT * FROM x WHERE contains(message, 'user') AND event_id_source <> '3') SELECT {_KEYS}, (SELECT count(*) FROM m) AS total,
+    (SELECT count(*) FROM m WHERE timestamp_utc < TIMESTAMP '2024-01-10 12:00:00') AS place FROM m ORDER BY timestamp_utc, event_id_source, event_id_seq LIMIT 60 OFFSET 500""",
+)
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of a loaded log by its trigram index: a text, a pattern, texts under OR, and one that nothing has."""
+    session, _ = _loaded(spark, "text", _lines(spark, sf_dir, _GENERIC), fmt=packs.text_formats()["generic_timestamp"], zone="UTC")
+    t = session.timeline()
+    texts = ["purchase", "message~^view.*[37]$", '"user 12" OR "user 7" -click', "nowhere"]
+    each = [_named(t.search(text).select("event_id_source", "event_id_seq"), session).withColumn("k", F.lit(k)) for k, text in enumerate(texts)]
+    return reduce(DataFrame.unionAll, each)
+
+
+_FOUND = ["contains(m, 'purchase')", "regexp_matches(m, '^view.*[37]$')", "(contains(m, 'user 12') OR contains(m, 'user 7')) AND NOT contains(m, 'click')"]
+_add(
+    "indexed_search",
+    indexed_search,
+    f"""WITH l AS (SELECT {_SEQ}, concat(event_type, ' by user ', user_id) AS m FROM events) """ + " UNION ALL ".join(f"SELECT event_id_seq, part, CAST({k} AS INT) AS k FROM l WHERE {w}" for k, w in enumerate(_FOUND)),
+)
+
+
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_shared(spark)}/rows.csv"
     export_folder(timeline(spark, sf_dir), "level=error", path)
@@ -479,20 +518,26 @@ _add(
 
 
 def _query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a query text means after edits by filter controls."""
-    text = q.toggle_value("error", "level", "click")
-    text = q.toggle_untagged(q.toggle_value(q.toggle_value(text, "level", "view"), "tag", "logon"))
-    text = q.set_column_filter(q.toggle_source(text, "2"), "host", "WS 3")
-    text = q.set_column_filter(text, "host", None)
-    text = q.set_time_range(text, datetime(2024, 1, 5), None)
-    return timeline(spark, sf_dir).search(text).select("event_id_source", "event_id_seq")
+    """What a query text means after each of several edits by filter controls: step, matches."""
+    texts = [q.toggle_value("user", "level", "click")]
+    texts.append(q.toggle_value(texts[-1], "level", "view"))
+    texts.append(q.toggle_untagged(q.toggle_value(texts[-1], "tag", "logon")))
+    texts.append(q.set_column_filter(q.toggle_source(texts[-1], "2"), "host", "WS3"))
+    texts.append(q.set_column_filter(texts[-1], "host", None))
+    texts.append(q.set_time_range(texts[-1], datetime(2024, 1, 5), None))
+    texts.append(q.toggle_value(texts[-1], "level", "view"))
+    t = timeline(spark, sf_dir)
+    each = [t.search(text).agg(F.count("*").alias("n")).select(F.lit(k).alias("step"), "n") for k, text in enumerate(texts)]
+    return reduce(DataFrame.unionAll, each)
 
 
+_EDITED = ["level = 'click'", "level IN ('click', 'view')", f"level IN ('click', 'view') AND ({_tagged('''tag_value = 'logon' ''')} OR NOT {_tagged()})"]
+_EDITED += [f"{_EDITED[-1]} AND NOT (event_id_source = '2') AND host = 'WS3'", f"{_EDITED[-1]} AND NOT (event_id_source = '2')"]
+_EDITED += [f"{_EDITED[-1]} AND timestamp_utc >= TIMESTAMP '2024-01-05'", f"{_EDITED[-1]} AND timestamp_utc >= TIMESTAMP '2024-01-05' AND level = 'click'"]
 _add(
     "query_text_edits",
     _query_texts,
-    f"""{_SQL} SELECT {_KEYS} FROM x WHERE ({_tagged("tag_value = 'logon'")} OR NOT {_tagged()}) AND (contains(message, 'error') OR contains(raw, 'error')) AND level IN ('click', 'view')
-    AND NOT (event_id_source = '2') AND timestamp_utc >= TIMESTAMP '2024-01-05'""",
+    f"{_SQL} " + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS step, count(*) AS n FROM x WHERE (contains(message, 'user') OR contains(raw, 'user')) AND {where}" for k, where in enumerate(_EDITED)),
 )
 
 
@@ -520,13 +565,46 @@ _add("display_zones", _zones, f"{_SQL} SELECT event_id_seq, {_zone_sql('berlin',
 
 
 def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The built-in evtx rules on records of their event ids."""
-    ids = "CASE event_id % 4 WHEN 0 THEN 4624 WHEN 1 THEN 4625 WHEN 2 THEN 1102 ELSE 99999 END"
-    rows = entries(spark, sf_dir).where("event_id_source = '0'").withColumn("fields", F.expr(f"""concat('{{"Event":{{"System":{{"EventID":', {ids.replace('event_id', 'event_id_seq')}, '}}}}}}')"""))
-    return retag_summary(apply_rules(taggable(rows, sources(spark)), packs.rules("evtx"))).where("n > 0").agg(F.sum("n").alias("applied"), F.count("*").alias("rules"))
-
-
-_add("builtin_rules", _packs, f"{_SQL} SELECT CAST(count(*) AS BIGINT) AS applied, count(DISTINCT event_id_seq % 4) AS rules FROM le WHERE event_id_source = '0' AND event_id_seq % 4 <> 3")
+    """All built-in rules in one pass over records of all three kinds, counts by rule."""
+    ids = "element_at(array(4624, 4625, 1102, 4720, 7045, 99999), CAST(event_id_seq % 6 + 1 AS INT))"
+    evtx = f"""concat('{{"Event":{{"System":{{"EventID":', {ids}, '}}}}}}')"""
+    journal = """concat('{"SYSLOG_IDENTIFIER":"', element_at(array('sshd', 'sudo', 'kernel', 'x'), CAST(event_id_seq % 4 + 1 AS INT)), '","_TRANSPORT":"', CASE WHEN event_id_seq % 2 = 0 THEN 'kernel' ELSE 'journal' END, '"}')"""
+    rows = entries(spark, sf_dir).withColumn("fields", F.expr(f"CASE event_id_source WHEN '0' THEN {evtx} WHEN '1' THEN {journal} ELSE fields END"))
+    needle = F.element_at(F.array(*[F.lit(n) for n in _needles()]), (F.col("event_id_seq") % len(_needles()) + 1).cast("int"))
+    rows = rows.withColumn("message", F.concat(F.lit("x "), needle, F.lit(" y")))
+    return retag_summary(apply_rules(taggable(rows, sources(spark)), packs.all_rules()))
+
+
+def _needles() -> list[str]:
+    """The needles of the packs, in order."""
+    return sorted({n for r in packs.all_rules() for n in r.needles()})
+
+
+def _packs_sql() -> str:
+    """The packs themselves as SQL: one condition a rule, over the same records."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    paths = {("evtx", "event_id"): "$.Event.System.EventID", ("evtx", "provider"): "$.Event.System.Provider_attributes.Name", ("journald", "process"): "$.SYSLOG_IDENTIFIER"}
+    rules = []
+    for r in packs.all_rules():
+        m = dict(r.match)
+        kind, parts = m["sourcetype"], []
+        for k, v in m.items():
+            if k == "message_contains":
+                parts.append("(" + " OR ".join(f"contains(message, {text(n)})" for n in r.needles()) + ")")
+            elif k in ("sourcetype", "level", "message"):
+                parts.append(f"{k} = {text(v)}")
+            else:
+                parts.append(f"json_extract_string(fields, {text(paths.get((kind, k), '$.' + k))}) = {text(str(v))}")
+        rules.append(f"SELECT {text(r.name)} AS rule_name FROM p WHERE {' AND '.join(parts)}")
+    needles = ", ".join(map(text, _needles()))
+    return f"""{_SQL}, p AS (SELECT event_id_seq, sourcetype, level, 'x ' || ([{needles}])[event_id_seq % {len(_needles())} + 1] || ' y' AS message, CASE event_id_source
+      WHEN '0' THEN '{{"Event":{{"System":{{"EventID":' || ([4624, 4625, 1102, 4720, 7045, 99999])[event_id_seq % 6 + 1] || '}}}}}}'
+      WHEN '1' THEN '{{"SYSLOG_IDENTIFIER":"' || (['sshd', 'sudo', 'kernel', 'x'])[event_id_seq % 4 + 1] || '","_TRANSPORT":"' || CASE WHEN event_id_seq % 2 = 0 THEN 'kernel' ELSE 'journal' END || '"}}'
+      ELSE fields END AS fields FROM x WHERE sourcetype IS NOT NULL)
+    SELECT rule_name, count(*) AS n FROM ({' UNION ALL '.join(rules)}) GROUP BY rule_name"""
+
+
+_add("builtin_rules", _packs, _packs_sql())
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

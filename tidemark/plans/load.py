@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from tidemark import model, packs
 from tidemark.operators.tagging import Rule, tag_entries
 from tidemark.plans import ngrams
+from tidemark.plans.scratch import Scratch
 from tidemark.plans.session import STORED, Session, utc_now
 from tidemark.sources.discovery import byte_size, source_files
 from tidemark.sources.formats import BadFormat, TextFormat
 from tidemark.sources.journald import read_journals
 from tidemark.sources.records import read_aul_records, read_evtx_records
-from tidemark.sources.text import read_text
+from tidemark.sources.text import Keep, read_text
 
 
 class LoadError(ValueError):
@@ -40,15 +41,15 @@ class LoadSummary:
             self.tags_by_rule[rule] = self.tags_by_rule.get(rule, 0) + n
 
 
-def read(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None) -> DataFrame:
+def read(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None, keep: Keep) -> DataFrame:
     if kind == "text":
-        return read_text(session.spark, files, fmt)
+        return read_text(session.spark, files, fmt, keep)
     if kind == "journald":
         return read_journals(session.spark, files)
     if kind == "evtx":
-        return read_evtx_records(session.spark, files, packs.templates())
+        return read_evtx_records(session.spark, files, packs.templates(), keep)
     if kind == "aul":
-        return read_aul_records(session.spark, files)
+        return read_aul_records(session.spark, files, keep)
     raise LoadError(f"unknown kind of source {kind!r}")
 
 
@@ -117,8 +118,9 @@ def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFo
             fmt.validate()
     except BadFormat as e:
         raise LoadError(str(e)) from None
-    read(session, kind, files, fmt).write.mode("overwrite").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    own = Scratch(spark, staged_path)
+    own.clear()
+    staged = own.keep(read(session, kind, files, fmt, own.keep))
     # one row for each file of the driver's own list
     first = F.min(F.when(F.col("error").isNotNull(), F.struct("event_id_seq", "error")))
     state = {r["event_id_source"]: r for r in staged.groupBy("event_id_source").agg(F.count("*").alias("n"), first.alias("bad")).collect()}
@@ -147,6 +149,5 @@ def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFo
             ngrams.write(session, name, STORED)
             tables += ["ngrams", "ngram_files"]
         session.commit(name, tables, inserted=summary.inserted, skipped=summary.skipped, tags_by_rule=summary.tags_by_rule, source_ids=summary.source_ids)
-    p = spark._jvm.org.apache.hadoop.fs.Path(staged_path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    own.clear()
     return summary

@@ -8,6 +8,7 @@ not done again.  Small state tables are kept by one driver; the timeline tables
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -25,6 +26,7 @@ from tidemark.functions.extract import PATHS, virtual
 from tidemark.operators.tagging import Rule, retag_summary, tag_entries
 from tidemark.operators.timeline import Timeline
 from tidemark.plans.ngrams import NgramIndex
+from tidemark.plans.ranking import Ranking
 
 _SCHEMAS = {"sources": model.SOURCES, "analyst_tags": model.ANALYST_TAGS, "event_notes": model.EVENT_NOTES, "session_state": model.SESSION_STATE, "activity_log": model.ACTIVITY_LOG}
 #: Entries are stored with their sourcetype and virtual columns, so that filters on them reach the Parquet scan.
@@ -91,10 +93,12 @@ class Session:
     def commit(self, load: str, tables: list[str], **noted) -> None:
         """Make a load visible, all its tables at once: its file appears whole under its name or not at all."""
         number = max((c["number"] for c in self.commits()), default=0) + 1
-        text = json.dumps({"number": number, "load": load, "tables": tables, **noted})
-        name = f"{number:012d}-{load}.json"
-        files, target = self._fs(f"{self.path}/commits/{name}")
-        _, written = self._fs(f"{self.path}/commits/_{uuid.uuid4().hex}")
+        self._put(f"commits/{number:012d}-{load}.json", json.dumps({"number": number, "load": load, "tables": tables, **noted}))
+
+    def _put(self, name: str, text: str) -> None:
+        """A small file, whole under its name or not at all."""
+        files, target = self._fs(f"{self.path}/{name}")
+        _, written = self._fs(f"{self.path}/{name.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
         files.mkdirs(target.getParent())
         out = files.create(written, True)
         out.write(bytearray(text.encode()))
@@ -181,6 +185,16 @@ class Session:
         indexed = any("ngrams" in c["tables"] for c in self.commits())
         return Timeline(self.stored_entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes(), NgramIndex(self, STORED) if indexed else None)
 
+    def ranking(self, text: str = "", ranges: int | None = None) -> Ranking:
+        """The result of a search by place: the stored one, if nothing was loaded or tagged since, or else a new one."""
+        timeline, last = self.timeline(), max((c["number"] for c in self.commits()), default=0)
+        name = f"rankings/{last:012d}-{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+        if self._exists(f"{name}.json"):
+            return Ranking.from_json(timeline, self.spark.read.text(f"{self.path}/{name}.json", wholetext=True).first()[0])
+        found = Ranking.build(timeline, text, f"{self.path}/{name}-{uuid.uuid4().hex}", ranges)
+        self._put(f"{name}.json", found.to_json())
+        return found
+
     # analyst state
 
     def _next(self, name: str, column: str = "id") -> int:

@@ -10,9 +10,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.sources.text import lines_of, numbered
+from tidemark.operators.places import with_places
+from tidemark.plans.scratch import Scratch
+from tidemark.sources.text import Keep, lines_of, numbered
 
 #: Put before a message that comes from a template and not from the log itself.
 RENDERED = "[rendered] "
@@ -58,23 +59,30 @@ def _parsed(rows: DataFrame, at: Column, level: Column, message: Column, fields:
     return rows.select("event_id_source", "event_id_seq", at.alias("timestamp_utc"), level.alias("level"), message.alias("message"), F.coalesce(fields, "value").alias("raw"), fields.alias("fields"), error.alias("error"))
 
 
-def read_evtx_records(spark: SparkSession, files: list[tuple[str, str]], templates: dict[tuple[str, int], str]) -> DataFrame:
+def read_evtx_records(spark: SparkSession, files: list[tuple[str, str]], templates: dict[tuple[str, int], str], keep: Keep | None = None) -> DataFrame:
     """Records ``{"event_record_id": n, "timestamp": RFC 3339, "Event": {...}}``; without a timestamp that of the System block holds."""
-    rows = numbered(lines_of(spark, files)).withColumn("event_id_seq", (F.col("line") - 1).cast("long")).withColumn("_v", F.try_parse_json("value"))
+    keep = keep or Scratch(spark).keep
+    rows = numbered(keep(lines_of(spark, files)), keep).withColumn("event_id_seq", (F.col("line") - 1).cast("long")).withColumn("_v", F.try_parse_json("value"))
     stamp = F.coalesce(F.get_json_object("value", "$.timestamp"), F.get_json_object("value", "$.Event.System.TimeCreated_attributes.SystemTime"))
     at = instant(F.unix_micros(F.try_to_timestamp(stamp)))
-    record = F.coalesce(F.get_json_object("value", "$.event_record_id"), F.lit("null"))
+    record = F.coalesce(F.to_json(F.try_variant_get("_v", "$.event_record_id", "variant")), F.lit("null"))
     event = F.coalesce(F.to_json(F.try_variant_get("_v", "$.Event", "variant")), F.lit("null"))
     fields = F.concat(F.lit('{"event_record_id":'), record, F.lit(',"Event":'), event, F.lit("}"))
     message = F.coalesce(_scalar("$.Event.RenderingInfo.Message"), rendered_message(templates))
     return _parsed(rows, at, _scalar("$.Event.System.Level"), message, F.when(F.col("_v").isNotNull(), fields))
 
 
-def read_aul_records(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """Unified-log records with ``time`` in nanoseconds; numbered by time, then evidence file, then order in the file."""
-    nanos = F.try_variant_get("_v", "$.time", "double")
-    # a source is one bundle, whose records are put in the order of their times; the sort spills
-    order = Window.partitionBy("event_id_source").orderBy(nanos, F.get_json_object("value", "$.evidence"), "block", "place")
-    rows = lines_of(spark, files).withColumn("_v", F.try_parse_json("value")).withColumn("event_id_seq", (F.row_number().over(order) - 1).cast("long"))
-    at = instant(F.floor(F.round(nanos) / 1000).cast("long"))
+def read_aul_records(spark: SparkSession, files: list[tuple[str, str]], keep: Keep | None = None) -> DataFrame:
+    """Unified-log records with ``time`` in nanoseconds; numbered by time, then evidence file, then order in the file.
+
+    A record's number is its place among all records by source, time and so on, less that of its source's first record, so
+    no task sees a whole source.  ``keep`` writes a DataFrame once and reads it back.
+    """
+    lines = lines_of(spark, files).withColumn("_nanos", F.try_variant_get(F.try_parse_json("value"), "$.time", "double"))
+    order = [F.col("event_id_source"), F.col("_nanos"), F.get_json_object("value", "$.evidence"), F.col("block"), F.col("place")]
+    placed = with_places(lines, [c.asc() for c in order], keep or Scratch(spark).keep, place="_place")
+    # a row for each file of the driver's own list
+    first = placed.groupBy("event_id_source").agg(F.min("_place").alias("_first"))
+    rows = placed.join(F.broadcast(first), "event_id_source").withColumn("event_id_seq", F.col("_place") - F.col("_first")).withColumn("_v", F.try_parse_json("value"))
+    at = instant(F.floor(F.round("_nanos") / 1000).cast("long"))
     return _parsed(rows, at, F.get_json_object("value", "$.log_type"), F.get_json_object("value", "$.message"), F.when(F.col("_v").isNotNull(), F.col("value")))

@@ -1,9 +1,9 @@
 """Configured text logs as normalised rows, for any number of files of any size.
 
-Lines are read by Spark's splittable text reader.  A line's place is its file, the start of its block and its order in
-the task.  Blocks are counted first; a line's number is that of the lines in earlier blocks of its file and its own
-place in its block, so no task sees more of a file than a block, and lines of one-line records are not shuffled.  Lines
-of a record are gathered by record.  Records are parsed by column expressions where the format allows it
+Lines are read once by Spark's splittable text reader and written with their place: their file, the start of their block
+and their order in the task.  A line's number is that of the lines in earlier blocks of its file and its own place in its
+block, so no task sees more of a file than a block.  The table of blocks (one row a block) is broadcast up to
+:data:`MOST_BLOCKS` rows, so lines of one-line records are not shuffled.  Lines of a record are gathered by record.  Records are parsed by column expressions where the format allows it
 (:mod:`tidemark.sources.columns`), else in Arrow batches; files with any bad record are dropped whole and reported.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.timezones import BadTime, TimeFormat, Zone
+from tidemark.plans.scratch import Scratch
 from tidemark.sources.columns import java_pattern, time_column
 from tidemark.sources.formats import TextFormat
 
+#: Blocks whose table (about 100 bytes a row) is broadcast at most; more are joined by a shuffle.
+MOST_BLOCKS = 200_000
+type Keep = Callable[[DataFrame], DataFrame]
 PARSED = "event_id_source string, event_id_seq long, timestamp_utc timestamp_ntz, level string, message string, raw string, fields string, error string"
 
 
@@ -87,16 +91,17 @@ def metadata_path(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:/", whole.toUri().toString())
 
 
-def _before(blocks: DataFrame, names: list[str]) -> DataFrame:
-    """``blocks`` (a row for each block of a file) with the sums of columns ``names`` over the file's earlier blocks."""
+def _with_before(lines: DataFrame, blocks: DataFrame, names: list[str], keep: Keep) -> DataFrame:
+    """``lines`` with the columns of ``blocks`` (a row for each block of a file), ``names`` of which become sums over the file's earlier blocks."""
     earlier = Window.partitionBy("event_id_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumns({n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names})
+    blocks = keep(blocks.withColumns({n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names}))
+    return lines.join(F.broadcast(blocks) if blocks.count() <= MOST_BLOCKS else blocks.hint("merge"), ["event_id_source", "block"])
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """``lines`` with their number in their file, from 1; a task reads its blocks in order, so a block's lines have consecutive places."""
+def numbered(lines: DataFrame, keep: Keep) -> DataFrame:
+    """``lines`` (written) with their number in their file, from 1; a task reads its blocks in order, so a block's lines have consecutive places."""
     blocks = lines.groupBy("event_id_source", "block").agg(F.count("*").alias("_lines"), F.min("place").alias("_first"))
-    placed = lines.join(_before(blocks, ["_lines"]), ["event_id_source", "block"])
+    placed = _with_before(lines, blocks, ["_lines"], keep)
     return placed.withColumn("line", F.col("_lines") + F.col("place") - F.col("_first") + 1).drop("_lines", "_first")
 
 
@@ -114,15 +119,15 @@ def _starts(pattern: str) -> Column:
     return F.pandas_udf(run, "boolean")("value")
 
 
-def records_of(lines: DataFrame, fmt: TextFormat) -> DataFrame:
+def records_of(lines: DataFrame, fmt: TextFormat, keep: Keep) -> DataFrame:
     """event_id_source, event_id_seq, line, raw, valid: a record begins at each line that matches the start pattern, and at a file's first line."""
-    each = numbered(lines)
+    each = numbered(lines, keep)
     if fmt.multiline_start is None:
         return each.select("event_id_source", (F.col("line") - 1).cast("long").alias("event_id_seq"), "line", F.col("value").alias("raw"), "valid")
     begins = each.withColumn("begins", (_starts(fmt.multiline_start) | (F.col("line") == 1)).cast("long"))
     blocks = begins.groupBy("event_id_source", "block").agg(F.sum("begins").alias("_records"))
     until = Window.partitionBy("event_id_source", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    placed = begins.withColumn("_own", F.sum("begins").over(until)).join(_before(blocks, ["_records"]), ["event_id_source", "block"])
+    placed = _with_before(begins.withColumn("_own", F.sum("begins").over(until)), blocks, ["_records"], keep)
     # lines before a block's first record belong to the last one of an earlier block
     grouped = placed.withColumn("event_id_seq", F.col("_records") + F.col("_own") - 1)
     whole = grouped.groupBy("event_id_source", "event_id_seq").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("l"), F.min("valid").alias("valid"))
@@ -171,9 +176,10 @@ def parse_records(records: DataFrame, fmt: TextFormat) -> DataFrame:
     return records.select("event_id_source", "event_id_seq", "line", "raw", "valid").mapInPandas(run, PARSED)
 
 
-def read_text(spark: SparkSession, files: list[tuple[str, str]], fmt: TextFormat) -> DataFrame:
-    """:data:`PARSED` rows of ``files`` (source id, path)."""
+def read_text(spark: SparkSession, files: list[tuple[str, str]], fmt: TextFormat, keep: Keep | None = None) -> DataFrame:
+    """:data:`PARSED` rows of ``files`` (source id, path); ``keep`` writes a DataFrame once and reads it back."""
     fmt.validate()
-    records = records_of(lines_of(spark, files), fmt)
+    keep = keep or Scratch(spark).keep
+    records = records_of(keep(lines_of(spark, files)), fmt, keep)
     by_columns = parsed_by_columns(records, fmt)
     return parse_records(records, fmt) if by_columns is None else by_columns
