@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -29,16 +30,32 @@ def tags_by_event(tags: DataFrame, distinct: bool = True) -> DataFrame:
     return tags.groupBy(*KEY).agg(F.array_sort(collect("tag_value")).alias("tags"))
 
 
+@dataclass
+class Counts:
+    """Counts that are kept beside a timeline: entries by event_id_source, level, sourcetype; tags by event_id_source, rule_name, tag_value.
+
+    Several rows of one key add up.
+    """
+
+    entries: DataFrame
+    tags: DataFrame
+
+    @staticmethod
+    def total(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.sum("n").alias("n"))
+
+
 class Timeline:
     """A timeline over ``entries``, ``sources`` and ``tags``; analyst tags and notes are optional.
 
     Entries that are stored with their sourcetype and virtual columns are searched by those columns, others by
     expressions over ``fields`` and the sourcetype of their source.  An ``index``
-    (:class:`tidemark.plans.ngrams.NgramIndex`) leaves out files and stretches of entries that the texts of a search rule out.
+    (:class:`tidemark.plans.ngrams.NgramIndex`) leaves out files and stretches of entries that the texts of a search rule out; with ``counts``
+    the counts behind menus are sums of those, else counts of the tables.
     """
 
-    def __init__(self, entries: DataFrame, sources: DataFrame, tags: DataFrame, analyst_tags: DataFrame | None = None, notes: DataFrame | None = None, index=None):
-        self.index = index
+    def __init__(self, entries: DataFrame, sources: DataFrame, tags: DataFrame, analyst_tags: DataFrame | None = None, notes: DataFrame | None = None, index=None, counts: Counts | None = None):
+        self.index, self.counts = index, counts
         self.entries, self.sources, self.tags = entries, sources, tags
         self.analyst_tags, self.notes = analyst_tags, notes
         self.stored = {"sourcetype", *PATHS} <= set(entries.columns)
@@ -175,22 +192,32 @@ class Timeline:
         """Display rows of the given (event_id_source, event_id_seq), in timeline order."""
         return self._page(keys.select(*KEY).distinct(), False, zone)
 
+    def _counted(self, table: str, key: str) -> DataFrame:
+        """key, n: rows of entries or tags by a column."""
+        if self.counts is not None:
+            return Counts.total(getattr(self.counts, table), key)
+        return getattr(self, table).groupBy(key).agg(F.count("*").alias("n"))
+
     def tag_counts(self) -> DataFrame:
         """Rows of import tags by value."""
-        return self.tags.groupBy("tag_value").agg(F.count("*").alias("n"))
+        return self._counted("tags", "tag_value")
 
     def level_counts(self) -> DataFrame:
-        return self.entries.where("level is not null").groupBy("level").agg(F.count("*").alias("n"))
+        return self._counted("entries", "level").where("level is not null")
 
     def source_counts(self) -> DataFrame:
-        return self.entries.groupBy("event_id_source").agg(F.count("*").alias("n"))
+        return self._counted("entries", "event_id_source")
 
     def rule_counts(self, source_ids: list[str]) -> DataFrame:
         """Import tags by rule, of the given sources; none for no sources."""
-        return self.tags.where(F.col("event_id_source").isin(source_ids) if source_ids else F.lit(False)).groupBy("rule_name").agg(F.count("*").alias("n"))
+        wanted = F.col("event_id_source").isin(source_ids) if source_ids else F.lit(False)
+        if self.counts is not None:
+            return Counts.total(self.counts.tags.where(wanted), "rule_name")
+        return self.tags.where(wanted).groupBy("rule_name").agg(F.count("*").alias("n"))
 
     def distinct_levels(self) -> DataFrame:
-        rows = self.with_sources(self.entries.where("level is not null").select("event_id_source", "level"))
+        entries = self.entries if self.counts is None else self.counts.entries.select("event_id_source", "level")
+        rows = self.with_sources(entries.where("level is not null").select("event_id_source", "level"))
         return rows.select("level", "sourcetype").distinct().orderBy("level", F.col("sourcetype").asc_nulls_last())
 
     def level_labels(self) -> DataFrame:
@@ -203,12 +230,15 @@ class Timeline:
     def distinct_analyst_tags(self) -> DataFrame:
         return self.analyst_tags.select("tag_value").distinct().orderBy("tag_value")
 
+    def _tag_values(self) -> DataFrame:
+        return (self.tags if self.counts is None else self.counts.tags).select("tag_value")
+
     def distinct_tags(self) -> DataFrame:
-        return self.tags.select("tag_value").distinct().orderBy("tag_value")
+        return self._tag_values().distinct().orderBy("tag_value")
 
     def tag_vocabulary(self) -> DataFrame:
         """Import and analyst tags together."""
-        all_tags = self.tags.select("tag_value")
+        all_tags = self._tag_values()
         if self.analyst_tags is not None:
             all_tags = all_tags.unionByName(self.analyst_tags.select("tag_value"))
         return all_tags.distinct().orderBy("tag_value")

@@ -24,14 +24,18 @@ from pyspark.sql.window import Window
 from tidemark import model
 from tidemark.functions.extract import PATHS, virtual
 from tidemark.operators.tagging import Rule, retag_summary, tag_entries
-from tidemark.operators.timeline import Timeline
+from tidemark.operators.timeline import Counts, Timeline
 from tidemark.plans.ngrams import NgramIndex
 from tidemark.plans.ranking import Ranking
 
 _SCHEMAS = {"sources": model.SOURCES, "analyst_tags": model.ANALYST_TAGS, "event_notes": model.EVENT_NOTES, "session_state": model.SESSION_STATE, "activity_log": model.ACTIVITY_LOG}
 #: Entries are stored with their sourcetype and virtual columns, so that filters on them reach the Parquet scan.
 #: Tables that a load may write.
-LOADED = ["log_entries", "load_sources", "load_tags", "ngrams", "ngram_files"]
+LOADED = ["log_entries", "load_sources", "load_tags", "entry_counts", "tag_counts", "ngrams", "ngram_files"]
+#: Counts that are written with a load's entries and tags: the menus add them up and scan neither.
+ENTRY_COUNTS = T.StructType([T.StructField("event_id_source", T.StringType()), T.StructField("level", T.StringType()), T.StructField("sourcetype", T.StringType()), T.StructField("n", T.LongType())])
+TAG_COUNTS = T.StructType([T.StructField("event_id_source", T.StringType()), T.StructField("rule_name", T.StringType()), T.StructField("tag_value", T.StringType()), T.StructField("n", T.LongType())])
+_COUNTED = {"log_entries": "entry_counts", "load_tags": "tag_counts"}
 STORED = T.StructType([*model.LOG_ENTRIES.fields, T.StructField("sourcetype", T.StringType()), *[T.StructField(n, T.StringType()) for n in PATHS]])
 
 
@@ -93,6 +97,7 @@ class Session:
     def commit(self, load: str, tables: list[str], **noted) -> None:
         """Make a load visible, all its tables at once: its file appears whole under its name or not at all."""
         number = max((c["number"] for c in self.commits()), default=0) + 1
+        tables = [*tables, *(_COUNTED[t] for t in tables if t in _COUNTED)]
         self._put(f"commits/{number:012d}-{load}.json", json.dumps({"number": number, "load": load, "tables": tables, **noted}))
 
     def _put(self, name: str, text: str) -> None:
@@ -142,6 +147,12 @@ class Session:
         """The entries of a load, a folder for each source, so that ``source_id`` prunes, in the order of their numbers."""
         stored = self.stored_form(rows, sourcetype).sortWithinPartitions(*model.KEY)
         stored.write.partitionBy("event_id_source").parquet(self.folder("log_entries", load))
+        self._write_counts("log_entries", STORED, ENTRY_COUNTS, load)
+
+    def _write_counts(self, table: str, schema: T.StructType, counts: T.StructType, load: str) -> None:
+        """The counts of a table of a load that is under way, from the columns that they need."""
+        written = self.loaded(table, schema, [{"load": load, "tables": [table]}])
+        written.groupBy(*counts.names[:-1]).agg(F.count("*").alias("n")).coalesce(1).write.parquet(self.folder(_COUNTED[table], load))
 
     def append_entries(self, rows: DataFrame, sourcetype: str) -> None:
         """Entries as a load of their own, without sources or tags."""
@@ -154,6 +165,7 @@ class Session:
 
     def write_tags(self, tags: DataFrame, load: str) -> None:
         tags.select(*model.IMPORT_TAGS.names).write.parquet(self.folder("load_tags", load))
+        self._write_counts("load_tags", model.IMPORT_TAGS, TAG_COUNTS, load)
 
     def load_entries(self, load: str) -> DataFrame:
         """Entries of a load that is under way."""
@@ -163,12 +175,19 @@ class Session:
         """Sources of the loads, and those that were added by hand."""
         return self.table("sources").unionByName(self.loaded("load_sources", model.SOURCES))
 
-    def import_tags(self) -> DataFrame:
-        """The tags of the last retagging and of the loads that it had not seen."""
+    def _tag_commits(self) -> list[dict]:
+        """The last retagging and the loads that it had not seen."""
         commits = self.commits()
         last = next((c for c in reversed(commits) if "covers" in c), None)
         seen = set(last["covers"]) if last else set()
-        return self.loaded("load_tags", model.IMPORT_TAGS, [c for c in commits if c is last or "covers" not in c and c["load"] not in seen])
+        return [c for c in commits if c is last or "covers" not in c and c["load"] not in seen]
+
+    def import_tags(self) -> DataFrame:
+        return self.loaded("load_tags", model.IMPORT_TAGS, self._tag_commits())
+
+    def counts(self) -> Counts:
+        """Entries by source, level and sourcetype, and import tags by source, rule and value, a row for each load or retagging."""
+        return Counts(self.loaded("entry_counts", ENTRY_COUNTS), self.loaded("tag_counts", TAG_COUNTS, self._tag_commits()))
 
     def retag(self, rules: list[Rule]) -> dict[str, int]:
         """Recompute all import tags; the new table is complete before it replaces the old one. Returns tags by rule."""
@@ -183,7 +202,7 @@ class Session:
     def timeline(self) -> Timeline:
         """The whole session, searched by its stored columns."""
         indexed = any("ngrams" in c["tables"] for c in self.commits())
-        return Timeline(self.stored_entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes(), NgramIndex(self, STORED) if indexed else None)
+        return Timeline(self.stored_entries(), self.sources(), self.import_tags(), self.analyst_tags(), self.notes(), NgramIndex(self, STORED) if indexed else None, self.counts())
 
     def ranking(self, text: str = "", ranges: int | None = None) -> Ranking:
         """The result of a search by place: the stored one, if nothing was loaded or tagged since, or else a new one."""
