@@ -221,10 +221,43 @@ def test_format_is_saved(tmp_path):
 
 def test_progress_and_cancel(session, logs):
     """After the first group the load is cancelled; what it stored stays."""
-    seen = []
-    got = load(session, "text", str(logs), FMT, RULES, group=2, progress=seen.append, cancelled=lambda: bool(seen))
-    assert [(p.files, p.total_files) for p in seen] == [(2, 4)] and 0 < seen[0].bytes < seen[0].total_bytes
+    seen, groups = [], lambda: [p for p in seen if p.running is None]
+    got = load(session, "text", str(logs), FMT, RULES, group=2, progress=seen.append, cancelled=lambda: bool(groups()))
+    assert [(p.files, p.total_files) for p in groups()] == [(2, 4)] and 0 < groups()[0].bytes < groups()[0].total_bytes
     assert len(got.inserted) == 2 and session.entries().count() == 3 and session.activity().first().status == "cancelled"
+    assert {p.running.step for p in seen if p.running} == {"reading", "storing", "tagging", "indexing"}
+
+
+def _slow_log(tmp_path):
+    """One file of many blocks."""
+    path = tmp_path / "big.log"
+    with path.open("w") as f:
+        for k in range(60_000):
+            f.write(f"2026-01-01 00:00:00 a line of a file that is read in many blocks, number {k}\n")
+    return path
+
+
+def test_rows_grow_within_one_file_and_a_running_job_ends(spark, session, logs, tmp_path):
+    load(session, "text", str(logs), FMT, RULES)
+    before, seen = session.entries().count(), []
+    fmt = packs.text_formats()["generic_timestamp"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        path = str(_slow_log(tmp_path))
+        load(session, "text", path, fmt, zone="UTC", progress=seen.append)
+        reading = [p.running for p in seen if p.running and p.running.step == "reading"]
+        assert all(p.total_files == 1 for p in seen) and len({d.rows_written for d in reading}) > 2 and [d.tasks for d in reading] == sorted(d.tasks for d in reading)
+        assert max(d.rows_written for d in reading) >= 60_000 and max(d.bytes_read for d in reading) >= 60_000 * 50
+        # the second time it is cancelled while its first jobs run
+        started = []
+        got = load(session, "text", path, fmt, zone="UTC", progress=lambda p: started.append(p), cancelled=lambda: any(p.running and p.running.tasks for p in started))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.inserted == {} and session.activity().first().status == "cancelled"
+    last = started[-1].running
+    assert last.step == "reading" and last.tasks < 60_000
+    assert session.entries().count() == before + 60_000 and session.vacuum() == []
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
 
 
 def test_settings(tmp_path):
@@ -244,5 +277,12 @@ def test_command_line(spark, tmp_path, capsys):
     (name,) = list_sessions(spark, tmp_path / "s")
     assert Session(spark, f"{tmp_path}/s/{name}").entries().count() == 1
     main(["--settings", str(tmp_path / "t.toml"), "--ephemeral-session", "--add-source", "generic_timestamp", str(tmp_path / "g.log"), "--search", "x"], spark)
+    own = tmp_path / "rules"
+    own.mkdir()
+    (own / "mine.toml").write_text('[rule]\nname = "mine"\n[rule.match]\nmessage_contains = "x"\n[rule.tag]\nvalue = "my"\n')
+    Settings(sessions_dir=str(tmp_path / "r"), rules_dir=str(own), default_source_timezone="UTC").write(tmp_path / "u.toml")
+    main(["--settings", str(tmp_path / "u.toml"), "--add-source", "generic_timestamp", str(tmp_path / "g.log")], spark)
+    (name,) = list_sessions(spark, tmp_path / "r")
+    assert [x.rule_name for x in Session(spark, f"{tmp_path}/r/{name}").import_tags().collect()] == ["mine"]
     assert "1 entries, 0 files skipped" in capsys.readouterr().out and len(list_sessions(spark, tmp_path / "s")) == 1
     assert not cleanup("/usr/lib") and not cleanup(tempfile.gettempdir())

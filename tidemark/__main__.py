@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from tidemark import packs
-from tidemark.plans.load import load
+from tidemark.operators import rulefiles
+from tidemark.plans.load import Progress, load
 from tidemark.plans.session import Session, new_session_id
 from tidemark.settings import Settings
 
@@ -36,6 +37,12 @@ def cleanup(path: str | Path) -> bool:
     return True
 
 
+def told(p: Progress) -> None:
+    """Progress as a line of text."""
+    doing = f", {p.running.step}: {p.running.tasks} of {p.running.all_tasks} tasks, {p.running.rows_written} rows written" if p.running else ""
+    print(f"{p.files} of {p.total_files} files{doing}")
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = arguments(argv)
     settings = Settings.read(args.settings)
@@ -44,11 +51,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.ephemeral_session:
         temporary.append(args.session or tempfile.mkdtemp(prefix="tidemark-session-"))
     path = temporary[-1] if args.ephemeral_session else args.session or f"{settings.sessions_dir}/{new_session_id()}"
-    session = Session(spark, path)
+    session, rules = Session(spark, path), packs.all_rules()
+    if Path(settings.rules_dir).is_dir():
+        rules += rulefiles.load(rulefiles.scan(settings.rules_dir))
     try:
         for kind, source in args.add_source:
             fmt = packs.text_formats().get(kind)
-            done = load(session, "text" if fmt else kind, source, fmt, packs.all_rules(), zone=settings.default_source_timezone, group=settings.load_group, progress=lambda p: print(f"{p.files} of {p.total_files} files"))
+            done = load(session, "text" if fmt else kind, source, fmt, rules, zone=settings.default_source_timezone, group=settings.load_group, progress=told)
             print(f"{source}: {sum(done.inserted.values())} entries, {len(done.skipped)} files skipped")
         if args.search is not None:
             from tidemark.functions.timezones import Zone

@@ -15,6 +15,7 @@ from tidemark.operators.tagging import Rule, tag_entries
 from tidemark.plans import ngrams
 from tidemark.plans.scratch import Scratch
 from tidemark.plans.session import STORED, Session, utc_now
+from tidemark.plans.watching import Cancelled, Done, Watch
 from tidemark.sources.discovery import byte_size, source_files
 from tidemark.sources.formats import BadFormat, TextFormat
 from tidemark.sources.journald import read_journals
@@ -55,12 +56,13 @@ def read(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFor
 
 @dataclass(frozen=True)
 class Progress:
-    """How far a load has come."""
+    """How far a load has come: files and bytes of the groups that are stored, and what the running step has done."""
 
     files: int
     total_files: int
     bytes: int
     total_bytes: int
+    running: Done | None = None
 
 
 def load(
@@ -71,8 +73,8 @@ def load(
 
     ``zone`` is assumed for a text format that names none.  ``ids`` fixes the source ids (tests).  A file with a bad
     record, and one without records, is skipped with a reason; the others are loaded.  With ``group`` the files are
-    loaded that many at a time: ``progress`` is told after each group, and where ``cancelled`` says so no further group
-    is begun; what is loaded stays.
+    loaded that many at a time.  ``progress`` is told after each group, and while jobs run, what they have read and written.
+    Where ``cancelled`` says so the running jobs end; the groups that are stored stay, the running one leaves nothing.
 
     ``name`` names the load.  A load that failed or was stopped leaves nothing that a reader sees; done again under its
     name it replaces what is left of it, and what it had committed (all, or some groups of files) is not done again.
@@ -90,13 +92,19 @@ def load(
         assumed = fmt.with_assumptions(zone) if fmt else None
         sizes = [byte_size(session.spark, p) for _, p in files] if progress else []
         step = group or len(files)
+
+        def told(at: int, done: Done | None = None) -> None:
+            progress(Progress(min(at, len(files)), len(files), sum(sizes[:at]), sum(sizes), done))
+
         for at in range(0, len(files), step):
-            if cancelled is not None and cancelled():
+            watch = Watch(session.spark, (lambda done, at=at: told(at, done)) if progress is not None else None, cancelled)
+            try:
+                summary.add(_load(session, kind, files[at : at + step], assumed, list(rules), sourcetype, f"{name}-{at // step}", index, watch))
+            except Cancelled:
                 status = "cancelled"
                 break
-            summary.add(_load(session, kind, files[at : at + step], assumed, list(rules), sourcetype, f"{name}-{at // step}", index))
             if progress is not None:
-                progress(Progress(min(at + step, len(files)), len(files), sum(sizes[: at + step]), sum(sizes)))
+                told(at + step)
     except Exception as e:
         session.record("load", started, status="failed", path=path, sourcetype=sourcetype, error=str(e).splitlines()[0] if str(e) else type(e).__name__)
         raise
@@ -107,7 +115,7 @@ def load(
     return summary
 
 
-def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None, rules: list[Rule], sourcetype: str, name: str, index: bool) -> LoadSummary:
+def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None, rules: list[Rule], sourcetype: str, name: str, index: bool, watch: Watch) -> LoadSummary:
     spark = session.spark
     done = session.committed(name)
     if done is not None:
@@ -120,7 +128,15 @@ def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFo
         raise LoadError(str(e)) from None
     own = Scratch(spark, staged_path)
     own.clear()
-    staged = own.keep(read(session, kind, files, fmt, own.keep))
+    try:
+        return _stored(session, kind, files, fmt, rules, sourcetype, name, index, watch, own)
+    finally:
+        own.clear()
+
+
+def _stored(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFormat | None, rules: list[Rule], sourcetype: str, name: str, index: bool, watch: Watch, own: Scratch) -> LoadSummary:
+    spark = session.spark
+    staged = watch.step("reading", lambda: own.keep(read(session, kind, files, fmt, own.keep)))
     # one row for each file of the driver's own list
     first = F.min(F.when(F.col("error").isNotNull(), F.struct("event_id_seq", "error")))
     state = {r["event_id_source"]: r for r in staged.groupBy("event_id_source").agg(F.count("*").alias("n"), first.alias("bad")).collect()}
@@ -133,21 +149,23 @@ def _load(session: Session, kind: str, files: list[tuple[str, str]], fmt: TextFo
         else:
             summary.inserted[p], summary.source_ids[p] = state[i]["n"], i
             good.append(i)
-    if good:
-        session.begin(name)
-        tables = ["log_entries", "load_sources"]
-        kept = spark.createDataFrame([(i,) for i in good], "event_id_source string")
-        session.write_entries(staged.join(F.broadcast(kept), "event_id_source", "left_semi").select(*model.LOG_ENTRIES.names), sourcetype, name)
-        source_rows = [(i, p, sourcetype, None, None) for p, i in summary.source_ids.items()]
-        session.write_sources(source_rows, name)
-        if rules:
-            session.write_tags(tag_entries(session.load_entries(name), spark.createDataFrame(source_rows, model.SOURCES), rules, utc_now()), name)
-            tables.append("load_tags")
-            counted = session.loaded("load_tags", model.IMPORT_TAGS, [{"load": name, "tables": tables}]).groupBy("rule_name").count().collect()
-            summary.tags_by_rule = {r["rule_name"]: r["count"] for r in counted}
-        if index:
-            ngrams.write(session, name, STORED)
-            tables += ["ngrams", "ngram_files"]
-        session.commit(name, tables, inserted=summary.inserted, skipped=summary.skipped, tags_by_rule=summary.tags_by_rule, source_ids=summary.source_ids)
-    own.clear()
+    if not good:
+        return summary
+    session.begin(name)
+    tables = ["log_entries", "load_sources"]
+    kept = spark.createDataFrame([(i,) for i in good], "event_id_source string")
+    rows = staged.join(F.broadcast(kept), "event_id_source", "left_semi").select(*model.LOG_ENTRIES.names)
+    watch.step("storing", lambda: session.write_entries(rows, sourcetype, name))
+    source_rows = [(i, p, sourcetype, None, None) for p, i in summary.source_ids.items()]
+    session.write_sources(source_rows, name)
+    if rules:
+        known = spark.createDataFrame(source_rows, model.SOURCES)
+        watch.step("tagging", lambda: session.write_tags(tag_entries(session.load_entries(name), known, rules, utc_now()), name))
+        tables.append("load_tags")
+        counted = session.loaded("load_tags", model.IMPORT_TAGS, [{"load": name, "tables": tables}]).groupBy("rule_name").count().collect()
+        summary.tags_by_rule = {r["rule_name"]: r["count"] for r in counted}
+    if index:
+        watch.step("indexing", lambda: ngrams.write(session, name, STORED))
+        tables += ["ngrams", "ngram_files"]
+    session.commit(name, tables, inserted=summary.inserted, skipped=summary.skipped, tags_by_rule=summary.tags_by_rule, source_ids=summary.source_ids)
     return summary

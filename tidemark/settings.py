@@ -12,7 +12,10 @@ from tidemark.operators.rulefiles import quoted
 
 @dataclass(frozen=True)
 class Settings:
-    """Folders may be of any store that Spark reads. ``load_group``: files that are loaded at a time."""
+    """Sessions may lie in any store that Spark reads; the rules of a local ``rules_dir`` are applied with the built-in ones, if it is there.
+
+    ``load_group``: files that are loaded at a time.
+    """
 
     sessions_dir: str = "sessions"
     rules_dir: str = "rules"
