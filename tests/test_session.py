@@ -1,9 +1,11 @@
 """Sessions, loads, exports, streams."""
 
 import csv
+import io
 import json
+import random
 import tempfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -11,6 +13,7 @@ from tidemark import packs
 from tidemark.__main__ import cleanup, main
 from tidemark.functions.labels import color_slot, level_label, source_label
 from tidemark.functions.timezones import Zone
+from tidemark.model import IMPORT_TAGS, LOG_ENTRIES, SOURCES
 from tidemark.operators.tagging import Rule
 from tidemark.operators.timeline import Timeline, message_quality, resolution_by_day, sample_rows
 from tidemark.plans.export import COLUMNS, export_file, export_folder, export_rows
@@ -124,6 +127,7 @@ def test_merged_tags_and_export(spark, session, logs, tmp_path):
     (one,) = json.loads((tmp_path / "x.JSON").read_text())
     assert list(one) == COLUMNS and one["message"] == "pump 4 broke"
     assert export_file(t, "level=none", tmp_path / "none.json") == 0 and json.loads((tmp_path / "none.json").read_text()) == []
+    assert (tmp_path / "none.json").read_text() == "[\n\n]\n" and not list(tmp_path.glob("*.parts-*"))
     export_folder(t, "", f"{tmp_path}/folder")
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/folder")
     assert back.columns == COLUMNS and {r.message for r in back.collect()} == {"pump 4 broke", 'fine, "quoted"', "broke again"}
@@ -205,6 +209,26 @@ def test_batch_that_is_run_again_doubles_nothing(session, tmp_path, monkeypatch)
     assert session.entries().count() == 3 and session.import_tags().count() == 6
 
 
+def test_one_file_from_many_parts_has_the_bytes_of_one_writer(spark, tmp_path):
+    """Quotes, commas, line breaks and other characters, in rows of several partitions."""
+    r = random.Random(2)
+    odd = ['"', ",", "\n", "\r", "é", "日本", "🙂", "\\", "/", "\t", " ", "x", ""]
+    rows = [("s", n, datetime(2026, 1, 1) + timedelta(seconds=n), "I", "".join(r.choice(odd) for _ in range(5)), "r", "{}") for n in range(300)]
+    t = Timeline(spark.createDataFrame(rows, LOG_ENTRIES).repartition(6), spark.createDataFrame([("s", "/a,b", "app", None, None)], SOURCES), spark.createDataFrame([], IMPORT_TAGS))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert export_file(t, "", tmp_path / "x.csv") == export_file(t, "", f"{tmp_path}/x.json") == 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [tuple(x) for x in export_rows(t, "").collect()]
+    text = io.StringIO()
+    writer = csv.writer(text, lineterminator="\n")
+    writer.writerows([COLUMNS, *want])
+    assert (tmp_path / "x.csv").read_bytes() == text.getvalue().encode()
+    body = ",\n".join(json.dumps(dict(zip(COLUMNS, w)), ensure_ascii=False, separators=(",", ":")) for w in want)
+    assert (tmp_path / "x.json").read_bytes() == f"[\n{body}\n]\n".encode()
+
+
 def test_tag_preview(session, logs):
     load(session, "text", str(logs), FMT, RULES)
     t = session.timeline()
