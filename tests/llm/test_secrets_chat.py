@@ -121,3 +121,14 @@ def test_masks_of_a_long_conversation(spark):
     (row,) = chat.format_pairs(turns, spark.createDataFrame([(2, 3)], "chosen_id long, rejected_id long")).collect()
     spans = [tuple(map(int, s.split(":"))) for s in row.rejected_mask.split(",")]
     assert row.n_prompt_turns == 0 and [row.rejected[a:z] for a, z in spans] == [f"turn {k} é{chat.END}" for k in range(1, 3000, 2)]
+
+
+def test_pairs_with_clashing_columns(spark):
+    """Further columns of turns and pairs, named as the operator's own, change nothing."""
+    rows = [(c, k, "assistant" if k % 2 else "user", f"t{k}" if k < 2 else f"t{c}{k}") for c in (2, 3) for k in range(4)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = spark.createDataFrame([(*r, 7, "x", 1, "y", 0) for r in rows], "conv_id long, turn long, role string, text string, turns int, a string, b int, prompt string, n int")
+    pairs = spark.createDataFrame([(2, 3, "c", 1)], "chosen_id long, rejected_id long, turns string, n int")
+    want = chat.format_pairs(plain, pairs.select("chosen_id", "rejected_id")).collect()
+    assert chat.format_pairs(turns, pairs).collect() == want and want[0].n_prompt_turns == 2
+    assert chat.neighbour_pairs(turns).collect() == chat.neighbour_pairs(plain).collect()

@@ -246,12 +246,12 @@ def _runs(part: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from ((a, z) for a, z in zip(edges, edges[1:]) if a < z)
 
 
-_encoders: dict[str, HubEncoder] = {}
+_encoders: dict[tuple[str, int], HubEncoder] = {}
 
 
-def hub_encoder(path: str | None = None) -> HubEncoder:
-    """One encoder per worker process and vocabulary file."""
+def hub_encoder(path: str | None = None, slice_bytes: int = 16_000_000) -> HubEncoder:
+    """One encoder per worker process, vocabulary file and size of slices; a slice takes about 20 times its bytes of memory."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _encoders:
-        _encoders[path] = HubEncoder(path)
-    return _encoders[path]
+    if (path, slice_bytes) not in _encoders:
+        _encoders[path, slice_bytes] = HubEncoder(path, slice_bytes)
+    return _encoders[path, slice_bytes]

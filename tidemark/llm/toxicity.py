@@ -19,9 +19,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,19 @@ def word_counts(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
-def likelihood_ratios(counts: list[dict[int, int]], labels: np.ndarray, terms: int) -> np.ndarray:
+def term_counts(vocabulary: dict[str, int], text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text, ascending, and how often each occurs."""
+    words = _WORD.findall(text.lower())
+    found = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
+    return np.unique(found[found >= 0], return_counts=True)
+
+
+def likelihood_ratios(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
     """Of each term the log-likelihood ratio between its presence in a text and the text's label."""
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     k = np.zeros((terms, 2))
-    for c, y in zip(counts, labels):
-        k[list(c), y] += 1
+    for (ids, _), y in zip(counts, labels):
+        k[ids, y] += 1
     share = k.sum(1, keepdims=True) / n.sum()
 
     def part(a: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -65,7 +74,7 @@ class BlockMaxIndex:
     row of all examples, as every block would be read for them.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16, common: int = 8):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16, common: int = 16):
         self.block, self.blocks = block, -(-len(vectors) // block)
         self.size = self.block * self.blocks
         # examples with the same strongest term share blocks, which keeps the bounds tight
@@ -90,11 +99,22 @@ class BlockMaxIndex:
         self.bound = np.nextafter(np.maximum.reduceat(self.weight, first).astype(np.float32), np.float32(2)).astype(np.float64) if len(first) else np.empty(0)
         self.term_at = np.searchsorted(term[first], np.arange(terms + 1))
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k highest positive cosines; ties go to the smaller example number."""
-        row = self.row[ids]
-        scores = weights[row >= 0] @ self.rows[row[row >= 0]]
-        ids, weights = ids[row < 0], weights[row < 0]
+    def of_common_terms(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosines of each vector (a row) with each example: one matrix product."""
+        dense = np.zeros((len(vectors), len(self.rows)))
+        for k, (ids, weights) in enumerate(vectors):
+            row = self.row[ids]
+            dense[k, row[row >= 0]] = weights[row >= 0]
+        return dense @ self.rows
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k highest positive cosines; ties go to the smaller example number.
+
+        ``scores``: the vector's row of :meth:`of_common_terms`, which is changed.
+        """
+        scores = self.of_common_terms([(ids, weights)])[0] if scores is None else scores
+        rare = self.row[ids] < 0
+        ids, weights = ids[rare], weights[rare]
         count = self.term_at[ids + 1] - self.term_at[ids]
         entries, w = _stretches(self.term_at[ids], count), np.repeat(weights, count)
         block = self.entry_block[entries]
@@ -148,10 +168,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Vocabulary, idf, index of examples, their labels and ids, and the calibration."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list[dict[int, int]], labels: np.ndarray, ids: list[int], weights: np.ndarray, k: int):
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list[int], weights: np.ndarray, k: int):
         self.vocabulary, self.labels, self.ids, self.k = vocabulary, labels, ids, k
         self.idf = idf * np.where(likelihood_ratios(counts, labels, len(vocabulary)) > _SIGNIFICANT, 1, _FAINT)
-        vectors = [self.vector(c) for c in counts]
+        vectors = [self.unit(*c) for c in counts]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         votes = []
         for i, v in enumerate(vectors):
@@ -160,31 +180,33 @@ class Model:
             votes.append(vote(labels[near[other][:k]], cos[other][:k]))
         self.knots = isotonic(np.array(votes), labels.astype(float), weights)
 
-    def count(self, text: str) -> dict[int, int]:
-        get = self.vocabulary.get
-        return {i: n for w, n in word_counts(text).items() if (i := get(w)) is not None}
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = term_counts(self.vocabulary, text)
+        return self.unit(ids, n.astype(float))
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * self.idf[ids] if len(ids) else np.empty(0)
+    def unit(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of terms (ascending) and their counts."""
+        w = (1 + np.log(n)) * self.idf[ids]
         return ids, w / np.sqrt((w * w).sum()) if len(ids) else w
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score, and the neighbours with their cosines."""
-        ids, w = self.vector(counts)
-        near, cos = self.index.nearest(ids, w, self.k) if len(ids) else (np.empty(0, np.int64), np.empty(0))
-        return float(np.clip(np.interp(vote(self.labels[near], cos), *self.knots), 0, 1)), near, cos
+    def scores(self, texts: list[str], together: int = 64) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated score of each text, and its neighbours with their cosines; ``together`` texts make one matrix product."""
+        for at in range(0, len(texts), together):
+            vectors = [self.vector(t) for t in texts[at : at + together]]
+            for (ids, w), common in zip(vectors, self.index.of_common_terms(vectors)):
+                near, cos = self.index.nearest(ids, w, self.k, common) if len(ids) else (np.empty(0, np.int64), np.empty(0))
+                yield float(np.clip(np.interp(vote(self.labels[near], cos), *self.knots), 0, 1)), near, cos
 
 
-def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, dict[int, int]]:
-    """doc_id, toxic, words and their counts of the sample, and the number of labelled ids of each label.
+def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[pa.Table | None, dict[int, int]]:
+    """doc_id, toxic, words and their counts (n) of the sample in order of doc_id, and the number of labelled ids of each label.
 
     The words are counted by the executors; what the driver gets is bounded by the number of examples and their distinct words.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
-        return [], totals
+        return None, totals
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / totals[1])).otherwise(min(1.0, per_class / totals[0]))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
@@ -195,7 +217,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list,
             words, n = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words, n], ["doc_id", "toxic", "words", "n"])
 
-    return sorted(tuple(r) for r in texts.mapInArrow(run, "doc_id long, toxic int, words array<string>, n array<long>").collect()), totals
+    return texts.mapInArrow(run, "doc_id long, toxic int, words array<string>, n array<long>").toArrow().sort_by("doc_id"), totals
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -203,11 +225,11 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, df, n = sent.value.get, np.zeros(len(sent.value), np.int64), 0
+        df, n = np.zeros(len(sent.value), np.int64), 0
         for b in batches:
             n += b.num_rows
             for t in b.column(0):
-                df[[i for w in set(_WORD.findall(t.as_py().lower())) if (i := get(w)) is not None]] += 1
+                df[term_counts(sent.value, t.as_py())[0]] += 1
         have = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1)), pa.array(np.append(df[have], n))], ["term", "n"])
 
@@ -222,14 +244,19 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, k: int = 16) -> Model | None:
     """A model from the rows of ``labels`` (doc_id, toxic) and the texts of ``docs``; None without rows of both labels."""
     rows, totals = examples(docs, labels, per_class)
-    y = np.array([r[1] for r in rows], np.int64)
+    y = np.empty(0, np.int64) if rows is None else rows["toxic"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
     each = [totals[v] / (y == v).sum() for v in (0, 1)]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[2]}))}
-    df, n = document_frequencies(docs, vocabulary)
-    counts = [{vocabulary[w]: c for w, c in zip(r[2], r[3])} for r in rows]
-    return Model(vocabulary, np.log((n + 1) / (df + 1)) + 1, counts, y, [r[0] for r in rows], np.array([each[v] for v in y]), k)
+    words = rows["words"].combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    vocabulary = {w: i for i, w in enumerate(sorted(known))}
+    term = np.array([vocabulary[w] for w in known], np.int64)[coded.indices.to_numpy()]
+    n, ends = rows["n"].combine_chunks().flatten().to_numpy().astype(float), np.cumsum(pc.list_value_length(words).to_numpy())[:-1]
+    counts = [(t[by], c[by]) for t, c in zip(np.split(term, ends), np.split(n, ends)) for by in (np.argsort(t),)]
+    df, total = document_frequencies(docs, vocabulary)
+    return Model(vocabulary, np.log((total + 1) / (df + 1)) + 1, counts, y, rows["doc_id"].to_pylist(), np.array([each[v] for v in y]), k)
 
 
 _SCORED = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))])
@@ -239,15 +266,14 @@ def scorer(spark, model: Model | None, evidence: int = 3):
     """A UDF from text to (score, evidence): the nearest examples with their label and cosine. The model is bounded by its parameters and broadcast."""
     sent = spark.sparkContext.broadcast(model)
 
-    def one(m: Model | None, text: str | None) -> dict:
-        if m is None:
-            return {"score": 0.0, "evidence": []}
-        s, near, cos = m.score(m.count(text or ""))
-        return {"score": s, "evidence": [{"doc_id": int(m.ids[i]), "toxic": int(m.labels[i]), "cosine": float(c)} for i, c in zip(near[:evidence], cos)]}
+    def shown(m: Model, score: float, near: np.ndarray, cos: np.ndarray) -> dict:
+        return {"score": score, "evidence": [{"doc_id": int(m.ids[i]), "toxic": int(m.labels[i]), "cosine": float(c)} for i, c in zip(near[:evidence], cos)]}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([one(sent.value, t.as_py()) for t in texts], _SCORED)
+            m, whole = sent.value, [t.as_py() or "" for t in texts]
+            found = [{"score": 0.0, "evidence": []}] * len(whole) if m is None else [shown(m, *x) for x in m.scores(whole)]
+            yield pa.array(found, _SCORED)
 
     return F.arrow_udf(run, "score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
 
