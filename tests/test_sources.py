@@ -13,6 +13,7 @@ from tidemark.sources.columns import java_pattern
 from tidemark.sources.discovery import aul_layout, byte_size, kind_of, source_files
 from tidemark.sources.formats import BadFormat, TextFormat, saved_formats
 from tidemark.sources.journald import BadJournal, Journal, read_journals
+from tidemark.plans.scratch import Scratch
 from tidemark.sources.records import RENDERED, filled, read_aul_records, read_evtx_records
 from tidemark.sources.text import lines_of, parse_records, parsed_by_columns, preview, read_text, records_of
 
@@ -277,7 +278,8 @@ def test_builtin_formats_need_no_python(spark, tmp_path):
         p = tmp_path / name
         p.write_text("\n".join(lines) + "\n")
         fmt = packs.text_formats()[name].with_assumptions("Europe/Berlin", 2024)
-        records = records_of(lines_of(spark, [("s", str(p))]), fmt)
+        keep = Scratch(spark).keep
+        records = records_of(keep(lines_of(spark, [("s", str(p))])), fmt, keep)
         fast, slow = parsed_by_columns(records, fmt), parse_records(records, fmt)
         key = lambda r: (r.event_id_seq, r.timestamp_utc, r.level, r.message, r.raw, r.fields and json.loads(r.fields), r.error is not None)
         assert list(map(key, fast.orderBy("event_id_seq").collect())) == list(map(key, slow.orderBy("event_id_seq").collect())), name
