@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,28 +63,33 @@ def _conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Write ``df`` as Parquet; its shuffle files go as soon as it is written, as nothing reads them again."""
-    with _conf(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("compression", "zstd").parquet(path)
+def write(df: DataFrame, path: str, batch_bytes: str | None = None) -> None:
+    """Write ``df`` as Parquet; its shuffle files go as soon as it is written, as nothing reads them again.
+
+    ``batch_bytes`` bounds a batch of rows for a Python worker, where the default of 10,000 rows is too much at once.
+    """
+    spark = df.sparkSession
+    with _conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with _conf(spark, "spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes) if batch_bytes else nullcontext():
+            df.write.option("compression", "zstd").parquet(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_bytes: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a DataFrame that reads it: the lineage ends there and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)
-    write(df, path)
+    write(df, path, batch_bytes)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
     """Tables of one operator that nothing reads once its result is written."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+    def __init__(self, spark: SparkSession, batch_bytes: str | None = None):
+        self.spark, self.batch_bytes, self.paths = spark, batch_bytes, []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        write(df, path)
+        write(df, path, self.batch_bytes)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -124,7 +124,7 @@ def pack(docs: DataFrame, window: int = 1024, open_windows: int = 32, group: int
         return cut_leftovers(table, key[0].as_py(), window)
 
     src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    placed = materialise(src.mapInArrow(run, PIECE), "pieces")
+    placed = materialise(src.mapInArrow(run, PIECE), "pieces", "8m")
     left = placed.where("ids_crc32 is null").groupBy(F.floor(F.shiftright("sequence_id", 33) / group).alias("g")).applyInArrow(merge, PIECE)
     return placed.where("ids_crc32 is not null").unionByName(left)
 

@@ -46,6 +46,8 @@ _BLOCK = 1 << 14
 PARITY_WORDS = 8
 #: Texts that are at least sampled for the frequencies of shingles, the share of larger inputs, and the frequencies kept.
 SAMPLE, SHARE, KEPT = 20_000, 1 / 8, 500_000
+#: Bytes of texts or shingle sets that a Python worker gets at once.
+BATCH_BYTES = "8m"
 #: Texts of an entry that are compared with each other; those of larger entries meet by prefixes of exact frequencies.
 CROWD = 32
 
@@ -289,7 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFram
     where several texts have it, the smallest :func:`tidemark.llm._base.text_hash`; rows that repeat id and text are one
     document and are kept or not together.  Null ids are larger than any other; a group of them alone has a null keep_id.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, BATCH_BYTES)
     each = scratch.keep(_signatures(docs, size, tenths), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for equal keys

@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -189,10 +189,10 @@ class Model:
         w = (1 + np.log(n)) * self.idf[ids]
         return ids, w / np.sqrt((w * w).sum()) if len(ids) else w
 
-    def scores(self, texts: list[str], together: int = 64) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    def scores(self, texts: Iterable[str], together: int = 64) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Calibrated score of each text, and its neighbours with their cosines; ``together`` texts make one matrix product."""
-        for at in range(0, len(texts), together):
-            vectors = [self.vector(t) for t in texts[at : at + together]]
+        for part in batched(texts, together):
+            vectors = [self.vector(t) for t in part]
             for (ids, w), common in zip(vectors, self.index.of_common_terms(vectors)):
                 near, cos = self.index.nearest(ids, w, self.k, common) if len(ids) else (np.empty(0, np.int64), np.empty(0))
                 yield float(np.clip(np.interp(vote(self.labels[near], cos), *self.knots), 0, 1)), near, cos
@@ -271,8 +271,8 @@ def scorer(spark, model: Model | None, evidence: int = 3):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            m, whole = sent.value, [t.as_py() or "" for t in texts]
-            found = [{"score": 0.0, "evidence": []}] * len(whole) if m is None else [shown(m, *x) for x in m.scores(whole)]
+            m = sent.value
+            found = [{"score": 0.0, "evidence": []}] * len(texts) if m is None else [shown(m, *x) for x in m.scores(t.as_py() or "" for t in texts)]
             yield pa.array(found, _SCORED)
 
     return F.arrow_udf(run, "score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
