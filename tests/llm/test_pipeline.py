@@ -63,5 +63,5 @@ def test_empty_corpus(spark, none, tmp_path):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(entry.oracle_sql()) <= set(entry.queries())
