@@ -199,6 +199,19 @@ def _texts_of_a_template(n, seed):
     return [*rows, (n, rows[0][1] + " and more")]
 
 
+def test_frequencies_count_every_text(spark, monkeypatch):
+    """Of more texts than any sample of them; those beyond the number kept are the rarest."""
+    n = 24_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('one two three four five ', CASE WHEN id % 3 = 0 THEN 'six' ELSE concat('own', id) END) AS text")
+    scratch = Scratch(spark)
+    often = {simhash.shingle_hashes("one two three four five", 5)[0]: n, simhash.shingle_hashes("two three four five six", 5)[0]: n // 3}
+    hashes, counts = simhash._frequencies(docs, 5, scratch)
+    assert dict(zip(hashes, counts)) == often and sorted(hashes) == list(hashes)
+    monkeypatch.setattr(simhash, "KEPT", 1)
+    assert simhash._frequencies(docs, 5, scratch)[1].tolist() == [n]
+    scratch.clear()
+
+
 def test_templates_without_known_frequencies_stay_near_linear(spark, monkeypatch):
     """A frequency list that knows none of the shared shingles: pairs grow with the texts, not with their square."""
     monkeypatch.setattr(simhash, "KEPT", 0)

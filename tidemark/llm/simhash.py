@@ -44,8 +44,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 14
 #: 64-bit words of a parity bitmap.
 PARITY_WORDS = 8
-#: Texts that are at least sampled for the frequencies of shingles, the share of larger inputs, and the frequencies kept.
-SAMPLE, SHARE, KEPT = 20_000, 1 / 8, 500_000
+#: Shingles, the most frequent of all texts, whose frequencies order the prefixes.
+KEPT = 500_000
 #: Bytes of texts or shingle sets that a Python worker gets at once.
 BATCH_BYTES = "8m"
 #: Texts of an entry that are compared with each other; those of larger entries meet by prefixes of exact frequencies.
@@ -153,19 +153,28 @@ def parity_differs(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
-def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of the most frequent shingles of a sample; they order the prefixes and decide no pair."""
+def _frequencies(docs: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the most frequent shingles; they order the prefixes and decide no pair.
+
+    Every shingle of every text is counted.  Those from the least count on that leaves :data:`KEPT` at most are returned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size).view(np.int64))], ["h"])
-
-    share = max(SHARE, SAMPLE / max(1, docs.count()))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    some = docs.where(place < F.lit(int(min(1.0, share) * (1 << 30)))).select(text_or_empty().alias("text"))
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(KEPT).toArrow()
-    hashes, n = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy()
+            each = [shingle_set(t.as_py(), size) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64))], ["h"])
+
+    texts = docs.select(text_or_empty().alias("text"))
+    counts = scratch.keep(texts.mapInArrow(run, "h long").groupBy("h").count().where("count > 1"), "frequencies")
+    # a row for each count that occurs
+    shingles, least = 0, None
+    for row in sorted(counts.groupBy("count").agg(F.count("*").alias("shingles")).collect(), reverse=True):
+        shingles += row["shingles"]
+        if shingles > KEPT:
+            break
+        least = row["count"]
+    found = (counts.where(F.col("count") >= least) if least else counts.limit(0)).toArrow()
+    hashes, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
@@ -173,9 +182,9 @@ def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 _WORDS = [f"f{k}" for k in range(PARITY_WORDS)]
 
 
-def _signatures(docs: DataFrame, size: int, tenths: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, tenths: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, key (of the shingle set), n, fp, the bitmaps and the prefix of every text."""
-    known, count = _frequencies(docs, size)
+    known, count = _frequencies(docs, size, scratch)
     schema = "doc_id long, text_hash long, key binary, n int, fp long, " + "".join(f"{n} long, " for n in _WORDS) + "wide binary, prefix array<long>"
     names = ["doc_id", "text_hash", "key", "n", "fp", *_WORDS, "wide", "prefix"]
 
@@ -292,7 +301,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, tenths: int = 8) -> DataFram
     document and are kept or not together.  Null ids are larger than any other; a group of them alone has a null keep_id.
     """
     scratch = Scratch(docs.sparkSession, BATCH_BYTES)
-    each = scratch.keep(_signatures(docs, size, tenths), "signatures")
+    each = scratch.keep(_signatures(docs, size, tenths, scratch), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for equal keys
     nodes = each.groupBy("key").agg(F.min(row).alias("row"), *[one(c) for c in ("n", "fp", *_WORDS, "wide", "prefix")])
