@@ -193,3 +193,26 @@ def test_all_words_are_in_the_cosine(labelled):
         ((_, near, cos),) = model.scores([texts[i]])
         want = full @ vector(texts[i])
         assert np.allclose(cos, np.sort(want)[::-1][:7]) and np.allclose(want[near], cos)
+
+
+def test_only_leading_candidates_are_sorted(monkeypatch):
+    """Examples that all share a term with the text are not sorted, only those that the k-th cosine leaves."""
+    r, vectors = np.random.default_rng(3), []
+    for _ in range(900):
+        ids = np.unique(np.append(r.choice(400, 12), 0))
+        w = r.random(len(ids)) + 0.1
+        vectors.append((ids, w / np.sqrt((w * w).sum())))
+    index, sizes, sort = toxicity.BlockMaxIndex(vectors, 400), [], np.lexsort
+    monkeypatch.setattr(toxicity.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    near, cos = index.nearest(*vectors[5], 8)
+    dense = np.zeros((900, 400))
+    for row, (ids, w) in zip(dense, vectors):
+        row[ids] = w
+    want = np.sort(dense @ dense[5])[::-1][:8]
+    assert near[0] == 5 and np.allclose(cos, want) and sizes == [8]
+
+
+def test_terms_of_a_text_are_those_that_are_counted():
+    known = {"a": 0, "b": 1, "c": 2}
+    text = "B a b x b"
+    assert sorted(toxicity.terms_of(known, text)) == toxicity.term_counts(known, text)[0].tolist() == [0, 1]

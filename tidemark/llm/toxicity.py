@@ -46,6 +46,13 @@ def term_counts(vocabulary: dict[str, int], text: str) -> tuple[np.ndarray, np.n
     return np.unique(found[found >= 0], return_counts=True)
 
 
+def terms_of(vocabulary: dict[str, int], text: str) -> np.ndarray:
+    """The terms of a text, each once, in any order: a repeated word is looked up once."""
+    words = set(_WORD.findall(text.lower()))
+    found = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
+    return found[found >= 0]
+
+
 def likelihood_ratios(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
     """Of each term the log-likelihood ratio between its presence in a text and the text's label."""
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
@@ -74,7 +81,7 @@ class BlockMaxIndex:
     row of all examples, as every block would be read for them.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 16, common: int = 16):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64, common: int = 24):
         self.block, self.blocks = block, -(-len(vectors) // block)
         self.size = self.block * self.blocks
         # examples with the same strongest term share blocks, which keeps the bounds tight
@@ -137,7 +144,8 @@ class BlockMaxIndex:
             found = scores.reshape(self.blocks, self.block)[done].ravel()
             least = max(0.0, np.partition(found, -k)[-k]) if len(found) >= k else 0.0
             at, step = at + step, self.blocks
-        slots = np.flatnonzero((scores > 0) & np.repeat(done, self.block))
+        # only what the k-th cosine leaves is sorted; ``least`` is 0 as long as fewer were found
+        slots = np.flatnonzero((scores > 0) & (scores >= least) & np.repeat(done, self.block))
         found = self.order[slots]
         top = np.lexsort((found, -scores[slots]))[:k]
         return found[top], scores[slots][top]
@@ -229,7 +237,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         for b in batches:
             n += b.num_rows
             for t in b.column(0):
-                df[term_counts(sent.value, t.as_py())[0]] += 1
+                df[terms_of(sent.value, t.as_py())] += 1
         have = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1)), pa.array(np.append(df[have], n))], ["term", "n"])
 
