@@ -9,7 +9,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tidemark.operators.tagging import Rule, tag_entries
 from tidemark.plans import catalog
+from tidemark.plans.export import read_array
+from tidemark.plans.session import Session, utc_now
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="needs the test tables")
@@ -49,3 +52,29 @@ def test_registry_without_the_optional_folders(tmp_path, left_over):
     code = "import __spark_entry__ as e; print(len(e.queries()), e.queries().keys() == e.oracle_sql().keys())"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(catalog.queries())), "True"], said.stderr
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_are_the_broadcast_side(spark, tmp_path):
+    """However small the entries' compressed files are, and however unknown the size of the sources."""
+    entries = spark.range(100).selectExpr("'s' AS event_id_source", "id AS event_id_seq", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS timestamp_utc", "'x' AS level", "'m' AS message", "'r' AS raw", "'{}' AS fields")
+    session = Session(spark, str(tmp_path / "session"))
+    session.append_entries(entries, "app")
+    session.append("sources", [("s", "/a", "app", None, None)])
+    session.retag([Rule("all", "t", (("message_contains", "m"),))])
+    rows, t = session.entries(), session.timeline()
+    for plan in (_plan(tag_entries(rows, session.sources(), [Rule("all", "t", (("message_contains", "m"),))], utc_now())), _plan(t.with_sources(t.entries))):
+        assert "BuildRight" in plan and "SortMergeJoin" not in plan
+    assert "SortMergeJoin" in _plan(t.search("tag=t")) and t.count("tag=t") == 100
+
+
+def test_an_exported_array_is_read_by_lines(spark, tmp_path):
+    path = tmp_path / "x.json"
+    path.write_text('[\n{"level":"a,"},\n{"message":"b\\n"}\n]\n')
+    rows = read_array(spark, str(path), "level string, message string")
+    assert [tuple(r) for r in rows.collect()] == [("a,", None), (None, "b\n")] and "multiLine" not in _plan(rows)
+    path.write_text("[\n\n]\n")
+    assert read_array(spark, str(path), "level string, message string").count() == 0

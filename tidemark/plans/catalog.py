@@ -22,7 +22,7 @@ from tidemark.operators import querytext as q
 from tidemark.operators import timeline as T
 from tidemark.operators.tagging import Rule, apply_rules, evaluate, matches_in_one_pass, retag_summary, taggable
 from tidemark.operators.timeline import Timeline
-from tidemark.plans.export import export_file, export_folder, export_rows
+from tidemark.plans.export import export_file, export_folder, export_rows, read_array
 from tidemark.plans.load import LoadSummary, load
 from tidemark.plans.scratch import Scratch, remove, shared_dir
 from tidemark.plans.session import Session
@@ -477,7 +477,7 @@ def export_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON array, written without a row on the driver."""
     path = f"{_shared(spark)}/rows.json"
     n = export_file(timeline(spark, sf_dir), "level=error", path)
-    rows = spark.read.option("multiLine", True).schema("timestamp string, level string, message string").json(path)
+    rows = read_array(spark, path, "timestamp string, level string, message string")
     return rows.withColumn("rows", F.lit(n).cast("long"))
 
 

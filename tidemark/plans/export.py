@@ -67,6 +67,12 @@ def export_file(timeline: Timeline, text: str, path: str | Path, zone: Zone = Zo
     return seen.get["n"]
 
 
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of an array that :func:`export_file` wrote: a row is a line, so any number of tasks read the file."""
+    lines = spark.read.option("lineSep", "\n").text(path).where(~F.col("value").isin("[", "]", ""))
+    return lines.select(F.from_json(F.regexp_replace("value", r",\z", ""), schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
 def _joined(spark: SparkSession, path: str, work: str, head: str, tail: str, cut: int) -> None:
     """Write ``path`` from ``head``, the parts below ``work``/rows less their last ``cut`` bytes, and ``tail``."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
