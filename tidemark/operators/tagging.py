@@ -135,7 +135,8 @@ def _with_fields(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 def taggable(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """The rows rules see: entries with a source. Only the columns that rules read are scanned."""
     known = sources.select(F.col("source_file_id").alias("event_id_source"), "sourcetype")
-    return entries.select(*KEY, "level", "message", "fields").join(known, "event_id_source")
+    # a row for each source; else the plan may take the entries for the smaller side
+    return entries.select(*KEY, "level", "message", "fields").join(F.broadcast(known), "event_id_source")
 
 
 def matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:

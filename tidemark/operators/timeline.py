@@ -63,7 +63,8 @@ class Timeline:
     def with_sources(self, entries: DataFrame, how: str = "left") -> DataFrame:
         """``entries`` with path and sourcetype; a missing source leaves them null, but a stored sourcetype stays."""
         known = self.sources.select(F.col("source_file_id").alias("event_id_source"), "path", "sourcetype")
-        return entries.join(known.drop("sourcetype") if "sourcetype" in entries.columns else known, "event_id_source", how)
+        # a row for each source: joined by a shuffle, all entries of a source would meet in one task
+        return entries.join(F.broadcast(known.drop("sourcetype") if "sourcetype" in entries.columns else known), "event_id_source", how)
 
     def search(self, text: str, strict: bool = False) -> DataFrame:
         """The entries that match. A pattern that is no regular expression makes the whole query match nothing, or is raised if ``strict``.
@@ -103,7 +104,9 @@ class Timeline:
         return rows.select(*columns)
 
     def _tagged(self, term: Term) -> DataFrame:
-        return self.tags.where(tag_condition(term)).select(*KEY)
+        """The keys of the tags asked for. Stored ones grow with the log, however small their compressed files look: never broadcast."""
+        keys = self.tags.where(tag_condition(term)).select(*KEY)
+        return keys.hint("merge") if self.stored else keys
 
     def count(self, text: str = "") -> int:
         return self.search(text).count()
