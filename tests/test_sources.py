@@ -304,3 +304,18 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
 @pytest.mark.parametrize("pattern", ["(a|b)", "(?P<timestamp>x)?", "(?:(?P<timestamp>x))*", "(?=x)y", "[a&&b]", "[[:digit:]]", r"\bx", "(?i)x", "a++", r"(?P<a>x)\1"])
 def test_patterns_that_need_the_parser(pattern):
     assert java_pattern(pattern) is None
+
+
+def test_a_folder_of_part_files_is_one_log(spark, tmp_path):
+    """Lines are numbered over all parts, and a record may begin in one part and end in the next; single part files stay logs of their own."""
+    for k, text in ((0, "1 a\n  b\n"), (1, "  c\n2 d\n"), (100_000, "  z\n"), (2, "  e\n")):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"part-{k:05d}-x.c000.txt").write_text(text)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "part-00000-x.c000.txt").write_text("1 a\n")
+    found = source_files(spark, "text", str(tmp_path), ".txt")
+    assert [f[len(str(tmp_path)) :] for f in found] == ["/many", "/one/part-00000-x.c000.txt"]
+    assert byte_size(spark, found[0]) == 24
+    fmt = TextFormat("t", "t", r"^(?P<timestamp>\d)(?P<message>.*)$", "%s", multiline_start=r"^\d")
+    rows = records_of(Scratch(spark).keep(lines_of(spark, [("s", found[0]), ("t", found[1])])), fmt, Scratch(spark).keep).collect()
+    assert sorted((r.event_id_source, r.event_id_seq, r.line, r.raw) for r in rows) == [("s", 0, 1, "1 a\n  b\n  c"), ("s", 1, 4, "2 d\n  e\n  z"), ("t", 0, 1, "1 a")]

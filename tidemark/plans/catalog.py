@@ -233,10 +233,11 @@ def clear(spark: SparkSession) -> None:
 
 
 def _lines(spark: SparkSession, sf_dir: str, line: str, where: str = "true") -> str:
-    """A folder with the lines of ``events`` in the order of event_id, one file for each of two users' groups."""
+    """A folder with the lines of ``events`` in the order of event_id, one log in parts for each of two users' groups."""
     path = f"{_shared(spark)}/logs"
     rows = _read(spark, sf_dir, "events").where(where).selectExpr("user_id % 2 AS part", "event_id", f"{line} AS value")
-    rows.repartition(2, "part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    # ranges of the order, so that a task sorts one of many and no log is one task's
+    rows.repartitionByRange("part", "event_id").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
@@ -253,7 +254,9 @@ def _parts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 def _named(df: DataFrame, session: Session) -> DataFrame:
     """With the part of the log's folder in place of the random id of the source."""
     part = F.regexp_extract("path", r"part=(\d)", 1)
-    return df.join(session.sources().select(F.col("source_file_id").alias("event_id_source"), part.alias("part")), "event_id_source").drop("event_id_source")
+    # a row for each log
+    named = session.sources().select(F.col("source_file_id").alias("event_id_source"), part.alias("part"))
+    return df.join(F.broadcast(named), "event_id_source").drop("event_id_source")
 
 
 _SEQ = "row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1 AS event_id_seq, CAST(user_id % 2 AS VARCHAR) AS part"

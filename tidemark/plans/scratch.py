@@ -31,6 +31,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def splits_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """A task of a scan reads ``most`` bytes of files at most for the length of a block, or what the session asks for if that is less."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(most, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables below one folder of their own, by default in the shared one."""
 

@@ -27,6 +27,7 @@ from tidemark.operators.tagging import Rule, retag_summary, tag_entries
 from tidemark.operators.timeline import Counts, Timeline
 from tidemark.plans.ngrams import NgramIndex
 from tidemark.plans.ranking import Ranking
+from tidemark.plans.scratch import splits_of
 
 _SCHEMAS = {"sources": model.SOURCES, "analyst_tags": model.ANALYST_TAGS, "event_notes": model.EVENT_NOTES, "session_state": model.SESSION_STATE, "activity_log": model.ACTIVITY_LOG}
 #: Entries are stored with their sourcetype and virtual columns, so that filters on them reach the Parquet scan.
@@ -36,6 +37,8 @@ LOADED = ["log_entries", "load_sources", "load_tags", "entry_counts", "tag_count
 ENTRY_COUNTS = T.StructType([T.StructField("event_id_source", T.StringType()), T.StructField("level", T.StringType()), T.StructField("sourcetype", T.StringType()), T.StructField("n", T.LongType())])
 TAG_COUNTS = T.StructType([T.StructField("event_id_source", T.StringType()), T.StructField("rule_name", T.StringType()), T.StructField("tag_value", T.StringType()), T.StructField("n", T.LongType())])
 _COUNTED = {"log_entries": "entry_counts", "load_tags": "tag_counts"}
+#: Bytes of files whose entries a task sorts: compressed they are a tenth of its rows or less.
+SORTED_BYTES = 32 << 20
 STORED = T.StructType([*model.LOG_ENTRIES.fields, T.StructField("sourcetype", T.StringType()), *[T.StructField(n, T.StringType()) for n in PATHS]])
 
 
@@ -146,7 +149,8 @@ class Session:
     def write_entries(self, rows: DataFrame, sourcetype: str, load: str) -> None:
         """The entries of a load, a folder for each source, so that ``source_id`` prunes, in the order of their numbers."""
         stored = self.stored_form(rows, sourcetype).sortWithinPartitions(*model.KEY)
-        stored.write.partitionBy("event_id_source").parquet(self.folder("log_entries", load))
+        with splits_of(rows.sparkSession, SORTED_BYTES):
+            stored.write.partitionBy("event_id_source").parquet(self.folder("log_entries", load))
         self._write_counts("log_entries", STORED, ENTRY_COUNTS, load)
 
     def _write_counts(self, table: str, schema: T.StructType, counts: T.StructType, load: str) -> None:

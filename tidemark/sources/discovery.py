@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -12,6 +13,8 @@ from pyspark.sql import SparkSession
 SUFFIXES = {"evtx": ".evtx", "journald": ".journal", "text": None}
 #: Fixed folder names of unified-log diagnostics; two of them mark one.
 DIAGNOSTICS = ("persist", "special", "signpost", "highvolume", "timesync")
+#: Files that Spark's writers leave in a folder, in the order of their rows.
+_PART = re.compile(r"part-\d{5,}-.*")
 
 
 def _files(spark: SparkSession, path: str):
@@ -39,20 +42,38 @@ def kind_of(spark: SparkSession, path: str) -> str:
     return next((k for k, s in SUFFIXES.items() if s and path.lower().endswith(s)), "text")
 
 
+def parts_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """A log in parts: the part files of a folder with their sizes, in order; empty for anything else."""
+    if not _is_folder(spark, path):
+        return []
+    files, p = _files(spark, path)
+    found = ((f.getPath().getName(), f.getLen()) for f in files.listStatus(p) if f.isFile())
+    # numbers beyond 99,999 have more digits
+    return sorted(((f"{path.rstrip('/')}/{n}", size) for n, size in found if _PART.fullmatch(n)), key=lambda f: (int(f[0].rsplit("/part-", 1)[1].split("-")[0]), f[0]))
+
+
 def source_files(spark: SparkSession, kind: str, path: str, suffix: str | None = None) -> list[str]:
-    """A single file or a unified-log folder is itself; any other folder, in any store that Spark reads, is searched at all depths, sorted."""
+    """A single file or a unified-log folder is itself; any other folder, in any store that Spark reads, is searched at all depths, sorted.
+
+    A folder with several part files, as Spark writes one log in parts, stands for them.
+    """
     if kind == "aul" or not _is_folder(spark, path):
         return [path]
     wanted, scheme = suffix or SUFFIXES.get(kind), "://" in path or path.startswith("file:")
     found = (f.getPath() for f in _below(spark, path))
     names = (str(p.toString()) if scheme else str(p.toUri().getPath()) for p in found)
-    return sorted(f for f in names if wanted is None or f.lower().endswith(wanted))
+    names = sorted(f for f in names if wanted is None or f.lower().endswith(wanted))
+    parts: dict[str, int] = {}
+    for folder, name in (f.rsplit("/", 1) for f in names):
+        parts[folder] = parts.get(folder, 0) + bool(_PART.fullmatch(name))
+    return sorted({folder if parts[folder] > 1 and _PART.fullmatch(name) else f"{folder}/{name}" for folder, name in (f.rsplit("/", 1) for f in names)})
 
 
 def byte_size(spark: SparkSession, path: str) -> int:
-    """Of a file, or of the trace files below a folder."""
+    """Of a file, of the parts of a log, or of the trace files below a folder."""
     if _is_folder(spark, path):
-        return sum(f.getLen() for f in _below(spark, path) if f.getPath().getName().lower().endswith(".tracev3"))
+        parts = parts_of(spark, path)
+        return sum(n for _, n in parts) if parts else sum(f.getLen() for f in _below(spark, path) if f.getPath().getName().lower().endswith(".tracev3"))
     files, p = _files(spark, path)
     return files.getFileStatus(p).getLen()
 

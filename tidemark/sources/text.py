@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.timezones import BadTime, TimeFormat, Zone
-from tidemark.plans.scratch import Scratch
+from tidemark.plans.scratch import Scratch, splits_of
 from tidemark.sources.columns import java_pattern, time_column
+from tidemark.sources.discovery import parts_of
 from tidemark.sources.formats import TextFormat
 
 #: Blocks whose table (about 100 bytes a row) is broadcast at most; more are joined by a shuffle.
 MOST_BLOCKS = 200_000
+#: Bytes of a block: records of several lines are counted by a sort of each block.
+BLOCK_BYTES = 32 << 20
 type Keep = Callable[[DataFrame], DataFrame]
 PARSED = "event_id_source string, event_id_seq long, timestamp_utc timestamp_ntz, level string, message string, raw string, fields string, error string"
 
@@ -76,12 +79,21 @@ def preview(lines: list[str], fmt: TextFormat, most: int = 20) -> list[tuple[str
 
 
 def lines_of(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """event_id_source, block, place, value: all lines of ``files`` (source id, path), a final carriage return removed."""
-    names = spark.createDataFrame([(i, metadata_path(spark, p)) for i, p in files], "event_id_source string, _path string")
-    lines = spark.read.option("lineSep", "\n").text([p for _, p in files])
-    cols = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("value"), F.is_valid_utf8("value").alias("valid"))
-    # a row for each file: bounded by the driver's own list
-    return cols.join(F.broadcast(names), "_path").drop("_path")
+    """event_id_source, block, place, value: all lines of ``files`` (source id, path), a final carriage return removed.
+
+    A log in parts is one file: ``block`` counts from the first byte of its first part.
+    """
+    each = []
+    for i, path in files:
+        before = 0
+        for part, size in parts_of(spark, path) or [(path, 0)]:
+            each.append((i, part, before))
+            before += size
+    names = spark.createDataFrame([(i, metadata_path(spark, p), before) for i, p, before in each], "event_id_source string, _path string, _before long")
+    lines = spark.read.option("lineSep", "\n").text([p for _, p, _ in each])
+    cols = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("value"), F.is_valid_utf8("value").alias("valid"))
+    # a row for each file or part: bounded by the driver's own list
+    return cols.join(F.broadcast(names), "_path").select("event_id_source", (F.col("_before") + F.col("_start")).alias("block"), "place", "value", "valid")
 
 
 def metadata_path(spark: SparkSession, path: str) -> str:
@@ -180,6 +192,8 @@ def read_text(spark: SparkSession, files: list[tuple[str, str]], fmt: TextFormat
     """:data:`PARSED` rows of ``files`` (source id, path); ``keep`` writes a DataFrame once and reads it back."""
     fmt.validate()
     keep = keep or Scratch(spark).keep
-    records = records_of(keep(lines_of(spark, files)), fmt, keep)
+    with splits_of(spark, BLOCK_BYTES):
+        lines = keep(lines_of(spark, files))
+    records = records_of(lines, fmt, keep)
     by_columns = parsed_by_columns(records, fmt)
     return parse_records(records, fmt) if by_columns is None else by_columns
