@@ -230,3 +230,19 @@ def test_templates_without_known_frequencies_stay_near_linear(spark, monkeypatch
         found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
         assert {r.doc_id: r.keep_id for r in found} == want
     assert compared[1] <= 2.2 * compared[0], compared
+
+
+def test_frequencies_shuffle_ranges_not_shingles(spark):
+    """A row for each range and batch goes through the shuffle, however many shingles there are."""
+    docs = spark.createDataFrame([(k, words(k, 400)) for k in range(300)] + [(300, None)], "doc_id long, text string").repartition(2)
+    want = Counter(h for r in docs.collect() for h in simhash.shingle_set(r.text or "", 5).tolist())
+    scratch, sc = Scratch(spark), spark.sparkContext
+    docs = scratch.keep(docs, "docs")
+    sc.setJobGroup("frequencies", "")
+    hashes, counts = simhash._frequencies(docs, 5, scratch)
+    sc._jsc.clearJobGroup()
+    assert dict(zip(hashes.tolist(), counts.tolist())) == {h: n for h, n in want.items() if n > 1}
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("frequencies") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 2000 < len(want) / 50
+    scratch.clear()

@@ -47,7 +47,7 @@ PARITY_WORDS = 8
 #: Shingles, the most frequent of all texts, whose frequencies order the prefixes.
 KEPT = 500_000
 #: Bytes of texts or shingle sets that a Python worker gets at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 #: Texts of an entry that are compared with each other; those of larger entries meet by prefixes of exact frequencies.
 CROWD = 32
 
@@ -159,13 +159,34 @@ def _frequencies(docs: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarr
     Every shingle of every text is counted.  Those from the least count on that leaves :data:`KEPT` at most are returned.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(text_or_empty().alias("text"))
+    # ranges of the hashes by their first bits, of about a megabyte up to 10 GB of text
+    bits = min(13, max(6, int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 20).bit_length()))
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def cut(values: np.ndarray, hashes: np.ndarray) -> pa.Array:
+        """The values as bytes, cut where the range of their (ascending) hashes changes."""
+        ends = np.append(np.searchsorted(hashes, edges), len(hashes)).astype(np.int32) * 8
+        return pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = [shingle_set(t.as_py(), size) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64))], ["h"])
-
-    texts = docs.select(text_or_empty().alias("text"))
-    counts = scratch.keep(texts.mapInArrow(run, "h long").groupBy("h").count().where("count > 1"), "frequencies")
+            hashes, times = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+            once, often = hashes[times == 1], hashes[times > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edges), dtype=np.int32)), cut(once, once), cut(often, often), cut(times[times > 1].astype(np.int64), often)], ["part", "once", "often", "times"])
+
+    def counted(part: pa.Table) -> pa.Table:
+        once, often, times = (np.frombuffer(b"".join(part[c].to_pylist()), np.int64) for c in ("once", "often", "times"))
+        hashes = np.concatenate([once, often])
+        order = np.argsort(hashes)
+        first = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[:1]] - 1)) if len(hashes) else order
+        n = np.add.reduceat(np.concatenate([np.ones_like(once), times])[order], first) if len(hashes) else hashes
+        return pa.table({"h": hashes[order][first][n > 1], "count": n[n > 1]})
+
+    # a row for each range and batch: a row for each shingle would take the executors' memory
+    cuts = texts.mapInArrow(ranges, "part int, once binary, often binary, times binary")
+    counts = scratch.keep(cuts.groupBy("part").applyInArrow(counted, "h long, count long"), "frequencies")
     # a row for each count that occurs
     shingles, least = 0, None
     for row in sorted(counts.groupBy("count").agg(F.count("*").alias("shingles")).collect(), reverse=True):
