@@ -110,7 +110,7 @@ def pack(docs: DataFrame, window: int = 1024, open_windows: int = 32, group: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 16-bit little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = hub_encoder(tokenizer, 6_000_000), Packer(TaskContext.get().partitionId(), window, open_windows)
+        encoder, packer = hub_encoder(tokenizer, 3_000_000), Packer(TaskContext.get().partitionId(), window, open_windows)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for k, ids, n in encoder.streams(b.column(1)):
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, window: int = 1024, open_windows: int = 32, group: int
         return cut_leftovers(table, key[0].as_py(), window)
 
     src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    placed = materialise(src.mapInArrow(run, PIECE), "pieces", "8m")
+    placed = materialise(src.mapInArrow(run, PIECE), "pieces", "4m")
     left = placed.where("ids_crc32 is null").groupBy(F.floor(F.shiftright("sequence_id", 33) / group).alias("g")).applyInArrow(merge, PIECE)
     return placed.where("ids_crc32 is not null").unionByName(left)
 
